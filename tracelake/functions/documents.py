@@ -20,9 +20,14 @@ from tracelake.functions.text import (
 )
 
 
-def canonical_json(col: Column) -> Column:
-    """Key-sorted JSON text, '' for null; text that is no JSON stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(col)), col, F.lit(""))
+def canonical_json(text: str) -> str:
+    """SQL for key-sorted JSON text, '' for null; text that is no JSON stays as it is."""
+    return f"coalesce(to_json(try_parse_json({text})), {text}, '')"
+
+
+def json_text(text: str, key: str) -> str:
+    """SQL for a member of a JSON object as text, null when absent or empty."""
+    return f"nullif(try_variant_get(try_parse_json({text}), '$.{key}', 'string'), '')"
 
 
 def json_counts(col: Column) -> Column:
@@ -30,11 +35,6 @@ def json_counts(col: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(col), "$", "map<string,bigint>")
 
 
-def json_text(col: Column, path: str) -> Column:
-    """Scalar at a JSON path as text, null when absent or empty."""
-    return F.nullif(F.try_variant_get(F.try_parse_json(col), path, "string"), F.lit(""))
-
-
 def _rewrite(change: Callable[[object], object]) -> Callable[[pd.Series], pd.Series]:
     def one(text: str | None) -> str | None:
         if text is None:

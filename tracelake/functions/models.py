@@ -1,44 +1,31 @@
-"""Model names: which one a call used and its normal form."""
+"""Model names as SQL expressions: which one a call used and its normal form."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tracelake.functions.documents import json_text
-from tracelake.functions.text import strip_call_prefix
-
-BLANKS = " \t\n\r\x0b\x0c"
+from tracelake.functions.text import strip_call_prefix, trimmed
 
 
-def normalize_model_name(col: Column) -> Column:
+def normal_name(model: str) -> str:
     """'unknown' for nothing; else trimmed, lower case, without provider path or tag, '_' as '-'."""
-    name = F.lower(F.trim(col, F.lit(BLANKS)))
-    name = F.substring_index(F.substring_index(name, "/", -1), ":", 1)
-    return F.when(col.isNull() | (col == ""), F.lit("unknown")).otherwise(
-        F.replace(name, F.lit("_"), F.lit("-"))
-    )
+    name = f"substring_index(substring_index(lower({trimmed(model)}), '/', -1), ':', 1)"
+    return f"if({model} is null or {model} = '', 'unknown', replace({name}, '_', '-'))"
 
 
-def resolve_span_model(usage_model: Column, metadata_model: Column, span_name: Column) -> Column:
+def span_model(usage_model: str, metadata_model: str, span_name: str) -> str:
     """First non-empty of the model in usage, the model in metadata, the span name without prefix."""
-    empty = F.lit("")
-    return F.coalesce(
-        F.nullif(usage_model, empty), F.nullif(metadata_model, empty), strip_call_prefix(span_name)
-    )
+    return f"coalesce(nullif({usage_model}, ''), nullif({metadata_model}, ''), {strip_call_prefix(span_name)})"
 
 
-def resolve_model_name(
-    llm_output: Column, invocation_params: Column, metadata: Column, serialized: Column, default: Column
-) -> Column:
+def resolve_model_name(llm_output: str, invocation_params: str, metadata: str, serialized: str, default: str) -> str:
     """Ordered lookup over the JSON texts a model call carries, ending with a default."""
-    return F.coalesce(
-        json_text(llm_output, "$.model_name"),
-        json_text(llm_output, "$.model"),
-        json_text(invocation_params, "$.model_name"),
-        json_text(invocation_params, "$.model"),
-        json_text(metadata, "$.ls_model_name"),
-        json_text(metadata, "$.model"),
-        json_text(serialized, "$.name"),
-        default,
-    )
+    places = [
+        (llm_output, "model_name"),
+        (llm_output, "model"),
+        (invocation_params, "model_name"),
+        (invocation_params, "model"),
+        (metadata, "ls_model_name"),
+        (metadata, "model"),
+        (serialized, "name"),
+    ]
+    return f"coalesce({', '.join(json_text(text, key) for text, key in places)}, {default})"

@@ -69,12 +69,17 @@ def is_sensitive_key(key: Column, keys: list[str] | None = None) -> Column:
     return name.isin(keys) | F.arrays_overlap(parts, F.array(*[F.lit(k) for k in keys]))
 
 
-def strip_call_prefix(name: Column) -> Column:
-    return F.replace(F.replace(name, F.lit("LLM: "), F.lit("")), F.lit("Chat: "), F.lit(""))
+def trimmed(expr: str) -> str:
+    return f"trim(BOTH ' \\t\\n\\r\\u000b\\u000c' FROM {expr})"
 
 
-def strip_tool_prefix(name: Column) -> Column:
-    return F.trim(F.replace(name, F.lit("Tool: "), F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
+def strip_call_prefix(name: str) -> str:
+    """SQL for a span name without its model-call prefixes."""
+    return f"replace(replace({name}, 'LLM: ', ''), 'Chat: ', '')"
+
+
+def strip_tool_prefix(name: str) -> str:
+    return trimmed(f"replace({name}, 'Tool: ', '')")
 
 
 def truncate_text(col: Column, limit: int = MAX_TEXT) -> Column:

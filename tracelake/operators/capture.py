@@ -6,40 +6,37 @@ Every run of a chain, model or tool reports a start and later an end or an error
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.documents import json_text
-from tracelake.functions.models import normalize_model_name, resolve_model_name
+from tracelake.functions.models import normal_name, resolve_model_name
 from tracelake.functions.numbers import duration_ms
-from tracelake.functions.text import strip_call_prefix
 from tracelake.operators.evals import map_to_json
 from tracelake.operators.pricing import RateCard, add_columns, call_cost_steps, rate_steps
 from tracelake.operators.spans import MAX_SPANS, climb
-
-TOKENS = "struct<total_tokens:bigint,prompt_tokens:bigint,completion_tokens:bigint>"
+from tracelake.session import cut_lineage
 
 
-def _node(metadata: Column) -> Column:
-    return json_text(metadata, "$.langgraph_node")
+def _node(metadata: str) -> Column:
+    return F.expr(json_text(metadata, "langgraph_node"))
 
 
-def _model_at_start() -> Column:
-    """Model a call names when it starts."""
-    none = F.lit(None).cast("string")
-    default = F.when(F.col("kind") == "chat", "chat_model").otherwise("llm")
-    return resolve_model_name(none, F.col("invocation_params"), F.col("metadata"), F.col("serialized"), default)
+def _model_at_start(start: str = "") -> str:
+    """SQL: the model a call names when it starts."""
+    default = f"if({start}kind = 'chat', 'chat_model', 'llm')"
+    return resolve_model_name(
+        "cast(null as string)", f"{start}invocation_params", f"{start}metadata", f"{start}serialized", default
+    )
 
 
 def call_name() -> Column:
     """Span name of a model or tool start; the given name for anything else."""
-    kind = F.col("kind")
-    tool = F.coalesce(json_text(F.col("serialized"), "$.name"), F.lit("tool"))
-    return (
-        F.when(kind == "llm", F.concat(F.lit("LLM: "), _model_at_start()))
-        .when(kind == "chat", F.concat(F.lit("Chat: "), _model_at_start()))
-        .when(kind == "tool", F.concat(F.lit("Tool: "), tool))
-        .otherwise(F.col("name"))
+    return F.expr(
+        f"""case kind when 'llm' then concat('LLM: ', {_model_at_start()}) when 'chat' then concat('Chat: ', {_model_at_start()})
+        when 'tool' then concat('Tool: ', coalesce({json_text('serialized', 'name')}, 'tool')) else name end"""
     )
 
 
@@ -49,12 +46,6 @@ def name_calls(events: DataFrame) -> DataFrame:
     return starts.select("trace_id", "run_id", call_name().alias("span_name"))
 
 
-def _with_known_parent(starts: DataFrame, *more: Column) -> DataFrame:
-    """Adds parent_id, the parent run if it is one of the trace's runs, and columns of it."""
-    parents = starts.select("trace_id", F.col("run_id").alias("parent_run_id"), F.col("run_id").alias("parent_id"), *more)
-    return starts.join(parents, ["trace_id", "parent_run_id"], "left")
-
-
 def classify_runs(events: DataFrame) -> DataFrame:
     """(trace_id, run_id, parent_id, span_type, span_name) of chain starts.
 
@@ -62,22 +53,30 @@ def classify_runs(events: DataFrame) -> DataFrame:
     then it is the node's inner execution. Inside such an execution the next tagged run is a node
     again, so along a chain of runs with the same tag the two alternate.
     """
+    return _classified(events).filter(F.col("kind") == "chain").drop("kind")
+
+
+def _classified(events: DataFrame) -> DataFrame:
+    """``classify_runs`` for starts of every kind; carries none of their payload."""
+    kind = F.col("kind")
+    is_chain = kind == "chain"
+    bare = "serialized is null or serialized in ('{}', 'null')"
+    plain = F.expr(f"coalesce(nullif(name, ''), if({bare}, 'chain', {json_text('serialized', 'name')}), 'workflow')")
     starts = events.filter(F.col("phase") == "start").select(
-        "trace_id", "run_id", "parent_run_id", "kind", "name", "serialized", _node(F.col("metadata")).alias("node"),
-        "invocation_params", "metadata",
+        "trace_id", "run_id", "parent_run_id", "kind",
+        F.when(is_chain, _node("metadata")).alias("node"),
+        F.when(is_chain, plain).otherwise(call_name()).alias("plain"),
     )
-    bare = F.col("serialized").isNull() | F.col("serialized").isin("{}", "null")
-    serialized_name = F.when(bare, "chain").otherwise(json_text(F.col("serialized"), "$.name"))
-    plain = F.coalesce(F.nullif("name", F.lit("")), serialized_name, F.lit("workflow"))
-    named = starts.withColumn("plain", F.when(F.col("kind") == "chain", plain).otherwise(call_name()))
-    is_chain = F.col("kind") == "chain"
-    linked = _with_known_parent(
-        named,
-        F.when(is_chain, F.col("node")).alias("parent_node"),
-        F.when(~is_chain | F.col("node").isNull(), F.col("plain")).alias("parent_plain"),
+    starts = cut_lineage(starts)
+    parents = starts.select(
+        "trace_id",
+        F.col("run_id").alias("parent_run_id"),
+        F.col("run_id").alias("parent_id"),
+        F.col("node").alias("parent_node"),
+        F.when(F.col("node").isNull(), F.col("plain")).alias("parent_plain"),
     )
-    tagged = is_chain & F.col("node").isNotNull()
-    linked = linked.withColumns(
+    tagged = F.col("node").isNotNull()
+    linked = starts.join(parents, ["trace_id", "parent_run_id"], "left").withColumns(
         {
             "under_same": tagged & F.coalesce(F.col("parent_node") == F.col("node"), F.lit(False)),
             "under_named": tagged & F.coalesce(F.col("parent_plain") == F.col("node"), F.lit(False)),
@@ -85,68 +84,62 @@ def classify_runs(events: DataFrame) -> DataFrame:
     )
     # Only runs of the same tag below one another need to be counted upwards.
     same = linked.filter("under_same")
-    tops = linked.join(
-        same.select("trace_id", F.col("parent_id").alias("run_id")).distinct(), ["trace_id", "run_id"], "left_semi"
-    ).filter(~F.col("under_same"))
-    links = same.select("trace_id", F.col("run_id").alias("id"), F.col("parent_id").alias("up"), F.col("run_id").alias("label")).unionByName(
-        tops.select("trace_id", F.col("run_id").alias("id"), F.lit(None).cast("string").alias("up"), F.col("run_id").alias("label"))
+    heads = same.select("trace_id", F.col("parent_id").alias("run_id")).distinct()
+    tops = linked.filter(~F.col("under_same")).join(heads, ["trace_id", "run_id"], "left_semi")
+    run = F.col("run_id")
+    links = same.select("trace_id", run.alias("id"), F.col("parent_id").alias("up"), run.alias("label")).unionByName(
+        tops.select("trace_id", run.alias("id"), F.lit(None).cast("string").alias("up"), run.alias("label"))
     )
-    steps = climb(links).join(
-        tops.select("trace_id", F.col("run_id").alias("top"), F.col("under_named").cast("int").alias("first")),
-        ["trace_id", "top"],
-    )
-    parity = steps.select("trace_id", F.col("id").alias("run_id"), ((F.col("depth") + F.col("first")) % 2 == 1).alias("odd"))
-    judged = linked.filter(is_chain).join(parity, ["trace_id", "run_id"], "left")
+    first = tops.select("trace_id", run.alias("top"), F.col("under_named").cast("int").alias("first"))
+    odd = (F.col("depth") + F.col("first")) % 2 == 1
+    parity = climb(links).join(first, ["trace_id", "top"]).select("trace_id", F.col("id").alias("run_id"), odd.alias("odd"))
+    judged = linked.join(parity, ["trace_id", "run_id"], "left")
     inner = F.coalesce("odd", "under_named")
-    return judged.select(
-        "trace_id", "run_id", "parent_id",
-        F.when(tagged & ~inner, "node").when(tagged, "custom").when(F.col("parent_id").isNull(), "workflow")
-        .otherwise("custom").alias("span_type"),
-        F.when(tagged & inner, F.concat("node", F.lit(":exec"))).when(tagged, F.col("node"))
-        .otherwise(F.col("plain")).alias("span_name"),
-    )
+    span_type = (
+        F.when(kind.isin("llm", "chat"), "llm")
+        .when(kind == "tool", "tool")
+        .when(~is_chain, "custom")
+        .when(tagged & ~inner, "node")
+        .when(tagged, "custom")
+        .when(F.col("parent_id").isNull(), "workflow")
+        .otherwise("custom")
+    )
+    span_name = (
+        F.when(tagged & inner, F.concat("node", F.lit(":exec"))).when(tagged, F.col("node")).otherwise(F.col("plain"))
+    )
+    return judged.select("trace_id", "run_id", "parent_id", "kind", span_type.alias("span_type"), span_name.alias("span_name"))
 
 
-def _counts(tokens: Column, total_default: Column | None) -> Column:
-    """Token counts of one provider object (a variant); null if there is no such object."""
+def _counts(tokens: str, total_default: str | None) -> str:
+    """SQL: token counts of one provider object (a variant); null if there is no such object."""
 
-    def number(name: str) -> Column:
-        return F.try_variant_get(tokens, f"$.{name}", "bigint")
+    def number(name: str) -> str:
+        return f"try_variant_get({tokens}, '$.{name}', 'bigint')"
 
-    def either(first: str, second: str) -> Column:
-        return F.coalesce(F.nullif(number(first), F.lit(0)), number(second), F.lit(0)).cast("bigint")
+    def either(first: str, second: str) -> str:
+        return f"coalesce(nullif({number(first)}, 0L), {number(second)}, 0L)"
 
     prompt, completion = either("prompt_tokens", "input_tokens"), either("completion_tokens", "output_tokens")
-    fallback = prompt + completion if total_default is None else total_default
-    return F.when(
-        F.try_variant_get(tokens, "$", "map<string,variant>").isNotNull(),
-        F.struct(
-            F.coalesce(number("total_tokens"), fallback).cast("bigint").alias("total_tokens"),
-            prompt.alias("prompt_tokens"),
-            completion.alias("completion_tokens"),
-        ),
-    )
+    total = f"coalesce({number('total_tokens')}, {total_default or f'{prompt} + {completion}'})"
+    counts = f"named_struct('total_tokens', {total}, 'prompt_tokens', {prompt}, 'completion_tokens', {completion})"
+    return f"if(try_variant_get({tokens}, '$', 'map<string,variant>') is null, null, {counts})"
 
 
-def normalize_usage(llm_output: Column, outputs: Column) -> Column:
-    """Token counts of a finished call, whichever shape the provider used; null if it gave none.
+def normalize_usage(llm_output: str, outputs: str) -> str:
+    """SQL: token counts of a finished call, whichever shape the provider used; null if it gave none.
 
     The call's own output comes first, then the first generation whose message carries usage.
     """
-    output = F.try_parse_json(llm_output)
 
-    def part(source: Column, path: str) -> Column:
-        return F.try_variant_get(source, path, "variant")
+    def part(source: str, path: str) -> str:
+        return f"try_variant_get({source}, '$.{path}', 'variant')"
 
-    own = [_counts(part(output, f"$.{key}"), F.lit(0)) for key in ("token_usage", "usage")]
-    generations = F.try_variant_get(F.try_parse_json(outputs), "$.generations", "array<variant>")
-
-    def of_message(generation: Column) -> Column:
-        paths = ["usage_metadata", "response_metadata.token_usage", "response_metadata.usage"]
-        return F.coalesce(*[_counts(part(generation, f"$.message.{path}"), None) for path in paths])
-
-    found = F.filter(F.transform(generations, of_message), lambda counts: counts.isNotNull())
-    return F.coalesce(*own, F.try_element_at(found, F.lit(1)))
+    own = [_counts(part(f"try_parse_json({llm_output})", key), "0L") for key in ("token_usage", "usage")]
+    generations = f"try_variant_get(try_parse_json({outputs}), '$.generations', 'array<variant>')"
+    paths = ["usage_metadata", "response_metadata.token_usage", "response_metadata.usage"]
+    of_message = ", ".join(_counts(part("generation", f"message.{path}"), None) for path in paths)
+    found = f"filter(transform({generations}, generation -> coalesce({of_message})), counts -> counts is not null)"
+    return f"coalesce({', '.join(own)}, try_element_at({found}, 1))"
 
 
 def price_llm_events(events: DataFrame, own: RateCard | None = None) -> DataFrame:
@@ -154,34 +147,32 @@ def price_llm_events(events: DataFrame, own: RateCard | None = None) -> DataFram
 
     Calls without usage keep their model name as it is and cost nothing.
     """
-    calls = events.filter(F.col("kind").isin("llm", "chat"))
-    started = F.when(F.col("phase") == "start", _model_at_start())
-    prefixless = F.when(F.col("phase") == "start", strip_call_prefix(call_name()))
-    ended = F.when(F.col("phase") == "end", F.struct("seq", "llm_output", "outputs"))
-    paired = calls.groupBy("trace_id", "run_id").agg(
-        F.max(started).alias("_started"), F.max(prefixless).alias("_prefixless"), F.max(ended).alias("_end")
+    calls = pair_events(events.filter(F.col("kind").isin("llm", "chat")))
+    priced = price_pairs(calls, own).filter(F.col("end.phase") == "end")
+    return priced.select("trace_id", "run_id", *CALL_COLUMNS)
+
+
+CALL_COLUMNS = [
+    "model", "total_tokens", "prompt_tokens", "completion_tokens", "prompt_cost", "completion_cost", "total_cost",
+]
+
+
+def price_pairs(pairs: DataFrame, own: RateCard | None = None) -> DataFrame:
+    """Paired events with model, tokens and costs of those that are finished model calls."""
+    finished = "start.kind in ('llm', 'chat') and end.phase = 'end'"
+    told = f"{json_text('end.llm_output', 'model_name')}, {json_text('end.llm_output', 'model')}"
+    named = pairs.withColumns(
+        {
+            "model": F.expr(f"if({finished}, coalesce({told}, {_model_at_start('start.')}), null)"),
+            "_tokens": F.expr(f"if({finished}, {normalize_usage('end.llm_output', 'end.outputs')}, null)"),
+        }
     )
-    paired = paired.filter(F.col("_end").isNotNull())
-    output = F.col("_end.llm_output")
-    named = paired.select(
-        "trace_id", "run_id",
-        F.coalesce(
-            json_text(output, "$.model_name"), json_text(output, "$.model"),
-            F.nullif("_started", F.lit("")), F.nullif("_prefixless", F.lit("")), F.lit("unknown"),
-        ).alias("model"),
-        normalize_usage(output, F.col("_end.outputs")).alias("tokens"),
-    )
-    flat = named.select(
-        "*", "tokens.total_tokens", "tokens.prompt_tokens", "tokens.completion_tokens",
-        F.lit(0).cast("bigint").alias("cached_tokens"),
-    )
+    counts = {n: f"_tokens.{n}" for n in ("total_tokens", "prompt_tokens", "completion_tokens")}
+    flat = named.withColumns({**{n: F.expr(sql) for n, sql in counts.items()}, "cached_tokens": F.expr("0L")})
     priced = add_columns(flat, rate_steps(own) + call_cost_steps())
-    used = F.col("tokens").isNotNull()
-    costs = [F.when(used, F.col(n)).alias(n) for n in ("prompt_cost", "completion_cost", "total_cost")]
-    return priced.select(
-        "trace_id", "run_id", F.when(used, normalize_model_name(F.col("model"))).otherwise(F.col("model")).alias("model"),
-        "total_tokens", "prompt_tokens", "completion_tokens", *costs,
-    )
+    used = "_tokens is not null"
+    costs = [f"if({used}, {n}, null) as {n}" for n in ("prompt_cost", "completion_cost", "total_cost")]
+    return priced.selectExpr(*pairs.columns, f"if({used}, {normal_name('model')}, model) as model", *counts, *costs)
 
 
 def error_record(error_type: Column, message: Column, traceback: Column) -> Column:
@@ -227,7 +218,7 @@ def merged_metadata(first: Column, later: Column) -> Column:
     return map_to_json(F.map_concat(older, newer))
 
 
-def close_spans(pairs: DataFrame) -> DataFrame:
+def close_spans(pairs: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Paired events as span rows, before parents and chain names are known."""
     ended = F.col("end").isNotNull()
     failed = F.col("end.phase") == "error"
@@ -248,31 +239,21 @@ def close_spans(pairs: DataFrame) -> DataFrame:
         F.when(ended & ~failed, F.when(kind == "tool", _wrapped("output", outputs)).otherwise(outputs)).alias("outputs"),
         F.when(failed, error_record(F.col("end.error_type"), F.col("end.error_message"), F.col("end.traceback"))).alias("error"),
         merged_metadata(F.col("start.metadata"), F.col("end.metadata")).alias("metadata"),
+        *more,
     )
 
 
 def assemble_spans(events: DataFrame, own: RateCard | None = None) -> DataFrame:
-    """Span rows from start, end and error events: typed, named, parented, with usage and cost."""
-    spans = close_spans(pair_events(events))
-    chains = classify_runs(events).select("trace_id", F.col("run_id").alias("id"), "span_type", F.col("span_name").alias("chain_name"))
-    starts = events.filter((F.col("phase") == "start") & (F.col("kind") != "chain"))
-    names = starts.select("trace_id", F.col("run_id").alias("id"), call_name().alias("call_name"))
-    calls = price_llm_events(events, own).withColumnRenamed("run_id", "id")
-    known = spans.select("trace_id", F.col("id").alias("parent_run_id"), F.col("id").alias("parent_id"))
-    whole = (
-        spans.join(known, ["trace_id", "parent_run_id"], "left")
-        .join(chains, ["trace_id", "id"], "left")
-        .join(names, ["trace_id", "id"], "left")
-        .join(calls, ["trace_id", "id"], "left")
+    """Span rows from start, end and error events: typed, named, parented, with usage and cost.
+
+    Payloads are shuffled once, to pair the events of a run; names and parents are worked out on the
+    start events alone and joined to the pairs where those already lie.
+    """
+    spans = close_spans(price_pairs(pair_events(events), own), CALL_COLUMNS)
+    named = _classified(events).select(
+        "trace_id", F.col("run_id").alias("id"), "parent_id", F.col("span_name").alias("name"), "span_type"
     )
-    kind = F.col("kind")
-    return whole.select(
-        "trace_id", "id", "parent_id", "seq",
-        F.coalesce("chain_name", "call_name").alias("name"),
-        F.coalesce("span_type", F.when(kind.isin("llm", "chat"), "llm").when(kind == "tool", "tool").otherwise("custom")).alias("span_type"),
-        "status", "start_time", "end_time", "duration_ms", "inputs", "outputs", "error", "metadata", "model",
-        "prompt_tokens", "completion_tokens", "total_tokens", "prompt_cost", "completion_cost", "total_cost",
-    )
+    return spans.join(named, ["trace_id", "id"]).drop("parent_run_id", "kind")
 
 
 def custom_spans(events: DataFrame) -> DataFrame:
@@ -304,7 +285,7 @@ def node_state_updates(events: DataFrame, max_updates: int = MAX_SPANS) -> tuple
     Covers chain runs tagged with a node that ended with an object.
     """
     tags = events.filter((F.col("kind") == "chain") & (F.col("phase") == "start")).select(
-        "trace_id", "run_id", _node(F.col("metadata")).alias("node")
+        "trace_id", "run_id", _node("metadata").alias("node")
     )
     is_object = F.try_variant_get(F.try_parse_json("outputs"), "$", "map<string,variant>").isNotNull()
     ends = events.filter((F.col("kind") == "chain") & (F.col("phase") == "end") & is_object)

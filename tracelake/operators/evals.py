@@ -8,28 +8,27 @@ from pyspark.sql import functions as F
 from tracelake.functions.documents import canonical_json
 
 
-def metadata_evals(metadata: Column) -> Column:
-    """Eval records of a trace as canonical JSON texts; an empty array if there are none."""
-    records = F.try_variant_get(F.try_parse_json(metadata), "$.evals", "array<variant>")
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.transform(records, lambda record: F.to_json(record)), none)
+def metadata_evals(metadata: str) -> str:
+    """SQL: eval records of a trace as canonical JSON texts; an empty array if there are none."""
+    records = f"try_variant_get(try_parse_json({metadata}), '$.evals', 'array<variant>')"
+    return f"coalesce(transform({records}, record -> to_json(record)), cast(array() as array<string>))"
 
 
-def record_passed(record: Column) -> Column:
-    """A record without a verdict counts as passed; null, zero and empty verdicts do not."""
-    verdict = F.to_json(F.try_variant_get(F.try_parse_json(record), "$.passed", "variant"))
-    return F.coalesce(~verdict.isin("false", "null", "0", "0.0", '""', "[]", "{}"), F.lit(True))
+def record_passed(record: str) -> str:
+    """SQL: a record without a verdict counts as passed; null, zero and empty verdicts do not."""
+    verdict = f"to_json(try_variant_get(try_parse_json({record}), '$.passed', 'variant'))"
+    return f"""coalesce({verdict} not in ('false', 'null', '0', '0.0', '""', '[]', '{{}}'), true)"""
 
 
-def eval_columns(listed: Column, recorded: Column, bare: Column, bare_failed: Column) -> list[Column]:
-    """eval_count and eval_status from metadata records, distinct span records, and how many eval
-    spans carry no record and how many of those failed. Records listed twice in metadata count twice.
+def eval_figures(listed: str, recorded: str, bare: str, bare_failed: str) -> tuple[str, str]:
+    """SQL for eval_count and eval_status from metadata records, distinct span records, and how many
+    eval spans carry no record and how many of those failed. Records listed twice in metadata count
+    twice.
     """
-    extra = F.array_except(recorded, listed)
-    count = (F.size(listed) + F.size(extra) + bare).cast("bigint")
-    passed = F.forall(listed, record_passed) & F.forall(extra, record_passed) & (bare_failed == 0)
-    status = F.when(count > 0, F.when(passed, "passed").otherwise("failed"))
-    return [count.alias("eval_count"), status.alias("eval_status")]
+    extra = f"array_except({recorded}, {listed})"
+    count = f"cast(size({listed}) + size({extra}) + {bare} as bigint)"
+    passed = f"forall(concat({listed}, {extra}), record -> {record_passed('record')}) and {bare_failed} = 0"
+    return count, f"case when {count} = 0 then null when {passed} then 'passed' else 'failed' end"
 
 
 def eval_rollup(traces: DataFrame, spans: DataFrame) -> DataFrame:
@@ -38,15 +37,15 @@ def eval_rollup(traces: DataFrame, spans: DataFrame) -> DataFrame:
     Everything is counted: equal records on spans collapse by grouping, and a record already listed
     in the metadata is dropped by an anti join, so no trace is gathered into one place.
     """
-    listed = traces.select(F.col("id").alias("trace_id"), F.explode(metadata_evals(F.col("metadata"))).alias("record"))
+    listed = traces.select(F.col("id").alias("trace_id"), F.explode(F.expr(metadata_evals("metadata"))).alias("record"))
     eval_spans = spans.filter(F.col("span_type") == "eval").select(
-        "trace_id", F.nullif(canonical_json(F.col("eval")), F.lit("")).alias("record"), "status"
+        "trace_id", F.expr(f"nullif({canonical_json('eval')}, '')").alias("record"), "status"
     )
     recorded = eval_spans.filter(F.col("record").isNotNull()).select("trace_id", "record").distinct()
     recorded = recorded.join(listed.distinct(), ["trace_id", "record"], "left_anti")
     verdicts = (
         listed.unionByName(recorded)
-        .select("trace_id", record_passed(F.col("record")).alias("passed"))
+        .select("trace_id", F.expr(record_passed("record")).alias("passed"))
         .unionByName(
             eval_spans.filter(F.col("record").isNull()).select("trace_id", (F.col("status") == "completed").alias("passed"))
         )
@@ -78,7 +77,7 @@ def append_evals(traces: DataFrame, evals: DataFrame) -> tuple[DataFrame, DataFr
         F.from_json(F.lit("{}"), "map<string,variant>"),
     )
     texts = F.transform_values(fields, lambda _, v: F.to_json(v))
-    listed = F.concat(F.lit("["), F.array_join(F.concat(metadata_evals(F.col("metadata")), F.col("_added")), ","), F.lit("]"))
+    listed = F.concat(F.lit("["), F.array_join(F.concat(F.expr(metadata_evals("metadata")), F.col("_added")), ","), F.lit("]"))
     merged = F.map_concat(F.map_filter(texts, lambda k, _: k != "evals"), F.create_map(F.lit("evals"), listed))
     metadata = F.when(F.col("_added").isNull(), F.col("metadata")).otherwise(map_to_json(merged))
     verdict = F.to_json(F.struct("passed", "reason", "score"), {"ignoreNullFields": "false"})

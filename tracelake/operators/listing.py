@@ -64,11 +64,12 @@ def filter_traces(
     from_time: datetime | str | None = None,
     to_time: datetime | str | None = None,
     eval_status: str | None = None,
+    period: str = "day",
 ) -> DataFrame:
     """All given conditions must hold; an empty argument is no condition.
 
-    On a table partitioned by ``start_date`` a time range also names the dates, so whole partitions
-    are skipped.
+    On a table partitioned by ``start_date`` (first day of each ``period``) a time range also names
+    the dates, so whole partitions are skipped.
     """
     wanted = {"status": status, "environment": environment, "project": project, "eval_status": eval_status}
     for name, value in wanted.items():
@@ -78,7 +79,7 @@ def filter_traces(
         rows = rows.filter(in_time_range(F.col("start_time"), from_time, to_time))
         if "start_date" in rows.columns:
             if from_time:
-                rows = rows.filter(F.col("start_date") >= F.to_date(instant(from_time)))
+                rows = rows.filter(F.col("start_date") >= F.to_date(F.date_trunc(period, instant(from_time))))
             if to_time:
                 rows = rows.filter(F.col("start_date") <= F.to_date(instant(to_time)))
     if search:
@@ -108,7 +109,7 @@ def trace_summaries(rows: DataFrame) -> DataFrame:
     """The columns of a list view, with nulls replaced."""
     filled = {name: F.coalesce(F.col(name), F.lit(value).cast(rows.schema[name].dataType)) for name, value in SUMMARY.items()}
     return rows.select(
-        "id", "name", "status", default_environment(F.col("environment")).alias("environment"), "project",
+        "id", "name", "status", F.expr(default_environment("environment")).alias("environment"), "project",
         "start_time", "end_time", "duration_ms", "http_method", "http_path", "http_status_code",
         *[filled[n].alias(n) for n in ("total_spans", "total_tokens", "llm_calls", "estimated_cost", "has_error")],
         "eval_status",
@@ -171,7 +172,7 @@ def tag_traces(
     empty = F.lit("")
     return traces.withColumns(
         {
-            "environment": default_environment(F.coalesce(env, "environment")),
+            "environment": F.coalesce(env, F.expr(default_environment("environment"))),
             "project": F.coalesce(F.lit(project) if project else none, F.nullif("project", empty)),
             "name": F.coalesce(F.lit(name) if name else none, F.nullif("name", empty), request, F.lit("workflow")),
         }

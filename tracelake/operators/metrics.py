@@ -8,12 +8,12 @@ that arrive with their spans nested take the same path with no shuffle at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.documents import canonical_json
 from tracelake.functions.text import strip_tool_prefix
-from tracelake.operators.evals import eval_columns, metadata_evals
+from tracelake.operators.evals import eval_figures, metadata_evals
 from tracelake.operators.pricing import CALL_FIELDS, COST, RateCard, add_fields, price_spans, usage_of, usage_steps
 from tracelake.operators.spans import MAX_SPANS, nest_spans
 from tracelake.schema import USAGE
@@ -73,43 +73,47 @@ def _failed_traces(spans: DataFrame) -> DataFrame:
     return spans.filter(F.col("status") == "failed").select("trace_id").distinct().withColumn("_failed", F.lit(True))
 
 
-def rolled_status(status: Column, any_failed: Column) -> Column:
-    return F.when((status == "completed") & any_failed, "failed").otherwise(status)
+def rolled_status(status: str, any_failed: str) -> str:
+    return f"if({status} = 'completed' and {any_failed}, 'failed', {status})"
 
 
 def rollup_status(traces: DataFrame, spans: DataFrame) -> DataFrame:
     """Traces with the status they end up with: a completed one holding a failed span has failed."""
     failed = _failed_traces(spans).withColumnRenamed("trace_id", "id")
     joined = traces.join(failed, "id", "left")
-    status = rolled_status(F.col("status"), F.coalesce("_failed", F.lit(False)))
-    return joined.withColumn("status", status).drop("_failed")
+    status = rolled_status("status", "coalesce(_failed, false)")
+    return joined.withColumn("status", F.expr(status)).drop("_failed")
 
 
-def is_error(error: Column) -> Column:
-    """An error record is there and is not an empty one."""
-    return F.coalesce(~error.isin("", "null", "{}"), F.lit(False))
+def is_error(error: str) -> str:
+    """SQL: an error record is there and is not an empty one."""
+    return f"coalesce({error} not in ('', 'null', '{{}}'), false)"
+
+
+def default_environment(environment: str) -> str:
+    return f"coalesce(nullif({environment}, ''), '{DEFAULT_ENVIRONMENT}')"
 
 
 def has_error(traces: DataFrame, spans: DataFrame) -> DataFrame:
     failed = _failed_traces(spans).withColumnRenamed("trace_id", "id")
-    flag = F.coalesce("_failed", F.lit(False)) | is_error(F.col("error"))
-    return traces.join(failed, "id", "left").select("id", flag.alias("has_error"))
+    flag = f"coalesce(_failed, false) or {is_error('error')}"
+    return traces.join(failed, "id", "left").selectExpr("id", f"{flag} as has_error")
 
 
-def _loops(calls: Column, distinct_inputs: Column) -> Column:
-    return (calls >= LOOP_CALLS) | ((calls >= 3) & (calls - distinct_inputs >= LOOP_REPEATS))
+def _loops(calls: str, distinct_inputs: str) -> str:
+    return f"({calls} >= {LOOP_CALLS} or ({calls} >= 3 and {calls} - {distinct_inputs} >= {LOOP_REPEATS}))"
 
 
 def tool_calls(spans: DataFrame) -> DataFrame:
     """Per trace and tool: calls, distinct inputs, first position, and whether it loops."""
-    tools = spans.filter(F.col("span_type") == "tool").select(
-        "trace_id", "pos", strip_tool_prefix(F.col("name")).alias("tool"), canonical_json(F.col("inputs")).alias("input")
+    tools = spans.filter("span_type = 'tool'").selectExpr(
+        "trace_id", "pos", f"{strip_tool_prefix('name')} as tool", f"{canonical_json('inputs')} as input"
     )
     per_input = tools.groupBy("trace_id", "tool", "input").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     per_tool = per_input.groupBy("trace_id", "tool").agg(
         F.sum("n").alias("calls"), F.count("*").alias("distinct_inputs"), F.min("pos").alias("first_pos")
     )
-    return per_tool.withColumn("loops", _loops(F.col("calls"), F.col("distinct_inputs")))
+    return per_tool.withColumn("loops", F.expr(_loops("calls", "distinct_inputs")))
 
 
 def detect_tool_loops(spans: DataFrame) -> DataFrame:
@@ -124,68 +128,48 @@ def detect_tool_loops(spans: DataFrame) -> DataFrame:
 # --- the stored row -------------------------------------------------------------------------------
 
 _LEAN = ["span_type", "name", "status", "duration_ms", "call", "input", "eval"]
+_TOOL_NAME = "if({0}span_type = 'tool', " + strip_tool_prefix("{0}name") + ", {0}name)"
 
 
 def _lean(spans: DataFrame, own: RateCard | None) -> DataFrame:
     """Span rows reduced to what the stored row needs."""
-    kind = F.col("span_type")
-    return usage_of(spans, own).select(
-        "trace_id", "pos", "span_type",
-        F.when(kind == "tool", strip_tool_prefix(F.col("name"))).otherwise(F.col("name")).alias("name"),
-        "status", "duration_ms",
-        F.when(kind == "llm", F.col("call")).alias("call"),
-        F.when(kind == "tool", canonical_json(F.col("inputs"))).alias("input"),
-        F.when(kind == "eval", F.nullif(canonical_json(F.col("eval")), F.lit(""))).alias("eval"),
-    )
+    return usage_of(spans, own).selectExpr(
+        "trace_id",
+        "pos",
+        "span_type",
+        _TOOL_NAME.format("") + " as name",
+        "status",
+        "duration_ms",
+        "if(span_type = 'llm', call, null) as call",
+        f"if(span_type = 'tool', {canonical_json('inputs')}, null) as input",
+        f"if(span_type = 'eval', nullif({canonical_json('eval')}, ''), null) as eval",
+    )
 
 
 def _lean_nested(traces: DataFrame, own: RateCard | None) -> DataFrame:
     """Typed documents with ``spans`` reduced the same way, row by row."""
-
-    def facts(span: Column) -> Column:
-        meta = F.try_parse_json(span["metadata"])
-        kind = span["span_type"]
-        return F.struct(
-            kind.alias("span_type"),
-            span["name"].alias("name"),
-            span["status"].alias("status"),
-            span["duration_ms"].alias("duration_ms"),
-            F.try_variant_get(meta, "$.usage", USAGE).alias("usage"),
-            F.try_variant_get(meta, "$.model", "string").alias("model"),
-            F.when(kind == "tool", canonical_json(span["inputs"])).alias("input"),
-            F.when(kind == "eval", F.to_json(F.try_variant_get(meta, "$.eval", "variant"))).alias("eval"),
-        )
-
-    def reduced(span: Column) -> Column:
-        kind = span["span_type"]
-        call = F.struct(*[span[name].alias(name) for name in CALL_FIELDS])
-        return F.struct(
-            kind.alias("span_type"),
-            F.when(kind == "tool", strip_tool_prefix(span["name"])).otherwise(span["name"]).alias("name"),
-            span["status"].alias("status"),
-            span["duration_ms"].alias("duration_ms"),
-            F.when(kind == "llm", call).alias("call"),
-            span["input"].alias("input"),
-            span["eval"].alias("eval"),
-        )
-
+    facts = f"""transform(transform(spans, span -> struct(span as s, try_parse_json(span.metadata) as m)), x -> named_struct(
+        'span_type', x.s.span_type, 'name', x.s.name, 'status', x.s.status, 'duration_ms', x.s.duration_ms,
+        'usage', try_variant_get(x.m, '$.usage', '{USAGE}'), 'model', try_variant_get(x.m, '$.model', 'string'),
+        'input', if(x.s.span_type = 'tool', {canonical_json('x.s.inputs')}, null),
+        'eval', if(x.s.span_type = 'eval', to_json(try_variant_get(x.m, '$.eval', 'variant')), null)))"""
     fields = ["span_type", "name", "status", "duration_ms", "usage", "model", "input", "eval"]
-    priced = add_fields(F.transform("spans", facts), fields, usage_steps(own))
-    return traces.withColumn("spans", F.transform(priced, reduced))
-
+    priced, _ = add_fields(facts, fields, usage_steps(own))
+    call = ", ".join(f"'{name}', z.{name}" for name in CALL_FIELDS)
+    reduced = f"""transform({priced}, z -> named_struct(
+        'span_type', z.span_type, 'name', {_TOOL_NAME.format('z.')}, 'status', z.status, 'duration_ms', z.duration_ms,
+        'call', if(z.span_type = 'llm', named_struct({call}), null), 'input', z.input, 'eval', z.eval))"""
+    return traces.withColumn("spans", F.expr(reduced))
 
-def _total(items: Column, name: str, kind: str) -> Column:
-    zero = F.lit(0).cast(kind)
-    return F.aggregate(items, zero, lambda total, item: (total + item[name]).cast(kind))
 
+def _total(items: str, field: str, kind: str) -> str:
+    return f"aggregate({items}, cast(0 as {kind}), (total, item) -> cast(total + item.{field} as {kind}))"
 
-def _counts(items: Column, names: Column) -> Column:
-    """Map of each name to how often it occurs among the items."""
 
-    def occurrences(name: Column) -> Column:
-        return F.size(F.filter(items, lambda item: item == name)).cast("bigint")
-
-    return F.map_from_arrays(names, F.transform(names, occurrences))
+def _counts(names: str) -> str:
+    """SQL for a map of each name to how often it occurs in an array of names."""
+    each = f"transform(array_distinct({names}), one -> cast(size(filter({names}, other -> other = one)) as bigint))"
+    return f"map_from_arrays(array_distinct({names}), {each})"
 
 
 def trace_rows(
@@ -200,61 +184,54 @@ def trace_rows(
     else:
         nested = nest_spans(_lean(spans, own), _LEAN, max_spans).withColumnRenamed("trace_id", "id")
         packed = traces.drop("spans").join(nested, "id", "left")
-    col = F.col
-    packed = packed.withColumn("spans", F.coalesce("spans", F.slice(F.array(F.element_at("spans", 1)), 1, 0)))
-    split = packed.select(
+    split = packed.withColumn("spans", F.expr("coalesce(spans, slice(array(spans[0]), 1, 0))")).selectExpr(
         "*",
-        F.transform(F.filter("spans", lambda s: s["span_type"] == "llm"), lambda s: s["call"]).alias("_calls"),
-        F.filter("spans", lambda s: (s["span_type"] == "node") & (s["name"] != "")).alias("_nodes"),
-        F.filter("spans", lambda s: s["span_type"] == "tool").alias("_tools"),
-        F.filter("spans", lambda s: s["span_type"] == "eval").alias("_evals"),
-        F.exists("spans", lambda s: s["status"] == "failed").alias("_failed"),
-        metadata_evals(col("metadata")).alias("_listed"),
+        "transform(filter(spans, s -> s.span_type = 'llm'), s -> s.call) as _calls",
+        "filter(spans, s -> s.span_type = 'node' and s.name <> '') as _nodes",
+        "filter(spans, s -> s.span_type = 'tool') as _tools",
+        "filter(spans, s -> s.span_type = 'eval') as _evals",
+        "exists(spans, s -> s.status = 'failed') as _failed",
+        f"{metadata_evals('metadata')} as _listed",
     )
-    named = split.select(
+    named = split.selectExpr(
         "*",
-        F.transform("_calls", lambda c: c["model"]).alias("_models"),
-        F.transform("_nodes", lambda s: s["name"]).alias("_node_names"),
-        F.array_distinct(F.transform("_tools", lambda s: s["name"])).alias("_tool_names"),
-        F.filter("_evals", lambda s: s["eval"].isNull()).alias("_bare"),
-        F.array_distinct(F.transform(F.filter("_evals", lambda s: s["eval"].isNotNull()), lambda s: s["eval"])).alias("_recorded"),
+        "transform(_calls, c -> c.model) as _models",
+        "transform(_nodes, s -> s.name) as _node_names",
+        "array_distinct(transform(_tools, s -> s.name)) as _tool_names",
+        "filter(_evals, s -> s.eval is null) as _bare",
+        "array_distinct(filter(transform(_evals, s -> s.eval), record -> record is not null)) as _recorded",
     )
-
-    def tool_loops(name: Column) -> Column:
-        inputs = F.transform(F.filter(col("_tools"), lambda s: s["name"] == name), lambda s: s["input"])
-        return _loops(F.size(inputs), F.size(F.array_distinct(inputs)))
-
-    bare_failed = F.size(F.filter("_bare", lambda s: s["status"] != "completed"))
-    eval_count, eval_status = eval_columns(col("_listed"), col("_recorded"), F.size("_bare"), bare_failed)
-    return named.select(
+    inputs = "transform(filter(_tools, s -> s.name = tool), s -> s.input)"
+    loops = _loops(f"size({inputs})", f"size(array_distinct({inputs}))")
+    bare_failed = "size(filter(_bare, s -> s.status <> 'completed'))"
+    eval_count, eval_status = eval_figures("_listed", "_recorded", "size(_bare)", bare_failed)
+    return named.selectExpr(
         "id",
         "name",
-        rolled_status(col("status"), col("_failed")).alias("status"),
+        f"{rolled_status('status', '_failed')} as status",
         "start_time",
         "end_time",
         "duration_ms",
-        *flatten_http(),
-        F.size("spans").cast("bigint").alias("total_spans"),
-        _total(col("_calls"), "total_tokens", "bigint").alias("total_tokens"),
-        F.size("_calls").cast("bigint").alias("llm_calls"),
-        _total(col("_calls"), "total_cost", COST).alias("estimated_cost"),
-        (col("_failed") | is_error(col("error"))).alias("has_error"),
-        default_environment(col("environment")).alias("environment"),
+        *HTTP_COLUMNS,
+        "cast(size(spans) as bigint) as total_spans",
+        f"{_total('_calls', 'total_tokens', 'bigint')} as total_tokens",
+        "cast(size(_calls) as bigint) as llm_calls",
+        f"{_total('_calls', 'total_cost', COST)} as estimated_cost",
+        f"(_failed or {is_error('error')}) as has_error",
+        f"{default_environment('environment')} as environment",
         "project",
-        _counts(col("_node_names"), F.array_distinct("_node_names")).alias("node_counts"),
-        eval_status,
-        eval_count,
-        F.exists("_tool_names", tool_loops).alias("has_tool_loop"),
-        _counts(col("_models"), F.array_distinct("_models")).alias("model_counts"),
-        F.transform("_nodes", lambda s: F.struct(s["name"], s["duration_ms"], s["status"])).alias("node_metrics"),
+        f"{_counts('_node_names')} as node_counts",
+        f"{eval_status} as eval_status",
+        f"{eval_count} as eval_count",
+        f"exists(_tool_names, tool -> {loops}) as has_tool_loop",
+        f"{_counts('_models')} as model_counts",
+        "transform(_nodes, s -> struct(s.name, s.duration_ms, s.status)) as node_metrics",
     )
 
 
-def default_environment(environment: Column) -> Column:
-    return F.coalesce(F.nullif(environment, F.lit("")), F.lit(DEFAULT_ENVIRONMENT))
+# Method, path and status code of the request, null where there was none.
+HTTP_COLUMNS = ["http.method as http_method", "http.path as http_path", "http.status_code as http_status_code"]
 
 
-def flatten_http() -> list[Column]:
-    """Method, path and status code of the request, null where there was none."""
-    names = {"method": "http_method", "path": "http_path", "status_code": "http_status_code"}
-    return [F.col(f"http.{field}").alias(name) for field, name in names.items()]
+def flatten_http(traces: DataFrame) -> DataFrame:
+    return traces.selectExpr("id", *HTTP_COLUMNS)

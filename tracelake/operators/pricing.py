@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.functions.models import BLANKS, normalize_model_name, resolve_span_model
+from tracelake.functions.models import normal_name, span_model
 from tracelake.functions.rates import CACHED_RATES, FAMILIES, MODEL_RATES
+from tracelake.functions.text import trimmed
 
 RATE = "decimal(12,6)"
 TOKENS = "decimal(12,0)"
@@ -99,69 +100,64 @@ def overlay_rate_card(defaults: DataFrame, custom: DataFrame) -> DataFrame:
     )
 
 
-def _longest_prefix(name: Column, keys: Iterable[str]) -> Column:
-    ordered = sorted(keys, key=len, reverse=True)
-    pattern = "^(" + "|".join(re.escape(key).replace(r"\-", "-") for key in ordered) + ")"
-    return F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
-
-
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _longest_prefix(name: str, keys: Iterable[str]) -> str:
+    ordered = sorted(keys, key=len, reverse=True)
+    pattern = "^(" + "|".join(re.escape(key).replace(r"\-", "-") for key in ordered) + ")"
+    return f"nullif(regexp_extract({name}, {_text(pattern)}, 1), '')"
+
+
 def _rate(value: object) -> str:
     return f"cast('{value}' as {RATE})"
 
 
-def _rate_map(rates: Mapping[str, tuple[object, object]]) -> Column:
+def _rate_map(rates: Mapping[str, tuple[object, object]]) -> str:
     pairs = [
         f"{_text(key)}, named_struct('prompt_rate', {_rate(p)}, 'completion_rate', {_rate(c)})"
         for key, (p, c) in rates.items()
     ]
-    return F.expr(f"map({', '.join(pairs)})")
+    return f"map({', '.join(pairs)})"
 
 
-def _money_map(rates: Mapping[str, object]) -> Column:
-    return F.expr("map(" + ", ".join(f"{_text(key)}, {_rate(rate)}" for key, rate in rates.items()) + ")")
+def _money_map(rates: Mapping[str, object]) -> str:
+    return "map(" + ", ".join(f"{_text(key)}, {_rate(rate)}" for key, rate in rates.items()) + ")"
 
 
-def _family(name: Column) -> Column:
+def _family(name: str) -> str:
     rows = [f"struct(array({', '.join(map(_text, words))}) as words, {_text(model)} as model)" for words, model in FAMILIES]
-    table = F.expr(f"array({', '.join(rows)})")
-    hits = F.filter(table, lambda row: F.forall(row["words"], lambda word: F.contains(name, word)))
-    return F.try_element_at(hits, F.lit(1))["model"]
+    hits = f"filter(array({', '.join(rows)}), fam -> forall(fam.words, word -> contains({name}, word)))"
+    return f"try_element_at({hits}, 1).model"
 
 
-def _own_prefix(name: Column, own: RateCard) -> Column:
-    keys = F.array(*[F.lit(key) for key in own.rates])
-    hits = F.filter(keys, lambda key: F.startswith(name, key) | F.startswith(key, name))
-    return F.try_element_at(hits, F.lit(1))
+def _own_prefix(name: str, own: RateCard) -> str:
+    keys = ", ".join(map(_text, own.rates))
+    return f"try_element_at(filter(array({keys}), own -> startswith({name}, own) or startswith(own, {name})), 1)"
 
 
-# A computation is a list of steps; each maps names to expressions over the names before it. Run as
-# columns of a frame or as fields of array items, every step is evaluated once and then only read.
-Step = Callable[[Callable[[str], Column]], dict[str, Column]]
+# A computation is a list of steps; each maps names to SQL over the names before it, which it gets
+# through ``get``. Run as columns of a frame or as fields of array items, every step is evaluated
+# once and then only read.
+Step = Callable[[Callable[[str], str]], dict[str, str]]
 
 
 def add_columns(df: DataFrame, steps: list[Step]) -> DataFrame:
     for step in steps:
-        df = df.withColumns(step(F.col))
+        df = df.withColumns({name: F.expr(sql) for name, sql in step(lambda n: n).items()})
     return df
 
 
-def add_fields(items: Column, fields: list[str], steps: list[Step]) -> Column:
-    """``add_columns`` for the structs of an array that have the given fields."""
+def add_fields(items: str, fields: list[str], steps: list[Step]) -> tuple[str, list[str]]:
+    """``add_columns`` for the structs of an array with the given fields: (SQL, fields it has then)."""
     for step in steps:
-
-        def widen(item: Column, step: Step = step, fields: list[str] = fields) -> Column:
-            new = step(lambda name: item[name])
-            kept = [item[f].alias(f) for f in fields if f not in new]
-            return F.struct(*kept, *[c.alias(n) for n, c in new.items()])
-
-        names = list(step(F.col))
-        items = F.transform(items, widen)
-        fields = [f for f in fields if f not in names] + names
-    return items
+        new = step(lambda n: f"item.{n}")
+        fields = [f for f in fields if f not in new]
+        members = [f"'{f}', item.{f}" for f in fields] + [f"'{n}', {sql}" for n, sql in new.items()]
+        items = f"transform({items}, item -> named_struct({', '.join(members)}))"
+        fields = [*fields, *new]
+    return items, fields
 
 
 def rate_steps(own: RateCard | None = None) -> list[Step]:
@@ -174,38 +170,32 @@ def rate_steps(own: RateCard | None = None) -> list[Step]:
     own = own or RateCard()
 
     def name(get):
-        return {"_name": F.trim(normalize_model_name(get("model")), F.lit(BLANKS))}
+        normal = trimmed(normal_name(get("model")))
+        return {"_name": f"nullif(nullif({normal}, 'unknown'), '')"}
 
     def keys(get):
-        known = F.when(get("_name").isin("unknown", ""), None).otherwise(get("_name"))
-        found = {"_prefix": _longest_prefix(known, MODEL_RATES), "_cached": _longest_prefix(known, CACHED_RATES)}
+        found = {"_prefix": _longest_prefix(get("_name"), MODEL_RATES), "_cached": _longest_prefix(get("_name"), CACHED_RATES)}
         if own.rates:
-            found["_similar"] = F.when(known.isNotNull(), _own_prefix(known, own))
+            found["_similar"] = _own_prefix(get("_name"), own)
         return found
 
     def listed(get):
-        unknown = get("_name").isin("unknown", "")
-        return {"_listed": F.when(get("_prefix").isNotNull(), get("_prefix")).when(~unknown, _family(get("_name")))}
+        return {"_listed": f"if({get('_prefix')} is null and {get('_name')} is not null, {_family(get('_name'))}, {get('_prefix')})"}
 
     def pair(get):
-        found = F.try_element_at(_rate_map(MODEL_RATES), get("_listed"))
+        found = f"try_element_at({_rate_map(MODEL_RATES)}, {get('_listed')})"
         if own.rates:
             mine = _rate_map(own.rates)
-            very_name = F.when(~get("_name").isin("unknown", ""), F.try_element_at(mine, get("_name")))
-            own_similar = F.when(
-                get("_prefix").isNull() | (get("_prefix") != get("_name")), F.try_element_at(mine, get("_similar"))
-            )
-            found = F.coalesce(very_name, own_similar, found)
-        cached_key = get("_cached")
-        if own.strict_cached:
-            cached_key = F.when(cached_key == get("_name"), cached_key)
-        cached = F.try_element_at(_money_map(CACHED_RATES), cached_key)
+            other = f"if({get('_prefix')} <=> {get('_name')}, null, try_element_at({mine}, {get('_similar')}))"
+            found = f"coalesce(try_element_at({mine}, {get('_name')}), {other}, {found})"
+        cached_key = f"if({get('_cached')} = {get('_name')}, {get('_cached')}, null)" if own.strict_cached else get("_cached")
+        cached = f"try_element_at({_money_map(CACHED_RATES)}, {cached_key})"
         if own.cached:
-            cached = F.coalesce(F.try_element_at(_money_map(own.cached), get("_name")), cached)
+            cached = f"coalesce(try_element_at({_money_map(own.cached)}, {get('_name')}), {cached})"
         return {"_pair": found, "cached_rate": cached}
 
     def rates(get):
-        return {n: get("_pair")[n] for n in ("prompt_rate", "completion_rate")}
+        return {n: f"{get('_pair')}.{n}" for n in ("prompt_rate", "completion_rate")}
 
     return [name, keys, listed, pair, rates]
 
@@ -215,33 +205,30 @@ RATE_FIELDS = ["prompt_rate", "completion_rate", "cached_rate"]
 
 def call_cost_steps() -> list[Step]:
     """Cost of a call from its rates and token counts; negative and missing counts are 0."""
-    per_token = F.lit(Decimal("0.000001"))
 
     def counts(get):
-        def tokens(name: str) -> Column:
-            return F.greatest(F.coalesce(get(name), F.lit(0)), F.lit(0)).cast(TOKENS)
-
-        return {"_asked": tokens("prompt_tokens"), "_answered": tokens("completion_tokens"), "_reused": tokens("cached_tokens")}
+        named = {"_asked": "prompt_tokens", "_answered": "completion_tokens", "_reused": "cached_tokens"}
+        return {n: f"cast(greatest(coalesce({get(count)}, 0), 0) as {TOKENS})" for n, count in named.items()}
 
     def raw(get):
-        fresh = F.greatest(get("_asked") - get("_reused"), F.lit(0)).cast(TOKENS)
-        full = get("_asked") * get("prompt_rate")
-        reduced = fresh * get("prompt_rate") + get("_reused") * get("cached_rate")
-        discounted = (get("_reused") > 0) & get("cached_rate").isNotNull()
+        fresh = f"cast(greatest({get('_asked')} - {get('_reused')}, 0) as {TOKENS})"
+        reduced = f"{fresh} * {get('prompt_rate')} + {get('_reused')} * {get('cached_rate')}"
+        discounted = f"{get('_reused')} > 0 and {get('cached_rate')} is not null"
+        full = f"{get('_asked')} * {get('prompt_rate')}"
         return {
-            "_in": F.when(discounted, reduced).otherwise(full) * per_token,
-            "_out": get("_answered") * get("completion_rate") * per_token,
+            "_in": f"(case when {discounted} then {reduced} else {full} end) * 0.000001",
+            "_out": f"{get('_answered')} * {get('completion_rate')} * 0.000001",
         }
 
     def money(get):
-        def amount(value: Column) -> Column:
-            return F.coalesce(F.round(value, 6).cast(COST), F.lit(0).cast(COST))
+        def amount(sql: str) -> str:
+            return f"coalesce(cast(round({sql}, 6) as {COST}), cast(0 as {COST}))"
 
         return {
             "prompt_cost": amount(get("_in")),
             "completion_cost": amount(get("_out")),
-            "total_cost": amount(get("_in") + get("_out")),
-            "is_estimated": get("prompt_rate").isNotNull(),
+            "total_cost": amount(f"{get('_in')} + {get('_out')}"),
+            "is_estimated": f"{get('prompt_rate')} is not null",
         }
 
     return [counts, raw, money]
@@ -265,47 +252,43 @@ def usage_steps(own: RateCard | None = None) -> list[Step]:
     Stored costs are trusted; otherwise the call is priced when it has tokens. The model is the
     normal name for calls priced here and the recorded one for the rest.
     """
-    zero = F.lit(0).cast("bigint")
 
     def recorded(get):
         usage = get("usage")
+        model = span_model(f"{usage}.model", get("model"), get("name"))
+        cached = f"coalesce(nullif({usage}.cached_tokens, 0L), {usage}.prompt_tokens_details.cached_tokens, 0L)"
         return {
-            "_usage_model": usage["model"],
-            "model": F.when(
-                get("span_type") == "llm", resolve_span_model(usage["model"], get("model"), get("name"))
-            ),
-            "prompt_tokens": F.coalesce(usage["prompt_tokens"], zero),
-            "completion_tokens": F.coalesce(usage["completion_tokens"], zero),
-            "_given": F.coalesce(usage["total_tokens"], zero),
-            "cached_tokens": F.coalesce(
-                F.nullif(usage["cached_tokens"], zero), usage["prompt_tokens_details"]["cached_tokens"], zero
-            ),
-            "_stored": usage["total_cost"].isNotNull(),
-            "_stored_prompt": usage["prompt_cost"],
-            "_stored_completion": usage["completion_cost"],
-            "_stored_total": usage["total_cost"],
+            "_usage_model": f"{usage}.model",
+            "model": f"if({get('span_type')} = 'llm', {model}, null)",
+            "prompt_tokens": f"coalesce({usage}.prompt_tokens, 0L)",
+            "completion_tokens": f"coalesce({usage}.completion_tokens, 0L)",
+            "_given": f"coalesce({usage}.total_tokens, 0L)",
+            "cached_tokens": cached,
+            "_stored": f"{usage}.total_cost is not null",
+            "_stored_prompt": f"{usage}.prompt_cost",
+            "_stored_completion": f"{usage}.completion_cost",
+            "_stored_total": f"{usage}.total_cost",
         }
 
     def totals(get):
-        parts = get("prompt_tokens") + get("completion_tokens")
-        derive = (get("_given") == 0) & ((get("prompt_tokens") > 0) | (get("completion_tokens") > 0))
-        return {"total_tokens": F.when(derive, parts).otherwise(get("_given"))}
+        prompt, completion = get("prompt_tokens"), get("completion_tokens")
+        derive = f"{get('_given')} = 0 and ({prompt} > 0 or {completion} > 0)"
+        return {"total_tokens": f"if({derive}, {prompt} + {completion}, {get('_given')})"}
 
     def outcome(get):
-        priced = ~get("_stored") & (get("total_tokens") > 0)
-        free = F.lit(0).cast(COST)
+        priced = f"(not {get('_stored')} and {get('total_tokens')} > 0)"
+        free = f"cast(0 as {COST})"
 
-        def money(stored: str, computed: str) -> Column:
-            return F.when(get("_stored"), F.coalesce(get(stored).cast(COST), free)).when(priced, get(computed)).otherwise(free)
+        def money(stored: str, computed: str) -> str:
+            kept = f"coalesce(cast({get(stored)} as {COST}), {free})"
+            return f"case when {get('_stored')} then {kept} when {priced} then {get(computed)} else {free} end"
 
         return {
             "prompt_cost": money("_stored_prompt", "prompt_cost"),
             "completion_cost": money("_stored_completion", "completion_cost"),
             "total_cost": money("_stored_total", "total_cost"),
-            "is_estimated": get("_stored") | (priced & get("is_estimated")),
-            "model": F.when(priced, normalize_model_name(get("model"))).otherwise(
-                F.coalesce(get("_usage_model"), get("model"))
-            ),
+            "is_estimated": f"{get('_stored')} or ({priced} and {get('is_estimated')})",
+            "model": f"if({priced}, {normal_name(get('model'))}, coalesce({get('_usage_model')}, {get('model')}))",
         }
 
     return [recorded, totals, *rate_steps(own), *call_cost_steps(), outcome]
@@ -314,9 +297,8 @@ def usage_steps(own: RateCard | None = None) -> list[Step]:
 def usage_of(spans: DataFrame, own: RateCard | None = None) -> DataFrame:
     """Spans with a ``call`` struct of model, tokens and costs; meaningful for model calls."""
     priced = add_columns(spans.withColumn("_model", F.col("model")), usage_steps(own))
-    call = F.struct(*CALL_FIELDS).alias("call")
-    kept = [F.col("_model").alias("model") if c == "model" else F.col(c) for c in spans.columns]
-    return priced.select(*kept, call)
+    kept = ["_model as model" if c == "model" else c for c in spans.columns]
+    return priced.selectExpr(*kept, f"struct({', '.join(CALL_FIELDS)}) as call")
 
 
 def price_spans(spans: DataFrame, own: RateCard | None = None) -> DataFrame:
@@ -334,47 +316,30 @@ def price_models(models: DataFrame, card: DataFrame | RateCard | None = None) ->
 
 def _price_by_joins(models: DataFrame, card: DataFrame) -> DataFrame:
     """``rate_steps`` for a price list of any length: every test is an equi-join on a string."""
-    named = models.withColumn("name", F.trim(normalize_model_name(F.col("model")), F.lit(BLANKS)))
-    names = named.select("name").distinct()
-    own = card.filter(F.col("source") == "custom").select(
-        F.col("model").alias("key"), "seq", "prompt_rate", "completion_rate", "cached_rate"
-    )
-    priced = own.filter(F.col("prompt_rate").isNotNull())
-
-    def prefixes(text: str, alias: str) -> Column:
-        lengths = F.sequence(F.lit(1), F.length(text))
-        return F.explode(F.transform(lengths, lambda n: F.substring(F.col(text), F.lit(1), n))).alias(alias)
-
-    pair = F.struct("seq", "prompt_rate", "completion_rate")
-    shorter = names.select("name", prefixes("name", "key")).join(priced, "key").select("name", pair.alias("hit"))
-    longer = priced.select("*", prefixes("key", "name")).join(names, "name").select("name", pair.alias("hit"))
-    similar = shorter.unionByName(longer).groupBy("name").agg(F.min("hit").alias("similar"))
-    exact = own.select(
-        F.col("key").alias("name"),
-        F.when(F.col("prompt_rate").isNotNull(), pair).alias("exact"),
-        F.col("cached_rate").alias("own_cached"),
+    named = add_columns(models, rate_steps())
+    names = named.select("_name").filter("_name is not null").distinct()
+    own = card.filter("source = 'custom'")
+    priced = own.filter("prompt_rate is not null").selectExpr("model as _key", "struct(seq, prompt_rate, completion_rate) as hit")
+
+    def prefixes(text: str, alias: str) -> str:
+        return f"explode(transform(sequence(1, length({text})), n -> left({text}, n))) as {alias}"
+
+    shorter = names.selectExpr("_name", prefixes("_name", "_key")).join(priced, "_key").select("_name", "hit")
+    longer = priced.selectExpr("hit", prefixes("_key", "_name")).join(names, "_name").select("_name", "hit")
+    similar = shorter.unionByName(longer).groupBy("_name").agg(F.min("hit").alias("similar"))
+    exact = own.selectExpr(
+        "model as _name",
+        "if(prompt_rate is null, null, struct(seq, prompt_rate, completion_rate)) as exact",
+        "cached_rate as own_cached",
     )
-    listed = add_columns(named, rate_steps())
-    joined = listed.join(exact, "name", "left").join(similar, "name", "left")
-
-    def choose(rate: str) -> Column:
-        standard = F.col(rate)
-        return F.when(F.col("name").isin("unknown", ""), None).otherwise(
-            F.coalesce(
-                F.when(F.col("exact").isNotNull(), F.col(f"exact.{rate}")).when(
-                    F.col("_prefix") == F.col("name"), standard
-                ),
-                F.col(f"similar.{rate}"),
-                standard,
-            )
-        )
+    joined = named.join(exact, "_name", "left").join(similar, "_name", "left")
 
-    return joined.select(
-        "model",
-        choose("prompt_rate").alias("prompt_rate"),
-        choose("completion_rate").alias("completion_rate"),
-        F.when(~F.col("name").isin("unknown", ""), F.coalesce("own_cached", "cached_rate")).alias("cached_rate"),
-    )
+    def choose(rate: str) -> str:
+        near = f"if(_prefix <=> _name, null, similar.{rate})"
+        return f"if(_name is null, null, coalesce(exact.{rate}, {near}, {rate})) as {rate}"
+
+    cached = "if(_name is null, null, coalesce(own_cached, cached_rate)) as cached_rate"
+    return joined.selectExpr("model", choose("prompt_rate"), choose("completion_rate"), cached)
 
 
 def attach_rates(calls: DataFrame, priced: DataFrame) -> DataFrame:

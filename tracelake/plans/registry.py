@@ -154,10 +154,10 @@ def _(spark, sf):
     return store.append_traces(*_versions(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("write_trace_rows", with_sql(ROWS, select=f"SELECT {SUMMARY}, CAST(start_time AS DATE)::VARCHAR AS start_date FROM r"))
+@query("write_trace_rows", with_sql(ROWS, select=f"SELECT {SUMMARY}, CAST(date_trunc('year', start_time) AS DATE)::VARCHAR AS start_date FROM r"))
 def _(spark, sf):
     path = scratch_path(spark, "rows")
-    store.write_trace_rows(rows_of(spark, sf), path)
+    store.write_trace_rows(rows_of(spark, sf), path, period="year")
     rows = store.read_trace_rows(spark, path)
     return listing.trace_summaries(rows).join(rows.select("id", "start_date"), "id")
 
@@ -168,11 +168,11 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "upserted")
     rows = rows_of(spark, sf)
-    store.upsert_into(path, rows)
+    store.upsert_into(path, rows, period="year")
     moved = rows.filter(F.col("id").cast("bigint") % 5 == 0).withColumns(
         {"name": F.lit("moved"), "start_time": F.expr("start_time + interval 400 days")}
     )
-    store.upsert_into(path, moved)
+    store.upsert_into(path, moved, period="year")
     return store.read_trace_rows(spark, path).select("id", "name", "start_time", "total_tokens")
 
 
@@ -297,7 +297,7 @@ def _(spark, sf):
 
 @query("flatten_http", with_sql(TRACES, select="SELECT id, 'POST' AS http_method, http_path, CAST(http_status_code AS BIGINT) AS http_status_code FROM t"))
 def _(spark, sf):
-    return src.traces(spark, sf).select("id", *metrics.flatten_http())
+    return metrics.flatten_http(src.traces(spark, sf))
 
 
 @query("scrub_headers", "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'X-Priority=' || o_orderpriority AS headers FROM orders")
@@ -727,22 +727,22 @@ def _(spark, sf):
 
 @query("strip_prefix", with_sql(SPANS, select="SELECT id, replace(replace(name, 'LLM: ', ''), 'Chat: ', '') AS model_name, trim(replace(name, 'Tool: ', '')) AS tool_name FROM s"))
 def _(spark, sf):
-    name = F.col("name")
-    return src.spans(spark, sf).select("id", text.strip_call_prefix(name).alias("model_name"), text.strip_tool_prefix(name).alias("tool_name"))
+    return src.spans(spark, sf).selectExpr(
+        "id", f"{text.strip_call_prefix('name')} as model_name", f"{text.strip_tool_prefix('name')} as tool_name"
+    )
 
 
 @query("resolve_span_model", with_sql(SPANS, select="""
     SELECT id, CASE WHEN pos % 3 = 0 THEN 'u' WHEN pos % 3 = 1 THEN 'm' ELSE raw_model END AS model FROM s WHERE span_type = 'llm'"""))
 def _(spark, sf):
     calls = src.spans(spark, sf).filter("span_type = 'llm'")
-    in_usage = F.when(F.col("pos") % 3 == 0, "u").when(F.col("pos") % 3 == 1, "")
-    in_metadata = F.when(F.col("pos") % 3 != 2, "m").otherwise("")
-    return calls.select("id", models.resolve_span_model(in_usage, in_metadata, F.col("name")).alias("model"))
+    calls = calls.selectExpr("id", "name", "case pos % 3 when 0 then 'u' when 1 then '' end as u", "if(pos % 3 <> 2, 'm', '') as m")
+    return calls.selectExpr("id", f"{models.span_model('u', 'm', 'name')} as model")
 
 
 @query("normalize_model_name", f"SELECT DISTINCT model, {oracle.normal('model')} AS normal FROM ({_PART_MODELS})")
 def _(spark, sf):
-    return _model_names(spark, sf).distinct().select("model", models.normalize_model_name(F.col("model")).alias("normal"))
+    return _model_names(spark, sf).distinct().selectExpr("model", f"{models.normal_name('model')} as normal")
 
 
 _CALL_COLUMNS = "is_estimated, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("prompt_cost", "completion_cost", "total_cost"))
@@ -751,7 +751,7 @@ _CALL_COLUMNS = "is_estimated, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c
 @query("call_cost", with_sql(CALLS, select=f"SELECT id, {_CALL_COLUMNS} FROM calls"))
 def _(spark, sf):
     calls = src.spans(spark, sf).filter("span_type = 'llm'").select(
-        "id", text.strip_call_prefix(F.col("name")).alias("model"), "usage.prompt_tokens", "usage.completion_tokens", "usage.cached_tokens"
+        "id", F.expr(text.strip_call_prefix("name")).alias("model"), "usage.prompt_tokens", "usage.completion_tokens", "usage.cached_tokens"
     )
     return pricing.call_cost(calls).select("id", "is_estimated", "prompt_cost", "completion_cost", "total_cost")
 
@@ -766,21 +766,21 @@ def _(spark, sf):
     FROM s WHERE span_type = 'llm' AND status = 'completed'"""))
 def _(spark, sf):
     ends = src.span_events(spark, sf).filter("phase = 'end' and kind in ('llm', 'chat')")
-    usage = capture.normalize_usage(F.col("llm_output"), F.col("outputs"))
-    return ends.select(F.col("run_id").alias("id"), usage.alias("u")).select("id", "u.*")
+    usage = capture.normalize_usage("llm_output", "outputs")
+    return ends.selectExpr("run_id as id", f"{usage} as u").select("id", "u.*")
 
 
 @query("resolve_model_name", with_sql(SPANS, select="""
     SELECT id, CASE pos % 5 WHEN 0 THEN 'out' WHEN 1 THEN 'par' WHEN 2 THEN 'met' WHEN 3 THEN 'ser' ELSE 'def' END AS model FROM s"""))
 def _(spark, sf):
-    def at(n: int, value: str) -> Column:
-        return F.when(F.col("pos") % 5 <= n, value)
+    def at(n: int, value: str) -> str:
+        return f"if(pos % 5 <= {n}, '{value}', null)"
 
     name = models.resolve_model_name(
         at(0, '{"model":"out"}'), at(1, '{"model_name":"","model":"par"}'), at(2, '{"ls_model_name":"met","model":"x"}'),
-        at(3, '{"name":"ser"}'), F.lit("def"),
+        at(3, '{"name":"ser"}'), "'def'",
     )
-    return src.spans(spark, sf).select("id", name.alias("model"))
+    return src.spans(spark, sf).selectExpr("id", f"{name} as model")
 
 
 @query("duration_ms", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(epoch_us(l_shipdate - o_orderdate) AS DOUBLE) / 1000 AS ms FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
@@ -897,10 +897,10 @@ def _(spark, sf):
     return diff.state_diff(src.spans(spark, sf), mask=True)
 
 
-@query("canonical_json", "SELECT event_id, '{\"a\":' || CAST(event_id AS VARCHAR) || ',\"b\":' || props || '}' AS doc FROM events")
+@query("canonical_json", "SELECT event_id, '{\"a\":' || CAST(event_id AS VARCHAR) || ',\"b\":' || replace(props, ' ', '') || '}' AS doc FROM events")
 def _(spark, sf):
     written = F.concat(F.lit('{ "b" : '), F.col("props"), F.lit(', "a": '), F.col("event_id").cast("string"), F.lit("}"))
-    return src.table(spark, sf, "events").select("event_id", docs.canonical_json(written).alias("doc"))
+    return src.table(spark, sf, "events").select("event_id", written.alias("w")).selectExpr("event_id", f"{docs.canonical_json('w')} as doc")
 
 
 @query("json_counts", "SELECT user_id, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events WHERE event_id % 10 <> 0 GROUP BY ALL")
@@ -1054,3 +1054,98 @@ def _(spark, sf):
         F.concat(F.lit('{"seen":true,"last":'), F.col("l_linenumber").cast("string"), F.lit("}")).alias("update"),
     )
     return capture.merge_metadata(src.traces(spark, sf), updates).select("id", "metadata")
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+def _event_files(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """One sample table as a stream of files."""
+    schema = src.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _run_into(stream: DataFrame, spark: SparkSession, label: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now and return what it wrote."""
+    path = scratch_path(spark, label)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{path}/out").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    writer.foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
+
+
+@query("stream_ingest", with_sql(ROWS, select=f"SELECT {SUMMARY} FROM r WHERE o_orderkey % 4 = 0"))
+def _(spark, sf):
+    inbox, table = scratch_path(spark, "inbox"), scratch_path(spark, "ingested")
+    some = src.documents(spark, sf).filter(F.col("id").cast("bigint") % 4 == 0)
+    lines = trace_source.export_documents(some)
+    # Every document is sent twice and broken lines are mixed in.
+    broken = some.select(F.lit('{"id": "x", "na').alias("value"))
+    lines.unionByName(lines).unionByName(broken).write.text(inbox)
+    stream = live.trace_stream(spark, inbox)
+    live.stream_ingest(stream, table, scratch_path(spark, "checkpoint"), period="year").awaitTermination()
+    return listing.trace_summaries(store.read_trace_rows(spark, table))
+
+
+@query("stream_spans", with_sql(SPANS, select="SELECT trace_id, id, status, CAST((2000 - 2 * pos) * 1000 AS DOUBLE) AS duration_ms FROM s"))
+def _(spark, sf):
+    path = scratch_path(spark, "span-events")
+    events = src.span_events(spark, sf)
+    events.write.parquet(path)
+    stream = spark.readStream.schema(events.schema).parquet(path)
+    return _run_into(live.stream_spans(stream), spark, "spans", "update").select("trace_id", "id", "status", "duration_ms")
+
+
+@query("live_timeseries", f"""
+    WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS b, CAST(value AS DECIMAL(18,2)) AS d, event_type = 'error' AS err FROM events),
+    g AS (SELECT b, count(*) AS n, count(*) FILTER (WHERE err) AS x, {half_up("sum(CAST(d * 100 AS BIGINT))", "count(*) * 100", 2)} AS avg_ms,
+                 CAST(quantile_disc(d, 0.95) AS DOUBLE) AS p95 FROM e GROUP BY b)
+    SELECT {time('b')} AS bucket_start, n AS trace_count, x AS error_count, {pct('x', 'n')} AS error_rate, avg_ms AS avg_duration_ms,
+           greatest(p95, avg_ms) AS p95_duration_ms FROM g""")
+def _(spark, sf):
+    path = scratch_path(spark, "live-counts")
+    stream = _event_files(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("duration_ms"), (F.col("event_type") == "error").alias("has_error")
+    )
+    live.live_timeseries(stream, path, scratch_path(spark, "checkpoint")).awaitTermination()
+    return live.live_figures(spark.read.parquet(path), "1 day")
+
+
+@query("rate_screen", """
+    WITH q AS (SELECT CAST(user_id AS VARCHAR) AS client, epoch_us(ts) // 500 AS us FROM events),
+    w AS (SELECT client, (us // 10000000 - k) * 10 AS start FROM q, range(6) t(k))
+    SELECT client, strftime(to_timestamp(start) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS minute_start, count(*) AS requests
+    FROM w GROUP BY ALL HAVING count(*) > 3""")
+def _(spark, sf):
+    stream = _event_files(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("client"),
+        F.timestamp_micros(F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(500))).alias("ts"),
+    )
+    return _run_into(live.rate_screen(stream, 3), spark, "screen", "update")
+
+
+@query("live_rate")
+def _(spark, sf):
+    path = scratch_path(spark, "live-rate")
+    stream = _event_files(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("request_id"),
+        F.col("user_id").cast("string").alias("client"),
+        F.timestamp_micros(F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(500))).alias("ts"),
+    )
+    live.live_rate(stream, 3, path, scratch_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(f"{path}/verdicts").select("request_id", "client", "ts", "rejected")
+
+
+@query("dedup_events", f"SELECT event_id, {time('ts')} AS ts, user_id FROM events")
+def _(spark, sf):
+    path = scratch_path(spark, "replayed")
+    once = src.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    once.unionByName(once).write.parquet(path)
+    stream = spark.readStream.schema(once.schema).parquet(path)
+    return _run_into(live.dedup_events(stream, ["event_id"]), spark, "deduplicated")

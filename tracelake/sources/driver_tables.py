@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.schema import USAGE
@@ -25,117 +25,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace per order, without spans."""
-    o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("timestamp").alias("day")
-    )
-    flow = F.expr("cast(o_custkey % 6 as string)")
-    running = F.col("o_orderstatus") == "O"
-    failed = F.col("o_orderstatus") == "F"
-    start = F.timestamp_micros(
-        F.unix_micros("day") + F.expr("(o_orderkey * 7919) % 86400") * F.lit(1_000_000)
-    )
-    return o.select(
-        F.col("o_orderkey").cast("string").alias("id"),
-        F.concat(F.lit("wf_"), flow).alias("name"),
-        F.when(running, "running").when(failed, "failed").otherwise("completed").alias("status"),
-        F.expr(
-            "case when o_orderkey % 50 = 0 then null when o_custkey % 3 = 0 then 'production' "
-            "when o_custkey % 3 = 1 then 'staging' else 'development' end"
-        ).alias("environment"),
-        F.expr(
-            "case when o_custkey % 7 = 0 then null else concat('proj_', cast(o_custkey % 5 as string)) end"
-        ).alias("project"),
-        start.alias("start_time"),
-        F.when(~running, start + F.expr("interval 1 second")).alias("end_time"),
-        F.when(~running, F.col("o_totalprice")).alias("duration_ms"),
-        F.struct(
-            F.lit("POST").alias("method"),
-            F.concat(F.lit("/api/wf_"), flow).alias("path"),
-            F.concat(F.lit("http://host/api/wf_"), flow).alias("url"),
-            F.when(failed, 500).when(~running, 200).alias("status_code"),
-            F.lit(None).cast("string").alias("client_ip"),
-            F.lit(None).cast("map<string,string>").alias("headers"),
-            F.lit(None).cast("map<string,string>").alias("query_params"),
-        ).alias("http"),
-        F.lit(None).cast("string").alias("input"),
-        F.lit(None).cast("string").alias("output"),
-        F.when(failed & F.expr("o_orderkey % 2 = 0"), '{"type":"E"}').alias("error"),
-        F.lit("{}").alias("metadata"),
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_custkey", "o_orderstatus as s", "o_totalprice", "cast(o_orderdate as timestamp) as day",
+        "concat('wf_', cast(o_custkey % 6 as string)) as flow",
+    )
+    return orders.selectExpr(
+        "cast(o_orderkey as string) as id",
+        "flow as name",
+        "case s when 'O' then 'running' when 'F' then 'failed' else 'completed' end as status",
+        "case when o_orderkey % 50 = 0 then null when o_custkey % 3 = 0 then 'production' "
+        "when o_custkey % 3 = 1 then 'staging' else 'development' end as environment",
+        "if(o_custkey % 7 = 0, null, concat('proj_', cast(o_custkey % 5 as string))) as project",
+        "timestamp_micros(unix_micros(day) + (o_orderkey * 7919) % 86400 * 1000000) as start_time",
+        "if(s = 'O', null, timestamp_micros(unix_micros(day) + ((o_orderkey * 7919) % 86400 + 1) * 1000000)) as end_time",
+        "if(s = 'O', null, o_totalprice) as duration_ms",
+        "named_struct('method', 'POST', 'path', concat('/api/', flow), 'url', concat('http://host/api/', flow), "
+        "'status_code', case s when 'F' then 500 when 'O' then null else 200 end, 'client_ip', cast(null as string), "
+        "'headers', cast(null as map<string,string>), 'query_params', cast(null as map<string,string>)) as http",
+        "cast(null as string) as input",
+        "cast(null as string) as output",
+        """if(s = 'F' and o_orderkey % 2 = 0, '{"type":"E"}', null) as error""",
+        "'{}' as metadata",
     )
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One span per line item, ordered inside its order."""
-    line = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("trace_id"), "l_returnflag", *SPAN_ORDER
-    )
-    order = Window.partitionBy("trace_id").orderBy(*SPAN_ORDER)
-    line = line.withColumn("seq", F.row_number().over(order))
-    kind = F.expr(
-        "case when seq = 1 then 'workflow' when l_partkey % 10 <= 3 then 'llm' "
-        "when l_partkey % 10 <= 6 then 'tool' when l_partkey % 10 <= 8 then 'node' else 'eval' end"
-    )
-    model = F.try_element_at(F.array(*[F.lit(m) for m in MODELS]), F.expr("cast(l_suppkey % 8 as int) + 1"))
-    line = line.withColumn("span_type", kind).withColumn("model_name", model)
-    is_type = F.col("span_type")
-    quantity = "cast(cast(l_quantity as int) as string)"
-    inputs = F.when(is_type == "tool", F.expr("concat('{\"q\":', cast(l_suppkey % 2 as string), '}')")).when(
-        is_type == "node", F.expr(f"concat('{{\"a\":', {quantity}, ',\"items\":[1]}}')")
-    )
-    outputs = F.when(
-        is_type == "node",
-        F.expr(
-            "case l_suppkey % 4 "
-            f"when 0 then concat('{{\"a\":', {quantity}, ',\"items\":[1]}}') "
-            "when 1 then concat('{\"a\":', cast(cast(l_quantity as int) + 1 as string), ',\"items\":[1]}') "
-            f"when 2 then concat('{{\"a\":', {quantity}, ',\"items\":[1,2]}}') "
-            f"else concat('{{\"a\":', {quantity}, ',\"b\":1}}') end"
-        ),
-    )
-    prompt = "cast(l_quantity * 100 as bigint)"
-    usage = F.when(
-        is_type == "llm",
-        F.expr(
-            "named_struct('model', cast(null as string), "
-            f"'prompt_tokens', {prompt}, 'completion_tokens', l_partkey % 500, "
-            f"'total_tokens', if(l_linenumber % 5 = 0, 0L, {prompt} + l_partkey % 500), "
-            f"'cached_tokens', if(l_discount >= 0.05, {prompt} div 2, 0L), "
-            "'prompt_tokens_details', cast(null as struct<cached_tokens:bigint>), "
-            "'prompt_cost', cast(null as decimal(18,6)), 'completion_cost', cast(null as decimal(18,6)), "
-            "'total_cost', cast(null as decimal(18,6)))"
-        ).cast(USAGE),
-    )
-    return line.select(
+    line = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as string) as trace_id", "l_returnflag", *SPAN_ORDER)
+    models = ", ".join(f"'{m}'" for m in MODELS)
+    typed = line.selectExpr(
+        "*", f"row_number() over (partition by trace_id order by {', '.join(SPAN_ORDER)}) as seq",
+        "cast(l_quantity * 100 as bigint) as prompt", "l_partkey % 500 as completion",
+        "cast(cast(l_quantity as int) as string) as q",
+    ).selectExpr(
+        "*", f"element_at(array({models}), cast(l_suppkey % 8 as int) + 1) as called",
+        "case when seq = 1 then 'workflow' when l_partkey % 10 <= 3 then 'llm' when l_partkey % 10 <= 6 then 'tool' "
+        "when l_partkey % 10 <= 8 then 'node' else 'eval' end as span_type",
+    )
+    same = """concat('{"a":', q, ',"items":[1]}')"""
+    return typed.selectExpr(
         "trace_id",
-        F.expr("concat(trace_id, '-', cast(seq as string))").alias("id"),
-        F.expr("case when seq > 1 then concat(trace_id, '-', cast(seq div 2 as string)) end").alias("parent_id"),
-        (F.col("seq") - 1).alias("pos"),
-        F.when(is_type == "workflow", "workflow")
-        .when(is_type == "llm", F.concat(F.when(F.expr("l_suppkey % 2 = 1"), "Chat: ").otherwise("LLM: "), "model_name"))
-        .when(is_type == "tool", F.expr("concat('Tool: tool_', cast(l_partkey % 2 as string))"))
-        .when(is_type == "node", F.expr("concat('node_', cast(l_suppkey % 8 as string))"))
-        .otherwise(F.expr("concat('Eval: eval_', cast(l_suppkey % 3 as string))"))
-        .alias("name"),
+        "concat(trace_id, '-', cast(seq as string)) as id",
+        "if(seq > 1, concat(trace_id, '-', cast(seq div 2 as string)), null) as parent_id",
+        "seq - 1 as pos",
+        """case span_type when 'workflow' then 'workflow'
+           when 'llm' then concat(if(l_suppkey % 2 = 1, 'Chat: ', 'LLM: '), called)
+           when 'tool' then concat('Tool: tool_', cast(l_partkey % 2 as string))
+           when 'node' then concat('node_', cast(l_suppkey % 8 as string))
+           else concat('Eval: eval_', cast(l_suppkey % 3 as string)) end as name""",
         "span_type",
-        F.expr(
-            "case when l_returnflag = 'R' and (l_partkey % 4 = 0 or l_partkey % 10 = 9) then 'failed' "
-            "else 'completed' end"
-        ).alias("status"),
-        F.col("l_extendedprice").alias("duration_ms"),
-        inputs.alias("inputs"),
-        outputs.alias("outputs"),
-        F.lit("{}").alias("metadata"),
-        usage.alias("usage"),
-        F.lit(None).cast("string").alias("model"),
-        F.lit(None).cast("string").alias("eval"),
+        "if(l_returnflag = 'R' and (l_partkey % 4 = 0 or l_partkey % 10 = 9), 'failed', 'completed') as status",
+        "l_extendedprice as duration_ms",
+        f"""case span_type when 'tool' then concat('{{"q":', cast(l_suppkey % 2 as string), '}}') when 'node' then {same} end as inputs""",
+        f"""if(span_type = 'node', case l_suppkey % 4 when 0 then {same}
+            when 1 then concat('{{"a":', cast(cast(q as int) + 1 as string), ',"items":[1]}}')
+            when 2 then concat('{{"a":', q, ',"items":[1,2]}}') else concat('{{"a":', q, ',"b":1}}') end, null) as outputs""",
+        "'{}' as metadata",
+        f"""if(span_type = 'llm', cast(named_struct('model', null, 'prompt_tokens', prompt, 'completion_tokens', completion,
+            'total_tokens', if(l_linenumber % 5 = 0, 0L, prompt + completion), 'cached_tokens', if(l_discount >= 0.05, prompt div 2, 0L),
+            'prompt_tokens_details', null, 'prompt_cost', null, 'completion_cost', null, 'total_cost', null) as {USAGE}), null) as usage""",
+        "cast(null as string) as model",
+        "cast(null as string) as eval",
     )
 
 
 def timed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans with their start, one second apart inside a trace."""
-    begun = traces(spark, sf_dir).select(F.col("id").alias("trace_id"), F.col("start_time").alias("_begun"))
-    start = F.timestamp_micros(F.unix_micros("_begun") + F.col("pos") * F.lit(1_000_000))
-    return spans(spark, sf_dir).join(begun, "trace_id").withColumn("start_time", start).drop("_begun")
+    begun = traces(spark, sf_dir).selectExpr("id as trace_id", "start_time as _begun")
+    start = "timestamp_micros(unix_micros(_begun) + pos * 1000000) as start_time"
+    return spans(spark, sf_dir).join(begun, "trace_id").selectExpr("*", start).drop("_begun")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,102 +107,71 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed trace documents: traces with their spans nested and usage inside span metadata."""
-    end = F.expr("start_time + interval 1 second")
-    usage = F.to_json(F.struct(F.struct(*[F.col(f"usage.{n}").alias(n) for n in
-                      ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens")]).alias("usage")))
-    nothing = F.lit(None).cast("string")
-    whole = timed_spans(spark, sf_dir).select(
-        "trace_id", "pos",
-        F.struct(
-            "id", "trace_id", "parent_id", "name", "span_type", "status", "start_time", end.alias("end_time"), "duration_ms",
-            "inputs", "outputs", nothing.alias("state_diff"), nothing.alias("error"),
-            F.when(F.col("span_type") == "llm", usage).otherwise("{}").alias("metadata"),
-        ).alias("span"),
+    tokens = ", ".join(f"'{n}', usage.{n}" for n in ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens"))
+    usage = f"to_json(named_struct('usage', named_struct({tokens})))"
+    packed = timed_spans(spark, sf_dir).filter("pos < 1000").selectExpr(
+        "trace_id as id", "pos",
+        f"""named_struct('id', id, 'trace_id', trace_id, 'parent_id', parent_id, 'name', name, 'span_type', span_type, 'status', status,
+            'start_time', start_time, 'end_time', start_time + interval 1 second, 'duration_ms', duration_ms, 'inputs', inputs,
+            'outputs', outputs, 'state_diff', cast(null as string), 'error', cast(null as string),
+            'metadata', if(span_type = 'llm', {usage}, '{{}}')) as span""",
     )
-    nested = whole.filter(F.col("pos") < 1000).groupBy(F.col("trace_id").alias("id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "span"))), lambda x: x["span"]).alias("spans")
-    )
+    nested = packed.groupBy("id").agg(F.expr("transform(array_sort(collect_list(struct(pos, span))), x -> x.span) as spans"))
     return traces(spark, sf_dir).join(nested, "id", "left").withColumn("graph_topology", topology())
 
 
 def topology():
     """A graph per trace: a chain of one to four nodes, the last edge conditional."""
-    last = F.expr("cast(right(name, 1) as int) % 4")
-    nodes = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(F.lit("node_"), i.cast("string")))
-    edges = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            F.concat(F.lit("node_"), i.cast("string")).alias("source"),
-            F.when(i == last, "__end__").otherwise(F.concat(F.lit("node_"), (i + 1).cast("string"))).alias("target"),
-            (i == last).alias("conditional"),
-            F.when(i == last, "done").alias("data"),
-        ),
-    )
-    return F.struct(
-        F.transform(nodes, lambda n: F.struct(n.alias("id"), n.alias("name"))).alias("nodes"), edges.alias("edges")
+    last = "cast(right(name, 1) as int) % 4"
+    return F.expr(
+        f"""named_struct(
+          'nodes', transform(sequence(0, {last}), i -> named_struct('id', concat('node_', i), 'name', concat('node_', i))),
+          'edges', transform(sequence(0, {last}), i -> named_struct('source', concat('node_', i),
+             'target', if(i = {last}, '__end__', concat('node_', i + 1)), 'conditional', i = {last}, 'data', if(i = {last}, 'done', null))))"""
     )
 
 
 def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start and end (or error) events of every span; spans close in reverse order."""
-    spans_ = timed_spans(spark, sf_dir)
-    kind = F.col("span_type")
-    model = F.regexp_replace("name", "^(LLM|Chat): ", "")
-    none = F.lit(None).cast("string")
-    name = F.col("name")
-    tokens = "cast(usage.{} as string)"
-    counts = [F.expr(tokens.format(n)) for n in ("prompt_tokens", "completion_tokens")]
-    chat = F.startswith(name, F.lit("Chat"))
-    started = spans_.select(
-        F.col("pos").cast("bigint").alias("seq"), F.col("start_time").alias("ts"), "trace_id", F.col("id").alias("run_id"),
-        F.col("parent_id").alias("parent_run_id"), _event_kind().alias("kind"), F.lit("start").alias("phase"),
-        F.when(kind == "eval", name).alias("name"),
-        F.when(kind == "workflow", '{"name":"workflow"}')
-        .when(kind == "tool", F.concat(F.lit('{"name":"'), F.replace(name, F.lit("Tool: "), F.lit("")), F.lit('"}'))).alias("serialized"),
-        F.lit(None).cast("array<string>").alias("tags"),
-        F.when(kind == "node", F.concat(F.lit('{"langgraph_node":"'), name, F.lit('"}'))).otherwise("{}").alias("metadata"),
-        F.when(kind == "llm", F.concat(F.lit('{"model":"'), model, F.lit('"}'))).alias("invocation_params"),
-        F.coalesce("inputs", F.lit("{}")).alias("inputs"), none.alias("outputs"), none.alias("llm_output"),
-        none.alias("error_type"), none.alias("error_message"), none.alias("traceback"),
-    )
-    failed = F.col("status") == "failed"
-    ended = spans_.select(
-        (F.lit(1_000_000) - F.col("pos")).cast("bigint").alias("seq"),
-        F.timestamp_micros(F.unix_micros("start_time") + (F.lit(2000) - F.col("pos") * 2) * F.lit(1_000_000)).alias("ts"),
-        "trace_id", F.col("id").alias("run_id"), none.alias("parent_run_id"), _event_kind().alias("kind"),
-        F.when(failed, "error").otherwise("end").alias("phase"), none.alias("name"), none.alias("serialized"),
-        F.lit(None).cast("array<string>").alias("tags"), none.alias("metadata"), none.alias("invocation_params"),
-        none.alias("inputs"),
-        F.when((kind == "llm") & chat, F.concat(
-            F.lit('{"generations":[{"text":"t","message":{"usage_metadata":{"input_tokens":'), counts[0],
-            F.lit(',"output_tokens":'), counts[1], F.lit("}}}]}"))).otherwise(F.coalesce("outputs", F.lit("{}"))).alias("outputs"),
-        F.when((kind == "llm") & ~chat, F.concat(
-            F.lit('{"token_usage":{"prompt_tokens":'), counts[0], F.lit(',"completion_tokens":'), counts[1], F.lit("}}"))
-        ).alias("llm_output"),
-        F.when(failed, "ValueError").alias("error_type"), F.when(failed, "bad value").alias("error_message"),
-        F.when(failed, "line 1").alias("traceback"),
-    )
-    return started.unionByName(ended)
-
-
-def _event_kind():
-    return F.expr(
+    kind = (
         "case when span_type in ('workflow', 'node') then 'chain' when span_type = 'tool' then 'tool' "
         "when span_type = 'eval' then 'custom' when name like 'Chat: %' then 'chat' else 'llm' end"
     )
+    begun = timed_spans(spark, sf_dir).selectExpr("*", f"{kind} as kind", "cast(null as string) as none")
+    started = begun.selectExpr(
+        "cast(pos as bigint) as seq", "start_time as ts", "trace_id", "id as run_id", "parent_id as parent_run_id", "kind",
+        "'start' as phase", "if(kind = 'custom', name, null) as name",
+        """case when span_type = 'workflow' then '{"name":"workflow"}'
+           when kind = 'tool' then concat('{"name":"', replace(name, 'Tool: ', ''), '"}') end as serialized""",
+        "cast(null as array<string>) as tags",
+        """if(span_type = 'node', concat('{"langgraph_node":"', name, '"}'), '{}') as metadata""",
+        """if(span_type = 'llm', concat('{"model":"', regexp_replace(name, '^(LLM|Chat): ', ''), '"}'), null) as invocation_params""",
+        "coalesce(inputs, '{}') as inputs", "none as outputs", "none as llm_output", "none as error_type", "none as error_message",
+        "none as traceback",
+    )
+    ended = begun.selectExpr(
+        "cast(1000000 - pos as bigint) as seq", "timestamp_micros(unix_micros(start_time) + (2000 - pos * 2) * 1000000L) as ts",
+        "trace_id", "id as run_id", "none as parent_run_id", "kind", "if(status = 'failed', 'error', 'end') as phase",
+        "none as name", "none as serialized", "cast(null as array<string>) as tags", "none as metadata",
+        "none as invocation_params", "none as inputs",
+        """if(kind = 'chat', concat('{"generations":[{"text":"t","message":{"usage_metadata":{"input_tokens":', usage.prompt_tokens,
+           ',"output_tokens":', usage.completion_tokens, '}}}]}'), coalesce(outputs, '{}')) as outputs""",
+        """if(kind = 'llm', concat('{"token_usage":{"prompt_tokens":', usage.prompt_tokens, ',"completion_tokens":',
+           usage.completion_tokens, '}}'), null) as llm_output""",
+        "if(status = 'failed', 'ValueError', null) as error_type", "if(status = 'failed', 'bad value', null) as error_message",
+        "if(status = 'failed', 'line 1', null) as traceback",
+    )
+    return started.unionByName(ended)
 
 
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Life of each trace: start, a finish unless still running, and for some a second finish."""
-    t = traces(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    done = t.filter(F.col("status") != "running")
-    start = t.select(F.col("id").alias("trace_id"), F.lit(0).cast("bigint").alias("seq"), F.col("start_time").alias("ts"),
-                     F.lit("start").alias("phase"), "name", none.alias("status"), none.alias("output"), none.alias("error"))
-    finish = done.select(F.col("id").alias("trace_id"), F.lit(1).cast("bigint"), "end_time", F.lit("finish"), none, "status",
-                         F.lit('{"n":1}'), "error")
-    again = done.filter(F.col("id").cast("bigint") % 5 == 0).select(
-        F.col("id"), F.lit(2).cast("bigint"), F.expr("end_time + interval 1 hour"), F.lit("finish"), none,
-        F.expr("if(cast(id as bigint) % 10 = 0, 'failed', 'running')"), F.lit('{"n":2}'), none,
+    t = traces(spark, sf_dir).selectExpr("*", "cast(null as string) as none")
+    done = t.filter("status <> 'running'")
+    start = t.selectExpr("id as trace_id", "0L as seq", "start_time as ts", "'start' as phase", "name", "none as status", "none as output", "none as error")
+    finish = done.selectExpr("id", "1L", "end_time", "'finish'", "none", "status", """'{"n":1}'""", "error")
+    again = done.filter("cast(id as bigint) % 5 = 0").selectExpr(
+        "id", "2L", "end_time + interval 1 hour", "'finish'", "none", "if(cast(id as bigint) % 10 = 0, 'failed', 'running')",
+        """'{"n":2}'""", "none",
     )
     return start.union(finish).union(again)

@@ -30,17 +30,18 @@ def upsert_traces(existing: DataFrame, incoming: DataFrame, order: str = "ingest
     return latest_by_id(append_traces(existing, incoming), order)
 
 
-def dated(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("start_date", F.to_date("start_time"))
+def dated(rows: DataFrame, period: str = "day") -> DataFrame:
+    """Adds the first day of the day, month or year a trace started in."""
+    return rows.withColumn("start_date", F.to_date(F.date_trunc(period, "start_time")))
 
 
-def write_trace_rows(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_trace_rows(rows: DataFrame, path: str, mode: str = "overwrite", period: str = "day") -> None:
     """Rows by date and environment, in time order inside files so that row groups can be skipped.
 
     Only the partitions present in ``rows`` are replaced. A day of one environment may be written by
     several tasks, so a busy day is not one task's work.
     """
-    table = dated(rows)
+    table = dated(rows, period)
     table = table.repartitionByRange(*PARTITIONS, "start_time", "id").sortWithinPartitions(*PARTITIONS, "start_time")
     writer = table.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*PARTITIONS).parquet(path)
@@ -86,18 +87,18 @@ def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, extra: Data
     _drop_partitions(spark, path, [row for row in touched if tuple(row) not in filled])
 
 
-def upsert_into(path: str, incoming: DataFrame) -> None:
+def upsert_into(path: str, incoming: DataFrame, period: str = "day") -> None:
     """Put trace rows into the stored table by id, rewriting only the partitions they touch.
 
     A trace whose start moved to another day leaves its old partition.
     """
     spark = incoming.sparkSession
     if not _exists(spark, path):
-        write_trace_rows(incoming, path)
+        write_trace_rows(incoming, path, period=period)
         return
     # Incoming rows are looked at several times; compute them once.
     arrived = scratch_path(spark, "arrived-rows")
-    dated(incoming).write.parquet(arrived)
+    dated(incoming, period).write.parquet(arrived)
     fresh = spark.read.parquet(arrived)
     _rewrite_without(spark, path, fresh.select("id").distinct(), fresh)
 

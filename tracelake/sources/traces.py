@@ -95,7 +95,7 @@ def apply_defaults(df: DataFrame, now: datetime | None = None) -> DataFrame:
     return df.select(
         "id", "name",
         _default(F.col("status"), "running").alias("status"),
-        default_environment(F.col("environment")).alias("environment"),
+        F.expr(default_environment("environment")).alias("environment"),
         "project",
         F.coalesce(parse_iso(F.col("start_time")), moment).alias("start_time"),
         parse_iso(F.col("end_time")).alias("end_time"),

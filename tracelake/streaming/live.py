@@ -34,7 +34,14 @@ def rows_of_documents(raw: DataFrame, own: RateCard | None = None, now: datetime
     return trace_rows(apply_defaults(valid, now), own=own)
 
 
-def stream_ingest(source: DataFrame, table: str, checkpoint: str, own: RateCard | None = None, trigger: dict | None = None) -> StreamingQuery:
+def stream_ingest(
+    source: DataFrame,
+    table: str,
+    checkpoint: str,
+    own: RateCard | None = None,
+    period: str = "day",
+    trigger: dict | None = None,
+) -> StreamingQuery:
     """Keep the stored table up to date with a stream of documents.
 
     A document sent again replaces its row, however late it comes; replaying a batch changes nothing.
@@ -43,7 +50,7 @@ def stream_ingest(source: DataFrame, table: str, checkpoint: str, own: RateCard
     def put(batch: DataFrame, _: int) -> None:
         numbered = batch.withColumn("ingest_seq", F.monotonically_increasing_id())
         rows = latest_by_id(numbered).drop("ingest_seq")
-        upsert_into(table, rows_of_documents(rows, own))
+        upsert_into(table, rows_of_documents(rows, own), period)
 
     writer = source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
