@@ -145,7 +145,8 @@ def exclude_paths(traces: DataFrame, prefixes: Sequence[str] = UNTRACED_PATHS) -
 def sample_traces(traces: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     """Keep a share of whole traces, chosen by a hash of the id so that reruns agree."""
     share = round(rate * 1_000_000)
-    return traces.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_000)) < share)
+    draw = f"cast(conv(left(md5(concat('{int(seed)}:', id)), 12), 16, 10) as bigint) % 1000000"
+    return traces.filter(f"{draw} < {share}")
 
 
 def scrub_headers(traces: DataFrame) -> DataFrame:

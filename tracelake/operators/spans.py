@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.ranking import HOT_ROWS, hot_keys, row_numbers
 from tracelake.schema import USAGE
 from tracelake.session import cut_lineage
 
@@ -42,10 +43,11 @@ def spans_of_type(spans: DataFrame, span_type: str) -> DataFrame:
     return spans.filter(F.col("span_type") == span_type)
 
 
-def span_order(spans: DataFrame) -> DataFrame:
+def span_order(spans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ordinal of each span in its trace by start, then id."""
-    order = Window.partitionBy("trace_id").orderBy("start_time", "id")
-    return spans.withColumn("pos", F.row_number().over(order) - 1)
+    hot = hot_keys(spans, "trace_id", hot_rows)
+    numbered = row_numbers(spans, "trace_id", ["start_time", "id"], ["date_trunc('second', start_time)"], "_n", hot)
+    return numbered.withColumn("pos", F.col("_n") - 1).drop("_n")
 
 
 def cap_spans(spans: DataFrame, max_spans: int = MAX_SPANS) -> tuple[DataFrame, DataFrame]:

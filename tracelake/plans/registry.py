@@ -334,7 +334,7 @@ def _(spark, sf):
     return listing.exclude_paths(src.traces(spark, sf), ["/api/wf_1", "/api/wf_4"]).select("id", F.col("http.path").alias("http_path"))
 
 
-@query("sample_traces")
+@query("sample_traces", with_sql(TRACES, select="SELECT id, name FROM t WHERE CAST('0x' || left(md5('7:' || id), 12) AS BIGINT) % 1000000 < 250000"))
 def _(spark, sf):
     return listing.sample_traces(src.traces(spark, sf), 0.25, seed=7).select("id", "name")
 
@@ -703,7 +703,17 @@ def _(spark, sf):
     return spans.span_order(src.timed_spans(spark, sf).drop("pos")).select("trace_id", "id", "pos")
 
 
-@query("rate_violations")
+_VERDICTS = """
+    WITH RECURSIVE q AS (SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(user_id AS VARCHAR) AS client, epoch_us(ts) // 500 AS us,
+      row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 500, CAST(event_id AS VARCHAR)) AS k FROM events),
+    w AS (SELECT request_id, client, us, k, [us] AS accepted, FALSE AS rejected FROM q WHERE k = 1
+      UNION ALL
+      SELECT request_id, client, us, k, CASE WHEN len(f) < 3 THEN list_append(f, us) ELSE f END, len(f) >= 3
+      FROM (SELECT q.*, list_filter(w.accepted, x -> x > q.us - 60000000) AS f FROM w JOIN q ON q.client = w.client AND q.k = w.k + 1))
+    SELECT request_id, client, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S') AS ts, rejected FROM w"""
+
+
+@query("rate_violations", _VERDICTS)
 def _(spark, sf):
     return rate.rate_violations(_dense_requests(spark, sf), 3)
 
@@ -833,12 +843,10 @@ def _(spark, sf):
     )
 
 
-@query("mask_document", """SELECT doc_id, '{"n":{"api_key":"[REDACTED]","t":' || CAST(to_json(""" + oracle.masked("text") + """) AS VARCHAR) || '}}' AS doc FROM documents
-    WHERE regexp_full_match(text, '[ -~]*')""")
+@query("mask_document", """SELECT doc_id, '{"n":{"api_key":"[REDACTED]","t":' || CAST(to_json(""" + oracle.masked("text") + """) AS VARCHAR) || '}}' AS doc FROM documents""")
 def _(spark, sf):
-    plain = src.table(spark, sf, "documents").filter(F.rlike("text", F.lit(r"\A[ -~]*\z")))
     doc = F.to_json(F.struct(F.struct(F.col("lang").alias("api_key"), F.col("text").alias("t")).alias("n")))
-    return plain.select("doc_id", docs.mask_document(doc).alias("doc"))
+    return src.table(spark, sf, "documents").select("doc_id", docs.mask_document(doc).alias("doc"))
 
 
 @query("truncate_text", "SELECT doc_id, CASE WHEN length(text) > 10000 THEN left(text, 10000) || '... <Truncated: ' || CAST(length(text) - 10000 AS VARCHAR) || ' chars omitted>' ELSE text END AS text FROM documents")
@@ -855,7 +863,13 @@ def _(spark, sf):
     return src.table(spark, sf, "documents").select("doc_id", F.size(words).alias("words"), kept.alias("kept"))
 
 
-@query("truncate_document")
+_SHORT = "CASE WHEN length({0}) > 10000 THEN left({0}, 10000) || '... <Truncated: ' || CAST(length({0}) - 10000 AS VARCHAR) || ' chars omitted>' ELSE {0} END"
+_WORDS = "list_transform(string_split(text, ' ')[1:100], w -> " + _SHORT.format("w") + ")"
+
+
+@query("truncate_document", f"""SELECT doc_id, '{{"text":' || CAST(to_json({_SHORT.format('text')}) AS VARCHAR) || ',"words":' || CAST(to_json(
+    CASE WHEN len(string_split(text, ' ')) > 100 THEN list_append({_WORDS}, '<Truncated: ' || CAST(len(string_split(text, ' ')) - 100 AS VARCHAR)
+    || ' items omitted for trace efficiency>') ELSE {_WORDS} END) AS VARCHAR) || '}}' AS doc FROM documents""")
 def _(spark, sf):
     doc = F.to_json(F.struct(F.split("text", " ", -1).alias("words"), F.col("text").alias("text")))
     return src.table(spark, sf, "documents").select("doc_id", docs.truncate_document(doc).alias("doc"))
@@ -1080,13 +1094,12 @@ def _run_into(stream: DataFrame, spark: SparkSession, label: str, mode: str = "a
     return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
 
 
-@query("stream_ingest", with_sql(ROWS, select=f"SELECT {SUMMARY} FROM r WHERE o_orderkey % 4 = 0"))
+@query("stream_ingest", with_sql(ROWS, select=f"SELECT {SUMMARY} FROM r"))
 def _(spark, sf):
     inbox, table = scratch_path(spark, "inbox"), scratch_path(spark, "ingested")
-    some = src.documents(spark, sf).filter(F.col("id").cast("bigint") % 4 == 0)
-    lines = trace_source.export_documents(some)
+    lines = trace_source.export_documents(src.documents(spark, sf))
     # Every document is sent twice and broken lines are mixed in.
-    broken = some.select(F.lit('{"id": "x", "na').alias("value"))
+    broken = src.table(spark, sf, "orders").select(F.lit('{"id": "x", "na').alias("value"))
     lines.unionByName(lines).unionByName(broken).write.text(inbox)
     stream = live.trace_stream(spark, inbox)
     live.stream_ingest(stream, table, scratch_path(spark, "checkpoint"), period="year").awaitTermination()
@@ -1130,7 +1143,7 @@ def _(spark, sf):
     return _run_into(live.rate_screen(stream, 3), spark, "screen", "update")
 
 
-@query("live_rate")
+@query("live_rate", _VERDICTS)
 def _(spark, sf):
     path = scratch_path(spark, "live-rate")
     stream = _event_files(spark, sf, "events").select(

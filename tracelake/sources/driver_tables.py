@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.operators.ranking import hot_keys, row_numbers
 from tracelake.schema import USAGE
 
 AS_OF = datetime(2001, 8, 2)
@@ -49,13 +50,24 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_HOT: dict[str, list] = {}
+
+
+def _hot_orders(spark: SparkSession, sf_dir: str) -> list:
+    """Orders with very many line items, looked up once per table."""
+    if sf_dir not in _HOT:
+        keys = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as string) as trace_id")
+        _HOT[sf_dir] = hot_keys(keys, "trace_id")
+    return _HOT[sf_dir]
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One span per line item, ordered inside its order."""
     line = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as string) as trace_id", "l_returnflag", *SPAN_ORDER)
     models = ", ".join(f"'{m}'" for m in MODELS)
-    typed = line.selectExpr(
-        "*", f"row_number() over (partition by trace_id order by {', '.join(SPAN_ORDER)}) as seq",
-        "cast(l_quantity * 100 as bigint) as prompt", "l_partkey % 500 as completion",
+    slices = ["l_linenumber", "l_partkey div 10000"]
+    typed = row_numbers(line, "trace_id", SPAN_ORDER, slices, "seq", _hot_orders(spark, sf_dir)).selectExpr(
+        "*", "cast(l_quantity * 100 as bigint) as prompt", "l_partkey % 500 as completion",
         "cast(cast(l_quantity as int) as string) as q",
     ).selectExpr(
         "*", f"element_at(array({models}), cast(l_suppkey % 8 as int) + 1) as called",
