@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Redaction rules, applied in this order.
@@ -52,14 +52,41 @@ def mask_text(col: Column, rules: list[tuple[str, str]] | None = None) -> Column
     return col
 
 
-def pii_counts(col: Column, rules: list[tuple[str, str]] | None = None) -> list[Column]:
-    """One count column per rule of what ``mask_text`` would redact, rule after rule."""
-    counts = []
-    for pattern, placeholder in MASK_RULES if rules is None else rules:
-        tag = placeholder.strip("[]").lower().removesuffix("_redacted")
-        counts.append(F.regexp_count(col, F.lit(_unicode(pattern))).cast("bigint").alias(f"n_{tag}"))
-        col = F.regexp_replace(col, _unicode(pattern), placeholder)
-    return counts
+# What a text must contain for a standard rule to match at all; spares most texts the costly search.
+_NEEDS: dict[str, str] = {
+    "[EMAIL_REDACTED]": "contains({0}, '@')",
+    "[CARD_REDACTED]": "rlike({0}, r'(?U)\\d{{4}}')",
+    "[SSN_REDACTED]": "rlike({0}, r'(?U)\\d{{3}}-\\d{{2}}-')",
+    "[KEY_REDACTED]": "rlike({0}, '(?i)sk-|bearer')",
+    "[PHONE_REDACTED]": "rlike({0}, r'(?U)\\d{{4}}')",
+}
+
+
+def _worth_trying(column: str, rule: tuple[str, str]) -> Column:
+    return F.expr(_NEEDS[rule[1]].format(f"`{column}`")) if rule in MASK_RULES else F.lit(True)
+
+
+def mask_column(df: DataFrame, column: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``mask_text`` on a column, rule by rule, skipping rules that cannot match a text."""
+    for rule in MASK_RULES if rules is None else rules:
+        replaced = F.regexp_replace(column, _unicode(rule[0]), rule[1])
+        df = df.withColumn(column, F.when(_worth_trying(column, rule), replaced).otherwise(F.col(column)))
+    return df
+
+
+def count_matches(df: DataFrame, column: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Adds one count per rule of what masking would redact, rule after rule."""
+    names = []
+    df = df.withColumn("_text", F.col(column))
+    for rule in MASK_RULES if rules is None else rules:
+        pattern, placeholder = rule
+        name = "n_" + placeholder.strip("[]").lower().removesuffix("_redacted")
+        found = F.regexp_count("_text", F.lit(_unicode(pattern))).cast("bigint")
+        df = df.withColumn(name, F.when(_worth_trying("_text", rule), found).otherwise(F.lit(0).cast("bigint")))
+        masked = F.regexp_replace("_text", _unicode(pattern), placeholder)
+        df = df.withColumn("_text", F.when(F.col(name) > 0, masked).otherwise(F.col("_text")))
+        names.append(name)
+    return df.drop("_text")
 
 
 def is_sensitive_key(key: Column, keys: list[str] | None = None) -> Column:

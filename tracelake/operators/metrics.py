@@ -8,13 +8,15 @@ that arrive with their spans nested take the same path with no shuffle at all.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.documents import canonical_json
 from tracelake.functions.text import strip_tool_prefix
 from tracelake.operators.evals import eval_figures, metadata_evals
-from tracelake.operators.pricing import CALL_FIELDS, COST, RateCard, add_fields, price_spans, usage_of, usage_steps
+from tracelake.operators.pricing import COST, RateCard, add_fields, price_spans, usage_of, usage_steps
 from tracelake.operators.spans import MAX_SPANS, nest_spans
 from tracelake.schema import USAGE
 
@@ -147,19 +149,19 @@ def _lean(spans: DataFrame, own: RateCard | None) -> DataFrame:
 
 
 def _lean_nested(traces: DataFrame, own: RateCard | None) -> DataFrame:
-    """Typed documents with ``spans`` reduced the same way, row by row."""
-    facts = f"""transform(transform(spans, span -> struct(span as s, try_parse_json(span.metadata) as m)), x -> named_struct(
-        'span_type', x.s.span_type, 'name', x.s.name, 'status', x.s.status, 'duration_ms', x.s.duration_ms,
-        'usage', try_variant_get(x.m, '$.usage', '{USAGE}'), 'model', try_variant_get(x.m, '$.model', 'string'),
-        'input', if(x.s.span_type = 'tool', {canonical_json('x.s.inputs')}, null),
-        'eval', if(x.s.span_type = 'eval', to_json(try_variant_get(x.m, '$.eval', 'variant')), null)))"""
-    fields = ["span_type", "name", "status", "duration_ms", "usage", "model", "input", "eval"]
-    priced, _ = add_fields(facts, fields, usage_steps(own))
-    call = ", ".join(f"'{name}', z.{name}" for name in CALL_FIELDS)
-    reduced = f"""transform({priced}, z -> named_struct(
-        'span_type', z.span_type, 'name', {_TOOL_NAME.format('z.')}, 'status', z.status, 'duration_ms', z.duration_ms,
-        'call', if(z.span_type = 'llm', named_struct({call}), null), 'input', z.input, 'eval', z.eval))"""
-    return traces.withColumn("spans", F.expr(reduced))
+    """Typed documents with ``spans`` reduced the same way, row by row, and their priced ``_calls``."""
+    told = "if(span.span_type in ('llm', 'eval'), try_parse_json(span.metadata), null)"
+    lean = f"""transform(spans, span -> named_struct(
+        'span_type', span.span_type, 'name', {_TOOL_NAME.format('span.')}, 'status', span.status, 'duration_ms', span.duration_ms,
+        'meta', {told}, 'input', if(span.span_type = 'tool', {canonical_json('span.inputs')}, null)))"""
+    facts = """transform(filter(spans, s -> s.span_type = 'llm'), s -> named_struct('span_type', s.span_type, 'name', s.name,
+        'usage', try_variant_get(s.meta, '$.usage', '{}'), 'model', try_variant_get(s.meta, '$.model', 'string')))""".format(USAGE)
+    calls, _ = add_fields(facts, ["span_type", "name", "usage", "model"], usage_steps(own))
+    judged = """transform(spans, s -> named_struct('span_type', s.span_type, 'name', s.name, 'status', s.status,
+        'duration_ms', s.duration_ms, 'input', s.input,
+        'eval', if(s.span_type = 'eval', to_json(try_variant_get(s.meta, '$.eval', 'variant')), null)))"""
+    reduced = traces.withColumn("spans", F.expr(lean)).withColumn("_calls", F.expr(calls))
+    return reduced.withColumn("spans", F.expr(judged))
 
 
 def _total(items: str, field: str, kind: str) -> str:
@@ -173,9 +175,13 @@ def _counts(names: str) -> str:
 
 
 def trace_rows(
-    traces: DataFrame, spans: DataFrame | None = None, own: RateCard | None = None, max_spans: int = MAX_SPANS
+    traces: DataFrame,
+    spans: DataFrame | None = None,
+    own: RateCard | None = None,
+    max_spans: int = MAX_SPANS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The derived fact row of every trace.
+    """The derived fact row of every trace, followed by the columns to ``keep``.
 
     ``traces`` either carries its spans nested (``spans`` array) or comes with a frame of span rows.
     """
@@ -184,9 +190,9 @@ def trace_rows(
     else:
         nested = nest_spans(_lean(spans, own), _LEAN, max_spans).withColumnRenamed("trace_id", "id")
         packed = traces.drop("spans").join(nested, "id", "left")
-    split = packed.withColumn("spans", F.expr("coalesce(spans, slice(array(spans[0]), 1, 0))")).selectExpr(
+        packed = packed.withColumn("_calls", F.expr("transform(filter(spans, s -> s.span_type = 'llm'), s -> s.call)"))
+    split = packed.withColumn("_calls", F.expr("coalesce(_calls, slice(array(_calls[0]), 1, 0))")).withColumn("spans", F.expr("coalesce(spans, slice(array(spans[0]), 1, 0))")).selectExpr(
         "*",
-        "transform(filter(spans, s -> s.span_type = 'llm'), s -> s.call) as _calls",
         "filter(spans, s -> s.span_type = 'node' and s.name <> '') as _nodes",
         "filter(spans, s -> s.span_type = 'tool') as _tools",
         "filter(spans, s -> s.span_type = 'eval') as _evals",
@@ -226,6 +232,7 @@ def trace_rows(
         f"exists(_tool_names, tool -> {loops}) as has_tool_loop",
         f"{_counts('_models')} as model_counts",
         "transform(_nodes, s -> struct(s.name, s.duration_ms, s.status)) as node_metrics",
+        *keep,
     )
 
 

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.documents import mask_document
-from tracelake.functions.text import is_sensitive_key, mask_rules, mask_text, pii_counts, sensitive_keys
+from tracelake.functions.text import (
+    count_matches,
+    is_sensitive_key,
+    mask_column,
+    mask_rules,
+    mask_text,
+    sensitive_keys,
+)
 from tracelake.operators.listing import scrub_headers
 from tracelake.schema import FREE_SPAN_FIELDS
 
@@ -17,12 +24,14 @@ REDACTED_TRACE_FIELDS = ["input", "output", "error", "metadata"]
 
 def pii_report(df: DataFrame, column: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """Each row with the number of matches per rule that masking would redact."""
-    return df.select("*", *pii_counts(F.col(column), rules))
+    return count_matches(df, column, rules)
 
 
 def redact_texts(df: DataFrame, columns: Iterable[str], extra_rules: Iterable[tuple[str, str]] = ()) -> DataFrame:
     rules = mask_rules(extra_rules)
-    return df.withColumns({name: mask_text(F.col(name), rules) for name in columns})
+    for name in columns:
+        df = mask_column(df, name, rules)
+    return df
 
 
 def redact_map(df: DataFrame, column: str, extra_rules=(), extra_keys=()) -> DataFrame:

@@ -127,10 +127,11 @@ def span_tree(spans: DataFrame) -> DataFrame:
 
     Only spans that have children are climbed; the many leaves below them are joined once.
     """
+    spans = cut_lineage(spans.select("trace_id", "id", "parent_id", "name"))
     children = spans.filter(F.col("parent_id").isNotNull()).groupBy("trace_id", F.col("parent_id").alias("id")).agg(
         F.count("*").alias("children")
     )
-    counted = spans.select("trace_id", "id", "parent_id", "name").join(children, ["trace_id", "id"], "left")
+    counted = spans.join(children, ["trace_id", "id"], "left")
     inner = counted.filter(F.col("children") > 0)
     known = inner.select("trace_id", F.col("id").alias("parent_id"), F.col("id").alias("up"))
     links = inner.join(known, ["trace_id", "parent_id"], "left").select(

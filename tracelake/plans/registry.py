@@ -709,7 +709,7 @@ _VERDICTS = """
     w AS (SELECT request_id, client, us, k, [us] AS accepted, FALSE AS rejected FROM q WHERE k = 1
       UNION ALL
       SELECT request_id, client, us, k, CASE WHEN len(f) < 3 THEN list_append(f, us) ELSE f END, len(f) >= 3
-      FROM (SELECT q.*, list_filter(w.accepted, x -> x > q.us - 60000000) AS f FROM w JOIN q ON q.client = w.client AND q.k = w.k + 1))
+      FROM (SELECT q.*, list_filter(w.accepted, lambda x: x > q.us - 60000000) AS f FROM w JOIN q ON q.client = w.client AND q.k = w.k + 1))
     SELECT request_id, client, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S') AS ts, rejected FROM w"""
 
 
@@ -864,7 +864,7 @@ def _(spark, sf):
 
 
 _SHORT = "CASE WHEN length({0}) > 10000 THEN left({0}, 10000) || '... <Truncated: ' || CAST(length({0}) - 10000 AS VARCHAR) || ' chars omitted>' ELSE {0} END"
-_WORDS = "list_transform(string_split(text, ' ')[1:100], w -> " + _SHORT.format("w") + ")"
+_WORDS = "list_transform(string_split(text, ' ')[1:100], lambda w: " + _SHORT.format("w") + ")"
 
 
 @query("truncate_document", f"""SELECT doc_id, '{{"text":' || CAST(to_json({_SHORT.format('text')}) AS VARCHAR) || ',"words":' || CAST(to_json(

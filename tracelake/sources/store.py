@@ -38,12 +38,15 @@ def dated(rows: DataFrame, period: str = "day") -> DataFrame:
 def write_trace_rows(rows: DataFrame, path: str, mode: str = "overwrite", period: str = "day") -> None:
     """Rows by date and environment, in time order inside files so that row groups can be skipped.
 
-    Only the partitions present in ``rows`` are replaced. A day of one environment may be written by
-    several tasks, so a busy day is not one task's work.
+    Only the partitions present in ``rows`` are replaced.
     """
-    table = dated(rows, period)
-    table = table.repartitionByRange(*PARTITIONS, "start_time", "id").sortWithinPartitions(*PARTITIONS, "start_time")
-    writer = table.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    _write(dated(rows, period), path, mode)
+
+
+def _write(table: DataFrame, path: str, mode: str = "overwrite") -> None:
+    # Rebalancing gathers a partition's rows into few files, but splits a busy day over tasks.
+    laid_out = table.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "start_time")
+    writer = laid_out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*PARTITIONS).parquet(path)
 
 
@@ -82,8 +85,7 @@ def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, extra: Data
     (kept if extra is None else append_traces(kept, extra)).write.parquet(staged)
     content = spark.read.parquet(staged)
     filled = {tuple(r) for r in content.select(*PARTITIONS).distinct().collect()}
-    content = content.repartitionByRange(*PARTITIONS, "start_time", "id").sortWithinPartitions(*PARTITIONS, "start_time")
-    content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    _write(content, path)
     _drop_partitions(spark, path, [row for row in touched if tuple(row) not in filled])
 
 

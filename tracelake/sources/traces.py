@@ -71,8 +71,11 @@ def _default(value: Column, default: str) -> Column:
     return F.coalesce(value, F.lit(default))
 
 
-def apply_defaults(df: DataFrame, now: datetime | None = None) -> DataFrame:
-    """Raw documents to typed ones: defaults filled in, times parsed, free-form fields as JSON text."""
+def apply_defaults(df: DataFrame, now: datetime | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Raw documents to typed ones: defaults filled in, times parsed, free-form fields as JSON text.
+
+    Columns to ``keep`` follow as they are.
+    """
     moment = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
 
     def text(value: Column, default: str | None = None) -> Column:
@@ -102,7 +105,7 @@ def apply_defaults(df: DataFrame, now: datetime | None = None) -> DataFrame:
         "duration_ms", "http",
         *[c.alias(n) for n, c in free.items()],
         F.coalesce(F.transform("spans", span), F.transform(F.from_json(F.lit("[]"), df.select("spans").schema["spans"].dataType), span)).alias("spans"),
-        "graph_topology",
+        "graph_topology", *keep,
     )
 
 

@@ -29,9 +29,13 @@ def trace_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
 
 
 def rows_of_documents(raw: DataFrame, own: RateCard | None = None, now: datetime | None = None) -> DataFrame:
-    """Raw documents to trace rows: malformed ones skipped, one row per id, no shuffle but that one."""
-    valid, _ = split_valid(raw)
-    return trace_rows(apply_defaults(valid, now), own=own)
+    """Raw documents to trace rows: malformed ones skipped, of documents sent again the last one kept.
+
+    Documents are reduced to rows where they are read; only those narrow rows are shuffled by id.
+    """
+    valid, _ = split_valid(raw.withColumn("ingest_seq", F.monotonically_increasing_id()))
+    rows = trace_rows(apply_defaults(valid, now, keep=["ingest_seq"]), own=own, keep=["ingest_seq"])
+    return latest_by_id(rows).drop("ingest_seq")
 
 
 def stream_ingest(
@@ -48,9 +52,7 @@ def stream_ingest(
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        numbered = batch.withColumn("ingest_seq", F.monotonically_increasing_id())
-        rows = latest_by_id(numbered).drop("ingest_seq")
-        upsert_into(table, rows_of_documents(rows, own), period)
+        upsert_into(table, rows_of_documents(batch, own), period)
 
     writer = source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
