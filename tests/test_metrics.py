@@ -264,3 +264,22 @@ def test_same_result_for_any_partitioning(spark):
     one = metrics.trace_rows(docs, flat.coalesce(1)).orderBy("id").collect()
     many = metrics.trace_rows(docs.repartition(5), flat.repartition(7, "id")).orderBy("id").collect()
     assert one == many
+
+
+def test_order_statistic_of_many_groups(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracelake.operators import order_stats
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 11)).alias("k"),
+        ((F.col("id") * 7919 % 1009 - 300) / 7).cast("decimal(18,2)").alias("v"),
+    )
+    expected = {}
+    for row in rows.collect():
+        expected.setdefault(row["k"], []).append(row["v"])
+    expected = {k: sorted(v)[95 * (len(v) - 1) // 100] for k, v in expected.items()}
+    for limit in (100_000, 1):
+        monkeypatch.setattr(order_stats, "MAX_BROADCAST_GROUPS", limit)
+        got = order_stats.order_statistic(rows, ["k"], "v", order_stats.floor_rank, "p")
+        assert {r["k"]: r["p"] for r in got.collect()} == expected

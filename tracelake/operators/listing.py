@@ -71,8 +71,11 @@ def filter_traces(
     On a table partitioned by ``start_date`` (first day of each ``period``) a time range also names
     the dates, so whole partitions are skipped.
     """
-    wanted = {"status": status, "environment": environment, "project": project, "eval_status": eval_status}
-    for name, value in wanted.items():
+    # Statuses are stored in lower case, so a bare comparison can reach the scan.
+    for name, value in {"status": status, "eval_status": eval_status}.items():
+        if value:
+            rows = rows.filter(F.col(name) == value.lower())
+    for name, value in {"environment": environment, "project": project}.items():
         if value:
             rows = rows.filter(same_text(F.col(name), value))
     if from_time or to_time:

@@ -1,8 +1,9 @@
-"""Exact order statistics without sorting everything in one task.
+"""Exact order statistics without sorting or shuffling all values.
 
-Values are counted in coarse logarithmic buckets per group, which finds the bucket holding the
-wanted rank; only the values of that bucket are then ranked. Equal values are counted together
-before anything is shuffled, so neither a popular group nor a popular value ends up in one place.
+A first pass counts values in coarse logarithmic buckets per group, which finds the bucket holding
+the wanted rank; a second pass looks at the values of that bucket only. Both count equal values
+together before anything is shuffled, so neither a popular group nor a popular value ends up in one
+place.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.session import cut_lineage
+
 STEPS_PER_OCTAVE = 256
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def _bucket(value: Column) -> Column:
@@ -47,13 +51,9 @@ def order_statistic(
     how many values a row stands for.
     """
     groups = [F.col(k) for k in keys]
-    histogram = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_value"))
-        .agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
-        .withColumn("_bucket", _bucket(F.col("_value")))
-    )
-    coarse = histogram.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in_bucket"))
+    amount = F.sum(weight) if weight else F.count("*")
+    values = df.filter(F.col(value).isNotNull()).withColumn("_bucket", _bucket(F.col(value)))
+    coarse = values.groupBy(*keys, "_bucket").agg(amount.alias("_in_bucket"))
     # At most a few thousand buckets per group reach these windows.
     whole = Window.partitionBy(*groups)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -62,7 +62,14 @@ def order_statistic(
     )
     target = ranked.filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in_bucket")))
     target = target.select(*keys, "_bucket", (F.col("_rank") - (F.col("_upto") - F.col("_in_bucket"))).alias("_rest"))
-    inside = histogram.join(F.broadcast(target) if few_groups else target, [*keys, "_bucket"])
-    running = whole.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not few_groups:
+        target = cut_lineage(target)
+        few_groups = target.count() <= MAX_BROADCAST_GROUPS
+    if few_groups:
+        inside = values.join(F.broadcast(target), [*keys, "_bucket"])
+        inside = inside.groupBy(*keys, value, "_rest").agg(amount.alias("_n"))
+    else:
+        inside = values.groupBy(*keys, "_bucket", value).agg(amount.alias("_n")).join(target, [*keys, "_bucket"])
+    running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = inside.withColumn("_upto", F.sum("_n").over(running)).filter(F.col("_upto") > F.col("_rest"))
-    return reached.groupBy(*keys).agg(F.min("_value").alias(name))
+    return reached.groupBy(*keys).agg(F.min(value).alias(name))
