@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.numbers import bucket_label, cents, half_up, pct
 from tracelake.operators.listing import filter_traces, recent
 from tracelake.operators.order_stats import ceil_rank, floor_rank, order_statistic
+from tracelake.session import cut_lineage
 
 # Window tokens; any other token means a day.
 WINDOWS = {
@@ -189,6 +190,8 @@ def node_analytics(
     """Per node over the n newest matching traces: how often it ran, failed and how long it took."""
     begin = resolve_window(window, as_of=as_of).start if window else None
     chosen = recent(filter_traces(rows, environment=environment, project=project, from_time=begin), n)
+    if n is not None:
+        chosen = cut_lineage(chosen.select("id", "node_metrics"))  # few rows, read three times below
     total = chosen.count()
     # A trace's runs sit in one row, so the first run of a node in its trace is known on the spot
     # and traces per node need no distinct count.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from tracelake.functions import models, numbers, text
 from tracelake.operators import analytics, capture, diff, evals, listing, metrics, pricing, privacy, rate, spans
 from tracelake.plans import dashboard, oracle
 from tracelake.plans.oracle import CALLS, ROWS, SPANS, SUMMARY, TRACES, cents, half_up, pct, time
+from tracelake.schema import RAW_TRACE
 from tracelake.session import scratch_path
 from tracelake.sources import driver_tables as src
 from tracelake.sources import store
@@ -66,8 +67,6 @@ def rows_of(spark: SparkSession, sf: str) -> DataFrame:
 def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents the way they arrive: as JSON text parsed with the reading schema."""
     lines = trace_source.export_documents(src.documents(spark, sf))
-    from tracelake.schema import RAW_TRACE
-
     return lines.select(F.from_json("value", RAW_TRACE).alias("d")).select("d.*")
 
 
@@ -680,14 +679,9 @@ def _(spark, sf):
     )
 
 
-@query("rank_nodes", _nodes_sql("SELECT id FROM r ORDER BY start_time DESC, id LIMIT 500").replace("SELECT g.name AS node_name, x", "SELECT g.name AS node_name, row_number() OVER (ORDER BY tr DESC, g.name) AS rank, x"))
+@query("rank_nodes", "SELECT node_name, frequency_pct FROM (" + _nodes_sql("SELECT id FROM r") + ") ORDER BY frequency_pct DESC, node_name LIMIT 3")
 def _(spark, sf):
-    nodes = analytics.node_analytics(rows_of(spark, sf))
-    from pyspark.sql import Window
-
-    # One row per node; frequency falls with the number of traces.
-    order = Window.orderBy(F.col("traces_executed").desc(), "node_name")
-    return nodes.withColumn("rank", F.row_number().over(order))
+    return analytics.node_analytics(rows_of(spark, sf), n=None).limit(3).select("node_name", "frequency_pct")
 
 
 @query("cap_spans", with_sql(SPANS, select="""
@@ -1091,7 +1085,7 @@ def _run_into(stream: DataFrame, spark: SparkSession, label: str, mode: str = "a
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
     writer.foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
 
 
 @query("stream_ingest", with_sql(ROWS, select=f"SELECT {SUMMARY} FROM r"))
