@@ -14,7 +14,6 @@ from tracelake.functions import models, numbers, text
 from tracelake.operators import analytics, capture, diff, evals, listing, metrics, pricing, privacy, rate, spans
 from tracelake.plans import dashboard, oracle
 from tracelake.plans.oracle import CALLS, ROWS, SPANS, SUMMARY, TRACES, cents, half_up, pct, time
-from tracelake.schema import RAW_TRACE
 from tracelake.session import scratch_path
 from tracelake.sources import driver_tables as src
 from tracelake.sources import store
@@ -67,7 +66,7 @@ def rows_of(spark: SparkSession, sf: str) -> DataFrame:
 def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents the way they arrive: as JSON text parsed with the reading schema."""
     lines = trace_source.export_documents(src.documents(spark, sf))
-    return lines.select(F.from_json("value", RAW_TRACE).alias("d")).select("d.*")
+    return trace_source.parse_documents(lines, "value")
 
 
 def with_sql(*ctes: str, select: str) -> str:
