@@ -102,6 +102,16 @@ def test_stored_table(spark, tmp_path):
     assert sorted(r["id"] for r in store.read_trace_rows(spark, path).collect()) == ["a", "c"]
 
 
+def test_odd_environment_names(spark, tmp_path):
+    path = str(tmp_path / "odd")
+    rows = metrics.trace_rows(frame(spark, trace("a", env="007"), trace("b", env="eu/west=1"), trace("c", env="007")))
+    store.upsert_into(path, rows)
+    assert {r["id"]: r["environment"] for r in store.read_trace_rows(spark, path).collect()} == {"a": "007", "b": "eu/west=1", "c": "007"}
+    store.upsert_into(path, rows.filter("id = 'b'").withColumn("environment", F.lit("qa")))
+    assert store.erase_from(spark, path, spark.createDataFrame([("c",)], "id string")) == 1
+    assert {r["id"]: r["environment"] for r in store.read_trace_rows(spark, path).collect()} == {"a": "007", "b": "qa"}
+
+
 def test_align_schema(spark):
     aged = spark.createDataFrame([("a", None)], "id string, environment string")
     row = src.align_schema(aged).first()

@@ -56,6 +56,14 @@ EVENT = (
 )
 REQUEST = "request_id string, client string, ts timestamp"
 
+ROW = (
+    "id string, name string, status string, start_time timestamp, end_time timestamp, duration_ms double, "
+    "http_method string, http_path string, http_status_code int, total_spans bigint, total_tokens bigint, "
+    f"llm_calls bigint, estimated_cost {MONEY}, has_error boolean, project string, node_counts map<string,bigint>, "
+    "eval_status string, eval_count bigint, has_tool_loop boolean, model_counts map<string,bigint>, "
+    "node_metrics array<struct<name:string,duration_ms:double,status:string>>, start_date date, environment string"
+)
+
 # Columns added to stored tables after their first release, with the value old rows take.
 LATE_ROW_COLUMNS = {
     "estimated_cost": (MONEY, 0),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.order_stats import order_statistic
+from tracelake.schema import ROW
 from tracelake.session import scratch_path
 from tracelake.sources.traces import align_schema, get_traces
 
@@ -50,8 +51,13 @@ def _write(table: DataFrame, path: str, mode: str = "overwrite") -> None:
     writer.partitionBy(*PARTITIONS).parquet(path)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    # A given schema keeps environments text, and columns older files lack come back null.
+    return spark.read.schema(ROW).parquet(path)
+
+
 def read_trace_rows(spark: SparkSession, path: str) -> DataFrame:
-    return align_schema(spark.read.option("mergeSchema", "true").parquet(path))
+    return align_schema(_stored(spark, path))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -60,8 +66,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _drop_partitions(spark: SparkSession, path: str, partitions: list) -> None:
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for row in partitions:
-        day, env = row["start_date"], row["environment"]
+        day, env = row["start_date"], escape(row["environment"])
         target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/start_date={day}/environment={env}")
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -72,7 +79,7 @@ def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, extra: Data
     The new content is staged first, so a lost job leaves the table as it was, and running the same
     change again gives the same table.
     """
-    stored = spark.read.parquet(path)
+    stored = _stored(spark, path)
     touched = stored.join(ids, "id", "left_semi").select(*PARTITIONS).distinct()
     if extra is not None:
         touched = touched.unionByName(extra.select(*PARTITIONS)).distinct()
@@ -83,7 +90,7 @@ def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, extra: Data
     kept = kept.join(ids, "id", "left_anti")
     staged = scratch_path(spark, "staged-rows")
     (kept if extra is None else append_traces(kept, extra)).write.parquet(staged)
-    content = spark.read.parquet(staged)
+    content = _stored(spark, staged)
     filled = {tuple(r) for r in content.select(*PARTITIONS).distinct().collect()}
     _write(content, path)
     _drop_partitions(spark, path, [row for row in touched if tuple(row) not in filled])
@@ -101,14 +108,14 @@ def upsert_into(path: str, incoming: DataFrame, period: str = "day") -> None:
     # Incoming rows are looked at several times; compute them once.
     arrived = scratch_path(spark, "arrived-rows")
     dated(incoming, period).write.parquet(arrived)
-    fresh = spark.read.parquet(arrived)
+    fresh = _stored(spark, arrived)
     _rewrite_without(spark, path, fresh.select("id").distinct(), fresh)
 
 
 def erase_from(spark: SparkSession, path: str, ids: DataFrame) -> int:
     """Delete traces from the stored table; returns how many there were."""
     wanted = ids.select("id").distinct()
-    found = spark.read.parquet(path).join(wanted, "id", "left_semi").count()
+    found = _stored(spark, path).join(wanted, "id", "left_semi").count()
     if found:
         _rewrite_without(spark, path, wanted, None)
     return found
