@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import quality
+from tracelake.llm import decontaminate, quality, sentencepiece_bpe
 from tracelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,49 @@ def held_out(k: int):
     return F.coalesce(fold(F.col("doc_id"), k) == 1, F.lit(False))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def sha256(text) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), piece_model(), ["doc_id"])
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(joined).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"), ~held_out(3), ["doc_id"])
     return judged.select("doc_id", held_out(3).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = sha256(F.array_join("items", ",")).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+
+
+SQL["op8_benchmark_decontamination"] = r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT item_id, least(10, len(w)) AS n, array_to_string(w[s + 1 : s + least(10, len(w))], ' ') AS g
+  FROM i, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS u(s) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, text, s, n, array_to_string(w[s + 1 : s + n], ' ') AS g FROM (SELECT doc_id, text, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, lens WHERE len(w) >= n)),
+m AS (SELECT doc_id, text, item_id, s, n FROM dw JOIN iw USING (n, g)),
+h AS (SELECT doc_id, text, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, text, unnest(range(s, s + n)) AS p FROM m) GROUP BY ALL),
+f AS (SELECT doc_id, text, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, text, item_id::VARCHAR AS k FROM m) GROUP BY ALL)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text IS NOT DISTINCT FROM h.text
+LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.text IS NOT DISTINCT FROM f.text
+"""
