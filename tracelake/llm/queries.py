@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, quality, sentencepiece_bpe
+from tracelake.llm import decontaminate, pii, quality, sentencepiece_bpe
 from tracelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(3).alias("held_out"), "score", "predicted")
 
 
+def span_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+    plain = F.filter("spans", lambda s: s["plain"])
+    counts = [F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, sha256(span_text(plain)).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
