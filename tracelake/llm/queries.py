@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, jaccard_join, pii, quality, sentencepiece_bpe
+from tracelake.llm import chat, decontaminate, jaccard_join, license_scan, pii, quality, sentencepiece_bpe
 from tracelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,26 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text IS NOT DISTINCT FROM h.text
 LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.text IS NOT DISTINCT FROM f.text
 """
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+SQL["op10_chat_formatting"] = r"""
+WITH t AS (SELECT DISTINCT coalesce(conv_id, -9223372036854775808) AS conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+g AS (SELECT conv_id, turn, count(*) AS k, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY role, text) AS s FROM t GROUP BY ALL),
+p AS (SELECT conv_id, turn, sum(k) OVER w AS n, string_agg(turn || '#' || s, '') OVER w AS s, turn = max(turn) OVER (PARTITION BY conv_id) AS is_last FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+kept AS (SELECT n, s, min(conv_id) AS conv_id FROM p WHERE is_last GROUP BY ALL),
+best AS (SELECT conv_id FROM kept WHERE (n, s) NOT IN (SELECT n, s FROM p WHERE NOT is_last))
+SELECT nullif(conv_id, -9223372036854775808) AS conv_id, floor(turn / 1024.0)::BIGINT AS part, count(*)::BIGINT AS n_turns,
+  string_agg('<|' || replace(role, '|', '') || '|>' || chr(10) || replace(replace(text, '<|', '< |'), '|>', '| >') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+FROM t JOIN best USING (conv_id) GROUP BY conv_id, floor(turn / 1024.0)
+"""
