@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat, decontaminate, jaccard_join, license_scan, pii, quality, sentencepiece_bpe
+from tracelake.llm import chat, decontaminate, jaccard_join, kdtree_search, license_scan, pii, quality, sentencepiece_bpe, url_filter
 from tracelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,29 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(joined).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kdtree_search.clean(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64.0)
+    found = kdtree_search.top_k(rows, rows.where("id % 20 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
+
+
+SQL["op3_exact_top_k"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64.0 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.x, c.x) DESC, c.vec_id)::INT AS rank,
+  c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x) WHERE q.vec_id % 20 = 0
+QUALIFY rank <= 20
+"""
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
