@@ -8,7 +8,8 @@ what the members lack of it, already rules every member out. Only what is left i
 link between different groups is lost, and links within a group need no proof.
 
 Null texts and texts without words have an empty set and stand alone; with fewer words than ``width`` the whole sequence is
-the one shingle. A null id takes part in no link and has no component. Repeated rows are one class. Rows that share an id but
+the one shingle. A row with a null id has the component of an equal set that has one, else null, and links nothing. Repeated
+rows are one class. Rows that share an id but
 not the text count as one document with several sets. Other columns take no part.
 """
 
