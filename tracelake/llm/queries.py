@@ -80,7 +80,11 @@ def span_text(spans: Column) -> Column:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"), ["doc_id"])
     plain = F.filter("spans", lambda s: s["plain"])
-    counts = [F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, sha256(span_text(plain)).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
