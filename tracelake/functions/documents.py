@@ -35,15 +35,25 @@ def json_counts(col: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(col), "$", "map<string,bigint>")
 
 
-def _rewrite(change: Callable[[object], object]) -> Callable[[pd.Series], pd.Series]:
+def _rewriter(change: Callable[[object], object], plain: Callable[[str], str]) -> Callable[[str | None], str | None]:
+    """Changes a JSON text; what the parser refuses, also for its depth, is changed as ``plain`` text."""
+
+    def written(document: object) -> str:
+        return json.dumps(document, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
     def one(text: str | None) -> str | None:
         if text is None:
             return None
         try:
-            document = json.loads(text)
-        except ValueError:
-            document = text
-        return json.dumps(change(document), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+            return written(change(json.loads(text)))
+        except (ValueError, RecursionError):
+            return written(plain(text))
+
+    return one
+
+
+def _rewrite(change: Callable[[object], object], plain: Callable[[str], str]) -> Callable[[pd.Series], pd.Series]:
+    one = _rewriter(change, plain)
 
     def batch(texts: pd.Series) -> pd.Series:
         return texts.map(one)
@@ -51,6 +61,19 @@ def _rewrite(change: Callable[[object], object]) -> Callable[[pd.Series], pd.Ser
     return batch
 
 
+def _rewrite_lists(change: Callable[[object], object], plain: Callable[[str], str]) -> Callable[[pd.Series], pd.Series]:
+    one = _rewriter(change, plain)
+
+    def batch(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda texts: None if texts is None else [one(text) for text in texts])
+
+    return batch
+
+
+# A member with a plain value in text that is no readable JSON.
+_MEMBER = re.compile(r'"([^"\\]*)"(\s*:\s*)("(?:[^"\\]|\\.)*"?|[^\s,\[\]{}"]+)')
+
+
 def mask_document(
     col: Column,
     extra_rules: Iterable[tuple[str, str]] = (),
@@ -59,23 +82,36 @@ def mask_document(
     """Redact a JSON document: whole values under sensitive keys, matches in every other string.
 
     Nesting is free-form, so this is an Arrow-batched Python step; patterns must be valid in both
-    Java and Python regex.
+    Java and Python regex. Text that is no JSON, or nested too deep to read, is masked as text.
     """
+    return F.pandas_udf(_rewrite(*_masking(extra_rules, extra_keys)), "string")(col)
+
+
+def mask_document_lists(col: Column, extra_rules: Iterable[tuple[str, str]] = (), extra_keys: Iterable[str] = ()) -> Column:
+    """``mask_document`` for each member of an array of JSON documents."""
+    return F.pandas_udf(_rewrite_lists(*_masking(extra_rules, extra_keys)), "array<string>")(col)
+
+
+def _masking(extra_rules: Iterable[tuple[str, str]], extra_keys: Iterable[str]) -> tuple[Callable[[object], object], Callable[[str], str]]:
     rules = mask_rules(extra_rules)
     keys = frozenset(sensitive_keys(extra_keys))
 
-    def change(document: object) -> object:
-        compiled = [(re.compile(pattern), placeholder) for pattern, placeholder in rules]
+    def hidden(key: str) -> bool:
+        name = key.lower().strip()
+        return name in keys or not keys.isdisjoint(re.split(r"[_\-.]+", name))
 
-        def hidden(key: str) -> bool:
-            name = key.lower().strip()
-            return name in keys or not keys.isdisjoint(re.split(r"[_\-.]+", name))
+    def masked(text: str) -> str:
+        for pattern, placeholder in rules:
+            text = re.sub(pattern, placeholder, text)
+        return text
 
+    def plain(text: str) -> str:
+        return masked(_MEMBER.sub(lambda m: f'"{m[1]}"{m[2]}"{REDACTED}"' if hidden(m[1]) else m[0], text))
+
+    def change(document: object) -> object:
         def walk(node: object) -> object:
             if isinstance(node, str):
-                for pattern, placeholder in compiled:
-                    node = pattern.sub(placeholder, node)
-                return node
+                return masked(node)
             if isinstance(node, dict):
                 return {k: REDACTED if hidden(k) else walk(v) for k, v in node.items()}
             if isinstance(node, list):
@@ -84,7 +120,7 @@ def mask_document(
 
         return walk(document)
 
-    return F.pandas_udf(_rewrite(change), "string")(col)
+    return change, plain
 
 
 def truncate_document(
@@ -109,4 +145,4 @@ def truncate_document(
 
         return walk(document, 0)
 
-    return F.pandas_udf(_rewrite(change), "string")(col)
+    return F.pandas_udf(_rewrite(change, lambda text: str(change(text))), "string")(col)

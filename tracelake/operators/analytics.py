@@ -24,8 +24,6 @@ WINDOWS = {
 # Fixed values: (longest range in seconds, number of buckets, bucket width in seconds).
 GRIDS = [(900, 15, 60), (3600, 12, 300), (86400, 24, 3600), (604800, 14, 43200)]
 WIDEST_GRID = (30, 86400)
-STATS_RECENT = 100
-NODES_RECENT = 500
 
 
 def _zero(column: Column, kind: str = "bigint") -> Column:
@@ -59,12 +57,12 @@ def kpi_stats(rows: DataFrame) -> DataFrame:
 def kpi_p95(rows: DataFrame) -> DataFrame:
     """The duration at index floor(0.95 (n - 1)), 0.0 if no trace has a duration."""
     durations = rows.select(F.col("duration_ms").cast("decimal(18,2)").alias("_duration"))
-    found = order_statistic(durations, [], "_duration", floor_rank, "_p95", few_groups=True)
+    found = order_statistic(durations, [], "_duration", floor_rank, "_p95")
     return found.agg(_zero(F.max("_p95"), "double").alias("p95_duration_ms"))
 
 
-def node_execution_totals(rows: DataFrame, n: int | None = STATS_RECENT) -> DataFrame:
-    """Executions per node over the n newest traces."""
+def node_execution_totals(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """Executions per node over all traces, or over the n newest."""
     counted = recent(rows.filter(F.col("node_counts").isNotNull()), n).select(F.explode("node_counts").alias("node_name", "n"))
     return counted.groupBy("node_name").agg(F.sum("n").alias("executions"))
 
@@ -89,7 +87,8 @@ def resolve_window(
     for longest, buckets, width in GRIDS:
         if seconds <= longest:
             return Grid(begin, finish, buckets, width)
-    return Grid(begin, finish, *WIDEST_GRID)
+    least, width = WIDEST_GRID  # longer ranges take as many buckets as they need
+    return Grid(begin, finish, max(least, -(-seconds // width)), width)
 
 
 def in_grid(rows: DataFrame, grid: Grid, environment: str | None, project: str | None) -> DataFrame:
@@ -97,8 +96,9 @@ def in_grid(rows: DataFrame, grid: Grid, environment: str | None, project: str |
 
 
 def bucket_of(time: Column, grid: Grid) -> Column:
+    """Bucket of a time in the range; the moment that ends the last bucket belongs to it."""
     past = F.unix_micros(time) - F.unix_micros(F.lit(grid.start).cast("timestamp"))
-    return F.call_function("div", past, F.lit(grid.width * 1_000_000).cast("bigint"))
+    return F.least(F.call_function("div", past, F.lit(grid.width * 1_000_000).cast("bigint")), F.lit(grid.buckets - 1))
 
 
 def zero_fill(spark: SparkSession, grid: Grid, figures: DataFrame) -> DataFrame:
@@ -125,13 +125,13 @@ def timeseries(
 
 
 def timeseries_total(rows: DataFrame, grid: Grid, environment: str | None = None, project: str | None = None) -> int:
-    """All traces in range, also those that fall into no bucket."""
+    """All traces in range; the buckets of the range add up to it."""
     return in_grid(rows, grid, environment, project).count()
 
 
 def _bucket_figures(matching: DataFrame, grid: Grid) -> DataFrame:
     placed = matching.withColumn("bucket", bucket_of(F.col("start_time"), grid))
-    placed = placed.filter((F.col("bucket") >= 0) & (F.col("bucket") < grid.buckets)).select(
+    placed = placed.select(
         "bucket", "status", "has_error", F.col("duration_ms").cast("decimal(18,2)").alias("duration"),
         "estimated_cost", "total_tokens",
     )
@@ -143,9 +143,8 @@ def _bucket_figures(matching: DataFrame, grid: Grid) -> DataFrame:
         F.sum("estimated_cost").alias("_cost"),
         F.sum("total_tokens").alias("_tokens"),
     )
-    # At most as many rows as the grid has buckets.
-    p95 = order_statistic(placed.select("bucket", "duration"), ["bucket"], "duration", ceil_rank, "_p95", few_groups=True)
-    filled = zero_fill(matching.sparkSession, grid, sums.join(F.broadcast(p95), "bucket", "left"))
+    p95 = order_statistic(placed.select("bucket", "duration"), ["bucket"], "duration", ceil_rank, "_p95")
+    filled = zero_fill(matching.sparkSession, grid, sums.join(p95, "bucket", "left"))
     count, errors = _zero(F.col("_count")), _zero(F.col("_errors"))
     average = half_up(_zero(F.col("_cents")), _zero(F.col("_timed")) * 100, 2)
     return filled.select(
@@ -175,7 +174,6 @@ def timeseries_models(
     placed = in_grid(rows, grid, environment, project).select(
         bucket_of(F.col("start_time"), grid).alias("bucket"), F.explode("model_counts").alias("model", "n")
     )
-    placed = placed.filter((F.col("bucket") >= 0) & (F.col("bucket") < grid.buckets))
     return placed.groupBy("bucket", "model").agg(F.sum("n").alias("calls")).orderBy("bucket", "model")
 
 
@@ -185,27 +183,23 @@ def node_analytics(
     environment: str | None = None,
     project: str | None = None,
     as_of: datetime | None = None,
-    n: int | None = NODES_RECENT,
+    n: int | None = None,
 ) -> DataFrame:
-    """Per node over the n newest matching traces: how often it ran, failed and how long it took."""
+    """Per node over all matching traces, or the n newest: how often it ran, failed and how long it took."""
     begin = resolve_window(window, as_of=as_of).start if window else None
     chosen = recent(filter_traces(rows, environment=environment, project=project, from_time=begin), n)
     if n is not None:
         chosen = cut_lineage(chosen.select("id", "node_metrics"))  # few rows, read three times below
     total = chosen.count()
-    # A trace's runs sit in one row, so the first run of a node in its trace is known on the spot
-    # and traces per node need no distinct count.
-    names = F.transform("node_metrics", lambda run: run["name"])
-    marked = F.transform(
-        "node_metrics", lambda run, i: F.struct(run.alias("run"), (F.array_position(names, run["name"]) == i + 1).alias("first"))
-    )
-    runs = chosen.select(F.explode(marked).alias("m")).select(
-        F.col("m.run.name").alias("node_name"), F.col("m.run.status").alias("status"), F.col("m.first").alias("first"),
-        F.col("m.run.duration_ms").cast("decimal(18,2)").alias("duration"),
+    runs = chosen.select(F.explode("node_metrics").alias("run")).select(
+        F.col("run.name").alias("node_name"), F.col("run.status").alias("status"),
+        F.col("run.duration_ms").cast("decimal(18,2)").alias("duration"),
     ).filter(F.col("node_name") != "")
+    # A trace's runs sit in one row, so its distinct nodes are known on the spot.
+    seen = chosen.select(F.explode(F.array_distinct(F.transform("node_metrics", lambda run: run["name"]))).alias("node_name"))
+    traces_of = seen.groupBy("node_name").agg(F.count("*").alias("traces_executed"))
     figures = runs.groupBy("node_name").agg(
         F.count("*").alias("executions"),
-        _zero(F.sum(F.when(F.col("first"), 1))).alias("traces_executed"),
         _zero(F.sum(F.when(F.col("status") == "failed", 1))).alias("error_count"),
         F.count("duration").alias("_timed"),
         _zero(F.sum(cents(F.col("duration")))).alias("_cents"),
@@ -214,7 +208,7 @@ def node_analytics(
     )
     p95 = order_statistic(runs.select("node_name", "duration"), ["node_name"], "duration", floor_rank, "_p95")
     whole = F.lit(total).cast("bigint")
-    ranked = figures.join(p95, "node_name", "left").select(
+    ranked = figures.join(traces_of, "node_name").join(p95, "node_name", "left").select(
         "node_name", "executions", "traces_executed",
         pct(F.col("traces_executed"), whole).alias("frequency_pct"),
         "error_count",

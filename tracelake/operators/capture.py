@@ -16,7 +16,10 @@ from tracelake.functions.models import normal_name, resolve_model_name
 from tracelake.functions.numbers import duration_ms
 from tracelake.operators.evals import map_to_json
 from tracelake.operators.pricing import RateCard, add_columns, call_cost_steps, rate_steps
+from tracelake.operators.metrics import trace_rows
+from tracelake.operators.ranking import row_numbers
 from tracelake.operators.spans import MAX_SPANS, climb
+from tracelake.schema import HTTP, USAGE
 from tracelake.session import cut_lineage
 
 
@@ -218,6 +221,12 @@ def merged_metadata(first: Column, later: Column) -> Column:
     return map_to_json(F.map_concat(older, newer))
 
 
+def _tagged(metadata: Column, tags: Column) -> Column:
+    """Metadata with the tags of the run, if it has any."""
+    told = F.concat(F.lit('{"tags":'), F.to_json(tags), F.lit("}"))
+    return F.when(F.size(tags) > 0, merged_metadata(metadata, told)).otherwise(metadata)
+
+
 def close_spans(pairs: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Paired events as span rows, before parents and chain names are known."""
     ended = F.col("end").isNotNull()
@@ -238,7 +247,7 @@ def close_spans(pairs: DataFrame, more: Sequence[str] = ()) -> DataFrame:
         .when(kind == "chat", _wrapped("messages", inputs)).otherwise(inputs).alias("inputs"),
         F.when(ended & ~failed, F.when(kind == "tool", _wrapped("output", outputs)).otherwise(outputs)).alias("outputs"),
         F.when(failed, error_record(F.col("end.error_type"), F.col("end.error_message"), F.col("end.traceback"))).alias("error"),
-        merged_metadata(F.col("start.metadata"), F.col("end.metadata")).alias("metadata"),
+        merged_metadata(_tagged(F.col("start.metadata"), F.col("start.tags")), F.col("end.metadata")).alias("metadata"),
         *more,
     )
 
@@ -253,7 +262,59 @@ def assemble_spans(events: DataFrame, own: RateCard | None = None) -> DataFrame:
     named = _classified(events).select(
         "trace_id", F.col("run_id").alias("id"), "parent_id", F.col("span_name").alias("name"), "span_type"
     )
-    return spans.join(named, ["trace_id", "id"]).drop("parent_run_id", "kind")
+    return _with_facts(spans.join(named, ["trace_id", "id"]).drop("parent_run_id", "kind"))
+
+
+def _with_facts(spans: DataFrame) -> DataFrame:
+    """Adds what the stored row is derived from: place in the trace, usage as the provider gave it, eval record."""
+    counts = ", ".join(f"'{n}', {n}" for n in ("prompt_tokens", "completion_tokens", "total_tokens"))
+    usage = f"""if(total_tokens is null, null, cast(named_struct('model', model, {counts}, 'cached_tokens', 0L, 'prompt_tokens_details', null,
+        'prompt_cost', null, 'completion_cost', null, 'total_cost', null) as {USAGE}))"""
+    placed = row_numbers(spans, "trace_id", ["seq", "id"], ["seq div 1000"], "_n")
+    return placed.withColumns(
+        {
+            "pos": F.col("_n") - 1,
+            "usage": F.expr(usage),
+            "eval": F.to_json(F.try_variant_get(F.try_parse_json("metadata"), "$.eval", "variant")),
+        }
+    ).drop("_n")
+
+
+def state_updates_as_metadata(events: DataFrame, max_updates: int = MAX_SPANS) -> DataFrame:
+    """(trace_id, metadata): the node state updates of a trace in order, and whether there were more."""
+    kept, report = node_state_updates(events, max_updates)
+    one = F.to_json(F.struct("node", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"), F.try_parse_json("update").alias("update")))
+    # at most max_updates of a trace
+    listed = kept.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("n", one.alias("text")))).alias("all"))
+    text = F.concat(F.lit('{"node_state_updates":['), F.array_join(F.col("all.text"), ","), F.lit("]"), F.when(F.col("truncated"), ',"node_state_updates_truncated":true}').otherwise("}"))
+    return listed.join(report, "trace_id").select("trace_id", text.alias("metadata"))
+
+
+def traces_of_events(trace_events: DataFrame, events: DataFrame, spans: DataFrame) -> DataFrame:
+    """Assembled traces with input, output and error of their workflow and their state updates in metadata.
+
+    What a trace says itself goes before what its workflow span says.
+    """
+    io = trace_io(spans).withColumnsRenamed({"trace_id": "id", "output": "_output", "error": "_error"})
+    told = state_updates_as_metadata(events).withColumnRenamed("trace_id", "id")
+    whole = assemble_traces(trace_events).join(io, "id", "left").join(told, "id", "left")
+    none = F.lit(None).cast("string")
+    return whole.withColumns(
+        {
+            "output": F.coalesce("output", "_output"),
+            "error": F.coalesce("error", "_error"),
+            "metadata": F.coalesce("metadata", F.lit("{}")),
+            "environment": none,
+            "project": none,
+            "http": F.lit(None).cast(HTTP),
+        }
+    ).drop("_output", "_error")
+
+
+def rows_of_events(trace_events: DataFrame, events: DataFrame, own: RateCard | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """From the event log to the stored row of every trace: spans assembled, priced and rolled up."""
+    spans = assemble_spans(events, own)
+    return trace_rows(traces_of_events(trace_events, events, spans), spans, own, keep=keep)
 
 
 def custom_spans(events: DataFrame) -> DataFrame:

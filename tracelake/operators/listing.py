@@ -64,12 +64,11 @@ def filter_traces(
     from_time: datetime | str | None = None,
     to_time: datetime | str | None = None,
     eval_status: str | None = None,
-    period: str = "day",
 ) -> DataFrame:
     """All given conditions must hold; an empty argument is no condition.
 
-    On a table partitioned by ``start_date`` (first day of each ``period``) a time range also names
-    the dates, so whole partitions are skipped.
+    On a stored table a time range also names the dates, so whole partitions are skipped. ``start_date`` is
+    the first day of the period its metadata names; without that, of a year at most.
     """
     # Statuses are stored in lower case, so a bare comparison can reach the scan.
     for name, value in {"status": status, "eval_status": eval_status}.items():
@@ -81,6 +80,7 @@ def filter_traces(
     if from_time or to_time:
         rows = rows.filter(in_time_range(F.col("start_time"), from_time, to_time))
         if "start_date" in rows.columns:
+            period = rows.schema["start_date"].metadata.get("period", "year")
             if from_time:
                 rows = rows.filter(F.col("start_date") >= F.to_date(F.date_trunc(period, instant(from_time))))
             if to_time:

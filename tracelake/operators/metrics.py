@@ -1,9 +1,10 @@
 """Figures per trace: tokens, cost, models, nodes, errors, tool loops, and the stored row.
 
 Each figure alone is an aggregation over span rows that combines before it shuffles, so a trace
-holding a large share of all spans does no harm. ``trace_rows`` needs all of them: it gathers the
-spans of a trace, at most ``max_spans`` of them, and derives the row from that array. Documents
-that arrive with their spans nested take the same path with no shuffle at all.
+holding a large share of all spans does no harm. ``trace_rows`` needs all of them: it gathers what the
+row is made of from the spans of a trace, all of them, and derives the row from that array in steps
+that are linear in it but for sorting. Documents that arrive with their spans nested take the same
+path with no shuffle at all.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tracelake.functions.documents import canonical_json
 from tracelake.functions.text import strip_tool_prefix
 from tracelake.operators.evals import eval_figures, metadata_evals
 from tracelake.operators.pricing import COST, RateCard, add_fields, price_spans, usage_of, usage_steps
-from tracelake.operators.spans import MAX_SPANS, nest_spans
+from tracelake.operators.spans import nest_spans
 from tracelake.schema import USAGE
 
 DEFAULT_ENVIRONMENT = "production"
@@ -64,10 +65,10 @@ def node_counts(spans: DataFrame) -> DataFrame:
     return nodes.groupBy("trace_id", F.col("name").alias("node_name")).agg(F.count("*").alias("executions"))
 
 
-def node_metrics(spans: DataFrame, max_spans: int = MAX_SPANS) -> DataFrame:
+def node_metrics(spans: DataFrame) -> DataFrame:
     """Per trace: its node executions in order as an array of (name, duration_ms, status)."""
     nodes = spans.filter((F.col("span_type") == "node") & (F.col("name") != ""))
-    nested = nest_spans(nodes, ["name", "duration_ms", "status"], max_spans)
+    nested = nest_spans(nodes, ["name", "duration_ms", "status"])
     return nested.withColumnRenamed("spans", "node_metrics")
 
 
@@ -168,17 +169,26 @@ def _total(items: str, field: str, kind: str) -> str:
     return f"aggregate({items}, cast(0 as {kind}), (total, item) -> cast(total + item.{field} as {kind}))"
 
 
-def _counts(names: str) -> str:
-    """SQL for a map of each name to how often it occurs in an array of names."""
-    each = f"transform(array_distinct({names}), one -> cast(size(filter({names}, other -> other = one)) as bigint))"
-    return f"map_from_arrays(array_distinct({names}), {each})"
+def _starts(items: str) -> str:
+    """SQL: where each run of equal items of a sorted array begins."""
+    places = f"if(size({items}) > 0, sequence(0, size({items}) - 1), slice(array(0), 1, 0))"
+    return f"filter({places}, i -> i = 0 or not (get({items}, i) <=> get({items}, i - 1)))"
+
+
+def _run_lengths(items: str, starts: str) -> str:
+    """SQL: the length of each run of a sorted array."""
+    return f"transform({starts}, (at, k) -> cast(coalesce(get({starts}, k + 1), size({items})) - at as bigint))"
+
+
+def _counts(items: str, starts: str) -> str:
+    """SQL for a map of each item of a sorted array to how often it occurs."""
+    return f"map_from_arrays(transform({starts}, at -> get({items}, at)), {_run_lengths(items, starts)})"
 
 
 def trace_rows(
     traces: DataFrame,
     spans: DataFrame | None = None,
     own: RateCard | None = None,
-    max_spans: int = MAX_SPANS,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """The derived fact row of every trace, followed by the columns to ``keep``.
@@ -188,7 +198,7 @@ def trace_rows(
     if spans is None:
         packed = _lean_nested(traces, own)
     else:
-        nested = nest_spans(_lean(spans, own), _LEAN, max_spans).withColumnRenamed("trace_id", "id")
+        nested = nest_spans(_lean(spans, own), _LEAN).withColumnRenamed("trace_id", "id")
         packed = traces.drop("spans").join(nested, "id", "left")
         packed = packed.withColumn("_calls", F.expr("transform(filter(spans, s -> s.span_type = 'llm'), s -> s.call)"))
     split = packed.withColumn("_calls", F.expr("coalesce(_calls, slice(array(_calls[0]), 1, 0))")).withColumn("spans", F.expr("coalesce(spans, slice(array(spans[0]), 1, 0))")).selectExpr(
@@ -201,14 +211,26 @@ def trace_rows(
     )
     named = split.selectExpr(
         "*",
-        "transform(_calls, c -> c.model) as _models",
-        "transform(_nodes, s -> s.name) as _node_names",
-        "array_distinct(transform(_tools, s -> s.name)) as _tool_names",
+        "array_sort(transform(_calls, c -> c.model)) as _models",
+        "array_sort(transform(_nodes, s -> s.name)) as _node_names",
+        "array_sort(transform(_tools, s -> struct(s.name as name, s.input as input))) as _tool_calls",
         "filter(_evals, s -> s.eval is null) as _bare",
         "array_distinct(filter(transform(_evals, s -> s.eval), record -> record is not null)) as _recorded",
     )
-    inputs = "transform(filter(_tools, s -> s.name = tool), s -> s.input)"
-    loops = _loops(f"size({inputs})", f"size(array_distinct({inputs}))")
+    # equal calls of a tool lie together, and so do all calls of it
+    named = named.selectExpr(
+        "*",
+        "array_distinct(_tool_calls) as _tool_inputs",
+        "transform(_tool_calls, c -> c.name) as _tool_names",
+    ).selectExpr(
+        "*",
+        "transform(_tool_inputs, c -> c.name) as _input_names",
+        f"{_starts('_models')} as _model_starts",
+        f"{_starts('_node_names')} as _node_starts",
+        f"{_starts('_tool_names')} as _tool_starts",
+    ).selectExpr("*", f"{_starts('_input_names')} as _input_starts")
+    lengths = f"{_run_lengths('_tool_names', '_tool_starts')}, {_run_lengths('_input_names', '_input_starts')}"
+    loops = f"zip_with({lengths}, (calls, inputs) -> {_loops('calls', 'inputs')})"
     bare_failed = "size(filter(_bare, s -> s.status <> 'completed'))"
     eval_count, eval_status = eval_figures("_listed", "_recorded", "size(_bare)", bare_failed)
     return named.selectExpr(
@@ -226,11 +248,11 @@ def trace_rows(
         f"(_failed or {is_error('error')}) as has_error",
         f"{default_environment('environment')} as environment",
         "project",
-        f"{_counts('_node_names')} as node_counts",
+        f"{_counts('_node_names', '_node_starts')} as node_counts",
         f"{eval_status} as eval_status",
         f"{eval_count} as eval_count",
-        f"exists(_tool_names, tool -> {loops}) as has_tool_loop",
-        f"{_counts('_models')} as model_counts",
+        f"exists({loops}, hit -> hit) as has_tool_loop",
+        f"{_counts('_models', '_model_starts')} as model_counts",
         "transform(_nodes, s -> struct(s.name, s.duration_ms, s.status)) as node_metrics",
         *keep,
     )

@@ -13,10 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.session import cut_lineage
-
 STEPS_PER_OCTAVE = 256
-MAX_BROADCAST_GROUPS = 100_000
 
 
 def _bucket(value: Column) -> Column:
@@ -41,14 +38,12 @@ def order_statistic(
     value: str,
     rank: Callable[[Column], Column],
     name: str,
-    few_groups: bool = False,
     weight: str | None = None,
 ) -> DataFrame:
     """Per group of ``keys``: the value at 0-based ``rank(n)`` among its n non-null values.
 
-    ``few_groups`` says that the caller has bounded the number of groups (one, or the buckets of a
-    time grid), so that one target row per group may be broadcast. ``weight`` names a column telling
-    how many values a row stands for.
+    ``weight`` names a column telling how many values a row stands for. Values are counted before they
+    meet the target of their group, and how they meet is left to the optimizer.
     """
     groups = [F.col(k) for k in keys]
     amount = F.sum(weight) if weight else F.count("*")
@@ -62,14 +57,7 @@ def order_statistic(
     )
     target = ranked.filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in_bucket")))
     target = target.select(*keys, "_bucket", (F.col("_rank") - (F.col("_upto") - F.col("_in_bucket"))).alias("_rest"))
-    if not few_groups:
-        target = cut_lineage(target)
-        few_groups = target.count() <= MAX_BROADCAST_GROUPS
-    if few_groups:
-        inside = values.join(F.broadcast(target), [*keys, "_bucket"])
-        inside = inside.groupBy(*keys, value, "_rest").agg(amount.alias("_n"))
-    else:
-        inside = values.groupBy(*keys, "_bucket", value).agg(amount.alias("_n")).join(target, [*keys, "_bucket"])
+    inside = values.groupBy(*keys, "_bucket", value).agg(amount.alias("_n")).join(target, [*keys, "_bucket"])
     running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = inside.withColumn("_upto", F.sum("_n").over(running)).filter(F.col("_upto") > F.col("_rest"))
     return reached.groupBy(*keys).agg(F.min(value).alias(name))

@@ -24,8 +24,6 @@ from tracelake.functions.text import trimmed
 RATE = "decimal(12,6)"
 TOKENS = "decimal(12,0)"
 COST = "decimal(18,6)"
-MAX_INLINE_RATES = 256
-MAX_BROADCAST_MODELS = 100_000
 SALTS = 64
 
 CARD_SCHEMA = T.StructType(
@@ -345,12 +343,6 @@ def _price_by_joins(models: DataFrame, card: DataFrame) -> DataFrame:
 def attach_rates(calls: DataFrame, priced: DataFrame) -> DataFrame:
     """Join model rates to calls carrying ``model``.
 
-    Few models are broadcast after counting them. More are joined on (model, salt), each model's
-    row repeated per salt, so that one popular model spreads over many tasks.
+    Each model is one row of ``priced``, so a popular one is split over tasks by the skew join.
     """
-    if priced.limit(MAX_BROADCAST_MODELS + 1).count() <= MAX_BROADCAST_MODELS:
-        return calls.join(F.broadcast(priced), "model", "left")
-    salted = calls.withColumn("_salt", F.pmod(F.xxhash64(*calls.columns), F.lit(SALTS)))
-    zero, last = F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")
-    salts = F.explode(F.sequence(zero, last)).alias("_salt")
-    return salted.join(priced.select("*", salts), ["model", "_salt"], "left").drop("_salt")
+    return calls.join(priced, "model", "left")

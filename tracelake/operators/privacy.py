@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.documents import mask_document
+from tracelake.functions.documents import mask_document, mask_document_lists
 from tracelake.functions.text import (
     count_matches,
     is_sensitive_key,
@@ -50,7 +50,15 @@ def mask_spans(spans: DataFrame, extra_rules=(), extra_keys=()) -> DataFrame:
 
 
 def mask_traces(traces: DataFrame, extra_rules=(), extra_keys=()) -> DataFrame:
-    """Trace rows (without nested spans) with every free-form document redacted and no credential headers."""
+    """Traces, also with nested spans, with every free-form document redacted and no credential headers."""
     fields = [name for name in REDACTED_TRACE_FIELDS if name in traces.columns]
     masked = traces.withColumns({name: mask_document(F.col(name), extra_rules, extra_keys) for name in fields})
+    if "spans" in traces.columns:
+        members = traces.schema["spans"].dataType.elementType.names
+        free = [name for name in FREE_SPAN_FIELDS if name in members]
+        hidden = [f"_masked_{name}" for name in free]
+        lists = {h: mask_document_lists(F.col(f"spans.{n}"), extra_rules, extra_keys) for h, n in zip(hidden, free)}
+        masked = masked.withColumns(lists)
+        rebuilt = F.transform("spans", lambda s, i: F.struct(*[F.get(F.col(f"_masked_{n}"), i).alias(n) if n in free else s[n].alias(n) for n in members]))
+        masked = masked.withColumn("spans", F.when(F.col("spans").isNotNull(), rebuilt)).drop(*hidden)
     return scrub_headers(masked) if "http" in traces.columns else masked

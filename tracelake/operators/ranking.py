@@ -1,7 +1,7 @@
 """Row numbers inside groups, also when one group holds a large share of all rows.
 
-A window ranks a group in one task. Groups beyond ``HOT_ROWS`` are ranked in slices instead: rows of
-a slice are numbered together, and a slice starts after the number of rows in the slices before it.
+A window ranks a group in one task, so groups are ranked in slices: rows of a slice are numbered
+together, and a slice starts after the number of rows in the slices before it.
 """
 
 from __future__ import annotations
@@ -11,33 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-
-
-def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> list:
-    """Keys with more than ``limit`` rows: at most rows / limit of them."""
-    counted = df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
-    return [row[0] for row in counted.select(key).collect()]
-
-
-def row_numbers(
-    df: DataFrame, key: str, order: Sequence[str], slices: Sequence[str], name: str, hot: Sequence = ()
-) -> DataFrame:
+def row_numbers(df: DataFrame, key: str, order: Sequence[str], slices: Sequence[str], name: str) -> DataFrame:
     """Adds the 1-based row number in the group of ``key`` by ``order``.
 
-    ``slices`` are SQL expressions that never decrease along ``order`` and cut a hot group into parts
-    of manageable size; ``hot`` lists the hot keys.
+    ``slices`` are SQL expressions that never decrease along ``order`` and cut a group into parts of
+    manageable size. Only the number of slices of a group meets in one task, and each is one row there.
+    Without slices a group is ranked as a whole.
     """
-    plain = f"row_number() over (partition by {key} order by {', '.join(order)})"
-    if not hot:
-        return df.selectExpr("*", f"{plain} as {name}")
-    is_hot = F.col(key).isin(list(hot))
-    few = df.filter(~is_hot | F.col(key).isNull()).selectExpr("*", f"{plain} as {name}")
-    cut = df.filter(is_hot).selectExpr("*", *[f"{sql} as _slice{i}" for i, sql in enumerate(slices)])
+    if not slices:
+        return df.selectExpr("*", f"row_number() over (partition by {key} order by {', '.join(order)}) as {name}")
+    cut = df.selectExpr("*", *[f"{sql} as _slice{i}" for i, sql in enumerate(slices)])
     parts = [f"_slice{i}" for i in range(len(slices))]
     sizes = cut.groupBy(key, *parts).agg(F.count("*").alias("_n"))
     before = f"coalesce(sum(_n) over (partition by {key} order by {', '.join(parts)} rows between unbounded preceding and 1 preceding), 0L)"
     offsets = sizes.selectExpr(key, *parts, f"{before} as _before")
     inside = f"row_number() over (partition by {key}, {', '.join(parts)} order by {', '.join(order)})"
-    many = cut.selectExpr("*", f"{inside} as _inside").join(offsets, [key, *parts])
-    return few.unionByName(many.selectExpr(*df.columns, f"cast(_before + _inside as int) as {name}"))
+    ranked = cut.selectExpr("*", f"{inside} as _inside").alias("c")
+    same = F.lit(True)
+    for column in [key, *parts]:
+        same = same & F.col(f"c.{column}").eqNullSafe(F.col(f"o.{column}"))
+    joined = ranked.join(offsets.alias("o"), same)
+    return joined.selectExpr(*[f"c.`{c}`" for c in df.columns], f"cast(_before + _inside as int) as {name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.ranking import HOT_ROWS, hot_keys, row_numbers
+from tracelake.operators.ranking import row_numbers
 from tracelake.schema import USAGE
 from tracelake.session import cut_lineage
 
@@ -31,22 +31,21 @@ def spans_of(traces: DataFrame) -> DataFrame:
     )
 
 
-def nest_spans(spans: DataFrame, fields: list[str] | None = None, max_spans: int = MAX_SPANS) -> DataFrame:
-    """(trace_id, spans): spans in order as one array. The cap bounds every array."""
+def nest_spans(spans: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """(trace_id, spans): all spans in order as one array; ``cap_spans`` first where a limit is wanted."""
     fields = fields or [c for c in spans.columns if c not in ("trace_id", "pos")]
     packed = F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("span"))))
-    kept = spans.filter(F.col("pos") < max_spans)
-    return kept.groupBy("trace_id").agg(F.transform(packed, lambda x: x["span"]).alias("spans"))
+    return spans.groupBy("trace_id").agg(F.transform(packed, lambda x: x["span"]).alias("spans"))
 
 
 def spans_of_type(spans: DataFrame, span_type: str) -> DataFrame:
     return spans.filter(F.col("span_type") == span_type)
 
 
-def span_order(spans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Ordinal of each span in its trace by start, then id."""
-    hot = hot_keys(spans, "trace_id", hot_rows)
-    numbered = row_numbers(spans, "trace_id", ["start_time", "id"], ["date_trunc('second', start_time)"], "_n", hot)
+def span_order(spans: DataFrame) -> DataFrame:
+    """Ordinal of each span in its trace by start, then id, numbered slice by slice."""
+    slices = ["date_trunc('second', start_time)", "start_time", "substr(id, 1, 4)"]
+    numbered = row_numbers(spans, "trace_id", ["start_time", "id"], slices, "_n")
     return numbered.withColumn("pos", F.col("_n") - 1).drop("_n")
 
 
@@ -68,13 +67,15 @@ def cap_spans(spans: DataFrame, max_spans: int = MAX_SPANS) -> tuple[DataFrame,
 def with_parent(spans: DataFrame) -> DataFrame:
     """Adds parent_name and parent_type; a parent that is not in the trace becomes null.
 
-    A parent may have very many children; AQE splits such a key, since the parent side is unique.
+    A parent may have very many children; AQE splits such a key, since the parent side is unique: of spans that share an
+    id the first one counts.
     """
-    parents = spans.select(
+    first = F.min(F.struct("pos", "name", "span_type")).alias("_first") if "pos" in spans.columns else F.min(F.struct("name", "span_type")).alias("_first")
+    parents = spans.groupBy("trace_id", F.col("id").alias("parent_id")).agg(first).select(
         "trace_id",
-        F.col("id").alias("parent_id"),
-        F.col("name").alias("parent_name"),
-        F.col("span_type").alias("parent_type"),
+        "parent_id",
+        F.col("_first.name").alias("parent_name"),
+        F.col("_first.span_type").alias("parent_type"),
         F.lit(True).alias("_known"),
     )
     joined = spans.join(parents, ["trace_id", "parent_id"], "left")
@@ -133,6 +134,7 @@ def span_tree(spans: DataFrame) -> DataFrame:
     )
     counted = spans.join(children, ["trace_id", "id"], "left")
     inner = counted.filter(F.col("children") > 0)
+    inner = inner.dropDuplicates(["trace_id", "id"])  # spans may share an id; one of them is the parent
     known = inner.select("trace_id", F.col("id").alias("parent_id"), F.col("id").alias("up"))
     links = inner.join(known, ["trace_id", "parent_id"], "left").select(
         "trace_id", "id", "up", F.col("name").alias("label")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.analytics import STATS_RECENT, kpi_p95, kpi_stats, node_execution_totals
+from tracelake.operators.analytics import kpi_p95, kpi_stats, node_execution_totals
 from tracelake.operators.listing import DEFAULT_LIMIT, list_traces, page_bounds
 
 
@@ -27,7 +27,7 @@ def store_stats(rows: DataFrame) -> DataFrame:
 
 
 def dashboard(
-    rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, page: int | None = None, n: int | None = STATS_RECENT, **filters: object
+    rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, page: int | None = None, n: int | None = None, **filters: object
 ) -> Dashboard:
     """KPIs ignore the filters; the page and its total obey them."""
     limit, offset = page_bounds(limit, offset, page)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from time import sleep as time_passes
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -546,17 +547,17 @@ def _(spark, sf):
     SELECT node_name, CAST(sum(executions) AS BIGINT) AS executions FROM nc
     JOIN (SELECT id FROM r ORDER BY start_time DESC, id LIMIT 100) ON id = trace_id GROUP BY ALL"""))
 def _(spark, sf):
-    return analytics.node_execution_totals(rows_of(spark, sf))
+    return analytics.node_execution_totals(rows_of(spark, sf), 100)
 
 
 @query("node_execution_totals_all", with_sql(ROWS, select="SELECT node_name, CAST(sum(executions) AS BIGINT) AS executions FROM nc GROUP BY ALL"))
 def _(spark, sf):
-    return analytics.node_execution_totals(rows_of(spark, sf), None)
+    return analytics.node_execution_totals(rows_of(spark, sf))
 
 
 def _series_sql(start: str, end: str, buckets: int, width: int, where: str = "TRUE") -> str:
     return with_sql(ROWS, f"""
-    m AS (SELECT *, CAST(floor(epoch_us(start_time - {start}) / {width * 1_000_000}) AS BIGINT) AS bucket FROM
+    m AS (SELECT *, least(CAST(epoch_us(start_time - {start}) // {width * 1_000_000} AS BIGINT), {buckets} - 1) AS bucket FROM
           (SELECT r.*, start_time AS st FROM r) WHERE start_time >= {start} AND start_time <= {end} AND {where}),
     g AS (SELECT bucket, count(*) AS n, count(*) FILTER (WHERE has_error OR status = 'failed') AS e, count(duration_ms) AS timed,
                  sum({cents('duration_ms')}) AS c, sum(cost) AS cost, sum(total_tokens) AS tok,
@@ -578,7 +579,47 @@ for _token, (_interval, _n, _width) in _INTERVALS.items():
         return analytics.timeseries(rows_of(spark, sf), token, as_of=AS_OF)
 
 
-@query("timeseries", _series_sql("TIMESTAMP '1995-01-01'", oracle.AS_OF, 30, 86400, "environment = 'production'"))
+def _stored(spark: SparkSession, sf: str, period: str) -> DataFrame:
+    path = scratch_path(spark, f"rows-by-{period}")
+    store.write_trace_rows(rows_of(spark, sf), path, period=period)
+    return store.read_trace_rows(spark, path)
+
+
+def _over_periods(spark: SparkSession, sf: str, figures: Callable[[DataFrame], DataFrame], *periods: str) -> DataFrame:
+    """The same figures from tables partitioned by each period."""
+    parts = [figures(_stored(spark, sf, period)).withColumn("period", F.lit(period)) for period in periods]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _each_period(sql: str, *periods: str) -> str:
+    return f"SELECT * FROM ({sql}) x, (VALUES {', '.join(f'({chr(39)}{p}{chr(39)})' for p in periods)}) p(period)"
+
+
+@query("timeseries_stored", _each_period(_series_sql(f"({oracle.AS_OF} - INTERVAL 30 DAY)", oracle.AS_OF, 30, 86400), "month", "year"))
+def _(spark, sf):
+    return _over_periods(spark, sf, lambda rows: analytics.timeseries(rows, "30d", as_of=AS_OF), "month", "year")
+
+
+_RANGE = (datetime(1995, 3, 7, 5), datetime(1995, 6, 20, 17))
+
+
+@query("filter_by_time_stored", _each_period(with_sql(ROWS, select=f"SELECT count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM r WHERE start_time >= TIMESTAMP '{_RANGE[0]}' AND start_time <= TIMESTAMP '{_RANGE[1]}'"), "month", "year"))
+def _(spark, sf):
+    def found(rows: DataFrame) -> DataFrame:
+        chosen = listing.filter_traces(rows, from_time=_RANGE[0], to_time=_RANGE[1])
+        return chosen.agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+    return _over_periods(spark, sf, found, "month", "year")
+
+
+def _days(start: datetime, end: datetime) -> int:
+    return max(30, -(-int((end - start).total_seconds()) // 86400))
+
+
+@query("timeseries", _series_sql("TIMESTAMP '1995-01-01'", oracle.AS_OF, _days(datetime(1995, 1, 1), AS_OF), 86400, "environment = 'production'"))
 def _(spark, sf):
     return analytics.timeseries(rows_of(spark, sf), environment="production", start=datetime(1995, 1, 1), end=AS_OF, as_of=AS_OF)
 
@@ -589,8 +630,9 @@ def _(spark, sf):
 
 
 @query("timeseries_models", with_sql(ROWS, select="""
-    SELECT CAST(floor(epoch_us(start_time - TIMESTAMP '1995-01-01') / 86400000000) AS BIGINT) AS bucket, model, CAST(sum(calls) AS BIGINT) AS calls
-    FROM r JOIN mc ON mc.trace_id = id WHERE start_time >= TIMESTAMP '1995-01-01' AND start_time < TIMESTAMP '1995-01-31' GROUP BY ALL"""))
+    SELECT least(CAST(epoch_us(start_time - TIMESTAMP '1995-01-01') // 86400000000 AS BIGINT), """ + str(_days(datetime(1995, 1, 1), AS_OF) - 1) + """) AS bucket,
+      model, CAST(sum(calls) AS BIGINT) AS calls
+    FROM r JOIN mc ON mc.trace_id = id WHERE start_time >= TIMESTAMP '1995-01-01' AND start_time <= """ + oracle.AS_OF + """ GROUP BY ALL"""))
 def _(spark, sf):
     return analytics.timeseries_models(rows_of(spark, sf), start=datetime(1995, 1, 1), end=AS_OF, as_of=AS_OF)
 
@@ -615,21 +657,41 @@ def _nodes_sql(chosen: str) -> str:
            CAST(hi AS DOUBLE) AS max_duration_ms FROM g JOIN p USING (name), tot""")
 
 
-@query("node_analytics", _nodes_sql("SELECT id FROM r ORDER BY start_time DESC, id LIMIT 500"))
+@query("node_analytics", _nodes_sql("SELECT id FROM r"))
 def _(spark, sf):
     return analytics.node_analytics(rows_of(spark, sf))
 
 
+@query("node_analytics_recent", _nodes_sql("SELECT id FROM r ORDER BY start_time DESC, id LIMIT 500"))
+def _(spark, sf):
+    return analytics.node_analytics(rows_of(spark, sf), n=500)
+
+
+@query("timeseries_long", with_sql(ROWS, select="""
+    SELECT (SELECT count(*) FROM r WHERE start_time >= TIMESTAMP '1992-01-01' AND start_time <= """ + oracle.AS_OF + """) AS in_range,
+      (SELECT count(*) FROM r WHERE start_time >= TIMESTAMP '1992-01-01' AND start_time <= """ + oracle.AS_OF + """) AS in_buckets"""))
+def _(spark, sf):
+    rows, start = rows_of(spark, sf), datetime(1992, 1, 1)
+    placed = analytics.timeseries(rows, start=start, end=AS_OF, as_of=AS_OF).agg(F.sum("trace_count").alias("in_buckets"))
+    total = analytics.timeseries_total(rows, analytics.resolve_window(start=start, end=AS_OF, as_of=AS_OF))
+    return placed.select(F.lit(total).cast("bigint").alias("in_range"), "in_buckets")
+
+
 @query("node_analytics_all", _nodes_sql("SELECT id FROM r"))
 def _(spark, sf):
     return analytics.node_analytics(rows_of(spark, sf), n=None)
 
 
-@query("node_analytics_window", _nodes_sql(f"SELECT id FROM r WHERE start_time >= {oracle.AS_OF} - INTERVAL 30 DAY AND environment = 'staging' ORDER BY start_time DESC, id LIMIT 500"))
+@query("node_analytics_window", _nodes_sql(f"SELECT id FROM r WHERE start_time >= {oracle.AS_OF} - INTERVAL 30 DAY AND environment = 'staging' "))
 def _(spark, sf):
     return analytics.node_analytics(rows_of(spark, sf), "30d", environment="staging", as_of=AS_OF)
 
 
+@query("node_analytics_stored", _each_period(_nodes_sql(f"SELECT id FROM r WHERE start_time >= {oracle.AS_OF} - INTERVAL 30 DAY"), "month", "year"))
+def _(spark, sf):
+    return _over_periods(spark, sf, lambda rows: analytics.node_analytics(rows, "30d", as_of=AS_OF), "month", "year")
+
+
 @query("distinct_nodes", with_sql(SPANS, select="SELECT trace_id, count(DISTINCT name) AS nodes FROM s WHERE span_type = 'node' GROUP BY ALL"))
 def _(spark, sf):
     return metrics.node_counts(src.spans(spark, sf)).groupBy("trace_id").agg(F.count("*").alias("nodes"))
@@ -668,7 +730,11 @@ def _(spark, sf):
       (SELECT id, start_time FROM r WHERE environment = 'staging' ORDER BY start_time DESC, id LIMIT 20 OFFSET 40)) p,
     (SELECT count(*) AS n FROM r WHERE environment = 'staging') f"""))
 def _(spark, sf):
-    board = dashboard.dashboard(rows_of(spark, sf), limit=20, page=3, environment="staging")
+    return _board(rows_of(spark, sf))
+
+
+def _board(rows: DataFrame) -> DataFrame:
+    board = dashboard.dashboard(rows, limit=20, page=3, environment="staging")
     ordered = F.reverse(F.array_sort(F.collect_list(F.struct(F.unix_micros("start_time"), (-F.col("id").cast("bigint")).alias("k"), "id"))))
     # At most one page of ids; ids of the sample are numbers, but ties are ordered as text.
     page = board.page.agg(ordered.alias("page")).select(F.transform("page", lambda p: p["id"]).alias("page_ids"), F.lit(1).alias("k"))
@@ -678,6 +744,11 @@ def _(spark, sf):
     )
 
 
+@query("dashboard_stored", f"{SQL['dashboard']}")
+def _(spark, sf):
+    return _board(_stored(spark, sf, "month"))
+
+
 @query("rank_nodes", "SELECT node_name, frequency_pct FROM (" + _nodes_sql("SELECT id FROM r") + ") ORDER BY frequency_pct DESC, node_name LIMIT 3")
 def _(spark, sf):
     return analytics.node_analytics(rows_of(spark, sf), n=None).limit(3).select("node_name", "frequency_pct")
@@ -817,6 +888,23 @@ def _(spark, sf):
     return privacy.redact_texts(src.table(spark, sf, "documents").select("doc_id", "text"), ["text"])
 
 
+_DEEP = "repeat('[', 5000) || '{0}x {1}{0}' || repeat(']', 5000)"
+
+
+@query("mask_documents_nested", with_sql(TRACES, SPANS, select=r"""
+    SELECT s.trace_id, s.pos, '{"m":"to [EMAIL_REDACTED]","n":' || s.pos || ',"password":"[REDACTED]"}' AS inputs,
+      md5(CASE CAST(s.trace_id AS BIGINT) % 3 WHEN 0 THEN '{"text":"no [SSN_REDACTED]"}' WHEN 1 THEN '"' || """ + _DEEP.format('\\"', "[EMAIL_REDACTED]") + r""" || '"'
+        ELSE '"{\"mail\": \"[EMAIL_REDACTED]\", \"password\": \"[REDACTED]\""' END) AS input FROM s JOIN t ON t.id = s.trace_id"""))
+def _(spark, sf):
+    """Hits in every nested span; inputs that are plain, nested 5,000 deep, and broken."""
+    docs = src.documents(spark, sf)
+    sent = F.transform("spans", lambda s, i: s.withField("inputs", F.concat(F.lit('{"password":"p","m":"to a'), i.cast("string"), F.lit('@b.com","n":'), i.cast("string"), F.lit("}"))))
+    case = F.col("id").cast("bigint") % 3
+    text = F.when(case == 0, F.lit('{"text":"no 123-45-6789"}')).when(case == 1, F.expr(_DEEP.format('"', "a@b.com"))).otherwise(F.lit('{"mail": "a@b.com", "password": "p'))
+    masked = privacy.mask_traces(docs.withColumns({"spans": sent, "input": text}))
+    return masked.select(F.col("id").alias("trace_id"), F.md5("input").alias("input"), F.posexplode("spans").alias("pos", "s")).select("trace_id", "pos", "input", "s.inputs")
+
+
 @query("mask_conversations", f"SELECT conv_id, turn, role, {oracle.masked('text')} AS text FROM conversations")
 def _(spark, sf):
     return privacy.redact_texts(src.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), ["text"])
@@ -984,6 +1072,17 @@ def _(spark, sf):
     return whole.select("trace_id", "id", "parent_id", "name", "span_type", "status", "duration_ms", "total_cost")
 
 
+@query("rows_of_events", with_sql(TRACES, "asm AS (" + _ASSEMBLED + ")", """
+    g AS (SELECT trace_id, count(*) AS n, count(total_cost) AS priced, CAST(sum(CAST(total_cost AS DECIMAL(18,6))) AS DOUBLE) AS cost, bool_or(status = 'failed') AS bad,
+            bool_or(span_type = 'workflow' AND status = 'failed') AS broken FROM asm GROUP BY ALL)""", select="""
+    SELECT t.id, coalesce(n, 0) AS total_spans, coalesce(cost, 0.0) AS estimated_cost, coalesce(bad, FALSE) OR t.error IS NOT NULL AS has_error,
+      CASE WHEN t.status <> 'running' AND o_orderkey % 10 = 0 THEN 'failed' WHEN t.status = 'completed' AND bad THEN 'failed' ELSE t.status END AS status
+    FROM t LEFT JOIN g ON g.trace_id = t.id"""))
+def _(spark, sf):
+    rows = capture.rows_of_events(src.trace_events(spark, sf), src.span_events(spark, sf))
+    return rows.select("id", "total_spans", F.col("estimated_cost").cast("double").alias("estimated_cost"), "has_error", "status")
+
+
 @query("custom_spans", with_sql(SPANS, select="SELECT trace_id, id, name, 'custom' AS span_type, status FROM s WHERE span_type = 'eval'"))
 def _(spark, sf):
     return capture.custom_spans(src.span_events(spark, sf)).select("trace_id", "id", "name", "span_type", "status")
@@ -1090,10 +1189,15 @@ def _run_into(stream: DataFrame, spark: SparkSession, label: str, mode: str = "a
 @query("stream_ingest", with_sql(ROWS, select=f"SELECT {SUMMARY} FROM r"))
 def _(spark, sf):
     inbox, table = scratch_path(spark, "inbox"), scratch_path(spark, "ingested")
-    lines = trace_source.export_documents(src.documents(spark, sf))
-    # Every document is sent twice and broken lines are mixed in.
+    docs = src.documents(spark, sf)
+    # Older versions come first, some in larger files than the ones that count; broken lines are mixed in.
+    third = F.col("id").cast("bigint") % 3
+    older = docs.filter(third != 0).withColumns({"name": F.lit("old"), "status": F.lit("running")})
+    older = older.withColumn("input", F.when(third == 1, F.repeat(F.lit("1"), 9000)))
     broken = src.table(spark, sf, "orders").select(F.lit('{"id": "x", "na').alias("value"))
-    lines.unionByName(lines).unionByName(broken).write.text(inbox)
+    trace_source.export_documents(older).coalesce(1).write.text(inbox)
+    time_passes(1.1)  # a file's time tells which came later, in some stores only by the second
+    trace_source.export_documents(docs).unionByName(broken).write.mode("append").text(inbox)
     stream = live.trace_stream(spark, inbox)
     live.stream_ingest(stream, table, scratch_path(spark, "checkpoint"), period="year").awaitTermination()
     return listing.trace_summaries(store.read_trace_rows(spark, table))
@@ -1148,6 +1252,25 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/verdicts").select("request_id", "client", "ts", "rejected")
 
 
+def _shuffled_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in three files that go back in time from one to the next, each event in two of them."""
+    path = scratch_path(spark, "days-backwards")
+    events = src.table(spark, sf, "events").withColumn("_part", F.pmod(F.col("event_id"), F.lit(3)))
+    for part in (2, 1, 0):
+        late = F.expr(f"ts - interval {2 - part} months").alias("ts")
+        rows = events.filter(F.col("_part").isin(part, (part + 1) % 3)).select("event_id", late, "user_id")
+        rows.coalesce(1).write.mode("append").parquet(path)
+        time_passes(1.1)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("dedup_late_events", "SELECT event_id, user_id, 1 AS n FROM events")
+def _(spark, sf):
+    """Late first copies over three batches survive, replays do not."""
+    kept = _run_into(live.dedup_events(_shuffled_days(spark, sf), ["event_id"]), spark, "late-first")
+    return kept.groupBy("event_id", "user_id").agg(F.count("*").alias("n"))
+
+
 @query("dedup_events", f"SELECT event_id, {time('ts')} AS ts, user_id FROM events")
 def _(spark, sf):
     path = scratch_path(spark, "replayed")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators.ranking import hot_keys, row_numbers
+from tracelake.operators.ranking import row_numbers
 from tracelake.schema import USAGE
 
 AS_OF = datetime(2001, 8, 2)
@@ -50,23 +50,11 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_HOT: dict[str, list] = {}
-
-
-def _hot_orders(spark: SparkSession, sf_dir: str) -> list:
-    """Orders with very many line items, looked up once per table."""
-    if sf_dir not in _HOT:
-        keys = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as string) as trace_id")
-        _HOT[sf_dir] = hot_keys(keys, "trace_id")
-    return _HOT[sf_dir]
-
-
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One span per line item, ordered inside its order."""
+    """One span per line item, ordered inside its order, which has a handful of them."""
     line = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as string) as trace_id", "l_returnflag", *SPAN_ORDER)
     models = ", ".join(f"'{m}'" for m in MODELS)
-    slices = ["l_linenumber", "l_partkey div 10000"]
-    typed = row_numbers(line, "trace_id", SPAN_ORDER, slices, "seq", _hot_orders(spark, sf_dir)).selectExpr(
+    typed = row_numbers(line, "trace_id", SPAN_ORDER, [], "seq").selectExpr(
         "*", "cast(l_quantity * 100 as bigint) as prompt", "l_partkey % 500 as completion",
         "cast(cast(l_quantity as int) as string) as q",
     ).selectExpr(
@@ -121,7 +109,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed trace documents: traces with their spans nested and usage inside span metadata."""
     tokens = ", ".join(f"'{n}', usage.{n}" for n in ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens"))
     usage = f"to_json(named_struct('usage', named_struct({tokens})))"
-    packed = timed_spans(spark, sf_dir).filter("pos < 1000").selectExpr(
+    packed = timed_spans(spark, sf_dir).selectExpr(
         "trace_id as id", "pos",
         f"""named_struct('id', id, 'trace_id', trace_id, 'parent_id', parent_id, 'name', name, 'span_type', span_type, 'status', status,
             'start_time', start_time, 'end_time', start_time + interval 1 second, 'duration_ms', duration_ms, 'inputs', inputs,

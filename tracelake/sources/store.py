@@ -13,7 +13,8 @@ from tracelake.session import scratch_path
 from tracelake.sources.traces import align_schema, get_traces
 
 PARTITIONS = ["start_date", "environment"]
-TOP_K_LIMIT = 10_000
+# Hidden from readers of the table.
+PERIOD_NOTE = "_period"
 
 
 def append_traces(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -36,11 +37,23 @@ def dated(rows: DataFrame, period: str = "day") -> DataFrame:
     return rows.withColumn("start_date", F.to_date(F.date_trunc(period, "start_time")))
 
 
+def table_period(spark: SparkSession, path: str) -> str | None:
+    """The period the stored table is partitioned by, as noted beside it; null if there is no note."""
+    note = f"{path}/{PERIOD_NOTE}"
+    return spark.read.text(note).first()[0] if _exists(spark, note) else None
+
+
 def write_trace_rows(rows: DataFrame, path: str, mode: str = "overwrite", period: str = "day") -> None:
     """Rows by date and environment, in time order inside files so that row groups can be skipped.
 
-    Only the partitions present in ``rows`` are replaced.
+    Only the partitions present in ``rows`` are replaced. A table keeps the period it was first written by.
     """
+    spark = rows.sparkSession
+    noted = table_period(spark, path)
+    if noted not in (None, period):
+        raise ValueError(f"the table is partitioned by {noted}")
+    if noted is None:
+        spark.createDataFrame([(period,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{PERIOD_NOTE}")
     _write(dated(rows, period), path, mode)
 
 
@@ -57,7 +70,10 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trace_rows(spark: SparkSession, path: str) -> DataFrame:
-    return align_schema(_stored(spark, path))
+    """The stored rows; ``start_date`` tells by its metadata which period it is the first day of."""
+    period = table_period(spark, path)
+    rows = align_schema(_stored(spark, path))
+    return rows.withMetadata("start_date", {"period": period}) if period else rows
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -65,12 +81,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _drop_partitions(spark: SparkSession, path: str, partitions: list) -> None:
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for row in partitions:
         day, env = row["start_date"], escape(row["environment"])
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/start_date={day}/environment={env}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, f"{path}/start_date={day}/environment={env}")
 
 
 def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, extra: DataFrame | None) -> None:
@@ -94,22 +114,31 @@ def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, extra: Data
     filled = {tuple(r) for r in content.select(*PARTITIONS).distinct().collect()}
     _write(content, path)
     _drop_partitions(spark, path, [row for row in touched if tuple(row) not in filled])
+    _delete(spark, staged)
 
 
-def upsert_into(path: str, incoming: DataFrame, period: str = "day") -> None:
+def upsert_into(path: str, incoming: DataFrame, period: str = "day", order: str | None = None) -> None:
     """Put trace rows into the stored table by id, rewriting only the partitions they touch.
 
-    A trace whose start moved to another day leaves its old partition.
+    A trace whose start moved to another day leaves its old partition. Of rows that share an id the one highest in
+    ``order`` is stored; without an order such rows are refused. ``period`` counts for a new table only.
     """
     spark = incoming.sparkSession
-    if not _exists(spark, path):
-        write_trace_rows(incoming, path, period=period)
-        return
+    if order is not None:
+        incoming = latest_by_id(incoming, order).drop(order)
+    period = table_period(spark, path) or period
     # Incoming rows are looked at several times; compute them once.
     arrived = scratch_path(spark, "arrived-rows")
     dated(incoming, period).write.parquet(arrived)
     fresh = _stored(spark, arrived)
-    _rewrite_without(spark, path, fresh.select("id").distinct(), fresh)
+    if order is None and fresh.groupBy("id").count().filter("count > 1").limit(1).count():
+        _delete(spark, arrived)
+        raise ValueError("an id occurs twice; name the column that orders its versions")
+    if _exists(spark, path):
+        _rewrite_without(spark, path, fresh.select("id").distinct(), fresh)
+    else:
+        write_trace_rows(fresh.drop("start_date"), path, period=period)
+    _delete(spark, arrived)
 
 
 def erase_from(spark: SparkSession, path: str, ids: DataFrame) -> int:
@@ -136,12 +165,11 @@ def clear(rows: DataFrame) -> DataFrame:
 def retain_newest(rows: DataFrame, n: int, order: str = "ingest_seq") -> DataFrame:
     """Latest version of the n traces inserted last; updating a trace does not make it newer.
 
-    ``ingest_seq`` numbers every write. Few are picked by top-k; many by an exact cut-off.
+    ``ingest_seq`` numbers every write; the cut-off is the exact n-th newest first write.
     """
     versions = rows.groupBy("id").agg(F.min(order).alias("_first"), F.max(order).alias(order))
-    if n <= TOP_K_LIMIT:
-        kept = versions.orderBy(F.col("_first").desc()).limit(n)
-    else:
-        cut = order_statistic(versions, [], "_first", lambda total: F.greatest(total - n, F.lit(0)), "_cut", few_groups=True)
-        kept = versions.join(F.broadcast(cut), F.col("_first") >= F.col("_cut"))
+    if n <= 0:
+        return rows.limit(0)
+    cut = order_statistic(versions, [], "_first", lambda total: F.greatest(total - n, F.lit(0)), "_cut")
+    kept = versions.join(F.broadcast(cut), F.col("_first") >= F.col("_cut"))  # the cut is one row
     return rows.join(kept.select("id", order), ["id", order], "left_semi")

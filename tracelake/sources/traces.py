@@ -20,8 +20,6 @@ from tracelake.schema import (
     STATUSES,
 )
 
-MAX_IDS_INLINE = 10_000
-
 
 def read_traces(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """Trace documents as written, one per line, or with ``multi_line`` one file per document or list.
@@ -38,6 +36,9 @@ def reject_reason(df: DataFrame) -> Column:
     def outside(value: Column, domain: list[str]) -> Column:
         return value.isNotNull() & ~value.isin(domain)
 
+    def unreadable(time: Column) -> Column:
+        return (F.coalesce(time, F.lit("")) != "") & parse_iso(time).isNull()
+
     def bad_span(span: Column) -> Column:
         return (
             span.isNull() | span["id"].isNull() | span["trace_id"].isNull() | span["name"].isNull()
@@ -57,6 +58,7 @@ def reject_reason(df: DataFrame) -> Column:
             "incomplete http",
         )
         .when(F.exists("spans", bad_span), "invalid span")
+        .when(unreadable(col("start_time")) | unreadable(col("end_time")), "unreadable time")
     )
 
 
@@ -71,12 +73,12 @@ def _default(value: Column, default: str) -> Column:
     return F.coalesce(value, F.lit(default))
 
 
-def apply_defaults(df: DataFrame, now: datetime | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def apply_defaults(df: DataFrame, now: datetime | Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Raw documents to typed ones: defaults filled in, times parsed, free-form fields as JSON text.
 
     Columns to ``keep`` follow as they are.
     """
-    moment = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    moment = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now).cast("timestamp")
 
     def text(value: Column, default: str | None = None) -> Column:
         parsed = F.to_json(value)
@@ -125,13 +127,10 @@ def parse_documents(rows: DataFrame, column: str) -> DataFrame:
 
 
 def get_traces(traces: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
-    """Traces with the given ids; ids not stored give no row. Long lists come as a frame."""
-    if isinstance(ids, DataFrame):
-        return traces.join(ids.select("id").distinct(), "id", "left_semi")
-    if len(ids) > MAX_IDS_INLINE:
-        wanted = traces.sparkSession.createDataFrame([(i,) for i in ids], "id string")
-        return get_traces(traces, wanted)
-    return traces.filter(F.col("id").isin(list(ids)))
+    """Traces with the given ids, a list or a frame; ids not stored give no row."""
+    if not isinstance(ids, DataFrame):
+        ids = traces.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+    return traces.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def export_documents(traces: DataFrame) -> DataFrame:

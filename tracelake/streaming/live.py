@@ -25,16 +25,24 @@ from tracelake.sources.traces import apply_defaults, split_valid
 def trace_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """JSON trace documents appearing in a folder."""
     reader = spark.readStream.schema(RAW_TRACE).option("columnNameOfCorruptRecord", "_corrupt_record")
-    return reader.option("maxFilesPerTrigger", max_files).json(path)
+    files = reader.option("maxFilesPerTrigger", max_files).json(path)
+    # files are read in any order and large ones in pieces: this is the order in which they came
+    arrival = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
+    return files.select("*", arrival.alias("_arrival"))
 
 
 def rows_of_documents(raw: DataFrame, own: RateCard | None = None, now: datetime | None = None) -> DataFrame:
     """Raw documents to trace rows: malformed ones skipped, of documents sent again the last one kept.
 
-    Documents are reduced to rows where they are read; only those narrow rows are shuffled by id.
+    The last one is that of the file that arrived last (``trace_stream`` tells), and in it the last line. Documents
+    are reduced to rows where they are read; only those narrow rows are shuffled by id. A document without a start
+    gets ``now``, else the time its file arrived, so that reading it again gives the same row.
     """
-    valid, _ = split_valid(raw.withColumn("ingest_seq", F.monotonically_increasing_id()))
-    rows = trace_rows(apply_defaults(valid, now, keep=["ingest_seq"]), own=own, keep=["ingest_seq"])
+    known = "_arrival" in raw.columns
+    place = F.monotonically_increasing_id().alias("line")
+    valid, _ = split_valid(raw.withColumn("ingest_seq", F.struct(*[F.col("_arrival")] * known, place)))
+    moment = F.col("_arrival.file_modification_time") if known and now is None else now
+    rows = trace_rows(apply_defaults(valid, moment, keep=["ingest_seq"]), own=own, keep=["ingest_seq"])
     return latest_by_id(rows).drop("ingest_seq")
 
 
@@ -149,6 +157,9 @@ def live_rate(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def dedup_events(events: DataFrame, keys: list[str], time: str = "ts", lateness: str = "1 day") -> DataFrame:
-    """Drop replays that arrive within the lateness of the first copy."""
-    return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
+def dedup_events(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The first copy of each event, however late it or a replay comes.
+
+    The keys seen are kept for good, on disk by the state store, spread over tasks by key.
+    """
+    return events.dropDuplicates(keys)
