@@ -26,50 +26,68 @@ def events(spark, *rows):
     return spark.createDataFrame(list(rows), EVENT)
 
 
-def lifecycle(spark):
-    usage = {"generations": [{"text": "hi"}, {"text": "x", "message": {"usage_metadata": {"input_tokens": 15, "output_tokens": 25, "total_tokens": 40}}}]}
+NODE_TAG = capture.NODE_KEY
+
+
+def invoice_run(spark):
+    """A mail is sorted by a model, then booked by a tool inside a second step; one end has no start."""
+    answer = {"generations": [{"text": "invoice", "message": {"usage_metadata": {"input_tokens": 210, "output_tokens": 8, "total_tokens": 218}}}]}
     return events(
         spark,
-        event(0, "root", serialized={"name": "Workflow"}, inputs={"question": "hello"}),
-        event(1, "node", parent="root", metadata={"langgraph_node": "agent_node"}, inputs={"question": "hello"}),
-        event(2, "llm", kind="chat", parent="node", params={"model": "gpt-4o"}, inputs=[{"type": "ai", "content": "hi"}]),
-        event(3, "llm", "end", "chat", outputs=usage),
-        event(4, "tool", kind="tool", parent="node", serialized={"name": "calculator"}, inputs="2+2"),
-        event(5, "tool", "end", "tool", outputs="4"),
-        event(6, "node", "end", outputs={"answer": "4", "steps": 1}),
-        event(7, "root", "end", outputs={"result": "done"}),
-        event(8, "stray", "end", outputs={}),
+        event(0, "flow", serialized={"name": "Mailroom"}, inputs={"mail": "please pay"}),
+        event(2, "sort", parent="flow", metadata={NODE_TAG: "sort_mail"}, inputs={"mail": "please pay"}),
+        event(3, "ask", kind="chat", parent="sort", params={"model": "gpt-4o"}, inputs=[{"type": "human", "content": "what is it"}]),
+        event(6, "ask", "end", "chat", outputs=answer),
+        event(7, "sort", "end", outputs={"class": "invoice"}),
+        event(8, "book", parent="flow", metadata={NODE_TAG: "book_it"}, inputs={"class": "invoice"}),
+        event(9, "ledger", kind="tool", parent="book", serialized={"name": "ledger"}, inputs="add 12"),
+        event(11, "ledger", "end", "tool", outputs="row 5"),
+        event(12, "book", "end", outputs={"row": 5, "class": "invoice"}),
+        event(13, "nobody", "end", outputs={}),
+        event(15, "flow", "end", outputs={"booked": True}),
     )
 
 
-def test_lifecycle(spark):
-    got = {r["id"]: r for r in capture.assemble_spans(lifecycle(spark)).collect()}
-    assert set(got) == {"root", "node", "llm", "tool"}
-    assert [(got[i]["name"], got[i]["span_type"], got[i]["parent_id"]) for i in ("root", "node", "llm", "tool")] == [
-        ("Workflow", "workflow", None), ("agent_node", "node", "root"), ("Chat: gpt-4o", "llm", "node"), ("Tool: calculator", "tool", "node"),
-    ]
-    assert got["llm"]["total_tokens"] == 40 and got["llm"]["total_cost"] > 0 and got["llm"]["model"] == "gpt-4o"
-    assert json.loads(got["tool"]["inputs"]) == {"input": "2+2"} and json.loads(got["tool"]["outputs"]) == {"output": "4"}
-    assert got["root"]["duration_ms"] == 7000.0 and all(r["status"] == "completed" for r in got.values())
+def test_spans_of_a_run(spark):
+    got = {r["id"]: r for r in capture.assemble_spans(invoice_run(spark)).collect()}
+    shape = {i: (r["name"], r["span_type"], r["parent_id"], r["pos"]) for i, r in got.items()}
+    assert shape == {
+        "flow": ("Mailroom", "workflow", None, 0), "sort": ("sort_mail", "node", "flow", 1), "ask": ("Chat: gpt-4o", "llm", "sort", 2),
+        "book": ("book_it", "node", "flow", 3), "ledger": ("Tool: ledger", "tool", "book", 4),
+    }
+    assert got["ask"]["usage"]["total_tokens"] == 218 and got["ask"]["total_cost"] > 0
+    assert [json.loads(got["ledger"][c]) for c in ("inputs", "outputs")] == [{"input": "add 12"}, {"output": "row 5"}]
+    assert got["flow"]["duration_ms"] == 15000.0 and {r["status"] for r in got.values()} == {"completed"}
 
 
 def test_state_updates(spark):
-    kept, report = capture.node_state_updates(lifecycle(spark))
-    [row] = kept.collect()
-    assert row["node"] == "agent_node" and json.loads(row["update"]) == {"answer": "4", "steps": 1}
-    many = [event(i, f"r{i}", metadata={"langgraph_node": "n"}) for i in range(10)] + [event(20 + i, f"r{i}", "end", outputs={"i": i}) for i in range(10)]
-    kept, report = capture.node_state_updates(events(spark, *many), 5)
-    assert [json.loads(r["update"])["i"] for r in kept.orderBy("n").collect()] == [0, 1, 2, 3, 4]
+    kept, _ = capture.node_state_updates(invoice_run(spark))
+    assert [(r["node"], json.loads(r["update"])) for r in kept.orderBy("n").collect()] == [("sort_mail", {"class": "invoice"}), ("book_it", {"row": 5, "class": "invoice"})]
+    many = [event(i, f"r{i}", metadata={NODE_TAG: "n"}) for i in range(9)] + [event(40 + i, f"r{i}", "end", outputs={"k": i * i}) for i in range(9)]
+    kept, report = capture.node_state_updates(events(spark, *many), 4)
+    assert [json.loads(r["update"])["k"] for r in kept.orderBy("n").collect()] == [0, 1, 4, 9]
     assert report.first()["truncated"]
 
 
 def test_trace_io(spark):
-    row = capture.trace_io(capture.assemble_spans(lifecycle(spark))).first()
-    assert json.loads(row["input"]) == {"question": "hello"} and json.loads(row["output"]) == {"result": "done"} and row["error"] is None
+    row = capture.trace_io(capture.assemble_spans(invoice_run(spark))).first()
+    assert json.loads(row["input"]) == {"mail": "please pay"} and json.loads(row["output"]) == {"booked": True} and row["error"] is None
+
+
+def test_rows_of_events(spark):
+    life = [("t", 0, START, "start", "mail run", None, None, None), ("t", 1, START + timedelta(seconds=16), "finish", None, "completed", None, None)]
+    life = spark.createDataFrame(life, "trace_id string, seq bigint, ts timestamp, phase string, name string, status string, output string, error string")
+    spans = capture.assemble_spans(invoice_run(spark))
+    whole = capture.traces_of_events(life, invoice_run(spark), spans).first()
+    told = json.loads(whole["metadata"])["node_state_updates"]
+    assert [(u["node"], u["update"]) for u in told] == [("sort_mail", {"class": "invoice"}), ("book_it", {"row": 5, "class": "invoice"})]
+    assert json.loads(whole["output"]) == {"booked": True}
+    row = capture.rows_of_events(life, invoice_run(spark)).first()
+    assert (row["total_spans"], row["llm_calls"], row["total_tokens"], row["status"]) == (5, 1, 218, "completed") and row["estimated_cost"] > 0
 
 
 def test_inner_executions_alternate(spark):
-    tag = {"langgraph_node": "n"}
+    tag = {NODE_TAG: "n"}
     runs = [event(0, "root", name="flow"), event(1, "r1", parent="root", metadata=tag)]
     runs += [event(i, f"r{i}", parent=f"r{i - 1}", metadata=tag) for i in range(2, 8)]
     runs += [event(20, "p", parent="root", name="n"), event(21, "q", parent="p", metadata=tag), event(22, "q2", parent="q", metadata=tag), event(30, "other", parent="gone", name="z")]
@@ -213,9 +231,9 @@ def test_client_key(spark):
 
 
 def test_stream_of_spans_matches_batch(spark, tmp_path):
-    log = lifecycle(spark)
+    log = invoice_run(spark)
     path = str(tmp_path / "log")
-    for low, high in ((0, 4), (4, 9)):
+    for low, high in ((0, 7), (7, 16)):
         log.filter(F.col("seq").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
     query = live.stream_spans(stream).writeStream.outputMode("complete").format("memory").queryName("assembled")

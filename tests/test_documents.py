@@ -31,9 +31,9 @@ def test_mask_text(spark, raw, clean):
 
 
 def test_own_rules_and_keys(spark):
-    doc = json.dumps({"badge": "EMP-1234", "Employee_Id": 7, "text": "EMP-1234 a@b.co"})
-    masked = one(spark, doc, lambda c: docs.mask_document(c, [(r"\bEMP-\d{4}\b", "[EMP]")], ["Employee_ID"]))
-    assert json.loads(masked) == {"badge": "[EMP]", "Employee_Id": "[REDACTED]", "text": "[EMP] [EMAIL_REDACTED]"}
+    doc = json.dumps({"badge": "ward 17-B", "Employee_Id": 7, "text": "ward 17-B a@b.co"})
+    masked = one(spark, doc, lambda c: docs.mask_document(c, [(r"\bward \d+-[A-Z]\b", "[WARD]")], ["Employee_ID"]))
+    assert json.loads(masked) == {"badge": "[WARD]", "Employee_Id": "[REDACTED]", "text": "[WARD] [EMAIL_REDACTED]"}
 
 
 def test_mask_document(spark):

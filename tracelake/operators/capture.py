@@ -23,8 +23,12 @@ from tracelake.schema import HTTP, USAGE
 from tracelake.session import cut_lineage
 
 
+# Fixed value: the metadata key under which a run tells its graph node.
+NODE_KEY = "langgraph_node"
+
+
 def _node(metadata: str) -> Column:
-    return F.expr(json_text(metadata, "langgraph_node"))
+    return F.expr(json_text(metadata, NODE_KEY))
 
 
 def _model_at_start(start: str = "") -> str:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.operators.capture import NODE_KEY
 from tracelake.operators.ranking import row_numbers
 from tracelake.schema import USAGE
 
@@ -144,7 +145,7 @@ def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         """case when span_type = 'workflow' then '{"name":"workflow"}'
            when kind = 'tool' then concat('{"name":"', replace(name, 'Tool: ', ''), '"}') end as serialized""",
         "cast(null as array<string>) as tags",
-        """if(span_type = 'node', concat('{"langgraph_node":"', name, '"}'), '{}') as metadata""",
+        f"""if(span_type = 'node', concat('{{"{NODE_KEY}":"', name, '"}}'), '{{}}') as metadata""",
         """if(span_type = 'llm', concat('{"model":"', regexp_replace(name, '^(LLM|Chat): ', ''), '"}'), null) as invocation_params""",
         "coalesce(inputs, '{}') as inputs", "none as outputs", "none as llm_output", "none as error_type", "none as error_message",
         "none as traceback",
