@@ -49,7 +49,7 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("how", [Join(filter_bits=12, hot_from=4), replace(Join(filter_bits=12), stars=1)])
+@pytest.mark.parametrize("how", [Join(filter_bits=12, hot_from=4), replace(Join(filter_bits=12), stars=3)])
 def test_groups_equal_all_pairs(make_docs, how):
     texts = corpus(8)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(make_docs(texts), how).collect()}

@@ -19,7 +19,7 @@ def test_top_k_equals_brute_force_with_ties(spark, how):
     vectors = {int(i): seed.normal(0, 0.3, 6).round(2).tolist() for i in range(150)}
     vectors |= {i: vectors[3] for i in range(150, 190)} | {i: [1.0, 2.0] for i in range(190, 193)}
     rows = [(i, v, 1) for i, v in vectors.items()] + [(3, vectors[3], 1)]
-    rows += [(500, None, 1), (501, [], 1), (502, [1.0, None, 0, 0, 0, 0], 1), (520, [float("nan")] * 6, 1), (540, [float("inf")] * 6, 1), (None, vectors[3], 1)]
+    rows += [(500, None, 1), (501, [], 1), (502, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (520, [float("nan")] * 6, 1), (540, [float("inf")] * 6, 1), (None, vectors[3], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     clean = kdtree_search.clean(frame, "vec_id", "embedding", 64.0)
     got = kdtree_search.top_k(clean, clean.where("id % 10 = 0"), how).collect()
