@@ -178,6 +178,13 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, few at a time, as each text is held as a Python string."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("plain", pa.bool_())]))
 
 
@@ -187,7 +194,7 @@ def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = docs.select(*keep, F.array(one).alias("spans")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = []
             for t in batch.column(len(keep)).to_pylist():
                 plain, added = find(t or "")
@@ -202,7 +209,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns, with the spans of ``text`` blotted out; a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             k = batch.schema.names.index("text")
             texts = [t if t is None else redacted(t, [s for part in find(t) for s in part]) for t in batch.column(k).to_pylist()]
             yield batch.set_column(k, "text", pa.array(texts, pa.string()))
