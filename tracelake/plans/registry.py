@@ -1249,7 +1249,7 @@ def _(spark, sf):
         F.timestamp_micros(F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(500))).alias("ts"),
     )
     live.live_rate(stream, 3, path, scratch_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(f"{path}/verdicts").select("request_id", "client", "ts", "rejected")
+    return live.live_verdicts(spark, path)
 
 
 def _shuffled_days(spark: SparkSession, sf: str) -> DataFrame:

@@ -125,38 +125,46 @@ def rate_screen(requests: DataFrame, per_minute: int, lateness: str = "1 hour")
     return counted.filter(F.col("requests") > per_minute).select("client", F.col("window.start").alias("minute_start"), "requests")
 
 
-def live_rate(
-    requests: DataFrame, per_minute: int, path: str, checkpoint: str, keep: str = "1 day", trigger: dict | None = None
-) -> StreamingQuery:
-    """Exact verdicts per request, written per micro-batch under ``path``/verdicts.
+def live_rate(requests: DataFrame, per_minute: int, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Exact verdicts per request, written per micro-batch under ``path``/verdicts; ``live_verdicts`` reads them.
 
-    What a client's next request depends on are its accepted requests of the last minute, at most
-    the limit. They are stored per batch under ``path``/recent and lead the next batch in.
+    A batch judges its requests together with all later ones of the same clients, so a late request changes the verdicts
+    it would have changed had it come in time. What went before counts through the accepted requests of the minute before.
     """
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("request_id", "client", "ts")
         if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(_per_batch(f"{path}/recent", batch_id - 1)))
-        verdicts = _per_batch(f"{path}/verdicts", batch_id)
+            minute = F.expr("interval 60 seconds")
+            since = rows.groupBy("client").agg(F.min("ts").alias("since"))
+            earliest = since.agg(F.min("since")).first()[0]  # lets the scan skip older batches
+            if earliest is None:
+                return
+            # a batch that runs again must not see what it wrote before
+            told = live_verdicts(spark, path, before=batch_id, since=earliest).join(since, "client")
+            later = told.filter(F.col("ts") >= F.col("since")).select("request_id", "client", "ts")
+            lead = told.filter(~F.col("rejected") & (F.col("ts") < F.col("since")) & (F.col("ts") > F.col("since") - minute))
+            rows = rows.unionByName(later).unionByName(lead.select(F.lit(None).cast("string").alias("request_id"), "client", "ts"))
         everything = rate_violations(rows, per_minute)
-        everything.filter(F.col("request_id").isNotNull()).write.mode("overwrite").parquet(verdicts)
-        judged = spark.read.parquet(verdicts).filter(~F.col("rejected")).select("client", "ts")
-        if batch_id > 0:
-            judged = judged.unionByName(spark.read.parquet(_per_batch(f"{path}/recent", batch_id - 1)).select("client", "ts"))
-        last = judged.groupBy("client").agg(F.max("ts").alias("last"))
-        newest = judged.agg(F.max("ts").alias("newest"))
-        live = last.join(F.broadcast(newest), F.col("last") >= F.col("newest") - F.expr(f"interval {keep}"))
-        recent = judged.join(live.select("client", "last"), "client")
-        recent = recent.filter(F.col("ts") > F.col("last") - F.expr("interval 60 seconds"))
-        recent = recent.select(F.lit(None).cast("string").alias("request_id"), "client", "ts")
-        recent.write.mode("overwrite").parquet(_per_batch(f"{path}/recent", batch_id))
+        everything.filter(F.col("request_id").isNotNull()).write.mode("overwrite").parquet(_per_batch(f"{path}/verdicts", batch_id))
 
     writer = requests.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def live_verdicts(spark: SparkSession, path: str, before: int | None = None, since: datetime | None = None) -> DataFrame:
+    """(request_id, client, ts, rejected): the last verdict on each request, of batches ``before`` one and of a minute before
+    ``since`` on."""
+    told = spark.read.parquet(f"{path}/verdicts")
+    if before is not None:
+        told = told.filter(F.col("batch") < before)
+    if since is not None:
+        told = told.filter(F.col("ts") > F.lit(since).cast("timestamp") - F.expr("interval 60 seconds"))
+    last = told.groupBy("request_id").agg(F.max(F.struct("batch", "client", "ts", "rejected")).alias("v"))
+    return last.select("request_id", "v.client", "v.ts", "v.rejected")
+
+
 def dedup_events(events: DataFrame, keys: list[str]) -> DataFrame:
     """The first copy of each event, however late it or a replay comes.
 
