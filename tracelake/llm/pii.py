@@ -42,21 +42,26 @@ _NUMBER = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\(\[\{<]", r"[\)\]\}>]"
 _AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punkt|punto|point)"
 _LABEL = r"[A-Za-z0-9-]+"
+_TOP = r"(?:com|org|net|edu|gov|info|io|de|fr|es)"
 _ANY_DOT = rf"(?:\.|[ ]?{_OPEN}[ ]?{_DOT}[ ]?{_CLOSE}[ ]?|[ ]dot[ ])"
 _RULES = re.compile(
     rf"""(?P<at>(?<=[A-Za-z0-9])[ ]*{_OPEN}[ ]*(?:{_AT}|@)[ ]*{_CLOSE}[ ]*(?=[A-Za-z0-9]))
     |(?P<bareat>(?<=[A-Za-z0-9])[ ]at[ ](?={_LABEL}(?:[ ]?{_OPEN}[ ]?{_DOT}[ ]?{_CLOSE}[ ]?|[ ]dot[ ]){_LABEL}))
+    |(?P<namedat>(?<=[A-Za-z0-9])[ ]at[ ](?=(?:{_LABEL}\.)+{_TOP}(?![A-Za-z0-9-])))
     |(?P<spacedat>(?<=[A-Za-z0-9])(?:[ ]@[ ]?|@[ ])(?={_LABEL}{_ANY_DOT}{_LABEL}))
     |(?P<dot>(?<=[A-Za-z0-9])[ ]*{_OPEN}[ ]*(?:{_DOT}|\.)[ ]*{_CLOSE}[ ]*(?=[A-Za-z0-9]))
     |(?P<baredot>(?<=[A-Za-z0-9])[ ]dot[ ](?=[A-Za-z0-9]))
     |(?P<plus>\bplus[ ](?=(?:{_NUMBER})\b|[0-9]))
-    |(?P<digit>(?<![A-Za-z])(?:{_NUMBER})(?![A-Za-z]))
+    |(?P<digit>(?<![A-Za-z])(?:{_NUMBER})(?![A-Za-z])(?:[ -](?=(?:{_NUMBER})(?![A-Za-z])))?)
     |(?P<zero>(?<=[0-9])[Oo](?=[0-9]))
     |(?P<one>(?<=[0-9])[lI](?=[0-9]))""",
     re.X | re.I,
 )
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_NUMBER})(?![A-Za-z])[ ,.-]*(?:dot[ ])?(?:(?:{_NUMBER})(?![A-Za-z])|[0-9])|[0-9][ ,.-]*(?:{_NUMBER})(?![A-Za-z])", re.I)
 _BRACKET = re.compile(rf"{_OPEN}[ ]*(?:{_AT}|{_DOT}|@|\.)[ ]*{_CLOSE}", re.I)
+_NAMED = re.compile(rf"[A-Za-z0-9] at (?:{_LABEL}\.)+{_TOP}(?![A-Za-z0-9-])", re.I)
+#: A local part that no word of prose looks like.
+_LOCAL_NAME = re.compile(r"[A-Za-z0-9]*[0-9._%+-][A-Za-z0-9._%+-]*$")
 _MIXED = re.compile(r"[0-9][OolI][0-9]")
 
 
@@ -105,7 +110,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and _ODD.search(text):
         return True
     low = text.lower()
-    if ("at" in low or "dot" in low or "@" in low) and (" dot " in low or " @" in low or "@ " in low or _BRACKET.search(text)):
+    if ("at" in low or "dot" in low or "@" in low) and (" dot " in low or " @" in low or "@ " in low or _BRACKET.search(text) or " at " in low and _NAMED.search(text)):
         return True
     return _SPELLED.search(text) is not None or _MIXED.search(text) is not None
 
@@ -144,7 +149,9 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
     done = 0
     for m in _RULES.finditer(folded):
         kind = m.lastgroup
-        said = "@" if kind in ("at", "bareat", "spacedat") else "." if kind in ("dot", "baredot") else "+" if kind == "plus" else "0" if kind == "zero" else "1" if kind == "one" else str(_DIGITS[m[0].lower()])
+        if kind == "namedat" and not _LOCAL_NAME.search(folded, max(done, m.start() - 64), m.start()):
+            continue
+        said = "@" if kind in ("at", "bareat", "namedat", "spacedat") else "." if kind in ("dot", "baredot") else "+" if kind == "plus" else "0" if kind == "zero" else "1" if kind == "one" else str(_DIGITS[m[0].rstrip(" -").lower()])
         if done < m.start():
             write(folded[done : m.start()], done, m.start())
         write(said, m.start(), m.end())
