@@ -68,7 +68,7 @@ def idf(docs: DataFrame, vocab: list[str]) -> dict[str, float]:
 
 
 def _places(text: Column, phrase: str, label: str) -> Column:
-    """Starts of a phrase in an array of words, with its label."""
+    """Starts of a phrase in an array of words, with its label; ``said`` has the words as text."""
     said = phrase.split()
     last = F.size(text) - len(said)
 
@@ -78,7 +78,8 @@ def _places(text: Column, phrase: str, label: str) -> Column:
             out = out & (F.get(text, i + k) == w)
         return out
 
-    at = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), here)).otherwise(F.array().cast("array<int>"))
+    held = F.contains("said", F.lit(f" {phrase} "))
+    at = F.when(held, F.filter(F.sequence(F.lit(0), last), here)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
@@ -90,20 +91,31 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, looked_up
     weight = idf(docs, vocabulary(templates))
     spark = docs.sparkSession
     rarest = {max(p.split(), key=lambda w: (weight[w], w)) for p in [*PHRASES, *(t.mandatory for t in templates)]}
-    cut = docs.select("doc_id", F.xxhash64("text").alias("twin"), words(F.col("text")).alias("words"))
+    # a text without all the letters of some phrase's words needs no look; lower() only ever adds texts here
+    low, whole_phrase = F.lower("text"), F.lit(False)
+    for phrase in sorted({*PHRASES, *(t.mandatory for t in templates)}):
+        each = F.lit(True)
+        for word in phrase.split():
+            each = each & F.contains(low, F.lit(word))
+        whole_phrase = whole_phrase | each
+    cut = docs.where(whole_phrase).select("doc_id", F.xxhash64("text").alias("twin"), words(F.col("text")).alias("words"))
     files = cut.where(F.arrays_overlap("words", _strings(sorted(rarest))))
+    files = files.select("doc_id", "twin", "words", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("said"))
 
     weights = F.create_map(*[x for w, v in weight.items() for x in (F.lit(w), F.lit(v))])
     present = F.array_intersect("words", _strings(sorted(weight)))
     ranked = F.array_sort(F.transform(present, lambda w: F.struct((-F.element_at(weights, w)).alias("v"), w.alias("w"))))
     asked = F.transform(F.slice(ranked, 1, looked_up), lambda x: x["w"])
     base = F.concat(*[_places(F.col("words"), p, label) for p, label in PHRASES.items()])
-    said = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    held = F.filter(F.array(*[F.when(F.contains(said, F.lit(f" {t.mandatory} ")), F.lit(k)) for k, t in enumerate(templates)]), lambda k: k.isNotNull())
-    files = files.select("doc_id", "twin", "words", base.alias("base"), held.alias("held"), asked.alias("asked"))
-    postings = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains("asked", x["word"]))
+    held = F.filter(F.array(*[F.when(F.contains("said", F.lit(f" {t.mandatory} ")), F.lit(k)) for k, t in enumerate(templates)]), lambda k: k.isNotNull())
+    any_phrase = F.lit(False)
+    for phrase in {*PHRASES, *(t.mandatory for t in templates)}:
+        any_phrase = any_phrase | F.contains("said", F.lit(f" {phrase} "))
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
+    # the words asked for are bound once for a text, not worked out again for each of its words
+    postings = F.element_at(F.transform(F.array(asked), lambda some: F.filter(placed, lambda x: F.array_contains(some, x["word"]))), 1)
+    files = files.where(any_phrase).select("doc_id", "twin", base.alias("base"), held.alias("held"), postings.alias("postings"))
     # one row for each text, however often it occurs
-    files = files.where((F.size("base") > 0) | (F.size("held") > 0)).select("doc_id", "twin", "base", "held", postings.alias("postings"))
     files = stored(files.dropDuplicates(["doc_id", "twin"]), "licence-files")
 
     rows = []
