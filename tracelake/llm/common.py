@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,17 +46,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def per_batch(work: Callable[[pa.RecordBatch], Iterator[dict]], schema: pa.Schema) -> Callable:
-    """A function for mapInArrow: each batch gives some dicts of columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in work(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in schema], schema=schema)
-
-    return run
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text or binary column and the offset where each row starts; null counts as empty."""
     flat = column.cast(pa.large_binary()).fill_null(b"")
@@ -139,6 +128,14 @@ def row_blocks(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int,
         a = b
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches cut into runs of rows of limited text, each with the bytes and offsets of its text column."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(column))
+        for a, b in row_blocks(offsets):
+            yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """For each item the row it belongs to."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

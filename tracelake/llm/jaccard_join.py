@@ -3,7 +3,7 @@
 A set-relation-skipping join. Shingles are ordered by rarity, and a set is indexed under the first ones only, as far as a
 similar set must share one (prefix filter). Equal sets are one class. Each index list first checks its sets against one centre;
 sets linked to a centre form a block. Then lists skip: those whose sets are already connected; blocks
-whose sizes or positions in the list leave too little to share; and blocks for which the answer of their centre, off by at most
+whose sizes, positions in the list or parity bits leave too little to share; and blocks for which the answer of their centre, off by at most
 what the members lack of it, already rules every member out. Only what is left is compared set by set, so no
 link between different groups is lost, and links within a group need no proof.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import common
@@ -30,6 +30,10 @@ from tracelake.llm.common import stored
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bits of a shingle's hash that the counting of frequencies keeps.
 COUNTED = 40
+#: Words of 64 parity bits kept of a set: each shingle flips one bit, so two sets differ in at least as many shingles as bits.
+PARITY = 8
+#: Shingles before one in a set's index that tell whether two sets have met in an earlier list.
+EARLIER = 8
 
 
 @dataclass(frozen=True)
@@ -87,8 +91,8 @@ def frequencies(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]:
     bits, drop = ranges.bit_length() - 1, np.uint64(64 - COUNTED)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingles(*common.text_bytes(batch.column(0)), how.width))
+        for batch, data, offsets in common.blocks_of(batches, 0):
+            sets = list(shingles(data, offsets, how.width))
             kept, counts = np.unique(np.concatenate(sets) >> drop, return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             cut = np.searchsorted(kept, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(COUNTED - bits))
             small = kept.view(np.uint8).reshape(-1, 8)[:, : COUNTED // 8]
@@ -125,16 +129,16 @@ def frequencies(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, how: Join) -> DataFrame:
-    """(doc_id, n, f1, f2, tokens, places, members): size and fingerprint of each set; of its prefix the shingles that other
-    documents may hold, with their places in the order; and, if there are such, the whole set."""
+    """(doc_id, n, f1, f2, tokens, places, members, parity): size and fingerprint of each set; of its prefix the shingles
+    that other documents may hold, with their places in the order; and, if there are such, the whole set and its parity bits."""
     known = docs.sparkSession.sparkContext.broadcast((bitmap, hot))
-    schema = "doc_id long, n long, f1 long, f2 long, tokens array<long>, places array<int>, members array<long>"
+    schema = "doc_id long, n long, f1 long, f2 long, tokens array<long>, places array<int>, members array<long>, parity array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hot = known.value
-        for batch in batches:
-            n, f1, f2, tokens, places, members = [], [], [], [], [], []
-            for s in shingles(*common.text_bytes(batch.column(1)), how.width):
+        for batch, data, offsets in common.blocks_of(batches, 1):
+            n, f1, f2, tokens, places, members, parity = [], [], [], [], [], [], []
+            for s in shingles(data, offsets, how.width):
                 n.append(len(s))
                 f1.append(int(np.bitwise_xor.reduce(common.mix(s)).view(np.int64)) if len(s) else 0)
                 f2.append(int(np.add.reduce(common.mix(s ^ _STEP)).view(np.int64)) if len(s) else 0)
@@ -148,9 +152,11 @@ def signatures(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, how: Join)
                 tokens.append(s[first[at]].view(np.int64))
                 places.append(at.astype(np.int32))
                 members.append(s.view(np.int64) if len(at) else np.zeros(0, np.int64))
+                odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1 if len(at) else np.zeros(0, np.int64)
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())]
-            columns += [pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(members, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "tokens", "places", "members"])
+            columns += [pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(members, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "tokens", "places", "members", "parity"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -176,9 +182,18 @@ def _linked(checked: DataFrame, how: Join) -> DataFrame:
     return checked.where(_could(F.col("na"), F.col("nb"), F.col("shared"), how))
 
 
-def _grouped(lists: DataFrame, edges: DataFrame) -> DataFrame:
-    """The lists with the group of each node; lists whose nodes are all of one group are skipped."""
-    groups = common.components(edges)
+def _grouped(lists: DataFrame, edges: DataFrame, whole: bool) -> DataFrame:
+    """The lists with a group for each node; lists whose nodes are all of one group are skipped.
+
+    Nodes of one group are connected. Groups are the components if ``whole``; else their name is the smallest neighbour or
+    that one's smallest neighbour, and connected nodes may be in two groups, which costs comparisons and no link.
+    """
+    if whole:
+        groups = common.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    else:
+        low = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+        above = low.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        groups = low.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("component"))
     now = lists.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
     spread = now.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     return now.join(spread, "token")
@@ -199,7 +214,7 @@ def links(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
     nodes = stored(nodes, "nodes")
     own = rows.where(F.size("tokens") > 0).dropDuplicates(["doc_id", "f1", "f2"])
     own = own.join(nodes.select(F.col("node").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"])
-    sets = stored(own.select(F.col("doc_id").alias("node"), "n", "members", "tokens", "places"), "sets")
+    sets = stored(own.select(F.col("doc_id").alias("node"), "n", "members", "tokens", "places", "parity"), "sets")
     postings = sets.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select(F.col("p.tokens").alias("token"), "node", "n", F.col("p.places").alias("pos"))
     several = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     lists = stored(postings.join(several, "token").withColumn("grp", F.col("node")), "lists")
@@ -213,7 +228,7 @@ def links(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = verified(pairs, sets)
         checked = stored(found if checked is None else found.unionByName(checked), "checked")
-        lists = stored(_grouped(lists.drop("grp"), _linked(checked, how).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "lists")
+        lists = stored(_grouped(lists.drop("grp"), _linked(checked, how), seed == how.stars - 1), "lists")
     rest = _between_blocks(lists, sets, checked, how)
     edges = _linked(checked.unionByName(rest), how).select("a", "b").distinct()
     members = rows.select("doc_id", "n", "f1", "f2").join(nodes, ["f1", "f2", "n"], "left").select("doc_id", "n", "node")
@@ -229,11 +244,24 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how:
     centres = near.join(near.select(F.col("node").alias("x")), F.expr("-m.c") == F.col("x"), "left_anti").select("node", F.expr("-m.c").alias("c"), F.col("m.shared").alias("shared"))
     put = lists.join(centres, "node", "left").select("token", "node", "n", "pos", "grp", F.coalesce("c", "node").alias("c"), (F.col("n") - F.coalesce("shared", "n")).alias("off"))
     put = stored(put, "blocks")
-    block = put.groupBy("token", "c", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("off").alias("off"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    # two single sets that share an earlier list have met there already
+    before = Window.partitionBy("node").orderBy("pos").rowsBetween(-EARLIER, -1)
+    block = put.withColumn("earlier", F.collect_list("token").over(before)).groupBy("token", "c", "grp").agg(
+        F.min("n").alias("lo"),
+        F.max("n").alias("hi"),
+        F.max("off").alias("off"),
+        F.max(F.col("n") - F.col("pos")).alias("rest"),
+        F.when(F.count("*") == 1, F.max("earlier")).alias("earlier"),
+    )
+    centre = sets.select(F.col("node").alias("c"), F.col("n").alias("nc"), "parity")
+    block = stored(block.join(centre, "c"), "block-lists")
     x, y = block.alias("x"), block.alias("y")
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.grp") != F.col("y.grp")))
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.grp") != F.col("y.grp")) & ~F.coalesce(F.arrays_overlap("x.earlier", "y.earlier"), F.lit(False)))
     lo1, lo2 = F.col("x.lo"), F.col("y.lo")
-    both = both.where((F.col("x.hi") * 100 >= lo2 * how.percent) & (F.col("y.hi") * 100 >= lo1 * how.percent) & _could(lo1, lo2, F.least("x.rest", "y.rest"), how))
+    apart = sum((F.bit_count(F.get("x.parity", F.lit(k)).bitwiseXOR(F.get("y.parity", F.lit(k)))) for k in range(PARITY)), F.lit(0))
+    # twice the most that the centres share, and with what their members have beside them
+    most = F.col("x.nc") + F.col("y.nc") - apart + 2 * (F.col("x.off") + F.col("y.off"))
+    both = both.where((F.col("x.hi") * 100 >= lo2 * how.percent) & (F.col("y.hi") * 100 >= lo1 * how.percent) & _could(lo1, lo2, F.least("x.rest", "y.rest"), how) & _could(2 * lo1, 2 * lo2, most, how))
     both = both.groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(F.min("x.lo").alias("l1"), F.min("y.lo").alias("l2"), (F.max("x.off") + F.max("y.off")).alias("off"), F.max("x.off").alias("o1"), F.max("y.off").alias("o2"))
     both = stored(both, "block-pairs")
     answers = stored(verified(both.select("a", "b"), sets), "answers")
