@@ -72,3 +72,26 @@ def test_prefix_is_long_enough():
     for n in range(1, 300):
         need = -(-80 * n // 100)
         assert jaccard_join.prefix_size(n, 80) == n - need + 1
+
+
+def truncations(seed):
+    """Chains of texts cut shorter and shorter: a cut one lacks nothing of the longer one; some rows twice."""
+    pick = random.Random(seed)
+    texts, free = [], iter(pick.sample(range(1000), 1000))
+    for k in range(12):
+        words = [f"t{k}x{i}" for i in range(204)]
+        sizes = [204, 169, 139] + [pick.randrange(60, 204) for _ in range(k % 3)]
+        ids = sorted(next(free) for _ in sizes) if k % 2 else [next(free) for _ in sizes]
+        texts += [(i, " ".join(words[:n])) for i, n in zip(ids, sizes)]
+    return texts + texts[::5]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shorter_copies_are_linked_beside_their_centre(make_docs, seed):
+    texts = truncations(seed)
+    how = Join(filter_bits=12, hot_from=4)
+    got = jaccard_join.groups(make_docs(texts), how).collect()
+    assert len(got) == len(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected(dict(texts))
+    kept = sorted(r.doc_id for r in jaccard_join.first_of_each_group(make_docs(texts), how).collect())
+    assert kept == sorted({low for _, low in expected(dict(texts)).values()})

@@ -250,6 +250,7 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how:
         F.min("n").alias("lo"),
         F.max("n").alias("hi"),
         F.max("off").alias("off"),
+        F.max(F.col("node") != F.col("c")).alias("wide"),
         F.max(F.col("n") - F.col("pos")).alias("rest"),
         F.when(F.count("*") == 1, F.max("earlier")).alias("earlier"),
     )
@@ -262,13 +263,18 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how:
     # twice the most that the centres share, and with what their members have beside them
     most = F.col("x.nc") + F.col("y.nc") - apart + 2 * (F.col("x.off") + F.col("y.off"))
     both = both.where((F.col("x.hi") * 100 >= lo2 * how.percent) & (F.col("y.hi") * 100 >= lo1 * how.percent) & _could(lo1, lo2, F.least("x.rest", "y.rest"), how) & _could(2 * lo1, 2 * lo2, most, how))
-    both = both.groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(F.min("x.lo").alias("l1"), F.min("y.lo").alias("l2"), (F.max("x.off") + F.max("y.off")).alias("off"), F.max("x.off").alias("o1"), F.max("y.off").alias("o2"))
-    both = stored(both, "block-pairs")
+    met = both.select(F.col("x.token").alias("token"), F.col("x.c").alias("a"), F.col("y.c").alias("b"), lo1.alias("l1"), lo2.alias("l2"), F.col("x.off").alias("off1"), F.col("y.off").alias("off2"), (F.col("x.wide") | F.col("y.wide")).alias("wide"))
+    met = stored(met, "block-pairs")
+    both = met.groupBy("a", "b").agg(F.min("l1").alias("l1"), F.min("l2").alias("l2"), (F.max("off1") + F.max("off2")).alias("off"), F.max("wide").alias("wide"))
     answers = stored(verified(both.select("a", "b"), sets), "answers")
-    opened = both.where("o1 + o2 > 0").join(answers, ["a", "b"]).where(_could(F.col("l1"), F.col("l2"), F.col("shared") + F.col("off"), how)).select("a", "b")
+    # a member that lacks nothing of its centre, a shorter copy, may still be linked where its centre is not
+    opened = both.where("wide").join(answers, ["a", "b"]).where(_could(F.col("l1"), F.col("l2"), F.col("shared") + F.col("off"), how)).select("a", "b", "shared")
+    # only in the lists where the blocks passed: the first one that two linked sets share is among them
+    opened = met.where("wide").select("token", "a", "b").join(opened, ["a", "b"]).alias("o")
     u, v = put.alias("u"), put.alias("v")
-    pairs = u.join(opened, F.col("u.c") == F.col("a")).join(v, (F.col("u.token") == F.col("v.token")) & (F.col("v.c") == F.col("b")))
+    pairs = u.join(opened, (F.col("u.token") == F.col("o.token")) & (F.col("u.c") == F.col("a"))).join(v, (F.col("u.token") == F.col("v.token")) & (F.col("v.c") == F.col("b")) & (F.col("u.grp") != F.col("v.grp")))
     pairs = pairs.where(_sizes(F.col("u.n"), F.col("v.n"), how) & _could(F.col("u.n"), F.col("v.n"), F.least(F.col("u.n") - F.col("u.pos"), F.col("v.n") - F.col("v.pos")), how))
+    pairs = pairs.where(_could(F.col("u.n"), F.col("v.n"), F.col("shared") + F.col("u.off") + F.col("v.off"), how))
     pairs = pairs.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct().join(answers, ["a", "b"], "left_anti")
     return stored(verified(pairs, sets).unionByName(answers), "rest")
 
