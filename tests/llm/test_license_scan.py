@@ -40,3 +40,18 @@ def test_base_equals_the_phrases_and_labels_add(make_docs):
 
 def test_empty_table(make_docs):
     assert license_scan.scan(make_docs([])).count() == 0
+
+
+def test_a_label_is_not_crowded_out_by_the_words_of_others(make_docs):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    cc = "Licensed under CC BY-NC 4.0"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License"
+    texts = [(i, f"Some prose {i}. {cc}.") for i in range(40)]
+    texts += [(100, f"{mit}.\n{cc}."), (101, f"{bsd}.\n{mpl}.\n{mit}.\n{cc}.\nReleased under the BSD 3-Clause License."), (102, f"{mit}. " + "x " * 3000 + cc)]
+    # words of the notice strewn about must not hide the phrase itself
+    texts += [(103, "Redistribution, permitted modification, without use, or with: " * 3 + "in source and binary forms.")]
+    got = {r.doc_id: r for r in license_scan.scan(make_docs(texts)).collect()}
+    assert got[100].labels == got[102].labels == ["cc", "mit"]
+    assert got[101].labels == ["bsd", "cc", "mit", "mpl"] and got[103].labels == ["bsd"] and got[0].labels == ["cc"]
+    assert all(0 < r.score <= 1 for r in got.values())

@@ -1,8 +1,8 @@
 """Licence scan by a positional index of rare tokens, with DataFrame functions alone.
 
 Licence words get their inverse document frequency from all documents. A file is looked at if it holds the rarest word of a
-licence's mandatory phrase. Its licence words of the highest IDF then meet the postings of the templates; those that agree on
-one relative position vote for a template, weighted by IDF. A label needs an alignment of two words or more and a
+licence's mandatory phrase. Of each template whose mandatory phrase it holds, the words of that phrase and those of the highest
+IDF in the file then meet the postings of the template; those that agree on one relative position vote for it, weighted by IDF. A label needs an alignment of two words or more and a
 mandatory phrase, word by word.
 
 Null and empty texts have no words, no label and the score 0. Texts of any length are one row. Repeated rows get the same
@@ -86,7 +86,8 @@ def _places(text: Column, phrase: str, label: str) -> Column:
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, looked_up: int = 6) -> DataFrame:
     """Every document with n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted) and score.
 
-    The score is the share of a template's ``looked_up`` highest IDF weights that the best accepted alignment explains.
+    The score is the share of a template's ``looked_up`` highest IDF weights that the best accepted alignment explains. A
+    template's votes depend on no other template of the file.
     """
     weight = idf(docs, vocabulary(templates))
     spark = docs.sparkSession
@@ -102,19 +103,29 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, looked_up
     files = cut.where(F.arrays_overlap("words", _strings(sorted(rarest))))
     files = files.select("doc_id", "twin", "words", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("said"))
 
-    weights = F.create_map(*[x for w, v in weight.items() for x in (F.lit(w), F.lit(v))])
     present = F.array_intersect("words", _strings(sorted(weight)))
-    ranked = F.array_sort(F.transform(present, lambda w: F.struct((-F.element_at(weights, w)).alias("v"), w.alias("w"))))
-    asked = F.transform(F.slice(ranked, 1, looked_up), lambda x: x["w"])
+    ranks = [sorted(set(t.text.split()), key=lambda w: (-weight[w], w)) for t in templates]
     base = F.concat(*[_places(F.col("words"), p, label) for p, label in PHRASES.items()])
-    held = F.filter(F.array(*[F.when(F.contains("said", F.lit(f" {t.mandatory} ")), F.lit(k)) for k, t in enumerate(templates)]), lambda k: k.isNotNull())
     any_phrase = F.lit(False)
     for phrase in {*PHRASES, *(t.mandatory for t in templates)}:
         any_phrase = any_phrase | F.contains("said", F.lit(f" {phrase} "))
+
+    def asked(here: Column) -> Column:
+        """Of each template held, the words of its phrase and the first by rank of those in the file, as numbered words."""
+        each = []
+        for k, t in enumerate(templates):
+            first = F.slice(F.filter(_strings(ranks[k]), lambda w: F.array_contains(here, w)), 1, looked_up)
+            own = F.array_union(first, _strings(t.mandatory.split()))
+            numbered = F.transform(own, lambda w: F.concat(F.lit(f"{k} "), w))  # noqa: B023
+            each.append(F.when(F.contains("said", F.lit(f" {t.mandatory} ")), numbered).otherwise(F.array().cast("array<string>")))
+        return F.flatten(F.array(*each))
+
+    files = files.where(any_phrase).withColumn("asked", F.element_at(F.transform(F.array(present), asked), 1))
     placed = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
     # the words asked for are bound once for a text, not worked out again for each of its words
-    postings = F.element_at(F.transform(F.array(asked), lambda some: F.filter(placed, lambda x: F.array_contains(some, x["word"]))), 1)
-    files = files.where(any_phrase).select("doc_id", "twin", base.alias("base"), held.alias("held"), postings.alias("postings"))
+    any_asked = F.array_distinct(F.transform("asked", lambda x: F.substring_index(x, " ", -1)))
+    postings = F.element_at(F.transform(F.array(any_asked), lambda some: F.filter(placed, lambda x: F.array_contains(some, x["word"]))), 1)
+    files = files.select("doc_id", "twin", base.alias("base"), "asked", postings.alias("postings"))
     # one row for each text, however often it occurs
     files = stored(files.dropDuplicates(["doc_id", "twin"]), "licence-files")
 
@@ -125,8 +136,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, looked_up
         whole = sum(v for v, _ in best) or 1.0
         rows += [(k, t.label, w, i, weight[w], whole) for i, w in enumerate(own)]
     index = spark.createDataFrame(rows, "template int, label string, word string, at int, v double, whole double")
-    met = files.select("doc_id", "twin", "held", F.explode("postings").alias("p")).join(F.broadcast(index), F.col("p.word") == F.col("word"))
-    met = met.where(F.array_contains("held", F.col("template")))
+    met = files.select("doc_id", "twin", "asked", F.explode("postings").alias("p")).join(F.broadcast(index), F.col("p.word") == F.col("word"))
+    met = met.where(F.array_contains("asked", F.concat_ws(" ", F.col("template").cast("string"), F.col("word"))))
     lined = met.groupBy("doc_id", "twin", "template", "label", (F.col("p.pos") - F.col("at")).alias("shift"))
     lined = lined.agg(F.count("*").alias("votes"), F.sum(F.round("v", 9)).alias("v"), F.max("whole").alias("whole")).where("votes >= 2")
     found = lined.groupBy("doc_id", "twin").agg(F.collect_set("label").alias("added"), F.least(F.max(F.col("v") / F.col("whole")), F.lit(1.0)).alias("score"))
