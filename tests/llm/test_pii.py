@@ -69,3 +69,29 @@ def test_frame(make_docs):
     cleaned = [r.text for r in pii.redact(make_docs(texts)).collect()]
     assert cleaned == ["x [EMAIL] y", None, "", "x [EMAIL] y", "[PHONE]"]
     assert pii.redact(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, source",
+    [
+        ("mail jane dot roe at example.com today", "jane dot roe at example.com"),
+        ("jane [dot] m [dot] roe at mail.example.org", "jane [dot] m [dot] roe at mail.example.org"),
+        ("to jane four two at example.com!", "four two at example.com"),
+        ("mail jane.roe at firma.ch now", "jane.roe at firma.ch"),
+        ("mail jane.roe at example.co.uk, please", "jane.roe at example.co.uk"),
+        ("mail jane_roe at mail.example.museum.", "jane_roe at mail.example.museum"),
+        ("joe at mail.example dot com", "joe at mail.example dot com"),
+        ("joe at a.b.example dot co.uk", "joe at a.b.example dot co.uk"),
+        ("joe at mail.example (dot) com", "joe at mail.example (dot) com"),
+    ],
+)
+def test_disguised_addresses_in_mixed_forms(text, source):
+    _, added = pii.find(text)
+    assert [(k, text[a:b]) for k, a, b in added] == [("email", source)]
+
+
+def test_words_at_a_place_are_no_address():
+    for text in ("The one at example.com is new.", "Look at firma.ch for more.", "No one at mail.example.co.uk knows.", "jane.roe at home. Then", "Nobody. Jane at example.ch"):
+        assert pii.find(text) == ([], [])
+    for long in ("a dot " * 50000 + "b at x.ch", "a.b at " * 30000, "a.b at " + "x." * 100000, "a.b at " + "x" * 200000, "one " * 50000 + "at x.ch"):
+        pii.find(long)

@@ -42,11 +42,11 @@ _NUMBER = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\(\[\{<]", r"[\)\]\}>]"
 _AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punkt|punto|point)"
 _LABEL = r"[A-Za-z0-9-]+"
-_TOP = r"(?:com|org|net|edu|gov|info|io|de|fr|es)"
+_TOP = r"[A-Za-z]{2,}"
 _ANY_DOT = rf"(?:\.|[ ]?{_OPEN}[ ]?{_DOT}[ ]?{_CLOSE}[ ]?|[ ]dot[ ])"
 _RULES = re.compile(
     rf"""(?P<at>(?<=[A-Za-z0-9])[ ]*{_OPEN}[ ]*(?:{_AT}|@)[ ]*{_CLOSE}[ ]*(?=[A-Za-z0-9]))
-    |(?P<bareat>(?<=[A-Za-z0-9])[ ]at[ ](?={_LABEL}(?:[ ]?{_OPEN}[ ]?{_DOT}[ ]?{_CLOSE}[ ]?|[ ]dot[ ]){_LABEL}))
+    |(?P<bareat>(?<=[A-Za-z0-9])[ ]at[ ](?=(?:{_LABEL}\.)*{_LABEL}(?:[ ]?{_OPEN}[ ]?{_DOT}[ ]?{_CLOSE}[ ]?|[ ]dot[ ]){_LABEL}))
     |(?P<namedat>(?<=[A-Za-z0-9])[ ]at[ ](?=(?:{_LABEL}\.)+{_TOP}(?![A-Za-z0-9-])))
     |(?P<spacedat>(?<=[A-Za-z0-9])(?:[ ]@[ ]?|@[ ])(?={_LABEL}{_ANY_DOT}{_LABEL}))
     |(?P<dot>(?<=[A-Za-z0-9])[ ]*{_OPEN}[ ]*(?:{_DOT}|\.)[ ]*{_CLOSE}[ ]*(?=[A-Za-z0-9]))
@@ -60,8 +60,8 @@ _RULES = re.compile(
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_NUMBER})(?![A-Za-z])[ ,.-]*(?:dot[ ])?(?:(?:{_NUMBER})(?![A-Za-z])|[0-9])|[0-9][ ,.-]*(?:{_NUMBER})(?![A-Za-z])", re.I)
 _BRACKET = re.compile(rf"{_OPEN}[ ]*(?:{_AT}|{_DOT}|@|\.)[ ]*{_CLOSE}", re.I)
 _NAMED = re.compile(rf"[A-Za-z0-9] at (?:{_LABEL}\.)+{_TOP}(?![A-Za-z0-9-])", re.I)
-#: A local part that no word of prose looks like.
-_LOCAL_NAME = re.compile(r"[A-Za-z0-9]*[0-9._%+-][A-Za-z0-9._%+-]*$")
+#: Signs of a local part that no word of prose has.
+_TELLING = re.compile("[0-9._%+-]")
 _MIXED = re.compile(r"[0-9][OolI][0-9]")
 
 
@@ -136,9 +136,20 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
     folded, at = _fold(text)
     place = at if at is not None else range(len(folded))
     out, starts, ends = [], [], []
+    # of the run of local characters that ends what is written: its length, whether it tells a local part, or has a spelled digit
+    run, telling, spelled = 0, False, False
 
-    def write(said: str, a: int, b: int) -> None:
+    def write(said: str, a: int, b: int, digit: bool = False) -> None:
+        nonlocal run, telling, spelled
         out.append(said)
+        new = len(said)
+        while new and said[new - 1] in _LOCAL:
+            new -= 1
+        if new:
+            run, telling, spelled = 0, False, False
+        run += len(said) - new
+        spelled |= digit
+        telling |= not digit and _TELLING.search(said, new) is not None
         if len(said) == b - a:
             starts.extend(place[a:b])
             ends.extend(x + 1 for x in place[a:b])
@@ -149,12 +160,14 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
     done = 0
     for m in _RULES.finditer(folded):
         kind = m.lastgroup
-        if kind == "namedat" and not _LOCAL_NAME.search(folded, max(done, m.start() - 64), m.start()):
-            continue
-        said = "@" if kind in ("at", "bareat", "namedat", "spacedat") else "." if kind in ("dot", "baredot") else "+" if kind == "plus" else "0" if kind == "zero" else "1" if kind == "one" else str(_DIGITS[m[0].rstrip(" -").lower()])
         if done < m.start():
             write(folded[done : m.start()], done, m.start())
-        write(said, m.start(), m.end())
+            done = m.start()
+        # a spelled digit tells nothing when it is the whole local part ("the one at example.com")
+        if kind == "namedat" and not (telling or spelled and run > 1):
+            continue
+        said = "@" if kind in ("at", "bareat", "namedat", "spacedat") else "." if kind in ("dot", "baredot") else "+" if kind == "plus" else "0" if kind == "zero" else "1" if kind == "one" else str(_DIGITS[m[0].rstrip(" -").lower()])
+        write(said, m.start(), m.end(), kind == "digit")
         done = m.end()
     if done < len(folded):
         write(folded[done:], done, len(folded))
