@@ -1,5 +1,5 @@
 import json
-from collections import deque
+from collections import Counter, deque
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -226,6 +226,20 @@ def test_live_rate_over_batches(spark, tmp_path):
     assert got == verdicts(rows, 2)
 
 
+def test_rate_screen_counts_late_requests(spark, tmp_path):
+    inbox, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "client string, ts timestamp"
+    at = lambda *seconds: [START + timedelta(seconds=s) for s in seconds]
+    days = 5 * 86400
+    # the newest first; then a busy minute days behind it, part of which has come before
+    files = [[("a", t) for t in at(days, days + 9, 3)], [("b", t) for t in at(days + 1)], [("a", t) for t in at(1, 12, 12, 59)] + [("b", t) for t in at(0, 70)]]
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        live.rate_screen(spark.readStream.schema(schema).parquet(inbox), out, str(tmp_path / "cp")).awaitTermination()
+    seen = Counter((c, int(t.timestamp()) // 10 * 10 - 10 * k) for part in files for c, t in part for k in range(6))
+    got = {(r.client, int(r.minute_start.timestamp())): r.requests for r in live.screened(spark.read.parquet(out), 2).collect()}
+    assert got == {k: n for k, n in seen.items() if n > 2} and max(got.values()) == 5
+
+
 def test_client_key(spark):
     frame = spark.createDataFrame([(" 1.2.3.4 , 5.6.7.8", "p"), (None, "p"), (None, None)], "f string, p string")
     assert [r[0] for r in frame.select(rate.client_of(F.col("f"), F.col("p"))).collect()] == ["1.2.3.4", "p", "unknown"]

@@ -115,14 +115,29 @@ def live_figures(counts: DataFrame, width: str = "1 hour") -> DataFrame:
     )
 
 
-def rate_screen(requests: DataFrame, per_minute: int, lateness: str = "1 hour") -> DataFrame:
-    """Clients that sent more than the limit within some minute, looked at every ten seconds.
+def rate_screen(requests: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Requests per client and ten seconds, for ``screened`` to read; ``live_rate`` judges exactly.
 
-    Only counts are kept, so this scales with clients, not requests; ``live_rate`` judges exactly.
+    Each micro-batch adds its own counts under its number; a replayed batch overwrites itself. There is no state to lose
+    and late requests always count. Only counts are kept, so this scales with clients, not requests.
     """
-    minute = F.window("ts", "60 seconds", "10 seconds")
-    counted = requests.withWatermark("ts", lateness).groupBy("client", minute).agg(F.count("*").alias("requests"))
-    return counted.filter(F.col("requests") > per_minute).select("client", F.col("window.start").alias("minute_start"), "requests")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        slot = F.window("ts", "10 seconds")["start"].alias("slot")
+        counts = batch.select("client", slot).groupBy("client", "slot").agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(_per_batch(path, batch_id))
+
+    writer = requests.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def screened(counts: DataFrame, per_minute: int) -> DataFrame:
+    """Clients that sent more than the limit within some minute, looked at every ten seconds, of what ``rate_screen`` has written."""
+    minute = F.window("slot", "60 seconds", "10 seconds")["start"].alias("minute_start")
+    # what the batches say of a slot is added up first, as each slot is in six minutes
+    slots = counts.groupBy("client", "slot").agg(F.sum("n").alias("n"))
+    summed = slots.select("client", minute, "n").groupBy("client", "minute_start").agg(F.sum("n").alias("requests"))
+    return summed.filter(F.col("requests") > per_minute)
 
 
 def live_rate(requests: DataFrame, per_minute: int, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
