@@ -79,9 +79,9 @@ def _hash_runs(values: np.ndarray, rank: np.ndarray | None, start: np.ndarray, s
     return mix((sums[stop] - sums[start]) * _pow("down", len(values) + 1)[first])
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, shapes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Words (runs without ASCII white space, A-Z lower-cased) of all rows as 64-bit hashes, where each row's words
-    start, and on request a hash of each word's shape (kinds of character, repeats collapsed).
+def hash_words(data: np.ndarray, offsets: np.ndarray, shapes: bool = False, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Words (runs without ASCII white space; A-Z lower-cased unless told otherwise) of all rows as 64-bit hashes, where
+    each row's words start, and on request a hash of each word's shape (kinds of character, repeats collapsed).
 
     Works through the bytes in pieces of CHUNK cut at white space. Equal words get equal hashes; two different
     words share one with a chance of 2**-64 a pair.
@@ -105,7 +105,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, shapes: bool = False) -> t
         last = inside.copy()
         last[:-1] &= ~inside[1:] | edge[begin + 1 : end]
         a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes.append(_hash_runs(_FOLD[part], None, a, b))
+        hashes.append(_hash_runs(_FOLD[part] if lower else part, None, a, b))
         starts.append(a + begin)
         if shapes:
             kinds = _SHAPE[part]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat, decontaminate, jaccard_join, kdtree_search, license_scan, lm_score, pii, quality, sentencepiece_bpe, url_filter
+from tracelake.llm import chat, conversation_repair, decontaminate, jaccard_join, kdtree_search, license_scan, lm_score, pii, quality, sentencepiece_bpe, substring_dedup, token_alignment, url_filter
 from tracelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def sha256(text) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -145,3 +151,19 @@ SELECT nullif(conv_id, -9223372036854775808) AS conv_id, floor(turn / 1024.0)::B
   string_agg('<|' || replace(role, '|', '') || '|>' || chr(10) || replace(replace(text, '<|', '< |'), '|>', '| >') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
 FROM t JOIN best USING (conv_id) GROUP BY conv_id, floor(turn / 1024.0)
 """
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.linked(table(spark, sf_dir, "documents"), byte_model(), piece_model(), ["doc_id"])
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
