@@ -245,19 +245,6 @@ def test_client_key(spark):
     assert [r[0] for r in frame.select(rate.client_of(F.col("f"), F.col("p"))).collect()] == ["1.2.3.4", "p", "unknown"]
 
 
-def test_stream_of_spans_matches_batch(spark, tmp_path):
-    log = invoice_run(spark)
-    path = str(tmp_path / "log")
-    for low, high in ((0, 7), (7, 16)):
-        log.filter(F.col("seq").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query = live.stream_spans(stream).writeStream.outputMode("complete").format("memory").queryName("assembled")
-    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    columns = ["id", "status", "duration_ms", "inputs", "outputs"]
-    batch = capture.close_spans(capture.pair_events(log)).select(*columns)
-    assert sorted(map(repr, spark.table("assembled").select(*columns).collect())) == sorted(map(repr, batch.collect()))
-
-
 def test_live_figures_do_not_depend_on_batches(spark, tmp_path):
     rows = [(START + timedelta(minutes=7 * i), float(i * i % 97) if i % 5 else None, i % 4 == 0) for i in range(60)]
     schema = "ts timestamp, duration_ms double, has_error boolean"

@@ -63,17 +63,35 @@ def classify_runs(events: DataFrame) -> DataFrame:
     return _classified(events).filter(F.col("kind") == "chain").drop("kind")
 
 
-def _classified(events: DataFrame) -> DataFrame:
-    """``classify_runs`` for starts of every kind; carries none of their payload."""
-    kind = F.col("kind")
-    is_chain = kind == "chain"
+def start_labels() -> list[Column]:
+    """Of a start event: the graph node a chain run is tagged with, and the name of a run that has no such tag."""
+    is_chain = F.col("kind") == "chain"
     bare = "serialized is null or serialized in ('{}', 'null')"
     plain = F.expr(f"coalesce(nullif(name, ''), if({bare}, 'chain', {json_text('serialized', 'name')}), 'workflow')")
-    starts = events.filter(F.col("phase") == "start").select(
-        "trace_id", "run_id", "parent_run_id", "kind",
-        F.when(is_chain, _node("metadata")).alias("node"),
-        F.when(is_chain, plain).otherwise(call_name()).alias("plain"),
-    )
+    return [F.when(is_chain, _node("metadata")).alias("node"), F.when(is_chain, plain).otherwise(call_name()).alias("plain")]
+
+
+def type_and_name(inner: Column) -> list[Column]:
+    """span_type and span_name from kind, node, plain and parent_id; ``inner``: the run is its node's inner execution."""
+    kind, tagged = F.col("kind"), F.col("node").isNotNull()
+    span_type = (
+        F.when(kind.isin("llm", "chat"), "llm")
+        .when(kind == "tool", "tool")
+        .when(kind != "chain", "custom")
+        .when(tagged & ~inner, "node")
+        .when(tagged, "custom")
+        .when(F.col("parent_id").isNull(), "workflow")
+        .otherwise("custom")
+    )
+    span_name = (
+        F.when(tagged & inner, F.concat("node", F.lit(":exec"))).when(tagged, F.col("node")).otherwise(F.col("plain"))
+    )
+    return [span_type.alias("span_type"), span_name.alias("span_name")]
+
+
+def _classified(events: DataFrame) -> DataFrame:
+    """``classify_runs`` for starts of every kind; carries none of their payload."""
+    starts = events.filter(F.col("phase") == "start").select("trace_id", "run_id", "parent_run_id", "kind", *start_labels())
     starts = cut_lineage(starts)
     parents = starts.select(
         "trace_id",
@@ -101,20 +119,7 @@ def _classified(events: DataFrame) -> DataFrame:
     odd = (F.col("depth") + F.col("first")) % 2 == 1
     parity = climb(links).join(first, ["trace_id", "top"]).select("trace_id", F.col("id").alias("run_id"), odd.alias("odd"))
     judged = linked.join(parity, ["trace_id", "run_id"], "left")
-    inner = F.coalesce("odd", "under_named")
-    span_type = (
-        F.when(kind.isin("llm", "chat"), "llm")
-        .when(kind == "tool", "tool")
-        .when(~is_chain, "custom")
-        .when(tagged & ~inner, "node")
-        .when(tagged, "custom")
-        .when(F.col("parent_id").isNull(), "workflow")
-        .otherwise("custom")
-    )
-    span_name = (
-        F.when(tagged & inner, F.concat("node", F.lit(":exec"))).when(tagged, F.col("node")).otherwise(F.col("plain"))
-    )
-    return judged.select("trace_id", "run_id", "parent_id", "kind", span_type.alias("span_type"), span_name.alias("span_name"))
+    return judged.select("trace_id", "run_id", "parent_id", "kind", *type_and_name(F.coalesce("odd", "under_named")))
 
 
 def _counts(tokens: str, total_default: str | None) -> str:
@@ -197,13 +202,17 @@ def _wrapped(name: str, value: Column) -> Column:
     return F.concat(F.lit('{"' + name + '":'), F.coalesce(value, F.lit("null")), F.lit("}"))
 
 
+# What is kept of the event that starts a run and of the one that ends it.
+START_FIELDS = ["seq", "ts", "parent_run_id", "kind", "name", "serialized", "tags", "metadata", "invocation_params", "inputs"]
+END_FIELDS = ["seq", "ts", "phase", "outputs", "llm_output", "metadata", "error_type", "error_message", "traceback"]
+
+
 def pair_events(events: DataFrame) -> DataFrame:
     """One row per started run with its last end or error, from one aggregation.
 
     Works on streams as well. Runs that end without having started are dropped.
     """
-    start = F.struct("seq", "ts", "parent_run_id", "kind", "name", "serialized", "tags", "metadata", "invocation_params", "inputs")
-    end = F.struct("seq", "ts", "phase", "outputs", "llm_output", "metadata", "error_type", "error_message", "traceback")
+    start, end = F.struct(*START_FIELDS), F.struct(*END_FIELDS)
     begins = F.col("phase") == "start"
     pairs = events.groupBy("trace_id", "run_id").agg(
         F.min_by(F.when(begins, start), F.when(begins, F.col("seq"))).alias("start"),
@@ -271,17 +280,22 @@ def assemble_spans(events: DataFrame, own: RateCard | None = None) -> DataFrame:
 
 def _with_facts(spans: DataFrame) -> DataFrame:
     """Adds what the stored row is derived from: place in the trace, usage as the provider gave it, eval record."""
+    return placed_spans(span_facts(spans))
+
+
+def placed_spans(spans: DataFrame) -> DataFrame:
+    """Adds ``pos``, the place of each span in its trace by the order in which they started."""
+    placed = row_numbers(spans, "trace_id", ["seq", "id"], ["seq div 1000"], "_n")
+    return placed.withColumn("pos", F.col("_n") - 1).drop("_n")
+
+
+def span_facts(spans: DataFrame) -> DataFrame:
+    """Adds usage as the provider gave it and the eval record, span by span."""
     counts = ", ".join(f"'{n}', {n}" for n in ("prompt_tokens", "completion_tokens", "total_tokens"))
     usage = f"""if(total_tokens is null, null, cast(named_struct('model', model, {counts}, 'cached_tokens', 0L, 'prompt_tokens_details', null,
         'prompt_cost', null, 'completion_cost', null, 'total_cost', null) as {USAGE}))"""
-    placed = row_numbers(spans, "trace_id", ["seq", "id"], ["seq div 1000"], "_n")
-    return placed.withColumns(
-        {
-            "pos": F.col("_n") - 1,
-            "usage": F.expr(usage),
-            "eval": F.to_json(F.try_variant_get(F.try_parse_json("metadata"), "$.eval", "variant")),
-        }
-    ).drop("_n")
+    record = F.to_json(F.try_variant_get(F.try_parse_json("metadata"), "$.eval", "variant"))
+    return spans.withColumns({"usage": F.expr(usage), "eval": record})
 
 
 def state_updates_as_metadata(events: DataFrame, max_updates: int = MAX_SPANS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: ingest, span assembly, live figures, rate checks, deduplication.
+"""Structured Streaming jobs: ingest, live figures, rate checks, deduplication (``assembly`` has spans and traces).
 
 Every job has a batch twin with the same result on the same input.
 """
@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.functions.numbers import cents, half_up, pct
-from tracelake.operators.capture import close_spans, pair_events
 from tracelake.operators.metrics import trace_rows
 from tracelake.operators.order_stats import ceil_rank, order_statistic
 from tracelake.operators.pricing import RateCard
 from tracelake.operators.rate import rate_violations
 from tracelake.schema import RAW_TRACE
 from tracelake.sources.store import latest_by_id, upsert_into
-from tracelake.sources.traces import apply_defaults, split_valid
+from tracelake.sources.traces import apply_defaults, document_text, split_valid
 
 
 def trace_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -31,19 +30,26 @@ def trace_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
     return files.select("*", arrival.alias("_arrival"))
 
 
-def rows_of_documents(raw: DataFrame, own: RateCard | None = None, now: datetime | None = None) -> DataFrame:
+def rows_of_documents(
+    raw: DataFrame, own: RateCard | None = None, now: datetime | None = None, documents: bool = False
+) -> DataFrame:
     """Raw documents to trace rows: malformed ones skipped, of documents sent again the last one kept.
 
     The last one is that of the file that arrived last (``trace_stream`` tells), and in it the last line. Documents
-    are reduced to rows where they are read; only those narrow rows are shuffled by id. A document without a start
-    gets ``now``, else the time its file arrived, so that reading it again gives the same row.
+    are reduced to rows where they are read; only those narrow rows are shuffled by id, and the text of the
+    ``documents`` (column ``value``) where it is wanted. A document without a start gets ``now``, else the time its file
+    arrived, so that reading it again gives the same row.
     """
     known = "_arrival" in raw.columns
     place = F.monotonically_increasing_id().alias("line")
     valid, _ = split_valid(raw.withColumn("ingest_seq", F.struct(*[F.col("_arrival")] * known, place)))
     moment = F.col("_arrival.file_modification_time") if known and now is None else now
-    rows = trace_rows(apply_defaults(valid, moment, keep=["ingest_seq"]), own=own, keep=["ingest_seq"])
-    return latest_by_id(rows).drop("ingest_seq")
+    typed = apply_defaults(valid, moment, keep=["ingest_seq"])
+    keep = ["ingest_seq"]
+    if documents:
+        typed = typed.withColumn("value", document_text([c for c in typed.columns if c != "ingest_seq"]))
+        keep.append("value")
+    return latest_by_id(trace_rows(typed, own=own, keep=keep)).drop("ingest_seq")
 
 
 def stream_ingest(
@@ -53,24 +59,20 @@ def stream_ingest(
     own: RateCard | None = None,
     period: str = "day",
     trigger: dict | None = None,
+    documents: bool = True,
 ) -> StreamingQuery:
-    """Keep the stored table up to date with a stream of documents.
+    """Keep the stored table up to date with a stream of documents, which are stored whole unless told otherwise.
 
     A document sent again replaces its row, however late it comes; replaying a batch changes nothing.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        upsert_into(table, rows_of_documents(batch, own), period)
+        upsert_into(table, rows_of_documents(batch, own, documents=documents), period, unique=True)
 
     writer = source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_spans(events: DataFrame) -> DataFrame:
-    """Span rows out of a stream of events, updated as ends arrive; run it in update mode."""
-    return close_spans(pair_events(events))
-
-
 def _per_batch(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
