@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_metrics import START, frame, span, trace
 from tracelake.operators import metrics, spans
 from tracelake.operators.ranking import row_numbers
-from tracelake.sources import store
+from tracelake.sources import store, versions
 from tracelake.sources import traces as src
 from tracelake.streaming import live
 
@@ -104,6 +105,90 @@ def test_odd_environment_names(spark, tmp_path):
     assert {r["id"]: r["environment"] for r in store.read_trace_rows(spark, path).collect()} == {"a": "007", "b": "qa"}
 
 
+def ids_of(spark, path):
+    return sorted(r["id"] for r in store.read_trace_rows(spark, path).collect())
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = metrics.trace_rows(frame(spark, *[trace(f"t{i}", start=START + timedelta(days=i)) for i in range(6)]))
+    store.write_trace_rows(rows, path)
+    before = store.read_trace_rows(spark, path)
+    store.upsert_into(path, rows.filter("id = 't1'").withColumn("start_time", F.lit(START + timedelta(days=4))))
+    # a reader of the version before still sees it whole; the new one has the trace once
+    assert sorted(r["id"] for r in before.collect()) == ids_of(spark, path) == [f"t{i}" for i in range(6)]
+    # a lost job leaves folders that nobody names
+    (tmp_path / "table" / "rows" / "v=9-lost" / "start_date=2026-01-01" / "environment=x").mkdir(parents=True)
+    assert ids_of(spark, path) == [f"t{i}" for i in range(6)]
+    # rows of partitions that are written anew are gone, and known to be
+    store.write_trace_rows(rows.filter("id = 't4'"), path)
+    assert ids_of(spark, path) == ["t0", "t2", "t3", "t4", "t5"]
+    assert store.erase_from(spark, path, spark.createDataFrame([("t1",), ("t5",)], "id string")) == 1
+    try:
+        store.upsert_into(path, rows.unionByName(rows))
+        raise AssertionError
+    except ValueError:
+        assert ids_of(spark, path) == ["t0", "t2", "t3", "t4"]
+    with_lost = versions.current(spark, path)
+    try:
+        versions.commit(spark, path, {**with_lost}, [])
+        raise AssertionError
+    except RuntimeError:
+        assert versions.current(spark, path) == with_lost
+    store.clear_table(spark, path)
+    assert ids_of(spark, path) == []
+
+
+def test_changes_read_their_partitions_and_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = metrics.trace_rows(frame(spark, *[trace(f"t{i}", start=START + timedelta(days=i)) for i in range(9)]))
+    store.write_trace_rows(rows, path)
+    old = {folder: name for name, folder in versions.current(spark, path)["rows"]}
+    store.upsert_into(path, rows.filter("id = 't3'").withColumn("name", F.lit("new")))
+    now = {folder: name for name, folder in versions.current(spark, path)["rows"]}
+    assert [f for f in now if now[f] != old[f]] == ["start_date=2026-01-04/environment=production"]
+    named = spark.createDataFrame([("t3",)], "id string")
+    places = store._places(spark, path, versions.current(spark, path), named)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#", places._jdf.queryExecution().toString())
+    assert [str(r.start_date) for r in places.collect()] == ["2026-01-04"]
+
+
+def test_many_changes_leave_few_segments(spark, tmp_path):
+    path = str(tmp_path / "table")
+    docs = frame(spark, *[trace(f"t{i}") for i in range(4)])
+    text = src.document_text(docs.columns)
+    for k in range(2 * versions.FAN + 3):
+        now = metrics.trace_rows(docs.withColumns({"name": F.lit(f"n{k}"), "value": text}).filter(F.col("id") != f"t{k % 4}"), keep=["value"])
+        store.upsert_into(path, now.withColumn("value", F.lit(f"doc {k}")), buckets=2)
+        if k == 5:
+            assert store.erase_from(spark, path, spark.createDataFrame([("t3",)], "id string")) == 1
+    version = versions.current(spark, path)
+    assert len(version["ids"]) <= versions.FAN + 2 and len(version["documents"]) <= versions.FAN + 2
+    last = 2 * versions.FAN + 2
+    want = {f"t{i}": f"doc {max(k for k in range(last + 1) if k % 4 != i)}" for i in range(4)}
+    assert {r.id: r.value for r in store.stored_documents(spark, path).collect()} == want
+    assert {r.id: r.value for r in store.stored_documents(spark, path, ["t2", "zz"]).collect()} == {"t2": want["t2"]}
+    assert len(list((tmp_path / "table" / "rows").iterdir())) <= 4 and len(list((tmp_path / "table" / "_versions").glob("0*"))) == 2
+
+
+def test_stored_documents_follow_the_stream(spark, tmp_path):
+    inbox, table, checkpoint = tmp_path / "inbox", str(tmp_path / "t"), str(tmp_path / "c")
+    steps = [{"id": f"s{k}", "trace_id": "a", "name": f"step {k}", "parent_id": "s0" if k else None, "start_time": f"2026-01-01T12:00:0{k}Z", "metadata": {"n": 1.5}} for k in range(3)]
+    write_lines(inbox, doc("a", input={"q": 1}), doc("b"))
+    live.stream_ingest(live.trace_stream(spark, str(inbox)), table, checkpoint).awaitTermination()
+    write_lines(inbox, doc("a", status="completed", spans=steps), doc("c"))
+    live.stream_ingest(live.trace_stream(spark, str(inbox)), table, checkpoint).awaitTermination()
+    whole = store.get_stored_traces(spark, table, ["a", "nothing"]).collect()
+    assert [(r.id, r.status, len(r.spans)) for r in whole] == [("a", "completed", 3)]
+    fall = sorted((r.id, r.offset_ms, r.depth) for r in store.stored_waterfall(spark, table, ["a"]).collect())
+    assert fall == [("s0", 0.0, 0), ("s1", 1000.0, 1), ("s2", 2000.0, 1)]
+    out = str(tmp_path / "export")
+    store.export_stored(spark, table, None, out)
+    assert sorted(json.loads(r.value)["id"] for r in spark.read.text(out).collect()) == ["a", "b", "c"]
+    store.erase_from(spark, table, spark.createDataFrame([("a",)], "id string"))
+    assert store.get_stored_traces(spark, table, ["a"]).count() == 0 and ids_of(spark, table) == ["b", "c"]
+
+
 def test_align_schema(spark):
     aged = spark.createDataFrame([("a", None)], "id string, environment string")
     row = src.align_schema(aged).first()

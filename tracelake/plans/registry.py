@@ -19,7 +19,7 @@ from tracelake.session import scratch_path
 from tracelake.sources import driver_tables as src
 from tracelake.sources import store
 from tracelake.sources import traces as trace_source
-from tracelake.streaming import live
+from tracelake.streaming import assembly, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1203,13 +1203,119 @@ def _(spark, sf):
     return listing.trace_summaries(store.read_trace_rows(spark, table))
 
 
-@query("stream_spans", with_sql(SPANS, select="SELECT trace_id, id, status, CAST((2000 - 2 * pos) * 1000 AS DOUBLE) AS duration_ms FROM s"))
+def _shuffled_files(spark: SparkSession, rows: DataFrame, label: str, key: str, files: int = 4) -> DataFrame:
+    """Rows as a stream of ``files`` micro-batches, dealt by a hash, so that what belongs together comes in any order."""
+    path = scratch_path(spark, label)
+    dealt = rows.withColumn("_file", F.expr(f"pmod(xxhash64({key}), {files})"))
+    for part in range(files):
+        dealt.filter(F.col("_file") == part).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _streamed_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stream of spans gives out; the sample's events lie years apart and come in any order."""
+    events = _shuffled_files(spark, src.span_events(spark, sf), "span-events", "run_id, phase")
+    return _run_into(assembly.stream_spans(events, delay="4000 days"), spark, "spans")
+
+
+def _ingested(spark: SparkSession, sf: str, label: str) -> str:
+    """A table kept by a stream of two micro-batches, the first of which holds old versions of half the documents."""
+    inbox, table = scratch_path(spark, f"{label}-inbox"), scratch_path(spark, f"{label}-table")
+    docs = src.documents(spark, sf)
+    odd = F.col("id").cast("bigint") % 2 == 1
+    early = docs.filter(~odd).unionByName(docs.filter(odd).withColumns({"name": F.lit("old"), "spans": F.expr("slice(spans, 1, 0)")}))
+    trace_source.export_documents(early).coalesce(1).write.text(inbox)
+    time_passes(1.1)
+    trace_source.export_documents(docs.filter(odd)).coalesce(1).write.mode("append").text(inbox)
+    live.stream_ingest(live.trace_stream(spark, inbox, max_files=1), table, scratch_path(spark, "checkpoint"), period="year").awaitTermination()
+    return table
+
+
+@query("get_stored_trace", with_sql(TRACES, SPANS, select=f"""
+    SELECT t.id, t.name, t.status, {time('t.start_time')} AS start_time, count(s.id) AS n_spans, string_agg(s.id, '|' ORDER BY s.pos) AS span_ids
+    FROM t LEFT JOIN s ON s.trace_id = t.id WHERE t.id IN (SELECT CAST(c_custkey * 3 AS VARCHAR) FROM customer) GROUP BY ALL"""))
+def _(spark, sf):
+    ids = src.table(spark, sf, "customer").select((F.col("c_custkey") * 3).cast("string").alias("id"))
+    found = store.get_stored_traces(spark, _ingested(spark, sf, "lookup"), ids)
+    listed = F.array_join(F.transform("spans", lambda s: s["id"]), "|")
+    return found.select("id", "name", "status", "start_time", F.size("spans").alias("n_spans"), F.nullif(listed, F.lit("")).alias("span_ids"))
+
+
+@query("export_stored", with_sql(TRACES, SPANS, select="""
+    SELECT t.id, t.name, count(s.id) AS n_spans, CAST(sum(CAST(s.duration_ms AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM t LEFT JOIN s ON s.trace_id = t.id GROUP BY ALL"""))
+def _(spark, sf):
+    out = scratch_path(spark, "stored-export")
+    store.export_stored(spark, _ingested(spark, sf, "export"), None, out)
+    back = trace_source.apply_defaults(trace_source.split_valid(trace_source.read_traces(spark, out))[0])
+    spent = F.aggregate(F.transform("spans", lambda s: s["duration_ms"].cast("decimal(28,2)")), F.lit(0).cast("decimal(28,2)"), lambda a, b: (a + b).cast("decimal(28,2)"))
+    return back.select("id", "name", F.size("spans").alias("n_spans"), F.when(F.size("spans") > 0, spent).alias("spent"))
+
+
+@query("waterfall_stored", "WITH " + SPANS + _TREE + """
+    SELECT trace_id, id, pos * 1000.0::DOUBLE AS offset_ms, duration_ms, depth FROM s JOIN tree USING (trace_id, id)""")
+def _(spark, sf):
+    return store.stored_waterfall(spark, _ingested(spark, sf, "waterfall")).select("trace_id", "id", "offset_ms", "duration_ms", "depth")
+
+
+@query("erase_from", with_sql(ROWS, select="""
+    SELECT 'left' AS what, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM r WHERE o_orderkey % 4 <> 0 OR o_orderkey % 3 = 1
+    UNION ALL SELECT 'erased', count(*), 0 FROM r WHERE o_orderkey % 4 = 0 AND o_orderkey % 3 <> 1
+    UNION ALL SELECT 'erased again', 0, 0 UNION ALL SELECT 'cleared', 0, 0"""))
 def _(spark, sf):
-    path = scratch_path(spark, "span-events")
-    events = src.span_events(spark, sf)
-    events.write.parquet(path)
-    stream = spark.readStream.schema(events.schema).parquet(path)
-    return _run_into(live.stream_spans(stream), spark, "spans", "update").select("trace_id", "id", "status", "duration_ms")
+    """Erase a quarter of the table, put a third of the erased back, and clear a copy."""
+    path = scratch_path(spark, "erased")
+    rows = rows_of(spark, sf)
+    key = F.col("id").cast("bigint")
+    store.upsert_into(path, rows, period="year")
+    ids = rows.filter(key % 4 == 0).select("id")
+    n = store.erase_from(spark, path, ids)
+    again = store.erase_from(spark, path, ids)
+    back = rows.filter((key % 4 == 0) & (key % 3 == 1))
+    store.upsert_into(path, back)
+    whole = store.read_trace_rows(spark, path).agg(F.count("*").alias("n"), F.sum("total_tokens").alias("tokens")).first()
+    store.clear_table(spark, path)
+    cleared = store.read_trace_rows(spark, path).count()
+    told = [("left", whole["n"], whole["tokens"]), ("erased", n - back.count(), 0), ("erased again", again, 0), ("cleared", cleared, 0)]
+    return spark.createDataFrame(told, "what string, n long, tokens long")
+
+
+@query("stream_spans", _ASSEMBLED.replace("CAST(ends.total_cost AS DOUBLE) AS total_cost", "CAST(ends.total_cost AS DOUBLE) AS total_cost, s.pos, ends.model AS model"))
+def _(spark, sf):
+    whole = capture.placed_spans(_streamed_spans(spark, sf)).withColumn("model", F.when(F.col("total_cost").isNotNull(), F.col("model")))
+    return whole.select("trace_id", "id", "parent_id", "name", "span_type", "status", "duration_ms", "total_cost", F.col("pos").cast("bigint").alias("pos"), "model")
+
+
+@query("stream_traces", with_sql(TRACES, SPANS, select=f"""
+    SELECT t.id, t.name, CASE WHEN t.status <> 'running' AND o_orderkey % 10 = 0 THEN 'failed' ELSE t.status END AS status, {time('t.start_time')} AS start_time, {time('t.end_time')} AS end_time,
+           CASE WHEN t.status <> 'running' THEN 1000.0::DOUBLE END AS duration_ms, CASE WHEN s.id IS NOT NULL THEN '{{}}' END AS input,
+           CASE WHEN t.status = 'running' THEN CASE WHEN s.status = 'completed' THEN '{{}}' END WHEN o_orderkey % 5 = 0 THEN '{{"n":2}}' ELSE '{{"n":1}}' END AS output,
+           coalesce(error, CASE WHEN s.status = 'failed' THEN '{{"message":"bad value","traceback":"line 1","type":"ValueError"}}' END) AS error
+    FROM t LEFT JOIN s ON s.trace_id = t.id AND s.span_type = 'workflow'"""))
+def _(spark, sf):
+    """The stored spans are themselves read as a stream, beside starts and finishes that come in any order."""
+    spans_out = _streamed_spans(spark, sf)
+    flows = _shuffled_files(spark, spans_out, "stored-spans", "id", 2)
+    life = _shuffled_files(spark, src.trace_events(spark, sf), "trace-events", "trace_id, seq", 3)
+    stream = assembly.stream_traces(life, flows, delay="4000 days", idle="4000 days")
+    return assembly.latest_traces(_run_into(stream, spark, "traces"))
+
+
+@query("late_documents", with_sql(ROWS, select=f"SELECT {SUMMARY} FROM r"))
+def _(spark, sf):
+    """Three micro-batches into the table: each brings documents of all times, older versions of some first, so most come late."""
+    inbox, table = scratch_path(spark, "late-inbox"), scratch_path(spark, "late-table")
+    docs = src.documents(spark, sf)
+    part = F.col("id").cast("bigint") % 3
+    running = docs.withColumns({"name": F.lit("old"), "status": F.lit("running"), "start_time": F.expr("start_time + interval 90 days")})
+    for batch in range(3):
+        now = docs.filter(part == batch)
+        if batch < 2:  # of those that come finally in the next batch
+            now = now.unionByName(running.filter(part == batch + 1))
+        trace_source.export_documents(now).coalesce(1).write.mode("append").text(inbox)
+        time_passes(1.1)
+    stream = live.trace_stream(spark, inbox, max_files=1)
+    live.stream_ingest(stream, table, scratch_path(spark, "checkpoint"), period="year").awaitTermination()
+    return listing.trace_summaries(store.read_trace_rows(spark, table))
 
 
 @query("live_timeseries", f"""

@@ -1,4 +1,9 @@
-"""The table of trace rows: idempotent upserts by id, erasure and retention on Parquet."""
+"""The table of trace rows and their documents: idempotent upserts by id, erasure, lookup and retention on Parquet.
+
+``rows`` lies by date and environment and is replaced partition by partition; ``ids`` says in which partition an id is, and
+``documents`` holds the whole documents, both as segments by bucket of the id's hash (see ``versions``). A change reads the ids
+of the buckets its own ids fall into and rewrites the partitions these name, never the rest of the table.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.order_stats import order_statistic
+from tracelake.operators.spans import span_waterfall, spans_of
 from tracelake.schema import ROW
 from tracelake.session import scratch_path
-from tracelake.sources.traces import align_schema, get_traces
+from tracelake.sources import versions
+from tracelake.sources.traces import align_schema, export_traces, from_stored_rows, get_traces
 
 PARTITIONS = ["start_date", "environment"]
-# Hidden from readers of the table.
-PERIOD_NOTE = "_period"
+BUCKETS = 16
+_IDS, _DOCUMENTS = "id string, start_date date, environment string", "id string, value string"
+_ROW_NAMES = [part.split(" ")[0] for part in ROW.replace("map<string,bigint>", "m").replace("struct<name:string,duration_ms:double,status:string>", "s").replace("decimal(18,6)", "d").split(", ")]
 
 
 def append_traces(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -38,116 +46,216 @@ def dated(rows: DataFrame, period: str = "day") -> DataFrame:
 
 
 def table_period(spark: SparkSession, path: str) -> str | None:
-    """The period the stored table is partitioned by, as noted beside it; null if there is no note."""
-    note = f"{path}/{PERIOD_NOTE}"
-    return spark.read.text(note).first()[0] if _exists(spark, note) else None
+    """The period the stored table is partitioned by; null if there is no table."""
+    version = versions.current(spark, path)
+    return version["period"] if version else None
 
 
-def write_trace_rows(rows: DataFrame, path: str, mode: str = "overwrite", period: str = "day") -> None:
-    """Rows by date and environment, in time order inside files so that row groups can be skipped.
+def _next(spark: SparkSession, path: str, period: str, buckets: int) -> dict:
+    """The version after the current one, still with its content."""
+    version = versions.current(spark, path) or {"number": 0, "period": period, "buckets": buckets, "rows": [], "ids": [], "documents": [], "replaced": []}
+    return {**version, "number": version["number"] + 1}
 
-    Only the partitions present in ``rows`` are replaced. A table keeps the period it was first written by.
-    """
-    spark = rows.sparkSession
-    noted = table_period(spark, path)
-    if noted not in (None, period):
-        raise ValueError(f"the table is partitioned by {noted}")
-    if noted is None:
-        spark.createDataFrame([(period,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{PERIOD_NOTE}")
-    _write(dated(rows, period), path, mode)
 
-
-def _write(table: DataFrame, path: str, mode: str = "overwrite") -> None:
+def _write(table: DataFrame, path: str) -> None:
     # Rebalancing gathers a partition's rows into few files, but splits a busy day over tasks.
-    laid_out = table.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "start_time")
-    writer = laid_out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*PARTITIONS).parquet(path)
+    laid_out = table.select(*_ROW_NAMES).hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "start_time")
+    laid_out.write.partitionBy(*PARTITIONS).parquet(path)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    # A given schema keeps environments text, and columns older files lack come back null.
-    return spark.read.schema(ROW).parquet(path)
+def _stored(spark: SparkSession, path: str, parts: list) -> DataFrame:
+    """Rows of the listed partition folders. A given schema keeps environments text, and columns older files lack come back null."""
+    if not parts:
+        return spark.createDataFrame([], ROW)
+    folders = [f"{path}/rows/v={name}/{folder}" for name, folder in parts]
+    return spark.read.schema(ROW).option("basePath", f"{path}/rows").parquet(*folders).select(*_ROW_NAMES)
 
 
 def read_trace_rows(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows; ``start_date`` tells by its metadata which period it is the first day of."""
-    period = table_period(spark, path)
-    rows = align_schema(_stored(spark, path))
-    return rows.withMetadata("start_date", {"period": period}) if period else rows
+    version = versions.current(spark, path)
+    if version is None:
+        raise ValueError(f"there is no table at {path}")
+    return align_schema(_stored(spark, path, version["rows"])).withMetadata("start_date", {"period": version["period"]})
+
+
+def _folders(spark: SparkSession, partitions: DataFrame) -> set[str]:
+    """Names of the folders of some (start_date, environment); as many as the table has folders at most."""
+    utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return {"/".join(f"{n}={utils.escapePathName(str(row[n]))}" for n in PARTITIONS) for row in partitions.select(*PARTITIONS).distinct().collect()}
+
+
+def _buckets(ids: DataFrame, version: dict) -> list[int]:
+    """The buckets some ids fall into."""
+    return sorted(r[0] for r in ids.select(versions.bucket_of(F.col("id"), version["buckets"])).distinct().collect())
+
+
+def _places(spark: SparkSession, path: str, version: dict, ids: DataFrame) -> DataFrame:
+    """(id, start_date, environment) of those of ``ids`` that are stored; reads their buckets only."""
+    listed = versions.entries(spark, path, "ids", version["ids"], _IDS, _buckets(ids, version))
+    return versions.newest(listed.join(ids, "id", "left_semi")).filter(~F.col("gone")).select("id", *PARTITIONS)
+
+
+def _change(spark: SparkSession, path: str, version: dict, touched: set[str], ids: DataFrame, extra: DataFrame | None, news: DataFrame) -> None:
+    """Write and commit a version: the touched partitions without ``ids`` and with ``extra``; ``news`` are the entries
+    (id, start_date, environment, gone) of the ids that changed."""
+    name = versions.token(version["number"])
+    old = [part for part in version["rows"] if part[1] in touched]
+    content = extra
+    if old:
+        kept = _stored(spark, path, old).join(ids, "id", "left_anti")
+        content = kept if extra is None else kept.unionByName(extra.select(*_ROW_NAMES))
+    if content is not None:
+        _write(content, f"{path}/rows/v={name}")
+    _commit(spark, path, version, touched, name, news)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _filled(spark: SparkSession, path: str) -> list[str]:
+    """The partition folders in a folder of rows."""
+    return [f"{d}/{e}" for d in versions.children(spark, path) if "=" in d for e in versions.children(spark, f"{path}/{d}")]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _commit(spark: SparkSession, path: str, version: dict, touched: set[str], name: str, news: DataFrame) -> None:
+    """Commit rows written under ``name`` in place of the touched partitions."""
+    filled = _filled(spark, f"{path}/rows/v={name}")
+    old = [part for part in version["rows"] if part[1] in touched]
+    version["rows"] = [part for part in version["rows"] if part[1] not in touched] + [[name, folder] for folder in filled]
+    replaced = [f"rows/v={v}/{folder}" for v, folder in old]
+    version["ids"] = [*version["ids"], versions.write_segment(news, path, "ids", version)]
+    for kind, schema in (("ids", _IDS), ("documents", _DOCUMENTS)):
+        version[kind], gone = versions.merged(spark, path, kind, version[kind], schema, version)
+        replaced += gone
+    versions.commit(spark, path, version, replaced)
 
 
-def _drop_partitions(spark: SparkSession, path: str, partitions: list) -> None:
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for row in partitions:
-        day, env = row["start_date"], escape(row["environment"])
-        _delete(spark, f"{path}/start_date={day}/environment={env}")
+def _news(rows: DataFrame) -> DataFrame:
+    return rows.select("id", *PARTITIONS, F.lit(False).alias("gone"))
 
 
-def _rewrite_without(spark: SparkSession, path: str, ids: DataFrame, extra: DataFrame | None) -> None:
-    """Rewrite the partitions holding any of ``ids`` without them, and those ``extra`` adds to.
+def _gone(ids: DataFrame) -> DataFrame:
+    return ids.select("id", F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("string").alias("environment"), F.lit(True).alias("gone"))
 
-    The new content is staged first, so a lost job leaves the table as it was, and running the same
-    change again gives the same table.
+
+def write_trace_rows(rows: DataFrame, path: str, period: str = "day", buckets: int = BUCKETS) -> None:
+    """Rows by date and environment, in time order inside files so that row groups can be skipped.
+
+    Only the partitions present in ``rows`` are replaced. A table keeps the period it was first written by. Ids must be unique.
     """
-    stored = _stored(spark, path)
-    touched = stored.join(ids, "id", "left_semi").select(*PARTITIONS).distinct()
-    if extra is not None:
-        touched = touched.unionByName(extra.select(*PARTITIONS)).distinct()
-    touched = touched.collect()  # names of date/environment folders only
-    if not touched:
-        return
-    kept = stored.join(F.broadcast(spark.createDataFrame(touched, stored.select(*PARTITIONS).schema)), PARTITIONS, "left_semi")
-    kept = kept.join(ids, "id", "left_anti")
-    staged = scratch_path(spark, "staged-rows")
-    (kept if extra is None else append_traces(kept, extra)).write.parquet(staged)
-    content = _stored(spark, staged)
-    filled = {tuple(r) for r in content.select(*PARTITIONS).distinct().collect()}
-    _write(content, path)
-    _drop_partitions(spark, path, [row for row in touched if tuple(row) not in filled])
-    _delete(spark, staged)
-
-
-def upsert_into(path: str, incoming: DataFrame, period: str = "day", order: str | None = None) -> None:
+    spark = rows.sparkSession
+    version = _next(spark, path, period, buckets)
+    if version["period"] != period:
+        raise ValueError(f"the table is partitioned by {version['period']}")
+    name = versions.token(version["number"])
+    _write(dated(rows, period), f"{path}/rows/v={name}")
+    # the partitions it fills are those it replaces
+    touched = set(_filled(spark, f"{path}/rows/v={name}"))
+    old = [part for part in version["rows"] if part[1] in touched]
+    fresh = _stored(spark, path, [[name, folder] for folder in touched])
+    news = _news(fresh)
+    if old:
+        news = news.unionByName(_gone(_stored(spark, path, old).select("id").join(fresh.select("id"), "id", "left_anti")))
+    _commit(spark, path, version, touched, name, news)
+
+
+def upsert_into(
+    path: str, incoming: DataFrame, period: str = "day", order: str | None = None, buckets: int = BUCKETS, unique: bool = False
+) -> None:
     """Put trace rows into the stored table by id, rewriting only the partitions they touch.
 
     A trace whose start moved to another day leaves its old partition. Of rows that share an id the one highest in
-    ``order`` is stored; without an order such rows are refused. ``period`` counts for a new table only.
+    ``order`` is stored; without an order such rows are refused, unless ids are known to be ``unique``. A column ``value`` holds the rows' documents, which are
+    stored with them. ``period`` and ``buckets`` count for a new table only.
     """
     spark = incoming.sparkSession
     if order is not None:
         incoming = latest_by_id(incoming, order).drop(order)
-    period = table_period(spark, path) or period
-    # Incoming rows are looked at several times; compute them once.
-    arrived = scratch_path(spark, "arrived-rows")
-    dated(incoming, period).write.parquet(arrived)
-    fresh = _stored(spark, arrived)
-    if order is None and fresh.groupBy("id").count().filter("count > 1").limit(1).count():
-        _delete(spark, arrived)
-        raise ValueError("an id occurs twice; name the column that orders its versions")
-    if _exists(spark, path):
-        _rewrite_without(spark, path, fresh.select("id").distinct(), fresh)
+    version = _next(spark, path, period, buckets)
+    incoming = dated(incoming, version["period"])
+    # Incoming rows are looked at several times; they are computed once, with their documents where these will stay.
+    staged = None
+    if "value" in incoming.columns:
+        segment = versions.write_segment(incoming.withColumn("gone", F.lit(False)), path, "documents", version)
+        version["documents"] = [*version["documents"], segment]
+        fresh = spark.read.schema(ROW).parquet(f"{path}/{versions.folder_of('documents', segment)}")
     else:
-        write_trace_rows(fresh.drop("start_date"), path, period=period)
-    _delete(spark, arrived)
+        staged = scratch_path(spark, "arrived-rows")
+        incoming.select(*_ROW_NAMES).write.parquet(staged)
+        fresh = spark.read.schema(ROW).parquet(staged)
+    ids = fresh.select("id")
+    try:
+        if order is None and not unique and ids.groupBy("id").count().filter("count > 1").limit(1).count():
+            if staged is None:
+                versions.delete(spark, f"{path}/{versions.folder_of('documents', segment)}")
+            raise ValueError("an id occurs twice; name the column that orders its versions")
+        partitions = fresh.select(*PARTITIONS)
+        if version["ids"]:
+            partitions = partitions.unionByName(_places(spark, path, version, ids).select(*PARTITIONS))
+        touched = _folders(spark, partitions)
+        if touched:
+            _change(spark, path, version, touched, ids, fresh, _news(fresh))
+    finally:
+        if staged is not None:
+            versions.delete(spark, staged)
 
 
 def erase_from(spark: SparkSession, path: str, ids: DataFrame) -> int:
-    """Delete traces from the stored table; returns how many there were."""
+    """Delete traces and their documents from the stored table; returns how many there were."""
+    version = _next(spark, path, "day", BUCKETS)
     wanted = ids.select("id").distinct()
-    found = _stored(spark, path).join(wanted, "id", "left_semi").count()
-    if found:
-        _rewrite_without(spark, path, wanted, None)
-    return found
+    staged = scratch_path(spark, "erased-ids")
+    _places(spark, path, version, wanted).write.parquet(staged)
+    found = spark.read.schema(_IDS).parquet(staged)
+    n = found.count()
+    if n:
+        lost = found.select("id")
+        if version["documents"]:
+            tombs = lost.select("id", F.lit(None).cast("string").alias("value"), F.lit(True).alias("gone"))
+            version["documents"] = [*version["documents"], versions.write_segment(tombs, path, "documents", version)]
+        _change(spark, path, version, _folders(spark, found), lost, None, _gone(lost))
+    versions.delete(spark, staged)
+    return n
+
+
+def clear_table(spark: SparkSession, path: str) -> None:
+    """A version without any trace; the one before stays readable until the next change."""
+    version = _next(spark, path, "day", BUCKETS)
+    replaced = [f"rows/v={v}/{folder}" for v, folder in version["rows"]]
+    replaced += [versions.folder_of(kind, s) for kind in ("ids", "documents") for s in version[kind]]
+    versions.commit(spark, path, {**version, "rows": [], "ids": [], "documents": []}, replaced)
+
+
+def stored_documents(spark: SparkSession, path: str, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """(id, value): the documents of stored traces as JSON text, all or those with the given ids.
+
+    Only the ids' buckets are read. A list of ids also reaches the scan, where rows lie in order of their ids.
+    """
+    version = versions.current(spark, path)
+    if version is None:
+        raise ValueError(f"there is no table at {path}")
+    if ids is None:
+        found = versions.entries(spark, path, "documents", version["documents"], _DOCUMENTS)
+    else:
+        named = None if isinstance(ids, DataFrame) else list(ids)
+        wanted = ids.select("id").distinct() if named is None else spark.createDataFrame([(i,) for i in named], "id string").distinct()
+        found = versions.entries(spark, path, "documents", version["documents"], _DOCUMENTS, _buckets(wanted, version))
+        found = found.join(wanted, "id", "left_semi") if named is None else found.filter(F.col("id").isin(named))
+    return versions.newest(found).filter(~F.col("gone")).select("id", "value")
+
+
+def get_stored_traces(spark: SparkSession, path: str, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """Typed documents of stored traces; ids not stored give no row."""
+    return from_stored_rows(stored_documents(spark, path, ids).select("value"), "value")
+
+
+def export_stored(spark: SparkSession, path: str, ids: Sequence[str] | DataFrame | None, target: str) -> None:
+    """Write the documents of stored traces, one a line."""
+    export_traces(get_stored_traces(spark, path, ids), None, target)
+
+
+def stored_waterfall(spark: SparkSession, path: str, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """``span_waterfall`` of stored traces."""
+    found = get_stored_traces(spark, path, ids)
+    return span_waterfall(found, spans_of(found))
 
 
 def erase_traces(rows: DataFrame, ids: Sequence[str] | DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -135,6 +135,11 @@ def get_traces(traces: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
 
 def export_documents(traces: DataFrame) -> DataFrame:
     """Typed documents as one JSON text each, free-form fields as real JSON again."""
+    return traces.select(document_text(traces.columns).alias("value"))
+
+
+def document_text(columns: Sequence[str]) -> Column:
+    """The JSON text of typed documents with these columns."""
 
     def free(source: Column, names: list[str]) -> list[Column]:
         return [F.try_parse_json(source[n]).alias(n) for n in names]
@@ -143,10 +148,9 @@ def export_documents(traces: DataFrame) -> DataFrame:
     spans = F.transform(
         "spans", lambda s: F.struct(*[s[n].alias(n) for n in plain_span], *free(s, FREE_SPAN_FIELDS))
     )
-    plain = [c for c in traces.columns if c not in (*FREE_TRACE_FIELDS, "spans")]
+    plain = [c for c in columns if c not in (*FREE_TRACE_FIELDS, "spans")]
     document = F.struct(*plain, *[F.try_parse_json(n).alias(n) for n in FREE_TRACE_FIELDS], spans.alias("spans"))
-    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    return traces.select(F.to_json(document, times).alias("value"))
+    return F.to_json(document, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
 
 
 def export_traces(traces: DataFrame, ids: Sequence[str] | DataFrame | None, path: str) -> None:
