@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,13 @@ from tracelake.llm.common import stored
 #: Ends that one lane of a gallop goes through in order.
 LANE = 64
 #: Bytes of text aligned together, and encoded together.
-BLOCK, ENCODED = 2 << 20, 1 << 18
+BLOCK, ENCODED = 2 << 20, 1 << 16
 #: Links listed at once.
 LINKS = 1 << 22
+#: Parts of texts remembered with their ids, and the longest of them.
+MEMORY, SHORT = 100_000, 64
+_CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_memory: dict[tuple[int, int], dict[str, tuple[tuple[int, ...], tuple[int, ...], bool]]] = {}
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 RESULTS = [*COUNTS, "n_best", "count_sum", "groups_sha256"]
 
@@ -130,21 +136,55 @@ def gallop(driving: np.ndarray, into: np.ndarray, begin: np.ndarray) -> np.ndarr
     return found
 
 
+def encoded(parts: list[str], a: Entries, b: Entries) -> list[tuple[tuple[int, ...], tuple[int, ...], bool]]:
+    """Of each distinct part its ids by either tokenizer and whether both spell it; up to ``MEMORY`` parts are remembered."""
+    known = _memory.setdefault((id(a), id(b)), {})
+    fresh = [p for p in parts if p not in known]
+    edges = np.append(0, np.cumsum([len(p) + 1 for p in fresh]))
+    for x, y in common.row_blocks(edges, ENCODED):
+        for p, one, two in zip(fresh[x:y], a.encode(fresh[x:y]), b.encode(fresh[x:y])):
+            said = b" " + p.encode()
+            known[p] = (tuple(one), tuple(two), a.spell(one) == said and b.spell(two) == said)
+    found = [known[p] for p in parts]
+    if len(known) > MEMORY:
+        known.clear()
+    else:
+        for p in fresh:
+            if len(p) > SHORT:
+                del known[p]
+    return found
+
+
+def _spread(ids: list[tuple[int, ...]], codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all parts in a row, given the ids of the distinct ones, and where each text's begin."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+    own = sizes[codes]
+    ends = np.cumsum(own)
+    first = (np.cumsum(sizes) - sizes)[codes]
+    return flat[np.repeat(first - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)], np.append(0, ends)[at]
+
+
 class Aligned:
-    """Tokens and groups of a block of texts; arrays run over all its texts, ``at_`` says where a text's begin."""
+    """Tokens and groups of a block of texts; arrays run over all its texts, ``at_`` says where a text's begin.
+
+    No token of either tokenizer reaches over a single space between characters that are no white space. So texts are cut
+    there and equal parts are encoded once.
+    """
 
     def __init__(self, texts: list[str], a: Entries, b: Entries):
-        ids: tuple[list[list[int]], list[list[int]]] = ([], [])
-        spaced = [b" " + t.encode() if t else b"" for t in texts]
-        edges = np.append(0, np.cumsum([len(s) for s in spaced]))
-        for x, y in common.row_blocks(edges, ENCODED):
-            for out, of in zip(ids, (a, b)):
-                out += of.encode(texts[x:y])
-        for k, said in enumerate(spaced):
-            if not said or a.spell(ids[0][k]) != said or b.spell(ids[1][k]) != said:
-                ids[0][k], ids[1][k] = [], []
-        self.at_a, self.at_b = (np.append(0, np.cumsum([len(x) for x in own])).astype(np.int64) for own in ids)
-        self.a, self.b = (np.fromiter((i for x in own for i in x), np.int64, int(at[-1])) for own, at in zip(ids, (self.at_a, self.at_b)))
+        number: dict[str, int] = {}
+        cut = [_CUT.split(t) if t else [] for t in texts]
+        codes = np.array([number.setdefault(p, len(number)) for own in cut for p in own], np.int64)
+        at = np.append(0, np.cumsum([len(own) for own in cut])).astype(np.int64)
+        parts = encoded(list(number), a, b)
+        # a text with a part that either tokenizer does not spell has no tokens
+        bad = ~np.array([p[2] for p in parts], bool)
+        if bad.any():
+            text = np.repeat(np.arange(len(texts)), np.diff(at))
+            keep = ~np.isin(text, text[bad[codes]])
+            codes, at = codes[keep], np.append(0, np.cumsum(np.bincount(text[keep], minlength=len(texts))))
+        (self.a, self.at_a), (self.b, self.at_b) = (_spread([p[k] for p in parts], codes, at) for k in (0, 1))
         end_a, end_b = np.cumsum(a.sizes[self.a]), np.cumsum(b.sizes[self.b])
         n_a, n_b = np.diff(self.at_a), np.diff(self.at_b)
         # the shorter list of a text drives: its tokens, then the other's, as places in the lists of A and B
@@ -300,34 +340,32 @@ def linked(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text: str
     best = counts.groupBy(first.alias("a")).agg(F.max("n").alias("most"))
     ranked = counts.join(F.broadcast(best), first == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("top"))
     back = told.join(ranked, "pair").groupBy("block").agg(F.collect_list(F.struct("k", "n", "top")).alias("counts"))  # a block's pairs
-    joined = blocks.drop("pairs", "held").join(back, "block", "left").select("docs", "at", "times", "counts.k", "counts.n", "counts.top")
+    joined = blocks.drop("pairs", "held").join(back, "block", "left").select("block", "docs", "at", "times", "counts.k", "counts.n", "counts.top")
     fields = [*private, *RESULTS]
     result = F.struct(*private, *[width.alias(n) for n in RESULTS[:-1]], F.lit("").alias("groups_sha256"))
-    done = joined.mapInArrow(_counted(private), chosen.select(result.alias("r")).select("r.*").schema)
+    # the join has dealt the blocks already; a group is one block, so no two of them are held together
+    done = joined.groupBy("block").applyInArrow(_counted(private), chosen.select(result.alias("r")).select("r.*").schema)
     return done.select(*[F.col(f).alias(name) for f, name in zip(fields, [*keep, *RESULTS])])
 
 
 def _counted(private: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows, at, times, place, n, top = (batch.column(k)[i] for k in range(6))
-                rows = rows.values
-                sizes = np.asarray(rows.field("n_pairs").to_numpy(zero_copy_only=False), np.int64)
-                back, times = _unpacked(at.as_py(), int(sizes.sum())), _unpacked(times.as_py(), int(sizes.sum()))
-                first = np.append(0, np.cumsum(sizes))
-                some = np.flatnonzero(sizes)
-                total = np.cumsum(back)
-                back = total - np.repeat(np.append(0, total)[first[some]], sizes[some])
-                counts, best = np.zeros(1 + back.max(initial=0), np.int64), np.zeros(1 + back.max(initial=0), np.int64)
-                if len(some):
-                    where = place.values.to_numpy()
-                    counts[where], best[where] = n.values.to_numpy(), top.values.to_numpy(zero_copy_only=False)
-                sums = [np.zeros(len(sizes), np.int64) for _ in range(2)]
-                if len(some):
-                    sums[0][some] = np.add.reduceat(times * best[back], first[some])
-                    sums[1][some] = np.add.reduceat(times * counts[back], first[some])
-                columns = [rows.field(f) for f in [*private, *COUNTS]] + [pa.array(s) for s in sums] + [rows.field("groups_sha256")]
-                yield pa.RecordBatch.from_arrays(columns, [*private, *RESULTS])
+    def run(block: pa.Table) -> pa.Table:
+        _, rows, at, times, place, n, top = (column.combine_chunks()[0] for column in block.columns)
+        rows = rows.values
+        sizes = np.asarray(rows.field("n_pairs").to_numpy(zero_copy_only=False), np.int64)
+        steps, times = _unpacked(at.as_py(), int(sizes.sum())), _unpacked(times.as_py(), int(sizes.sum()))
+        some = np.flatnonzero(sizes)
+        first = (np.cumsum(sizes) - sizes)[some]
+        total = np.cumsum(steps)
+        back = total - np.repeat(np.append(0, total)[first], sizes[some])
+        sums = [np.zeros(len(sizes), np.int64) for _ in range(2)]
+        if len(some):
+            counts, best = np.zeros((2, 1 + int(back.max())), np.int64)
+            where = place.values.to_numpy()
+            counts[where], best[where] = n.values.to_numpy(), top.values.to_numpy(zero_copy_only=False)
+            sums[0][some] = np.add.reduceat(times * best[back], first)
+            sums[1][some] = np.add.reduceat(times * counts[back], first)
+        columns = [rows.field(f) for f in [*private, *COUNTS]] + [pa.array(s) for s in sums] + [rows.field("groups_sha256")]
+        return pa.Table.from_arrays(columns, [*private, *RESULTS])
 
     return run
