@@ -5,9 +5,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tracelake.functions.models import resolve_model_name
-from tracelake.operators import capture, listing, rate
+from tracelake.operators import analytics, capture, listing, rate
 from tracelake.schema import EVENT
-from tracelake.streaming import live
+from tracelake.sources import versions
+from tracelake.streaming import live, series, throttle
 
 START = datetime(2026, 1, 1)
 
@@ -221,11 +222,32 @@ def test_live_rate_over_batches(spark, tmp_path):
     for part in ([r for r in rows[:300] if r not in late], [r for r in rows[300:] if r not in late], late):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(schema).parquet(inbox)
-        live.live_rate(stream, 2, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r["request_id"]: r["rejected"] for r in live.live_verdicts(spark, str(tmp_path / "out")).collect()}
+        throttle.live_rate(stream, 2, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r["request_id"]: r["rejected"] for r in throttle.live_verdicts(spark, str(tmp_path / "out")).collect()}
     assert got == verdicts(rows, 2)
+    since = START + timedelta(seconds=700)
+    some = {r["request_id"]: r["rejected"] for r in throttle.live_verdicts(spark, str(tmp_path / "out"), since).collect()}
+    assert some == {i: got[i] for i, _, t in rows if t >= since}
 
 
+def test_one_endless_client_is_spread_and_folded_by_instants(spark):
+    """Forty requests a second for hours: instants are folded, and the requests' verdicts lie in many tasks."""
+    hot = spark.range(200_000).selectExpr("lpad(id, 7, '0') as request_id", "'hot' as client", "timestamp_micros(1767225600000000 + id div 10 * 250000) as ts")
+    judged = rate.rate_violations(hot, 25).select("*", F.spark_partition_id().alias("task"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = judged.groupBy("task").agg(F.count("*").alias("n"), F.count_if(~F.col("rejected")).alias("accepted")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # 25 at the start of every minute: the first three instants, then nothing until they expire
+    assert sum(r["accepted"] for r in got) == 25 * -(-200_000 // 2400) and len([r for r in got if r["n"] > 1000]) > 1
+
+
+def test_stretches_end_where_nothing_counts(spark):
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [(f"{k}-{i}", "c", at(60 * k + (0 if k % 2 else 59) + 0.01 * i)) for k in range(8) for i in range(4)]
+    frame = spark.createDataFrame(rows, "request_id string, client string, ts timestamp")
+    assert rate.busy_minutes(frame, 3).select("episode").distinct().count() == 4
+    assert {r["request_id"]: r["rejected"] for r in rate.rate_violations(frame, 3).collect()} == verdicts(rows, 3)
+
 def test_rate_screen_counts_late_requests(spark, tmp_path):
     inbox, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "client string, ts timestamp"
     at = lambda *seconds: [START + timedelta(seconds=s) for s in seconds]
@@ -246,14 +268,20 @@ def test_client_key(spark):
 
 
 def test_live_figures_do_not_depend_on_batches(spark, tmp_path):
-    rows = [(START + timedelta(minutes=7 * i), float(i * i % 97) if i % 5 else None, i % 4 == 0) for i in range(60)]
-    schema = "ts timestamp, duration_ms double, has_error boolean"
+    rows = [(START + timedelta(minutes=7 * i), float(i * i % 97) if i % 5 else None, i % 4 == 0, {"m": i % 3} if i % 2 else None) for i in range(60)]
+    schema = "start_time timestamp, duration_ms double, has_error boolean, model_counts map<string,bigint>"
     results = []
-    for name, files in (("one", 1), ("many", 5)):
+    for name, files in (("one", 1), ("many", 11)):
         inbox, out = str(tmp_path / f"in-{name}"), str(tmp_path / f"out-{name}")
         for i in range(files):
             spark.createDataFrame(rows[i::files], schema).coalesce(1).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-        live.live_timeseries(stream, out, str(tmp_path / f"cp-{name}")).awaitTermination()
-        results.append(sorted(map(tuple, live.live_figures(spark.read.parquet(out)).collect())))
+        series.live_series(stream, out, str(tmp_path / f"cp-{name}")).awaitTermination()
+        results.append(sorted(map(tuple, series.tumbling(series.stored_figures(spark, out)).collect())))
+        span = {"start": START, "end": START + timedelta(hours=7), "as_of": START}
+        flat = spark.createDataFrame(rows, schema).withColumns({"status": F.lit("completed"), "estimated_cost": F.lit(None).cast("decimal(18,6)"), "total_tokens": F.lit(None).cast("bigint"), "environment": F.lit("e"), "project": F.lit("p")})
+        assert series.series(spark, out, **span).collect() == analytics.timeseries(flat, **span).collect()
+        calls = analytics.timeseries_models(flat, **span).filter("calls <> 0")
+        assert series.series_models(spark, out, **span).collect() == calls.collect()
     assert results[0] == results[1] and sum(r[1] for r in results[0]) == 60
+    assert len(list((tmp_path / "out-many" / "figures").iterdir())) == 2 and len(list((tmp_path / "out-many" / "figures" / "level=0").iterdir())) <= 2 * versions.FAN

@@ -130,6 +130,7 @@ def timeseries_total(rows: DataFrame, grid: Grid, environment: str | None = None
 
 
 def _bucket_figures(matching: DataFrame, grid: Grid) -> DataFrame:
+    """Figures of every bucket of the grid."""
     placed = matching.withColumn("bucket", bucket_of(F.col("start_time"), grid))
     placed = placed.select(
         "bucket", "status", "has_error", F.col("duration_ms").cast("decimal(18,2)").alias("duration"),
@@ -144,7 +145,12 @@ def _bucket_figures(matching: DataFrame, grid: Grid) -> DataFrame:
         F.sum("total_tokens").alias("_tokens"),
     )
     p95 = order_statistic(placed.select("bucket", "duration"), ["bucket"], "duration", ceil_rank, "_p95")
-    filled = zero_fill(matching.sparkSession, grid, sums.join(p95, "bucket", "left"))
+    return filled_series(matching.sparkSession, grid, sums, p95)
+
+
+def filled_series(spark: SparkSession, grid: Grid, sums: DataFrame, p95: DataFrame) -> DataFrame:
+    """The rows of a series from the sums and the percentile of the buckets that have any."""
+    filled = zero_fill(spark, grid, sums.join(p95, "bucket", "left"))
     count, errors = _zero(F.col("_count")), _zero(F.col("_errors"))
     average = half_up(_zero(F.col("_cents")), _zero(F.col("_timed")) * 100, 2)
     return filled.select(

@@ -4,15 +4,16 @@
 then its version file, so a reader sees all of it or nothing, and a lost job leaves nothing but folders nobody names. Folders
 that a change replaces stay for readers of the version before it and go with the next change.
 
-Segments are keyed logs in such a table: every change adds one, of (id, ...) by bucket of the id's hash, and the newest
-entry of an id counts. When ``FAN`` of a level have come together they are merged into one of the next, so there are few at
-any time and an entry is rewritten a logarithmic number of times.
+Segments are keyed logs in such a table: every change adds one, by bucket of the key's hash, and a fold says what the entries of
+a key come to: the newest counts, or their sums do. When ``FAN`` of a level have come together they are merged into one of the
+next, so there are few at any time and an entry is rewritten a logarithmic number of times.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,11 +80,16 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def write_segment(entries: DataFrame, path: str, kind: str, version: dict, level: int = 0, name: str | None = None) -> list:
-    """Store entries (id, ..., gone) as a segment; returns how it is listed. Rows of a bucket lie sorted by id."""
+def write_segment(
+    entries: DataFrame, path: str, kind: str, version: dict, level: int = 0, name: str | None = None, key: str = "id"
+) -> list:
+    """Store entries (key, ..., gone) as a segment; returns how it is listed. Rows of a bucket lie sorted by key."""
     name = name or token(version["number"])
-    placed = entries.withColumns({"version": F.lit(version["number"]).cast("long"), "bucket": bucket_of(F.col("id"), version["buckets"])}) if "version" not in entries.columns else entries
-    laid_out = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id")
+    placed = entries
+    if "version" not in entries.columns:
+        own = {"version": F.lit(version["number"]).cast("long"), "bucket": bucket_of(F.col(key), version["buckets"])}
+        placed = entries.withColumns(own)
+    laid_out = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
     laid_out.write.partitionBy("bucket").parquet(f"{path}/{kind}/level={level}/v={name}")
     return [level, name]
 
@@ -99,18 +105,27 @@ def entries(spark: SparkSession, path: str, kind: str, segments: list, schema: s
         return spark.createDataFrame([], whole)
     folders = [f"{path}/{folder_of(kind, s)}" for s in segments]
     found = spark.read.schema(whole).option("basePath", f"{path}/{kind}").parquet(*folders)
-    found = found.select([part.split(" ")[0] for part in whole.replace(", ", ",").split(",")])
+    found = found.select([part.split(" ")[0] for part in whole.split(", ")])
     return found if buckets is None else found.filter(F.col("bucket").isin(buckets))
 
 
-def newest(found: DataFrame) -> DataFrame:
-    """The newest entry of each id, deletions included."""
-    fields = [c for c in found.columns if c != "id"]
-    last = found.groupBy("id").agg(F.max_by(F.struct(*fields), "version").alias("e"))
-    return last.select("id", *[F.col(f"e.{f}").alias(f) for f in fields])
+def newest(found: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The newest entry of each key, deletions included."""
+    fields = [c for c in found.columns if c not in keys]
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*fields), "version").alias("e"))
+    return last.select(*keys, *[F.col(f"e.{f}").alias(f) for f in fields])
 
 
-def merged(spark: SparkSession, path: str, kind: str, segments: list, schema: str, version: dict) -> tuple[list, list[str]]:
+def merged(
+    spark: SparkSession,
+    path: str,
+    kind: str,
+    segments: list,
+    schema: str,
+    version: dict,
+    fold: Callable[[DataFrame], DataFrame] = newest,
+    key: str = "id",
+) -> tuple[list, list[str]]:
     """(segments with full levels merged, folders no longer named)."""
     replaced = []
     while True:
@@ -120,8 +135,8 @@ def merged(spark: SparkSession, path: str, kind: str, segments: list, schema: st
             return segments, replaced
         own = [s for s in segments if s[0] == full[0]]
         rest = [s for s in segments if s[0] != full[0]]
-        last = newest(entries(spark, path, kind, own, schema))
+        last = fold(entries(spark, path, kind, own, schema))
         if not any(s[0] > full[0] for s in rest):  # nothing older that a deletion has to hide
             last = last.filter(~F.col("gone"))
-        segments = [*rest, write_segment(last, path, kind, version, full[0] + 1)]
+        segments = [*rest, write_segment(last, path, kind, version, full[0] + 1, key=key)]
         replaced += [folder_of(kind, s) for s in own]

@@ -1,4 +1,6 @@
-"""Structured Streaming jobs: ingest, live figures, rate checks, deduplication (``assembly`` has spans and traces).
+"""Structured Streaming jobs: ingest, a rate screen, deduplication.
+
+``assembly`` has spans and traces, ``series`` live figures, ``throttle`` exact verdicts on requests.
 
 Every job has a batch twin with the same result on the same input.
 """
@@ -11,11 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracelake.functions.numbers import cents, half_up, pct
 from tracelake.operators.metrics import trace_rows
-from tracelake.operators.order_stats import ceil_rank, order_statistic
 from tracelake.operators.pricing import RateCard
-from tracelake.operators.rate import rate_violations
 from tracelake.schema import RAW_TRACE
 from tracelake.sources.store import latest_by_id, upsert_into
 from tracelake.sources.traces import apply_defaults, document_text, split_valid
@@ -77,48 +76,8 @@ def _per_batch(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
 
-def live_timeseries(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Counts per minute, duration and outcome of a stream of (ts, duration_ms, has_error).
-
-    Each micro-batch adds its own counts under its number; a replayed batch overwrites itself. There
-    is no state to lose and late rows are never dropped. ``live_figures`` reads the result.
-    """
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy(
-            F.date_trunc("minute", "ts").alias("minute"),
-            F.col("duration_ms").cast("decimal(18,2)").alias("duration"),
-            F.coalesce("has_error", F.lit(False)).alias("has_error"),
-        ).agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").parquet(_per_batch(path, batch_id))
-
-    writer = events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def live_figures(counts: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Tumbling buckets of whole minutes over the counts ``live_timeseries`` has written."""
-    start = F.window("minute", width)["start"]
-    placed = counts.select(start.alias("bucket_start"), "duration", "has_error", "n")
-    amount = F.when(F.col("duration").isNotNull(), F.col("n"))
-    sums = placed.groupBy("bucket_start").agg(
-        F.sum("n").alias("trace_count"),
-        F.coalesce(F.sum(F.when(F.col("has_error"), F.col("n"))), F.lit(0)).alias("error_count"),
-        F.coalesce(F.sum(amount), F.lit(0)).alias("_timed"),
-        F.coalesce(F.sum(cents(F.col("duration")) * amount), F.lit(0)).alias("_cents"),
-    )
-    p95 = order_statistic(placed, ["bucket_start"], "duration", ceil_rank, "_p95", weight="n")
-    average = half_up(F.col("_cents"), F.col("_timed") * 100, 2)
-    return sums.join(p95, "bucket_start", "left").select(
-        "bucket_start", "trace_count", "error_count",
-        pct(F.col("error_count"), F.col("trace_count")).alias("error_rate"),
-        average.alias("avg_duration_ms"),
-        F.greatest(F.coalesce(F.col("_p95").cast("double"), F.lit(0.0)), average).alias("p95_duration_ms"),
-    )
-
-
 def rate_screen(requests: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Requests per client and ten seconds, for ``screened`` to read; ``live_rate`` judges exactly.
+    """Requests per client and ten seconds, for ``screened`` to read; ``throttle`` judges exactly.
 
     Each micro-batch adds its own counts under its number; a replayed batch overwrites itself. There is no state to lose
     and late requests always count. Only counts are kept, so this scales with clients, not requests.
@@ -142,46 +101,6 @@ def screened(counts: DataFrame, per_minute: int) -> DataFrame:
     return summed.filter(F.col("requests") > per_minute)
 
 
-def live_rate(requests: DataFrame, per_minute: int, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Exact verdicts per request, written per micro-batch under ``path``/verdicts; ``live_verdicts`` reads them.
-
-    A batch judges its requests together with all later ones of the same clients, so a late request changes the verdicts
-    it would have changed had it come in time. What went before counts through the accepted requests of the minute before.
-    """
-
-    def judge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("request_id", "client", "ts")
-        if batch_id > 0:
-            minute = F.expr("interval 60 seconds")
-            since = rows.groupBy("client").agg(F.min("ts").alias("since"))
-            earliest = since.agg(F.min("since")).first()[0]  # lets the scan skip older batches
-            if earliest is None:
-                return
-            # a batch that runs again must not see what it wrote before
-            told = live_verdicts(spark, path, before=batch_id, since=earliest).join(since, "client")
-            later = told.filter(F.col("ts") >= F.col("since")).select("request_id", "client", "ts")
-            lead = told.filter(~F.col("rejected") & (F.col("ts") < F.col("since")) & (F.col("ts") > F.col("since") - minute))
-            rows = rows.unionByName(later).unionByName(lead.select(F.lit(None).cast("string").alias("request_id"), "client", "ts"))
-        everything = rate_violations(rows, per_minute)
-        everything.filter(F.col("request_id").isNotNull()).write.mode("overwrite").parquet(_per_batch(f"{path}/verdicts", batch_id))
-
-    writer = requests.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def live_verdicts(spark: SparkSession, path: str, before: int | None = None, since: datetime | None = None) -> DataFrame:
-    """(request_id, client, ts, rejected): the last verdict on each request, of batches ``before`` one and of a minute before
-    ``since`` on."""
-    told = spark.read.parquet(f"{path}/verdicts")
-    if before is not None:
-        told = told.filter(F.col("batch") < before)
-    if since is not None:
-        told = told.filter(F.col("ts") > F.lit(since).cast("timestamp") - F.expr("interval 60 seconds"))
-    last = told.groupBy("request_id").agg(F.max(F.struct("batch", "client", "ts", "rejected")).alias("v"))
-    return last.select("request_id", "v.client", "v.ts", "v.rejected")
-
-
 def dedup_events(events: DataFrame, keys: list[str]) -> DataFrame:
     """The first copy of each event, however late it or a replay comes.
 
