@@ -51,6 +51,33 @@ def test_mask_document(spark):
     assert "a@b.co" not in json.dumps(got["deep"])
 
 
+@pytest.mark.parametrize(
+    "doc,clean",
+    [
+        ('{"a": 1.10, "b": [12345678901234567890123.5, 1E+2, -0], "t": "\\u0061@b.co"}', '{"a":1.10,"b":[12345678901234567890123.5,1E+2,-0],"t":"[EMAIL_REDACTED]"}'),
+        ('{"z": 1, "a": {"Auth-Token": [1, {"x": "y"}], "k": "v"}, "password": null}', '{"z":1,"a":{"Auth-Token":"[REDACTED]","k":"v"},"password":"[REDACTED]"}'),
+        ('{"password": {"x": "hunter2"}, "a": [1.10', json.dumps('{"password":"[REDACTED]", "a": [1.10')),
+        ('{"api_key": ["sk1","sk2"], "b": ', json.dumps('{"api_key":"[REDACTED]", "b": ')),
+        ('{"password": {"x": "hunter2", "y": [', json.dumps('{"password":"[REDACTED]"')),
+        ('{"password": "hunt', json.dumps('{"password":"[REDACTED]"')),
+        ('said "token": hunter2 and card 4111 1111-1111 1111.', json.dumps('said "token":"[REDACTED]" and card [CARD_REDACTED].')),
+        ('{"password": , "a": "b@c.de"}', json.dumps('{"password":"[REDACTED]", "a": "[EMAIL_REDACTED]"}')),
+        ('{"password": 1}}', json.dumps('{"password":"[REDACTED]"}}')),
+        ("mail a@b.co", '"mail [EMAIL_REDACTED]"'), ("", '""'), ("null", "null"), ('"a@b.co"', '"[EMAIL_REDACTED]"'), (None, None),
+    ],
+)
+def test_masking_copies_tokens(spark, doc, clean):
+    got = one(spark, doc, docs.mask_document)
+    assert got == clean
+    assert got is None or "hunt" not in got and "sk1" not in got
+
+
+def test_deep_documents_hide_their_secrets(spark):
+    deep = '{"n":' * 6000 + '{"password":{"inner":"hunter2"},"mail":"a@b.co","x":1.50}' + "}" * 6000
+    got = one(spark, deep, docs.mask_document)
+    assert got == '{"n":' * 6000 + '{"password":"[REDACTED]","mail":"[EMAIL_REDACTED]","x":1.50}' + "}" * 6000
+
+
 def test_sensitive_keys(spark):
     names = {"password": True, " Secret ": True, "user_token": True, "tokens": False, "set-cookie": True, "api_key": True, "my_api_key": False, "session": True, "x": False}
     frame = spark.createDataFrame([(k,) for k in names], "k string").select("k", text.is_sensitive_key(F.col("k")).alias("s"))

@@ -280,3 +280,24 @@ def test_order_statistic_of_many_groups(spark):
     expected = {k: sorted(v)[95 * (len(v) - 1) // 100] for k, v in expected.items()}
     got = order_stats.order_statistic(rows, ["k"], "v", order_stats.floor_rank, "p")
     assert {r["k"]: r["p"] for r in got.collect()} == expected
+
+
+def test_deep_pages_and_cursors(spark, monkeypatch):
+    from datetime import timedelta
+
+    from tracelake.operators import listing
+
+    times = [None, *[START + timedelta(days=400 * (i % 3), seconds=(i * 37) % 90) for i in range(400)]]
+    rows = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(times)], "id string, start_time timestamp")
+    order = [r["id"] for r in listing.newest_first(rows).collect()]
+    monkeypatch.setattr(listing, "SHALLOW", 5)
+    for offset in (0, 5, 6, 100, 133, 134, 260, 391, 399, 400, 401, 900):
+        assert [r["id"] for r in listing.newest_page(rows, 10, offset).collect()] == order[offset : offset + 10]
+    monkeypatch.setattr(listing, "trace_summaries", lambda page: page)
+    seen, after = [], None
+    while len(seen) < 395:
+        page, after = listing.page_after(rows, after, 50)
+        seen += [r["id"] for r in listing.newest_first(page).collect()]
+        if after is None:
+            break
+    assert seen == order[: len(seen)] and len(seen) >= 399

@@ -222,6 +222,20 @@ def test_span_tree(spark):
     assert got["lost"]["is_orphan"] and got["lost"]["depth"] == 0 and got["under"]["root_id"] == "lost" and not got["under"]["is_orphan"]
     assert [got[i]["depth"] for i in "xyz"] == [None, None, None]
     assert len(got) == len(rows)
+    # numbered in one piece or climbed, the result is the same
+    climbed = {r["id"]: r for r in spans._climbed_tree(frame_).select(*spans.span_tree(frame_).columns).collect()}
+    assert climbed == got
+    held = {r["id"]: r for r in spans.span_intervals(frame_).collect()}
+    below = {i: sum(held[j]["enter"] > r["enter"] and held[j]["enter"] <= r["leave"] for j in held if held[j]["enter"]) for i, r in held.items() if r["enter"]}
+    assert below == {i: r["leave"] - r["enter"] for i, r in held.items() if r["enter"]} and below["root"] == 24 and below["c0"] == 19
+
+
+def test_large_traces_are_climbed(spark, monkeypatch):
+    rows = [("big", f"s{i}", f"s{i // 2}" if i else None, "n") for i in range(1, 40)] + [("small", "a", None, "n"), ("small", "b", "a", "m")]
+    frame_ = spark.createDataFrame([(t, i, None if p == i else p, n) for t, i, p, n in rows], "trace_id string, id string, parent_id string, name string")
+    whole = sorted(map(repr, spans.span_tree(frame_).collect()))
+    monkeypatch.setattr(spans, "LARGE", 10)
+    assert sorted(map(repr, spans.span_tree(frame_).collect())) == whole
 
 
 def test_with_parent_of_unknown_run(spark):

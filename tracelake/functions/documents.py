@@ -61,17 +61,46 @@ def _rewrite(change: Callable[[object], object], plain: Callable[[str], str]) ->
     return batch
 
 
-def _rewrite_lists(change: Callable[[object], object], plain: Callable[[str], str]) -> Callable[[pd.Series], pd.Series]:
-    one = _rewriter(change, plain)
-
-    def batch(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda texts: None if texts is None else [one(text) for text in texts])
-
-    return batch
-
-
-# A member with a plain value in text that is no readable JSON.
-_MEMBER = re.compile(r'"([^"\\]*)"(\s*:\s*)("(?:[^"\\]|\\.)*"?|[^\s,\[\]{}"]+)')
+# What JSON text is made of: a string, a string that never ends, a bracket, comma or colon, white space, anything else.
+_TOKEN = re.compile(r'("(?:[^"\\]|\\.)*")|("(?:[^"\\]|\\.)*\\?\Z)|([{}\[\],:])|([ \t\r\n]+)|([^"{}\[\],: \t\r\n]+)', re.S)
+_BARE = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+_COLON = re.compile(r"[ \t\r\n]*:")
+
+
+class _Grammar:
+    """Follows the tokens of a text and tells whether they are one JSON value; ``open`` is its own stack of brackets."""
+
+    def __init__(self) -> None:
+        self.open: list[str] = []
+        self.sound, self.due = True, "value"
+
+    def take(self, token: str) -> None:
+        due, value = self.due, False
+        if token in "{[":
+            self.sound &= due in ("value", "value or end")
+            self.open.append(token)
+            self.due = "key or end" if token == "{" else "value or end"
+            return
+        if token in "}]":
+            fits = bool(self.open) and self.open[-1] == {"}": "{", "]": "["}[token]
+            self.sound &= fits and due in ("comma or end", "key or end" if token == "}" else "value or end")
+            if self.open:
+                self.open.pop()
+            value = True
+        elif token == ",":
+            self.sound &= due == "comma or end" and bool(self.open)
+            self.due = "key" if self.open and self.open[-1] == "{" else "value"
+        elif token == ":":
+            self.sound &= due == "colon"
+            self.due = "value"
+        elif due in ("key", "key or end"):
+            self.sound &= token == '"'
+            self.due = "colon"
+        else:
+            self.sound &= due in ("value", "value or end")
+            value = True
+        if value:
+            self.due = "comma or end" if self.open else "nothing"
 
 
 def mask_document(
@@ -81,19 +110,24 @@ def mask_document(
 ) -> Column:
     """Redact a JSON document: whole values under sensitive keys, matches in every other string.
 
-    Nesting is free-form, so this is an Arrow-batched Python step; patterns must be valid in both
-    Java and Python regex. Text that is no JSON, or nested too deep to read, is masked as text.
+    The text is scanned token by token and copied; only strings and values under sensitive keys change, so numbers stay as
+    written, members in their order, and depth does not matter. White space between tokens goes. Text that is no JSON is
+    scanned alike, whatever follows a sensitive key is hidden up to where that value ends or the text does, the rest is masked
+    as text, and all of it becomes one JSON string. This is an Arrow-batched Python step; patterns must be valid in both Java
+    and Python regex.
     """
-    return F.pandas_udf(_rewrite(*_masking(extra_rules, extra_keys)), "string")(col)
+    one = _masking(extra_rules, extra_keys)
+    return F.pandas_udf(lambda texts: texts.map(one), "string")(col)
 
 
 def mask_document_lists(col: Column, extra_rules: Iterable[tuple[str, str]] = (), extra_keys: Iterable[str] = ()) -> Column:
     """``mask_document`` for each member of an array of JSON documents."""
-    return F.pandas_udf(_rewrite_lists(*_masking(extra_rules, extra_keys)), "array<string>")(col)
+    one = _masking(extra_rules, extra_keys)
+    return F.pandas_udf(lambda lists: lists.map(lambda texts: None if texts is None else [one(t) for t in texts]), "array<string>")(col)
 
 
-def _masking(extra_rules: Iterable[tuple[str, str]], extra_keys: Iterable[str]) -> tuple[Callable[[object], object], Callable[[str], str]]:
-    rules = mask_rules(extra_rules)
+def _masking(extra_rules: Iterable[tuple[str, str]], extra_keys: Iterable[str]) -> Callable[[str | None], str | None]:
+    rules = [(re.compile(pattern), placeholder) for pattern, placeholder in mask_rules(extra_rules)]
     keys = frozenset(sensitive_keys(extra_keys))
 
     def hidden(key: str) -> bool:
@@ -102,25 +136,65 @@ def _masking(extra_rules: Iterable[tuple[str, str]], extra_keys: Iterable[str])
 
     def masked(text: str) -> str:
         for pattern, placeholder in rules:
-            text = re.sub(pattern, placeholder, text)
+            text = pattern.sub(placeholder, text)
         return text
 
-    def plain(text: str) -> str:
-        return masked(_MEMBER.sub(lambda m: f'"{m[1]}"{m[2]}"{REDACTED}"' if hidden(m[1]) else m[0], text))
+    def quoted(text: str) -> str:
+        return json.dumps(text, ensure_ascii=False)
 
-    def change(document: object) -> object:
-        def walk(node: object) -> object:
-            if isinstance(node, str):
-                return masked(node)
-            if isinstance(node, dict):
-                return {k: REDACTED if hidden(k) else walk(v) for k, v in node.items()}
-            if isinstance(node, list):
-                return [walk(item) for item in node]
-            return node
+    def said(token: str, grammar: _Grammar) -> str:
+        try:
+            return json.loads(token)
+        except ValueError:
+            grammar.sound = False
+            return token.strip('"')
 
-        return walk(document)
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        grammar, parts, at = _Grammar(), [], 0
+        blanks = []
+        secret, depth = False, 0  # a value that is left out, and how deep in it the scan is
+        while at < len(text):
+            found = _TOKEN.match(text, at)
+            token, kind, at = found[0], found.lastindex, found.end()
+            if kind == 4:
+                if not secret:
+                    blanks.append(len(parts))
+                    parts.append(token)
+                continue
+            grammar.take('"' if kind in (1, 2) else token)
+            grammar.sound &= kind != 2 and (kind != 5 or _BARE.fullmatch(token) is not None)
+            if kind == 1 and (colon := _COLON.match(text, at)):
+                name = said(token, grammar)
+                if not secret:
+                    parts += [token, ":"]
+                    secret, depth = hidden(name), 0
+                    if secret:
+                        parts.append(f'"{REDACTED}"')
+                grammar.take(":")
+                at = colon.end()
+                continue
+            if secret:
+                if kind == 3 and depth == 0 and token in ",}]":  # a value is missing
+                    secret = False
+                else:
+                    depth += (token in "{[") - (token in "}]") if kind == 3 else 0
+                    secret = depth > 0
+                    continue
+            if kind == 1:
+                clear = said(token, grammar)
+                clean = masked(clear)
+                parts.append(token if clean == clear else quoted(clean))
+            else:
+                parts.append(token)
+        if grammar.sound and grammar.due == "nothing":
+            for k in blanks:
+                parts[k] = ""
+            return "".join(parts)
+        return quoted(masked("".join(parts)))
 
-    return change, plain
+    return one
 
 
 def truncate_document(

@@ -129,12 +129,74 @@ def with_full_count(rows: DataFrame) -> DataFrame:
     return rows.withColumn("total_count", F.lit(rows.count()).cast("bigint"))
 
 
+# Offsets up to this are reached by keeping that many newest rows; beyond, newer rows are counted and left out.
+SHALLOW = 1000
+_MOMENTS = ("year", "day", "minute", "second")
+
+
+def newest_page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """``limit`` rows after the ``offset`` newest ones, newest first.
+
+    For deep pages rows are counted by year, then by day of the year the page starts in, and on down to the second.
+    What is newer is left out by a bound on the time, which also reaches the scan, and so is what is older than the page.
+    """
+    bounds = {}
+    for moment in _MOMENTS if offset > SHALLOW else ():
+        counted = rows.groupBy(F.date_trunc(moment, "start_time").alias("at")).agg(F.count("*").alias("n"))
+        # one row for each year, day of a year, minute of a day or second of a minute
+        places = counted.filter("at is not null").orderBy(F.col("at").desc()).collect()
+        passed, first, last = 0, None, None
+        for place in places:
+            if first is None and passed + place["n"] > offset:
+                first, offset, passed = place["at"], offset - passed, 0
+            passed += place["n"]
+            if first is not None and passed >= offset + limit:
+                last = place["at"]
+                break
+        if first is None:
+            break
+        # the page may go on beyond the place it starts in
+        lower = F.lit(last) if last is not None else None
+        upper = F.lit(first) + F.expr(f"interval 1 {moment}")
+        if lower is not None:
+            rows = rows.filter((F.col("start_time") < upper) & (F.col("start_time") >= lower))
+        else:  # rows without a start come last
+            rows = rows.filter((F.col("start_time") < upper) | F.col("start_time").isNull())
+        if "start_date" in rows.columns:
+            period = rows.schema["start_date"].metadata.get("period", "year")
+            rows = rows.filter(F.col("start_date") <= F.to_date(F.lit(first) + F.expr(f"interval 1 {moment}")))
+            if lower is not None:
+                rows = rows.filter(F.col("start_date") >= F.to_date(F.date_trunc(period, lower)))
+        if offset <= SHALLOW:
+            break
+    return newest_first(rows).offset(offset).limit(limit)
+
+
+def page_after(
+    rows: DataFrame, after: tuple[datetime, str] | None = None, limit: int = DEFAULT_LIMIT, **filters: object
+) -> tuple[DataFrame, tuple[datetime, str] | None]:
+    """(page of summaries that follow ``after``, newest first; where the next page follows, null at the end).
+
+    ``after`` is start and id of the last trace seen. It is a bound on the stored time, so pages however deep cost what
+    the first one does, and traces that come meanwhile do not shift them.
+    """
+    limit, _ = page_bounds(limit)
+    matching = filter_traces(rows, **filters)
+    if after is not None:
+        at = instant(after[0])
+        matching = filter_traces(matching, to_time=after[0])  # names the dates, too
+        matching = matching.filter((F.col("start_time") < at) | ((F.col("start_time") == at) & (F.col("id") > F.lit(after[1]))))
+    page = newest_first(matching).limit(limit)
+    seen = page.select("start_time", "id").collect()  # one page
+    end = (seen[-1]["start_time"], seen[-1]["id"]) if len(seen) == limit else None
+    return trace_summaries(page), end
+
+
 def list_traces(rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **filters: object) -> tuple[DataFrame, int]:
     """(page of summaries, newest first; number of all matches)."""
     limit, offset = page_bounds(limit, offset)
     matching = filter_traces(rows, **filters)
-    page = newest_first(matching).offset(offset).limit(limit)
-    return trace_summaries(page), matching.count()
+    return trace_summaries(newest_page(matching, limit, offset)), matching.count()
 
 
 def exclude_paths(traces: DataFrame, prefixes: Sequence[str] = UNTRACED_PATHS) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,11 +126,86 @@ def climb(links: DataFrame) -> DataFrame:
     )
 
 
-def span_tree(spans: DataFrame) -> DataFrame:
-    """Per span: root, depth, path of names, number of children, and whether its parent is missing.
+#: Spans of a trace up to which its tree is numbered in one piece; larger ones are climbed by doubling.
+LARGE = 200_000
+_INTERVALS = (
+    "trace_id string, id string, enter bigint, leave bigint, depth bigint, root_id string, children bigint, is_orphan boolean"
+)
+
+
+def _numbered(paths: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Walks each trace of a batch from its roots down, numbering spans as it enters and leaves them."""
+    names = [part.split(" ")[0] for part in _INTERVALS.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            ways: list[list[str] | None] = []
+            for trace, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first: dict[str, int] = {}
+                below: dict[str, list[int]] = {}
+                for k, span in enumerate(spans):
+                    first.setdefault(span["id"], k)
+                    if span["parent_id"] is not None:
+                        below.setdefault(span["parent_id"], []).append(k)
+                known: list[tuple | None] = [None] * len(spans)
+                way: list[list[str] | None] = [None] * len(spans)
+                tops = [k for k, span in enumerate(spans) if span["parent_id"] is None or span["parent_id"] not in first]
+                clock, stack = 0, [(k, 0, spans[k]["id"], -1) for k in reversed(tops)]
+                while stack:
+                    k, depth, root, above = stack.pop()
+                    if k < 0:  # all below have been numbered
+                        enter, depth, root = known[~k]
+                        known[~k] = (enter, clock, depth, root)
+                        continue
+                    clock += 1
+                    known[k] = (clock, depth, root)
+                    if paths:
+                        way[k] = [*way[above], spans[k]["name"]] if above >= 0 else [spans[k]["name"]]
+                    stack.append((~k, 0, "", -1))
+                    # of spans that share an id the first one is the parent
+                    if first[spans[k]["id"]] == k:
+                        stack += [(c, depth + 1, root, k) for c in reversed(below.get(spans[k]["id"], []))]
+                for span, at in zip(spans, known):
+                    enter, leave, depth, root = at or (None, None, None, None)
+                    orphan = span["parent_id"] is not None and span["parent_id"] not in first
+                    out.append((trace, span["id"], enter, leave, depth, root, len(below.get(span["id"], ())), orphan))
+                ways += way
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out), kinds)] if out else [pa.array([], kind) for kind in kinds]
+            more = [pa.array(ways, pa.list_(pa.string()))] if paths else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], [*names, *(["path"] if paths else [])])
+
+    return walk
+
+
+def span_intervals(spans: DataFrame, paths: bool = False) -> DataFrame:
+    """Per span: when a walk through its trace enters and leaves it, depth, root, number of children, whether its parent is missing.
+
+    A span lies below another of its trace if it is entered after and not later than that one is left: leave - enter
+    spans lie below it. One shuffle brings a trace's ids together. Members of a cycle have no numbers.
+    """
+    one = F.struct("id", "parent_id", *(["name"] if paths else []))
+    nested = spans.groupBy("trace_id").agg(F.collect_list(one).alias("spans"))
+    return nested.mapInArrow(_numbered(paths), _INTERVALS + (", path array<string>" if paths else ""))
+
+
+def span_tree(spans: DataFrame, paths: bool = True) -> DataFrame:
+    """Per span: root, depth, path of names (if wanted), number of children, and whether its parent is missing.
 
-    Only spans that have children are climbed; the many leaves below them are joined once.
+    Traces of more than ``LARGE`` spans are not held in one piece: their spans climb to the top by doubling.
     """
+    columns = ["trace_id", "id", "root_id", "depth", *(["path"] if paths else []), "children", "is_orphan"]
+    sizes = spans.groupBy("trace_id").agg(F.count("*").alias("_size"))
+    large = sizes.filter(F.col("_size") > LARGE).select("trace_id")
+    if large.isEmpty():
+        return span_intervals(spans, paths).select(*columns)
+    climbed = _climbed_tree(spans.join(large, "trace_id", "left_semi")).select(*columns)
+    return span_intervals(spans.join(large, "trace_id", "left_anti"), paths).select(*columns).unionByName(climbed)
+
+
+def _climbed_tree(spans: DataFrame) -> DataFrame:
+    """``span_tree`` of traces of any size. Only spans that have children are climbed; the many leaves below them are joined once."""
     spans = cut_lineage(spans.select("trace_id", "id", "parent_id", "name"))
     children = spans.filter(F.col("parent_id").isNotNull()).groupBy("trace_id", F.col("parent_id").alias("id")).agg(
         F.count("*").alias("children")
@@ -158,7 +236,7 @@ def span_tree(spans: DataFrame) -> DataFrame:
 def span_waterfall(traces: DataFrame, spans: DataFrame) -> DataFrame:
     """Per span: offset from the start of its trace in ms, duration and depth."""
     begun = traces.select(F.col("id").alias("trace_id"), F.col("start_time").alias("_begun"))
-    depth = span_tree(spans).select("trace_id", "id", "depth")
+    depth = span_tree(spans, paths=False).select("trace_id", "id", "depth")
     offset = (F.unix_micros("start_time") - F.unix_micros("_begun")).cast("double") / F.lit(1000.0)
     timed = spans.join(begun, "trace_id").select("trace_id", "id", "name", offset.alias("offset_ms"), "duration_ms")
     return timed.join(depth, ["trace_id", "id"])

@@ -165,7 +165,7 @@ r AS (
 )"""
 )
 
-TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+TIME = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 def time(col: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 from time import sleep as time_passes
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,7 @@ def shown(df: DataFrame) -> DataFrame:
         elif isinstance(kind, (T.IntegerType, T.ShortType)):
             col = col.cast("bigint")
         elif isinstance(kind, T.TimestampType):
-            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(kind, T.DateType):
             col = col.cast("string")
         elif isinstance(kind, T.MapType):
@@ -122,7 +123,7 @@ def _(spark, sf):
     "apply_defaults",
     with_sql(TRACES, select=f"""
     SELECT id, CASE WHEN o_orderkey % 3 = 0 THEN 'running' ELSE status END AS status, coalesce(environment, 'production') AS environment,
-           CASE WHEN o_orderkey % 4 = 0 THEN '2001-08-02 00:00:00' ELSE {time('start_time')} END AS start_time FROM t"""),
+           CASE WHEN o_orderkey % 4 = 0 THEN '2001-08-02 00:00:00.000000' ELSE {time('start_time')} END AS start_time FROM t"""),
 )
 def _(spark, sf):
     key = F.col("id").cast("bigint")
@@ -392,9 +393,9 @@ def _(spark, sf):
 _TREE = """
 , tree AS (
   WITH RECURSIVE w AS (
-    SELECT trace_id, id, id AS root_id, CAST(0 AS BIGINT) AS depth, name AS path FROM s WHERE parent_id IS NULL
+    SELECT trace_id, id, id AS root_id, CAST(0 AS BIGINT) AS depth, name AS path, [id] AS ids FROM s WHERE parent_id IS NULL
     UNION ALL
-    SELECT s.trace_id, s.id, w.root_id, w.depth + 1, w.path || '|' || s.name FROM s JOIN w ON s.trace_id = w.trace_id AND s.parent_id = w.id
+    SELECT s.trace_id, s.id, w.root_id, w.depth + 1, w.path || '|' || s.name, list_append(w.ids, s.id) FROM s JOIN w ON s.trace_id = w.trace_id AND s.parent_id = w.id
   ) SELECT * FROM w
 )"""
 
@@ -407,6 +408,14 @@ def _(spark, sf):
     return spans.span_tree(src.spans(spark, sf))
 
 
+@query("span_intervals", "WITH " + SPANS + _TREE + """
+    , below AS (SELECT a.trace_id, a.id, count(b.id) AS n FROM tree a LEFT JOIN tree b ON b.trace_id = a.trace_id AND b.id <> a.id AND list_contains(b.ids, a.id) GROUP BY ALL)
+    SELECT tree.trace_id, tree.id, depth, n AS below FROM tree JOIN below USING (trace_id, id)""")
+def _(spark, sf):
+    held = spans.span_intervals(src.spans(spark, sf))
+    return held.select("trace_id", "id", "depth", (F.col("leave") - F.col("enter")).alias("below"))
+
+
 @query("span_waterfall", "WITH " + SPANS + _TREE + """
     SELECT s.trace_id, s.id, s.name, CAST(s.pos * 1000 AS DOUBLE) AS offset_ms, s.duration_ms, tree.depth
     FROM s JOIN tree ON tree.trace_id = s.trace_id AND tree.id = s.id""")
@@ -624,9 +633,10 @@ def _(spark, sf):
     return analytics.timeseries(rows_of(spark, sf), environment="production", start=datetime(1995, 1, 1), end=AS_OF, as_of=AS_OF)
 
 
-@query("zero_fill", _series_sql("TIMESTAMP '1990-01-01'", "TIMESTAMP '1990-01-01 01:00:00'", 12, 300))
+@query("zero_fill", _series_sql("TIMESTAMP '1998-01-01'", "TIMESTAMP '2002-01-01'", _days(datetime(1998, 1, 1), datetime(2002, 1, 1)), 86400))
 def _(spark, sf):
-    return analytics.timeseries(rows_of(spark, sf), start=datetime(1990, 1, 1), end=datetime(1990, 1, 1, 1), as_of=AS_OF)
+    """Days before and after the last trace of the sample: filled buckets and empty ones."""
+    return analytics.timeseries(rows_of(spark, sf), start=datetime(1998, 1, 1), end=datetime(2002, 1, 1), as_of=AS_OF)
 
 
 @query("timeseries_models", with_sql(ROWS, select="""
@@ -719,6 +729,29 @@ def _(spark, sf):
     return page.withColumn("total_count", F.lit(total).cast("bigint"))
 
 
+@query("deep_page", with_sql(ROWS, select=f"""
+    SELECT {SUMMARY}, (SELECT count(*) FROM r) AS total_count FROM (SELECT * FROM r ORDER BY r.start_time DESC, r.id LIMIT 500 OFFSET 1200)"""))
+def _(spark, sf):
+    path = scratch_path(spark, "deep-pages")
+    store.write_trace_rows(rows_of(spark, sf), path, period="month")
+    page, total = listing.list_traces(store.read_trace_rows(spark, path), 500, 1200)
+    return page.withColumn("total_count", F.lit(total).cast("bigint"))
+
+
+@query("cursor_pages", with_sql(ROWS, select=f"""
+    SELECT {SUMMARY}, (row_number() OVER (ORDER BY r.start_time DESC, r.id) - 1) // 200 AS page FROM r WHERE status = 'failed' ORDER BY r.start_time DESC, r.id LIMIT 600"""))
+def _(spark, sf):
+    path = scratch_path(spark, "cursor-pages")
+    store.write_trace_rows(rows_of(spark, sf), path, period="month")
+    rows, after, pages = store.read_trace_rows(spark, path), None, []
+    for number in range(3):
+        page, after = listing.page_after(rows, after, 200, status="failed")
+        pages.append(page.withColumn("page", F.lit(number).cast("bigint")))
+        if after is None:
+            break
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("recent", with_sql(TRACES, select="SELECT id FROM t ORDER BY start_time DESC, id LIMIT 500"))
 def _(spark, sf):
     return listing.recent(src.traces(spark, sf), 500).select("id")
@@ -774,7 +807,7 @@ _VERDICTS = """
       UNION ALL
       SELECT request_id, client, us, k, CASE WHEN len(f) < 3 THEN list_append(f, us) ELSE f END, len(f) >= 3
       FROM (SELECT q.*, list_filter(w.accepted, lambda x: x > q.us - 60000000) AS f FROM w JOIN q ON q.client = w.client AND q.k = w.k + 1))
-    SELECT request_id, client, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S') AS ts, rejected FROM w"""
+    SELECT request_id, client, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') AS ts, rejected FROM w"""
 
 
 @query("rate_violations", _VERDICTS)
@@ -892,15 +925,18 @@ _DEEP = "repeat('[', 5000) || '{0}x {1}{0}' || repeat(']', 5000)"
 
 
 @query("mask_documents_nested", with_sql(TRACES, SPANS, select=r"""
-    SELECT s.trace_id, s.pos, '{"m":"to [EMAIL_REDACTED]","n":' || s.pos || ',"password":"[REDACTED]"}' AS inputs,
-      md5(CASE CAST(s.trace_id AS BIGINT) % 3 WHEN 0 THEN '{"text":"no [SSN_REDACTED]"}' WHEN 1 THEN '"' || """ + _DEEP.format('\\"', "[EMAIL_REDACTED]") + r""" || '"'
-        ELSE '"{\"mail\": \"[EMAIL_REDACTED]\", \"password\": \"[REDACTED]\""' END) AS input FROM s JOIN t ON t.id = s.trace_id"""))
+    SELECT s.trace_id, s.pos, '{"password":"[REDACTED]","m":"to [EMAIL_REDACTED]","n":' || s.pos || '.50}' AS inputs,
+      md5(CASE CAST(s.trace_id AS BIGINT) % 5 WHEN 0 THEN '{"text":"no [SSN_REDACTED]"}' WHEN 1 THEN """ + _DEEP.format('"', "[EMAIL_REDACTED]") + r"""
+        WHEN 2 THEN '"{\"mail\": \"[EMAIL_REDACTED]\", \"password\":\"[REDACTED]\""' WHEN 3 THEN '"{\"api_key\":\"[REDACTED]\", \"b\": [1.10"'
+        ELSE repeat('{"n":', 3000) || '{"password":"[REDACTED]","x":12345678901234567890123.5}' || repeat('}', 3000) END) AS input FROM s JOIN t ON t.id = s.trace_id"""))
 def _(spark, sf):
-    """Hits in every nested span; inputs that are plain, nested 5,000 deep, and broken."""
+    """Hits in every nested span; inputs that are plain, nested thousands deep, and broken in several ways; numbers as written."""
     docs = src.documents(spark, sf)
-    sent = F.transform("spans", lambda s, i: s.withField("inputs", F.concat(F.lit('{"password":"p","m":"to a'), i.cast("string"), F.lit('@b.com","n":'), i.cast("string"), F.lit("}"))))
-    case = F.col("id").cast("bigint") % 3
-    text = F.when(case == 0, F.lit('{"text":"no 123-45-6789"}')).when(case == 1, F.expr(_DEEP.format('"', "a@b.com"))).otherwise(F.lit('{"mail": "a@b.com", "password": "p'))
+    sent = F.transform("spans", lambda s, i: s.withField("inputs", F.concat(F.lit('{"password":"p","m":"to a'), i.cast("string"), F.lit('@b.com","n":'), i.cast("string"), F.lit(".50}"))))
+    case = F.col("id").cast("bigint") % 5
+    deep = F.expr("""concat(repeat('{"n":', 3000), '{"password":{"inner":["hunter2"]},"x":12345678901234567890123.5}', repeat('}', 3000))""")
+    text = F.when(case == 0, F.lit('{"text":"no 123-45-6789"}')).when(case == 1, F.expr(_DEEP.format('"', "a@b.com"))).when(case == 2, F.lit('{"mail": "a@b.com", "password": "p'))
+    text = text.when(case == 3, F.lit('{"api_key": ["sk1", {"k": "sk2"}], "b": [1.10')).otherwise(deep)
     masked = privacy.mask_traces(docs.withColumns({"spans": sent, "input": text}))
     return masked.select(F.col("id").alias("trace_id"), F.md5("input").alias("input"), F.posexplode("spans").alias("pos", "s")).select("trace_id", "pos", "input", "s.inputs")
 
@@ -956,9 +992,11 @@ def _(spark, sf):
     return src.table(spark, sf, "documents").select("doc_id", docs.truncate_document(doc).alias("doc"))
 
 
-@query("mask_spans", with_sql(SPANS, select="SELECT id, inputs, outputs FROM s WHERE span_type IN ('tool', 'node')"))
+@query("mask_spans", with_sql(SPANS, select="""
+    SELECT id, '{"to":"[EMAIL_REDACTED]","session_token":"[REDACTED]","k":[' || pos || ',"[SSN_REDACTED]"]}' AS inputs, outputs FROM s"""))
 def _(spark, sf):
-    return privacy.mask_spans(src.spans(spark, sf).filter("span_type in ('tool', 'node')")).select("id", "inputs", "outputs")
+    sent = F.concat(F.lit('{"to":"x'), F.col("pos").cast("string"), F.lit('@b.com","session_token":{"a":1},"k":['), F.col("pos").cast("string"), F.lit(',"123-45-6789"]}'))
+    return privacy.mask_spans(src.spans(spark, sf).withColumn("inputs", sent)).select("id", "inputs", "outputs")
 
 
 @query("mask_traces", with_sql(TRACES, select="SELECT id, error, '{\"session\":\"[REDACTED]\"}' AS metadata FROM t"))
@@ -989,7 +1027,9 @@ def _(spark, sf):
 
 @query("state_diff_masked", _DIFF)
 def _(spark, sf):
-    return diff.state_diff(src.spans(spark, sf), mask=True)
+    """Every node's mail address changes; masked, the old and the new one are the same."""
+    mailed = {n: F.expr(f"""concat(left({n}, length({n}) - 1), ',"mail":"{n}@b.co"}}')""") for n in ("inputs", "outputs")}
+    return diff.state_diff(src.spans(spark, sf).withColumns(mailed), mask=True)
 
 
 @query("canonical_json", "SELECT event_id, '{\"a\":' || CAST(event_id AS VARCHAR) || ',\"b\":' || replace(props, ' ', '') || '}' AS doc FROM events")
@@ -1363,7 +1403,7 @@ def _(spark, sf):
 @query("rate_screen", """
     WITH q AS (SELECT CAST(user_id AS VARCHAR) AS client, epoch_us(ts) // 500 AS us FROM events),
     w AS (SELECT client, (us // 10000000 - k) * 10 AS start FROM q, range(6) t(k))
-    SELECT client, strftime(to_timestamp(start) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS minute_start, count(*) AS requests
+    SELECT client, strftime(to_timestamp(start) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS minute_start, count(*) AS requests
     FROM w GROUP BY ALL HAVING count(*) > 3""")
 def _(spark, sf):
     """Each file is a batch and holds requests of all times, so those of the later ones come late."""
