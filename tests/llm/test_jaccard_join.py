@@ -64,6 +64,8 @@ def test_nulls_empty_texts_and_repeated_rows(make_docs):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.groups(docs, how).collect()), key=str)
     assert got == sorted([(4, 2, 2), (2, 2, 2), (2, 2, 2), (7, 0, 7), (8, 0, 8), (9, 0, 9), (None, 2, 2), (11, 1, 11), (12, 1, 11), (13, 29996, 13), (14, 29997, 13)], key=str)
     kept = [r.doc_id for r in jaccard_join.first_of_each_group(docs, how).collect()]
+    both = [(1, "one text of this id alone"), (1, "quite another text under that id"), (1, None), (1, None)]
+    assert sorted(str(r.text) for r in jaccard_join.first_of_each_group(make_docs(both), how).collect()) == sorted(str(t) for t in {t for _, t in both})
     assert sorted(kept, key=str) == sorted([2, 7, 8, 9, None, 11, 13], key=str)
     assert jaccard_join.groups(make_docs([]), how).count() == 0
 
@@ -95,3 +97,22 @@ def test_shorter_copies_are_linked_beside_their_centre(make_docs, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected(dict(texts))
     kept = sorted(r.doc_id for r in jaccard_join.first_of_each_group(make_docs(texts), how).collect())
     assert kept == sorted({low for _, low in expected(dict(texts)).values()})
+
+
+def test_large_group_of_near_copies_opens_few_pairs(make_docs, monkeypatch):
+    """512 near copies of one text, in chains: whatever is compared set by set stays linear in the group."""
+    pick = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(512):
+        words = list(base)
+        for k in pick.sample(range(120), pick.randrange(1, 3)):
+            words[k] = f"x{i}y{k}"
+        texts[i] = " ".join(words[: pick.randrange(112, 121)])
+    texts |= {1000 + i: " ".join(f"{pick.randrange(400)}" for _ in range(60)) for i in range(300)}
+    seen = []
+    real = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, sets: seen.append(pairs.count()) or real(pairs, sets))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(make_docs(texts), Join(filter_bits=12, hot_from=4)).collect()}
+    assert got == expected(texts)
+    assert sum(seen) < 12 * len(texts)

@@ -59,3 +59,28 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in kept["tokens"].values())
     assert set(kept["tokens"]) == set(kept["decontamination"])
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == set(kept["tokens"])
+
+
+def test_odd_tables(spark, tmp_path):
+    """Clashing names, repeated ids and rows, null ids, a very long text, empty tables."""
+    folder = str(tmp_path)
+    tables(spark, folder)
+    form = "doc_id long, text string, score double, predicted string, ids string, decoded string, spans string, n_tokens string, round_trip string, node string, __first string"
+    said = [" ".join(f"plain{i}word{k}" for k in range(60)) for i in range(4)]
+    rows = [(1, said[0]), (1, said[0]), (1, said[1]), (None, said[2]), (None, said[2]), (7, said[3] + " mail a@b.co"), (8, "long " * 70000), (9, None), (10, "")]
+    rows = [(i, t, 0.5, "p", "i", "d", "s", "n", "r", "o", "f") for i, t in rows]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, form)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs.columns, stage(spark, docs, folder)
+            docs.write.parquet(f"{folder}/{name}-{len(given)}")
+            docs = spark.read.parquet(f"{folder}/{name}-{len(given)}")
+            if name != "tokens":
+                assert docs.columns == before
+            if name == "near_duplicates" and given:
+                kept = docs.collect()
+                assert {(r.score, r.predicted, r.ids, r["__first"]) for r in kept} <= {(0.5, "p", "i", "f")}
+                texts = sorted((str(r.doc_id), r.text or "") for r in kept if r.doc_id in (1, None))
+                assert all(texts.count(x) == 1 for x in texts if x[0] == "1")
+        assert len(set(docs.columns)) == len(docs.columns) and {"ids", "n_tokens", "round_trip"} <= set(docs.columns)
+        assert all(r.round_trip and r.n_tokens == len(r.ids) and r.spans == "s" for r in docs.collect())

@@ -145,10 +145,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (src, dst), for every node that has one.
 
     Alternates large-star and small-star steps: each takes a minimum per node, which combines before the shuffle,
-    so a node with very many links is no single group. Every round is stored; it ends when no edge changes.
+    so a node with very many links is no single group. Every round is stored; it ends when each node has one edge, to one
+    that has none itself.
     """
     edges = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
-    seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -156,9 +156,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         edges = stored(small.distinct(), "links")
-        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if state == seen:
+        tops = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+        if tops.where("n > 1").union(tops.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "n", "v")).isEmpty():
             break
-        seen = state
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.union(pairs.select(F.col("component"), F.col("component")).distinct())

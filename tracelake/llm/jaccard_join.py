@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,10 +129,10 @@ def frequencies(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]:
     return bitmap, np.sort(top.astype(np.uint64))
 
 
-def signatures(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, how: Join) -> DataFrame:
+def signatures(docs: DataFrame, known: Broadcast, how: Join) -> DataFrame:
     """(doc_id, n, f1, f2, tokens, places, members, parity): size and fingerprint of each set; of its prefix the shingles
-    that other documents may hold, with their places in the order; and, if there are such, the whole set and its parity bits."""
-    known = docs.sparkSession.sparkContext.broadcast((bitmap, hot))
+    that other documents may hold, with their places in the order; and, if there are such, the whole set and its parity bits.
+    ``known`` is what ``frequencies`` gives."""
     schema = "doc_id long, n long, f1 long, f2 long, tokens array<long>, places array<int>, members array<long>, parity array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +208,11 @@ def _star(lists: DataFrame, seed: int) -> DataFrame:
 
 
 def links(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
-    """(sets, edges): sets has doc_id, n and node (the smallest id with an equal set) for every row; edges (a, b) links nodes,
-    enough of them to connect every two that a chain of similar sets connects."""
-    rows = stored(signatures(docs, *frequencies(docs, how), how), "signatures")
+    """(sets, components): sets has doc_id, n and node (the smallest id with an equal set) for every row; components (node, component)
+    has the smallest node that a chain of similar sets connects each with, for nodes that have any."""
+    known = docs.sparkSession.sparkContext.broadcast(frequencies(docs, how))
+    rows = stored(signatures(docs, known, how), "signatures")
+    known.destroy()
     nodes = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
     nodes = stored(nodes, "nodes")
     own = rows.where(F.size("tokens") > 0).dropDuplicates(["doc_id", "f1", "f2"])
@@ -229,14 +232,29 @@ def links(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
         found = verified(pairs, sets)
         checked = stored(found if checked is None else found.unionByName(checked), "checked")
         lists = stored(_grouped(lists.drop("grp"), _linked(checked, how), seed == how.stars - 1), "lists")
-    rest = _between_blocks(lists, sets, checked, how)
-    edges = _linked(checked.unionByName(rest), how).select("a", "b").distinct()
+    found = _between_blocks(lists, sets, checked, how)
     members = rows.select("doc_id", "n", "f1", "f2").join(nodes, ["f1", "f2", "n"], "left").select("doc_id", "n", "node")
-    return members, edges
+    return members, found
+
+
+def _components(checked: DataFrame, how: Join) -> DataFrame:
+    return stored(common.components(_linked(checked, how).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are in different components."""
+    for name in ("a", "b"):
+        own = groups.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
+        pairs = pairs.join(own, name, "left").withColumn(f"_{name}", F.coalesce(f"_{name}", name))
+    return pairs.where("_a <> _b").drop("_a", "_b")
 
 
 def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how: Join) -> DataFrame:
-    """Intersections of the pairs of different groups that neither block nor centre rules out."""
+    """Components by all links, those between the groups that neither block nor centre rules out included.
+
+    Centres answer first, and blocks that an answer joins need no more. The rest are opened in rounds: members of one block
+    meet sixteen members of the other a list, then four times as many, and what a round joins is left out of the next.
+    """
     near = _linked(checked, how)
     near = near.select(F.col("a").alias("node"), F.col("b").alias("c"), "shared").union(near.select("b", "a", "shared"))
     # every node of a pair may be the other's centre: the smaller id is, so a centre is its own block
@@ -269,26 +287,53 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how:
     answers = stored(verified(both.select("a", "b"), sets), "answers")
     # a member that lacks nothing of its centre, a shorter copy, may still be linked where its centre is not
     opened = both.where("wide").join(answers, ["a", "b"]).where(_could(F.col("l1"), F.col("l2"), F.col("shared") + F.col("off"), how)).select("a", "b", "shared")
+    opened = stored(opened, "opened")
+    checked = checked.unionByName(answers)
+    groups = _components(checked, how)
+    opened = stored(_apart(opened, groups), "opened")
+    if opened.isEmpty():
+        return groups
     # only in the lists where the blocks passed: the first one that two linked sets share is among them
-    opened = met.where("wide").select("token", "a", "b").join(opened, ["a", "b"]).alias("o")
-    u, v = put.alias("u"), put.alias("v")
-    pairs = u.join(opened, (F.col("u.token") == F.col("o.token")) & (F.col("u.c") == F.col("a"))).join(v, (F.col("u.token") == F.col("v.token")) & (F.col("v.c") == F.col("b")) & (F.col("u.grp") != F.col("v.grp")))
-    pairs = pairs.where(_sizes(F.col("u.n"), F.col("v.n"), how) & _could(F.col("u.n"), F.col("v.n"), F.least(F.col("u.n") - F.col("u.pos"), F.col("v.n") - F.col("v.pos")), how))
-    pairs = pairs.where(_could(F.col("u.n"), F.col("v.n"), F.col("shared") + F.col("u.off") + F.col("v.off"), how))
-    pairs = pairs.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct().join(answers, ["a", "b"], "left_anti")
-    return stored(verified(pairs, sets).unionByName(answers), "rest")
+    places = met.where("wide").select("token", "a", "b")
+    needed = places.join(opened, ["a", "b"])
+    some = put.join(needed.select("token", F.col("b").alias("c")).distinct(), ["token", "c"], "left_semi")
+    turn = Window.partitionBy("token", "c").orderBy(F.xxhash64("node"), "node")
+    some = stored(some.withColumn("turn", F.row_number().over(turn) - 1), "opened-members")
+    last, lower, width, joined = some.agg(F.max("turn")).first()[0], 0, 16, False
+    while last is not None and lower <= last:
+        if joined:
+            groups, joined = _components(checked, how), False
+            opened = stored(_apart(opened, groups), "opened")
+            if opened.isEmpty():
+                break
+            needed = places.join(opened, ["a", "b"])
+        u, v, o = put.alias("u"), some.where((F.col("turn") >= lower) & (F.col("turn") < lower + width)).alias("v"), needed.alias("o")
+        pairs = u.join(o, (F.col("u.token") == F.col("o.token")) & (F.col("u.c") == F.col("o.a")))
+        pairs = pairs.join(v, (F.col("u.token") == F.col("v.token")) & (F.col("v.c") == F.col("o.b")) & (F.col("u.grp") != F.col("v.grp")))
+        rest = F.least(F.col("u.n") - F.col("u.pos"), F.col("v.n") - F.col("v.pos"))
+        pairs = pairs.where(_sizes(F.col("u.n"), F.col("v.n"), how) & _could(F.col("u.n"), F.col("v.n"), rest, how))
+        pairs = pairs.where(_could(F.col("u.n"), F.col("v.n"), F.col("o.shared") + F.col("u.off") + F.col("v.off"), how))
+        pairs = pairs.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+        found = stored(verified(pairs, sets), "opened-pairs")
+        checked = checked.unionByName(found)
+        lower, width = lower + width, 4 * width
+        joined = not _linked(found, how).isEmpty()
+    if not joined:
+        return groups
+    return common.components(_linked(checked, how).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def groups(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    members, edges = links(docs, how)
-    found = common.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    members, found = links(docs, how)
     joined = members.join(found, "node", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
 def first_of_each_group(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """The rows whose id is the smallest of their group, all columns kept; of rows that repeat it, one. Null ids stay."""
+    """The rows whose id is the smallest of their group, all columns kept; of rows that repeat id and text, one. Different texts
+    under such an id all stay, and so do null ids."""
     kept = groups(docs, how).where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__first")
-    first = docs.join(kept, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    first = docs.join(kept, F.col("doc_id") == F.col("__first"), "left_semi")
+    once = first.withColumn("__text", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return once.unionByName(docs.where("doc_id is null"))
