@@ -95,14 +95,6 @@ def test_strict_cached_input(spark):
     assert rates(spark, ["gpt-4o-mini"], RateCard(strict_cached=True))["gpt-4o-mini"][2] is None
 
 
-def test_attach_rates(spark):
-    calls = spark.createDataFrame([(i, "gpt-4o" if i % 3 else "o1") for i in range(60)], "i int, model string")
-    priced = pricing.price_models(calls)
-    rate = {r["model"]: r["prompt_rate"] for r in priced.collect()}
-    got = pricing.attach_rates(calls, priced).collect()
-    assert len(got) == 60 and all(r["prompt_rate"] == rate[r["model"]] for r in got)
-
-
 def test_load_rate_card(spark, tmp_path):
     card, n = load_rate_card(spark, {"m1": [1.25, 5.0], "m2": {"prompt": 0.5, "completion": 2.0}, "m3": {"input": 3, "output": 4}, "bad": 5, "short": [1]})
     assert n == 3

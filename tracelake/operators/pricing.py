@@ -338,11 +338,3 @@ def _price_by_joins(models: DataFrame, card: DataFrame) -> DataFrame:
 
     cached = "if(_name is null, null, coalesce(own_cached, cached_rate)) as cached_rate"
     return joined.selectExpr("model", choose("prompt_rate"), choose("completion_rate"), cached)
-
-
-def attach_rates(calls: DataFrame, priced: DataFrame) -> DataFrame:
-    """Join model rates to calls carrying ``model``.
-
-    Each model is one row of ``priced``, so a popular one is split over tasks by the skew join.
-    """
-    return calls.join(priced, "model", "left")

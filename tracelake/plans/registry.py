@@ -447,6 +447,27 @@ def _(spark, sf):
     return metrics.estimated_cost(src.spans(spark, sf))
 
 
+_OWN_CALLS = CALLS.replace("rate AS (SELECT nm.model, nm.n, card.p, card.c, ck.k FROM", """own AS (
+      SELECT 'totally-unknown' AS model, CAST(max(s_suppkey) AS DECIMAL(12,6)) AS p, CAST(min(s_suppkey) AS DECIMAL(12,6)) AS c FROM supplier
+      UNION ALL SELECT 'gpt-4o-mini', CAST(count(*) AS DECIMAL(12,6)), CAST(1.5 AS DECIMAL(12,6)) FROM supplier),
+    rate AS (SELECT nm.model, nm.n, coalesce(own.p, card.p) AS p, coalesce(own.c, card.c) AS c, ck.k FROM""").replace(
+    "card.model = coalesce(pre.key, fb.key))", "card.model = coalesce(pre.key, fb.key) LEFT JOIN own ON own.model = nm.n)")
+
+
+@query("load_rate_card", with_sql(_OWN_CALLS, select="""
+    SELECT trace_id, CAST(sum(total_cost) AS DOUBLE) AS estimated_cost, count(*) FILTER (WHERE is_estimated) AS priced, 2 AS loaded FROM calls GROUP BY trace_id"""))
+def _(spark, sf):
+    """A price list as a file: a pair, an object, and a member that is neither; its prices are inlined into the lookup."""
+    path = scratch_path(spark, "price-list")
+    found = src.table(spark, sf, "supplier").agg(F.max("s_suppkey").alias("most"), F.min("s_suppkey").alias("least"), F.count("*").alias("n"))
+    text = F.format_string('{"totally-unknown": [%s, %s], "gpt-4o-mini": {"prompt": %s, "completion": 1.5}, "broken": 7}', F.col("most").cast("string"), F.col("least").cast("string"), F.col("n").cast("string"))
+    found.select(text.alias("value")).coalesce(1).write.text(path)
+    card, n = trace_source.load_rate_card(spark, path)
+    priced = pricing.price_spans(src.spans(spark, sf), card)
+    sums = priced.groupBy("trace_id").agg(F.sum("call.total_cost").alias("estimated_cost"), F.count_if(F.col("call.is_estimated")).alias("priced"))
+    return sums.withColumn("loaded", F.lit(n).cast("bigint"))
+
+
 @query("rollup_status", with_sql(ROWS, select="SELECT id, status FROM r"))
 def _(spark, sf):
     return metrics.rollup_status(src.traces(spark, sf), src.spans(spark, sf)).select("id", "status")
@@ -752,6 +773,32 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, pages)
 
 
+@query("page_bounds", with_sql(ROWS, select=f"""
+    SELECT {SUMMARY}, (row_number() OVER (ORDER BY r.start_time DESC, r.id) - 1) // 40 + 1 AS page FROM r WHERE environment = 'staging' ORDER BY r.start_time DESC, r.id LIMIT 120"""))
+def _(spark, sf):
+    """Pages by number."""
+    rows = rows_of(spark, sf)
+    pages = [listing.list_traces(rows, *listing.page_bounds(40, page=n), environment="staging")[0].withColumn("page", F.lit(n).cast("bigint")) for n in (1, 2, 3)]
+    return reduce(DataFrame.unionByName, pages)
+
+
+_WINDOWS = [("15m", 900, 15, 60), ("1h", 3600, 12, 300), ("24h", 86400, 24, 3600), ("7d", 604800, 14, 43200), ("30d", 2592000, 30, 86400), ("often", 86400, 24, 3600)]
+
+
+@query("resolve_window", with_sql(TRACES, select=f"""
+    SELECT w.token, w.buckets, w.width, count(t.id) AS n FROM (VALUES {", ".join(map(str, _WINDOWS))}) w(token, seconds, buckets, width)
+    LEFT JOIN t ON t.start_time >= {oracle.AS_OF} - to_seconds(CAST(seconds AS BIGINT)) AND t.start_time <= {oracle.AS_OF} GROUP BY ALL"""))
+def _(spark, sf):
+    """Grid of every window token, and how many traces its range holds."""
+    found = src.traces(spark, sf)
+    parts = []
+    for token, *_ in _WINDOWS:
+        grid = analytics.resolve_window(token, as_of=AS_OF)
+        n = analytics.in_grid(found, grid, None, None).agg(F.count("*").alias("n"))
+        parts.append(n.select(F.lit(token).alias("token"), F.lit(grid.buckets).alias("buckets"), F.lit(grid.width).alias("width"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("recent", with_sql(TRACES, select="SELECT id FROM t ORDER BY start_time DESC, id LIMIT 500"))
 def _(spark, sf):
     return listing.recent(src.traces(spark, sf), 500).select("id")
@@ -966,6 +1013,13 @@ def _(spark, sf):
     return src.table(spark, sf, "documents").select("doc_id", docs.mask_document(doc).alias("doc"))
 
 
+@query("mask_own_rules", """SELECT doc_id, '{"lang":"[REDACTED]","t":' || CAST(to_json(regexp_replace(""" + oracle.masked("(text || ' ward 17-' || doc_id)") + """, 'ward 17-[0-9]+', '[WARD]', 'g')) AS VARCHAR) || '}' AS doc FROM documents""")
+def _(spark, sf):
+    """A rule and a key of one's own beside the standard ones."""
+    doc = F.to_json(F.struct("lang", F.concat("text", F.lit(" ward 17-"), F.col("doc_id").cast("string")).alias("t")))
+    return src.table(spark, sf, "documents").select("doc_id", docs.mask_document(doc, [(r"ward 17-[0-9]+", "[WARD]")], ["LANG"]).alias("doc"))
+
+
 @query("truncate_text", "SELECT doc_id, CASE WHEN length(text) > 10000 THEN left(text, 10000) || '... <Truncated: ' || CAST(length(text) - 10000 AS VARCHAR) || ' chars omitted>' ELSE text END AS text FROM documents")
 def _(spark, sf):
     return src.table(spark, sf, "documents").select("doc_id", text.truncate_text(F.col("text")).alias("text"))
