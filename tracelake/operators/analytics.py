@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.numbers import bucket_label, cents, half_up, pct
 from tracelake.operators.listing import filter_traces, recent
-from tracelake.operators.order_stats import ceil_rank, floor_rank, order_statistic
+from tracelake.operators.order_stats import ceil_rank, floor_rank, order_statistic, order_statistic_with
 from tracelake.session import cut_lineage
 
 # Window tokens; any other token means a day.
@@ -34,24 +35,40 @@ def _errors() -> Column:
     return F.sum(F.when(F.col("has_error") | (F.col("status") == "failed"), 1))
 
 
+def _added(aggregate: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """An aggregate whose values add up."""
+    return aggregate, F.sum
+
+
+def _kpi_sums() -> dict[str, tuple[Column, Callable[[Column], Column]]]:
+    return {
+        "total_traces": _added(F.count("*")),
+        "completed_traces": _added(F.sum(F.when(F.col("status") == "completed", 1))),
+        "failed_traces": _added(_errors()),
+        "_timed": _added(F.count("duration_ms")),
+        "_cents": _added(F.sum(cents(F.col("duration_ms")))),
+        "total_tokens": _added(F.sum("total_tokens")),
+        "total_llm_calls": _added(F.sum("llm_calls")),
+        "total_cost": _added(F.sum("estimated_cost")),
+    }
+
+
+def _kpis(totals: DataFrame) -> list[Column]:
+    def zero(name: str) -> Column:
+        return _zero(F.col(name)).alias(name)
+
+    return [
+        zero("total_traces"), zero("completed_traces"), zero("failed_traces"),
+        pct(_zero(F.col("completed_traces")), _zero(F.col("total_traces"))).alias("success_rate"),
+        half_up(_zero(F.col("_cents")), _zero(F.col("_timed")) * 100, 2).alias("avg_duration_ms"),
+        zero("total_tokens"), zero("total_llm_calls"), _zero(F.col("total_cost"), "decimal(28,6)").cast("double").alias("total_cost"),
+    ]
+
+
 def kpi_stats(rows: DataFrame) -> DataFrame:
     """One row of totals, success rate, average duration, tokens and cost; zeros for no traces."""
-    totals = rows.agg(
-        F.count("*").alias("total_traces"),
-        _zero(F.sum(F.when(F.col("status") == "completed", 1))).alias("completed_traces"),
-        _zero(_errors()).alias("failed_traces"),
-        F.count("duration_ms").alias("_timed"),
-        _zero(F.sum(cents(F.col("duration_ms")))).alias("_cents"),
-        _zero(F.sum("total_tokens")).alias("total_tokens"),
-        _zero(F.sum("llm_calls")).alias("total_llm_calls"),
-        _zero(F.sum("estimated_cost"), "decimal(28,6)").alias("total_cost"),
-    )
-    return totals.select(
-        "total_traces", "completed_traces", "failed_traces",
-        pct(F.col("completed_traces"), F.col("total_traces")).alias("success_rate"),
-        half_up(F.col("_cents"), F.col("_timed") * 100, 2).alias("avg_duration_ms"),
-        "total_tokens", "total_llm_calls", F.col("total_cost").cast("double").alias("total_cost"),
-    )
+    totals = rows.agg(*[one.alias(n) for n, (one, _) in _kpi_sums().items()])
+    return totals.select(*_kpis(totals))
 
 
 def kpi_p95(rows: DataFrame) -> DataFrame:
@@ -61,6 +78,18 @@ def kpi_p95(rows: DataFrame) -> DataFrame:
     return found.agg(_zero(F.max("_p95"), "double").alias("p95_duration_ms"))
 
 
+def kpi_board(rows: DataFrame, matching: Column | None = None) -> DataFrame:
+    """``kpi_stats`` and ``kpi_p95`` in one row, and how many rows hold ``matching``, from two passes over the rows."""
+    kept = rows.select(
+        "status", "has_error", "duration_ms", "total_tokens", "llm_calls", "estimated_cost",
+        F.col("duration_ms").cast("decimal(18,2)").alias("_duration"), (F.lit(True) if matching is None else F.coalesce(matching, F.lit(False))).alias("_hit"),
+    )
+    sums = {**_kpi_sums(), "matching": _added(F.count_if("_hit"))}
+    found = order_statistic_with(kept, [], "_duration", floor_rank, "_p95", sums)
+    # no row at all gives a row of nulls, which are zeros
+    return found.select(*_kpis(found), _zero(F.col("_p95"), "double").alias("p95_duration_ms"), _zero(F.col("matching")).alias("matching"))
+
+
 def node_execution_totals(rows: DataFrame, n: int | None = None) -> DataFrame:
     """Executions per node over all traces, or over the n newest."""
     counted = recent(rows.filter(F.col("node_counts").isNotNull()), n).select(F.explode("node_counts").alias("node_name", "n"))
@@ -136,21 +165,20 @@ def _bucket_figures(matching: DataFrame, grid: Grid) -> DataFrame:
         "bucket", "status", "has_error", F.col("duration_ms").cast("decimal(18,2)").alias("duration"),
         "estimated_cost", "total_tokens",
     )
-    sums = placed.groupBy("bucket").agg(
-        F.count("*").alias("_count"),
-        _errors().alias("_errors"),
-        F.count("duration").alias("_timed"),
-        F.sum(cents(F.col("duration"))).alias("_cents"),
-        F.sum("estimated_cost").alias("_cost"),
-        F.sum("total_tokens").alias("_tokens"),
-    )
-    p95 = order_statistic(placed.select("bucket", "duration"), ["bucket"], "duration", ceil_rank, "_p95")
-    return filled_series(matching.sparkSession, grid, sums, p95)
-
-
-def filled_series(spark: SparkSession, grid: Grid, sums: DataFrame, p95: DataFrame) -> DataFrame:
+    sums = {
+        "_count": _added(F.count("*")),
+        "_errors": _added(_errors()),
+        "_timed": _added(F.count("duration")),
+        "_cents": _added(F.sum(cents(F.col("duration")))),
+        "_cost": _added(F.sum("estimated_cost")),
+        "_tokens": _added(F.sum("total_tokens")),
+    }
+    return filled_series(matching.sparkSession, grid, order_statistic_with(placed, ["bucket"], "duration", ceil_rank, "_p95", sums))
+
+
+def filled_series(spark: SparkSession, grid: Grid, figures: DataFrame) -> DataFrame:
     """The rows of a series from the sums and the percentile of the buckets that have any."""
-    filled = zero_fill(spark, grid, sums.join(p95, "bucket", "left"))
+    filled = zero_fill(spark, grid, figures)
     count, errors = _zero(F.col("_count")), _zero(F.col("_errors"))
     average = half_up(_zero(F.col("_cents")), _zero(F.col("_timed")) * 100, 2)
     return filled.select(
@@ -195,31 +223,35 @@ def node_analytics(
     begin = resolve_window(window, as_of=as_of).start if window else None
     chosen = recent(filter_traces(rows, environment=environment, project=project, from_time=begin), n)
     if n is not None:
-        chosen = cut_lineage(chosen.select("id", "node_metrics"))  # few rows, read three times below
-    total = chosen.count()
-    runs = chosen.select(F.explode("node_metrics").alias("run")).select(
-        F.col("run.name").alias("node_name"), F.col("run.status").alias("status"),
-        F.col("run.duration_ms").cast("decimal(18,2)").alias("duration"),
-    ).filter(F.col("node_name") != "")
-    # A trace's runs sit in one row, so its distinct nodes are known on the spot.
-    seen = chosen.select(F.explode(F.array_distinct(F.transform("node_metrics", lambda run: run["name"]))).alias("node_name"))
-    traces_of = seen.groupBy("node_name").agg(F.count("*").alias("traces_executed"))
-    figures = runs.groupBy("node_name").agg(
-        F.count("*").alias("executions"),
-        _zero(F.sum(F.when(F.col("status") == "failed", 1))).alias("error_count"),
-        F.count("duration").alias("_timed"),
-        _zero(F.sum(cents(F.col("duration")))).alias("_cents"),
-        F.min("duration").alias("_least"),
-        F.max("duration").alias("_most"),
-    )
-    p95 = order_statistic(runs.select("node_name", "duration"), ["node_name"], "duration", floor_rank, "_p95")
-    whole = F.lit(total).cast("bigint")
-    ranked = figures.join(traces_of, "node_name").join(p95, "node_name", "left").select(
+        chosen = cut_lineage(chosen.select("id", "node_metrics"))  # few rows, read twice below
+    # a trace tells its runs, each of its nodes once, and itself, under no name
+    none = F.lit(None).cast("string")
+
+    def fact(name: Column, status: Column, duration: Column, kind: str) -> Column:
+        return F.struct(name.alias("node_name"), status.alias("status"), duration.cast("decimal(18,2)").alias("duration"), F.lit(kind).alias("kind"))
+
+    ran = F.transform("node_metrics", lambda run: fact(run["name"], run["status"], run["duration_ms"], "run"))
+    held = F.transform(F.array_distinct(F.transform("node_metrics", lambda run: run["name"])), lambda name: fact(name, none, none, "node"))
+    facts = chosen.select(F.explode(F.concat(F.coalesce(F.concat(ran, held), F.slice(F.array(fact(none, none, none, "")), 1, 0)), F.array(fact(none, none, none, "trace")))).alias("f")).select("f.*")
+    facts = facts.filter((F.col("kind") == "trace") | (F.col("node_name") != ""))
+    sums = {
+        "executions": _added(F.count_if(F.col("kind") == "run")),
+        "traces_executed": _added(F.count_if(F.col("kind") == "node")),
+        "_traces": _added(F.count_if(F.col("kind") == "trace")),
+        "error_count": _added(F.sum(F.when(F.col("status") == "failed", 1))),
+        "_timed": _added(F.count("duration")),
+        "_cents": _added(F.sum(cents(F.col("duration")))),
+        "_least": (F.min("duration"), F.min),
+        "_most": (F.max("duration"), F.max),
+    }
+    figures = order_statistic_with(facts, ["node_name"], "duration", floor_rank, "_p95", sums)
+    whole = F.max("_traces").over(Window.partitionBy())  # one row per node
+    ranked = figures.withColumn("_whole", whole).filter(F.col("node_name").isNotNull()).select(
         "node_name", "executions", "traces_executed",
-        pct(F.col("traces_executed"), whole).alias("frequency_pct"),
-        "error_count",
-        pct(F.col("error_count"), F.col("executions")).alias("error_rate"),
-        half_up(F.col("_cents"), F.col("_timed") * 100, 2).alias("avg_duration_ms"),
+        pct(F.col("traces_executed"), F.col("_whole")).alias("frequency_pct"),
+        _zero(F.col("error_count")).alias("error_count"),
+        pct(_zero(F.col("error_count")), F.col("executions")).alias("error_rate"),
+        half_up(_zero(F.col("_cents")), _zero(F.col("_timed")) * 100, 2).alias("avg_duration_ms"),
         *[_zero(F.col(f"_{c}"), "double").alias(f"{alias}_duration_ms")
           for c, alias in (("p95", "p95"), ("least", "min"), ("most", "max"))],
     )

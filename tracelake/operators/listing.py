@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,16 @@ def matches_search(term: str) -> Column:
     return hit
 
 
-def filter_traces(
+def filter_traces(rows: DataFrame, **filters: object) -> DataFrame:
+    """The rows that ``matches`` describes; its keywords are the filters.
+
+    On a stored table a time range also names the dates, so whole partitions are skipped.
+    """
+    condition = matches(rows, **filters)
+    return rows if condition is None else rows.filter(condition)
+
+
+def matches(
     rows: DataFrame,
     status: str | None = None,
     search: str | None = None,
@@ -64,30 +74,30 @@ def filter_traces(
     from_time: datetime | str | None = None,
     to_time: datetime | str | None = None,
     eval_status: str | None = None,
-) -> DataFrame:
-    """All given conditions must hold; an empty argument is no condition.
+) -> Column | None:
+    """All given conditions must hold; an empty argument is no condition, and no condition at all is null.
 
-    On a stored table a time range also names the dates, so whole partitions are skipped. ``start_date`` is
-    the first day of the period its metadata names; without that, of a year at most.
+    ``start_date`` is the first day of the period its metadata names; without that, of a year at most.
     """
+    found: list[Column] = []
     # Statuses are stored in lower case, so a bare comparison can reach the scan.
     for name, value in {"status": status, "eval_status": eval_status}.items():
         if value:
-            rows = rows.filter(F.col(name) == value.lower())
+            found.append(F.col(name) == value.lower())
     for name, value in {"environment": environment, "project": project}.items():
         if value:
-            rows = rows.filter(same_text(F.col(name), value))
+            found.append(same_text(F.col(name), value))
     if from_time or to_time:
-        rows = rows.filter(in_time_range(F.col("start_time"), from_time, to_time))
+        found.append(in_time_range(F.col("start_time"), from_time, to_time))
         if "start_date" in rows.columns:
             period = rows.schema["start_date"].metadata.get("period", "year")
             if from_time:
-                rows = rows.filter(F.col("start_date") >= F.to_date(F.date_trunc(period, instant(from_time))))
+                found.append(F.col("start_date") >= F.to_date(F.date_trunc(period, instant(from_time))))
             if to_time:
-                rows = rows.filter(F.col("start_date") <= F.to_date(instant(to_time)))
+                found.append(F.col("start_date") <= F.to_date(instant(to_time)))
     if search:
-        rows = rows.filter(matches_search(search))
-    return rows
+        found.append(matches_search(search))
+    return reduce(lambda a, b: a & b, found) if found else None
 
 
 def newest_first(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.session import cut_lineage
+
 STEPS_PER_OCTAVE = 256
 
 
@@ -45,19 +47,57 @@ def order_statistic(
     ``weight`` names a column telling how many values a row stands for. Values are counted before they
     meet the target of their group, and how they meet is left to the optimizer.
     """
+    summary = _summary(df, keys, value, rank, {}, weight)
+    return _resolved(df, summary.filter("_bucket is not null"), keys, value, name, weight).select(*keys, name)
+
+
+def order_statistic_with(
+    df: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], name: str, sums: dict[str, Column]
+) -> DataFrame:
+    """``order_statistic`` of every group, together with aggregates that add up (sums, counts, minima and maxima by their name).
+
+    ``sums`` maps a name to (aggregate of the rows, aggregate of such aggregates). They ride on the pass that finds the
+    coarse buckets, so all of it takes two passes over the rows; what lies between them is one row per group and is cut off.
+    A group without any value keeps its sums.
+    """
+    summary = cut_lineage(_summary(df, keys, value, rank, sums, None))
+    found = _resolved(df, summary.filter("_bucket is not null"), keys, value, name, None)
+    if not keys:
+        return summary.select(*sums, F.lit(1).alias("_k")).join(found.select(name, F.lit(1).alias("_k")), "_k", "left").drop("_k")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}"))
+    joined = summary.select(*keys, *sums).alias("s").join(found.alias("f"), same, "left")
+    return joined.select(*[F.col(f"s.{c}").alias(c) for c in (*keys, *sums)], F.col(f"f.{name}").alias(name))
+
+
+def _summary(df: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], sums: dict, weight: str | None) -> DataFrame:
+    """One row per group: its sums, and the coarse bucket with the wanted rank and how much of the rank lies in it."""
     groups = [F.col(k) for k in keys]
-    amount = F.sum(weight) if weight else F.count("*")
-    values = df.filter(F.col(value).isNotNull()).withColumn("_bucket", _bucket(F.col(value)))
-    coarse = values.groupBy(*keys, "_bucket").agg(amount.alias("_in_bucket"))
+    present = F.col(value).isNotNull()
+    amount = F.sum(F.when(present, F.col(weight))) if weight else F.count(value)
+    rows = df if sums else df.filter(present)
+    coarse = rows.withColumn("_bucket", F.when(present, _bucket(F.col(value)))).groupBy(*keys, "_bucket").agg(
+        F.coalesce(amount, F.lit(0)).alias("_in_bucket"), *[one.alias(n) for n, (one, _) in sums.items()]
+    )
     # At most a few thousand buckets per group reach these windows.
     whole = Window.partitionBy(*groups)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = coarse.withColumns(
         {"_upto": F.sum("_in_bucket").over(upto), "_rank": rank(F.sum("_in_bucket").over(whole))}
     )
-    target = ranked.filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in_bucket")))
-    target = target.select(*keys, "_bucket", (F.col("_rank") - (F.col("_upto") - F.col("_in_bucket"))).alias("_rest"))
-    inside = values.groupBy(*keys, "_bucket", value).agg(amount.alias("_n")).join(target, [*keys, "_bucket"])
-    running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in_bucket")) & F.col("_bucket").isNotNull()
+    target = F.struct("_bucket", (F.col("_rank") - (F.col("_upto") - F.col("_in_bucket"))).alias("_rest"))
+    one = ranked.groupBy(*keys).agg(F.max(F.when(hit, target)).alias("_target"), *[again(F.col(n)).alias(n) for n, (_, again) in sums.items()])
+    return one.select(*keys, *sums, "_target._bucket", "_target._rest")
+
+
+def _resolved(df: DataFrame, target: DataFrame, keys: list[str], value: str, name: str, weight: str | None) -> DataFrame:
+    """The value itself, from the values of the wanted bucket only."""
+    amount = F.sum(weight) if weight else F.count("*")
+    values = df.filter(F.col(value).isNotNull()).withColumn("_bucket", _bucket(F.col(value)))
+    counted = values.groupBy(*keys, "_bucket", value).agg(amount.alias("_n"))
+    inside = counted.join(target.select(*keys, "_bucket", "_rest"), [*keys, "_bucket"])
+    running = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = inside.withColumn("_upto", F.sum("_n").over(running)).filter(F.col("_upto") > F.col("_rest"))
     return reached.groupBy(*keys).agg(F.min(value).alias(name))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tracelake.operators.analytics import kpi_p95, kpi_stats, node_execution_totals
-from tracelake.operators.listing import DEFAULT_LIMIT, list_traces, page_bounds
+from tracelake.operators.analytics import kpi_board, node_execution_totals
+from tracelake.operators.listing import DEFAULT_LIMIT, filter_traces, matches, newest_page, page_bounds, trace_summaries
+from tracelake.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -22,15 +22,16 @@ class Dashboard:
 
 def store_stats(rows: DataFrame) -> DataFrame:
     """All KPIs in one row."""
-    one = F.lit(1).alias("_k")
-    return kpi_stats(rows).select("*", one).join(kpi_p95(rows).select("*", one), "_k").drop("_k")
+    return kpi_board(rows).drop("matching")
 
 
 def dashboard(
     rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, page: int | None = None, n: int | None = None, **filters: object
 ) -> Dashboard:
-    """KPIs ignore the filters; the page and its total obey them."""
+    """KPIs ignore the filters; the page and its total obey them. The total is counted on the way of the KPIs."""
     limit, offset = page_bounds(limit, offset, page)
-    shown, total = list_traces(rows, limit, offset, **filters)
+    board = cut_lineage(kpi_board(rows, matches(rows, **filters)))
+    total = board.first()["matching"]
+    shown = trace_summaries(newest_page(filter_traces(rows, **filters), limit, offset))
     on_page = max(0, min(limit, total - offset))
-    return Dashboard(store_stats(rows), node_execution_totals(rows, n), shown, total, offset + on_page < total)
+    return Dashboard(board.drop("matching"), node_execution_totals(rows, n), shown, total, offset + on_page < total)

@@ -805,7 +805,8 @@ def _(spark, sf):
 
 
 @query("dashboard", with_sql(ROWS, select=f"""
-    SELECT k.*, p.page_ids, CAST(f.n AS BIGINT) AS total_count, 60 < f.n AS has_more FROM (SELECT {_KPI}, {_P95} AS p95_duration_ms FROM r) k,
+    SELECT k.*, p.page_ids, CAST(f.n AS BIGINT) AS total_count, 60 < f.n AS has_more,
+      (SELECT string_agg(node_name || '=' || n, '|' ORDER BY node_name) FROM (SELECT node_name, CAST(sum(executions) AS BIGINT) AS n FROM nc GROUP BY ALL)) AS nodes FROM (SELECT {_KPI}, {_P95} AS p95_duration_ms FROM r) k,
     (SELECT string_agg(id, '|' ORDER BY start_time DESC, id) AS page_ids FROM
       (SELECT id, start_time FROM r WHERE environment = 'staging' ORDER BY start_time DESC, id LIMIT 20 OFFSET 40)) p,
     (SELECT count(*) AS n FROM r WHERE environment = 'staging') f"""))
@@ -818,8 +819,10 @@ def _board(rows: DataFrame) -> DataFrame:
     ordered = F.reverse(F.array_sort(F.collect_list(F.struct(F.unix_micros("start_time"), (-F.col("id").cast("bigint")).alias("k"), "id"))))
     # At most one page of ids; ids of the sample are numbers, but ties are ordered as text.
     page = board.page.agg(ordered.alias("page")).select(F.transform("page", lambda p: p["id"]).alias("page_ids"), F.lit(1).alias("k"))
+    runs = F.transform(F.array_sort(F.collect_list(F.struct("node_name", "executions"))), lambda r: F.concat_ws("=", r["node_name"], r["executions"].cast("string")))
+    nodes = board.nodes.agg(runs.alias("nodes")).withColumn("k", F.lit(1))  # one entry per node name
     stats = board.stats.withColumn("k", F.lit(1))
-    return stats.join(page, "k").drop("k").withColumns(
+    return stats.join(page, "k").join(nodes, "k").drop("k").withColumns(
         {"total_count": F.lit(board.total_count).cast("bigint"), "has_more": F.lit(board.has_more)}
     )
 

@@ -113,7 +113,7 @@ def series(
         F.sum(cents(F.col("duration")) * timed).alias("_cents"), F.sum("cost").alias("_cost"), F.sum("tokens").alias("_tokens"),
     )
     p95 = order_statistic(placed.select("bucket", "duration", "n"), ["bucket"], "duration", ceil_rank, "_p95", weight="n")
-    return filled_series(spark, grid, sums, p95).orderBy("bucket")
+    return filled_series(spark, grid, sums.join(p95, "bucket", "left")).orderBy("bucket")
 
 
 def series_models(
