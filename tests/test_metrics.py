@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.operators import analytics, evals, listing, metrics, spans
 from tracelake.plans.dashboard import dashboard
@@ -301,3 +302,16 @@ def test_deep_pages_and_cursors(spark, monkeypatch):
         if after is None:
             break
     assert seen == order[: len(seen)] and len(seen) >= 399
+
+
+def test_large_traces_are_aggregated_to_the_same_row(spark, monkeypatch):
+    from tracelake.sources import driver_tables
+
+    sf = "/root/testdata/sf0.001"
+    traces, flat = driver_tables.traces(spark, sf), driver_tables.spans(spark, sf)
+    evals = F.when((F.col("span_type") == "eval") & (F.col("pos") % 2 == 1), F.lit('{"name":"n","passed":true}'))
+    flat = flat.withColumn("eval", evals)
+    shown = lambda rows: sorted(repr(tuple(sorted(v.items()) if isinstance(v, dict) else v for v in r)) for r in rows.collect())
+    whole = shown(metrics.trace_rows(traces, flat))
+    monkeypatch.setattr(metrics, "LARGE", 3)
+    assert shown(metrics.trace_rows(traces, flat)) == whole

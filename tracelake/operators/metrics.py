@@ -2,9 +2,10 @@
 
 Each figure alone is an aggregation over span rows that combines before it shuffles, so a trace
 holding a large share of all spans does no harm. ``trace_rows`` needs all of them: it gathers what the
-row is made of from the spans of a trace, all of them, and derives the row from that array in steps
-that are linear in it but for sorting. Documents that arrive with their spans nested take the same
-path with no shuffle at all.
+row is made of from the spans of a trace and derives the row from that array in steps that are linear
+in it but for sorting. Traces of more than ``LARGE`` spans are aggregated instead, by trace and
+slice, tool call or name first, so only their node runs ever meet in one row. Documents that arrive
+with their spans nested take the same path as small traces with no shuffle at all.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tracelake.schema import USAGE
 DEFAULT_ENVIRONMENT = "production"
 LOOP_CALLS = 5
 LOOP_REPEATS = 2
+#: Spans of a trace that are gathered in one row; those of larger traces are aggregated in slices of this many.
+LARGE = 100_000
 
 
 def llm_metrics(spans: DataFrame, own: RateCard | None = None) -> DataFrame:
@@ -196,11 +199,82 @@ def trace_rows(
     ``traces`` either carries its spans nested (``spans`` array) or comes with a frame of span rows.
     """
     if spans is None:
-        packed = _lean_nested(traces, own)
-    else:
-        nested = nest_spans(_lean(spans, own), _LEAN).withColumnRenamed("trace_id", "id")
-        packed = traces.drop("spans").join(nested, "id", "left")
-        packed = packed.withColumn("_calls", F.expr("transform(filter(spans, s -> s.span_type = 'llm'), s -> s.call)"))
+        return _rows_of_arrays(_lean_nested(traces, own), keep)
+    lean = _lean(spans, own)
+    # places count from 0, so a large trace has one beyond; most inputs have none, and then nothing else is done
+    large = spans.filter(F.col("pos") >= LARGE).select(F.col("trace_id").alias("id")).distinct()
+    if large.isEmpty():
+        return _rows_of_arrays(_gathered(traces, lean), keep)
+    some = _rows_of_arrays(_gathered(traces.join(large, "id", "left_anti"), lean.join(large, F.col("trace_id") == F.col("id"), "left_anti")), keep)
+    return some.unionByName(_rows_of_slices(traces.join(large, "id", "left_semi"), lean.join(large, F.col("trace_id") == F.col("id"), "left_semi"), keep))
+
+
+def _gathered(traces: DataFrame, lean: DataFrame) -> DataFrame:
+    nested = nest_spans(lean, _LEAN).withColumnRenamed("trace_id", "id")
+    packed = traces.drop("spans").join(nested, "id", "left")
+    return packed.withColumn("_calls", F.expr("transform(filter(spans, s -> s.span_type = 'llm'), s -> s.call)"))
+
+
+def _rows_of_slices(traces: DataFrame, lean: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``trace_rows`` of large traces, from aggregates that combine before they meet."""
+
+    def counted(rows: DataFrame, name: str, into: str) -> DataFrame:
+        each = rows.groupBy("trace_id", F.expr(name).alias("_name")).agg(F.count("*").alias("_n"))
+        entries = F.array_sort(F.collect_list(F.struct("_name", "_n")))
+        return each.groupBy("trace_id").agg(F.map_from_entries(entries).alias(into))
+
+    nodes = lean.filter("span_type = 'node' and name <> ''")
+    tools = lean.filter("span_type = 'tool'").groupBy("trace_id", "name", "input").agg(F.count("*").alias("n"))
+    tools = tools.groupBy("trace_id", "name").agg(F.sum("n").alias("calls"), F.count("*").alias("inputs"))
+    loops = tools.groupBy("trace_id").agg(F.max(F.expr(_loops("calls", "inputs"))).alias("_loop"))
+    totals = lean.groupBy("trace_id").agg(
+        F.count("*").alias("_spans"),
+        F.max(F.expr("status <=> 'failed'")).alias("_failed"),
+        F.count("call").alias("_n_calls"),
+        F.sum("call.total_tokens").alias("_tokens"),
+        F.sum("call.total_cost").cast(COST).alias("_cost"),
+        F.count_if(F.expr("span_type = 'eval' and eval is null")).cast("int").alias("_n_bare"),
+        F.count_if(F.expr("span_type = 'eval' and eval is null and status <> 'completed'")).cast("int").alias("_n_bare_failed"),
+        F.array_sort(F.collect_set(F.when(F.col("span_type") == "eval", F.col("eval")))).alias("_recorded"),
+    )
+    runs = nodes.groupBy("trace_id", F.expr(f"pos div {LARGE}").alias("_slice")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.struct("name", "duration_ms", "status").alias("run")))).alias("_part")
+    )
+    parts = F.array_sort(F.collect_list(F.struct("_slice", "_part")))
+    runs = runs.groupBy("trace_id").agg(F.transform(F.flatten(F.transform(parts, lambda p: p["_part"])), lambda r: r["run"]).alias("_runs"))
+    found = totals
+    for more in (counted(nodes, "name", "_nodes"), counted(lean.filter("call is not null"), "call.model", "_models"), loops, runs):
+        found = found.join(more, "trace_id", "left")
+    whole = traces.drop("spans").join(found.withColumnRenamed("trace_id", "id"), "id").withColumn("_listed", F.expr(metadata_evals("metadata")))
+    eval_count, eval_status = eval_figures("_listed", "_recorded", "_n_bare", "_n_bare_failed")
+    none = "map_from_arrays(slice(array(''), 1, 0), slice(array(0L), 1, 0))"
+    return whole.selectExpr(
+        "id",
+        "name",
+        f"{rolled_status('status', '_failed')} as status",
+        "start_time",
+        "end_time",
+        "duration_ms",
+        *HTTP_COLUMNS,
+        "_spans as total_spans",
+        "cast(coalesce(_tokens, 0) as bigint) as total_tokens",
+        "_n_calls as llm_calls",
+        f"coalesce(_cost, cast(0 as {COST})) as estimated_cost",
+        f"(_failed or {is_error('error')}) as has_error",
+        f"{default_environment('environment')} as environment",
+        "project",
+        f"coalesce(_nodes, {none}) as node_counts",
+        f"{eval_status} as eval_status",
+        f"{eval_count} as eval_count",
+        "coalesce(_loop, false) as has_tool_loop",
+        f"coalesce(_models, {none}) as model_counts",
+        "coalesce(_runs, transform(slice(array(0), 1, 0), i -> named_struct('name', '', 'duration_ms', 0d, 'status', ''))) as node_metrics",
+        *keep,
+    )
+
+
+def _rows_of_arrays(packed: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Fact rows of traces that carry what is needed of their spans as an array."""
     split = packed.withColumn("_calls", F.expr("coalesce(_calls, slice(array(_calls[0]), 1, 0))")).withColumn("spans", F.expr("coalesce(spans, slice(array(spans[0]), 1, 0))")).selectExpr(
         "*",
         "filter(spans, s -> s.span_type = 'node' and s.name <> '') as _nodes",
