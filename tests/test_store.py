@@ -105,6 +105,19 @@ def test_odd_environment_names(spark, tmp_path):
     assert {r["id"]: r["environment"] for r in store.read_trace_rows(spark, path).collect()} == {"a": "007", "b": "qa"}
 
 
+def test_rank_among_many_values_is_refined(spark, monkeypatch):
+    from tracelake.operators import order_stats
+
+    writes = spark.range(20_000).selectExpr("concat('t', id) as id", "1000000000000 + id * 7919 % 20011 * 1000 as ingest_seq")
+    want = sorted(r["ingest_seq"] for r in writes.collect())[-123:]
+    for few, parts in ((10, 16), (100, 4096), (100_000, 4096)):
+        monkeypatch.setattr(order_stats, "FEW", few)
+        monkeypatch.setattr(order_stats, "PARTS", parts)
+        assert sorted(r["ingest_seq"] for r in store.retain_newest(writes, 123).collect()) == want
+        same = writes.withColumn("ingest_seq", F.lit(7))
+        assert store.retain_newest(same, 5).count() == 20_000
+
+
 def ids_of(spark, path):
     return sorted(r["id"] for r in store.read_trace_rows(spark, path).collect())
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tracelake.session import cut_lineage
@@ -87,17 +87,46 @@ def _summary(df: DataFrame, keys: list[str], value: str, rank: Callable[[Column]
         {"_upto": F.sum("_in_bucket").over(upto), "_rank": rank(F.sum("_in_bucket").over(whole))}
     )
     hit = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in_bucket")) & F.col("_bucket").isNotNull()
-    target = F.struct("_bucket", (F.col("_rank") - (F.col("_upto") - F.col("_in_bucket"))).alias("_rest"))
+    target = F.struct("_bucket", (F.col("_rank") - (F.col("_upto") - F.col("_in_bucket"))).alias("_rest"), F.col("_in_bucket").alias("_size"))
     one = ranked.groupBy(*keys).agg(F.max(F.when(hit, target)).alias("_target"), *[again(F.col(n)).alias(n) for n, (_, again) in sums.items()])
-    return one.select(*keys, *sums, "_target._bucket", "_target._rest")
+    return one.select(*keys, *sums, "_target._bucket", "_target._rest", "_target._size")
 
 
 def _resolved(df: DataFrame, target: DataFrame, keys: list[str], value: str, name: str, weight: str | None) -> DataFrame:
     """The value itself, from the values of the wanted bucket only."""
     amount = F.sum(weight) if weight else F.count("*")
     values = df.filter(F.col(value).isNotNull()).withColumn("_bucket", _bucket(F.col(value)))
+    if not keys:
+        return _of_all(values, target.first(), value, name, amount)
     counted = values.groupBy(*keys, "_bucket", value).agg(amount.alias("_n"))
     inside = counted.join(target.select(*keys, "_bucket", "_rest"), [*keys, "_bucket"])
     running = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = inside.withColumn("_upto", F.sum("_n").over(running)).filter(F.col("_upto") > F.col("_rest"))
     return reached.groupBy(*keys).agg(F.min(value).alias(name))
+
+
+#: Values of one bucket that may be ranked in one place, and parts that a larger bucket is cut into.
+FEW, PARTS = 100_000, 4096
+
+
+def _of_all(values: DataFrame, target: Row | None, value: str, name: str, amount: Column) -> DataFrame:
+    """The value of the wanted rank among all rows. A bucket of many values is cut into equal ranges, again and again, until
+    the range with the rank holds few; each cut is one pass that tells at most ``PARTS`` counts."""
+    if target is None:
+        return values.select(F.col(value).alias(name)).limit(0)
+    inside, rest, size = values.filter(F.col("_bucket") == target["_bucket"]), target["_rest"], target["_size"]
+    number = F.col(value).cast("double")
+    while size > FEW:
+        ends = inside.agg(F.min(number).alias("lo"), F.max(number).alias("hi")).first()
+        if ends["lo"] == ends["hi"]:
+            break
+        part = F.least(F.floor((number - ends["lo"]) * F.lit(PARTS / (ends["hi"] - ends["lo"]))), F.lit(PARTS - 1))
+        for row in inside.groupBy(part.alias("part")).agg(amount.alias("n")).orderBy("part").collect():
+            if rest < row["n"]:
+                inside, size = inside.filter(part == row["part"]), row["n"]
+                break
+            rest -= row["n"]
+    counted = inside.groupBy(value).agg(amount.alias("_n"))
+    running = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = counted.withColumn("_upto", F.sum("_n").over(running)).filter(F.col("_upto") > F.lit(rest))
+    return reached.agg(F.min(value).alias(name))
