@@ -66,7 +66,7 @@ def commit(spark: SparkSession, path: str, version: dict, replaced: list[str]) -
     for folder in before:
         delete(spark, f"{path}/{folder}")
     for whole in {"/".join(folder.split("/")[:2]) for folder in before if folder.startswith("rows/")}:
-        if not any("=" in name for name in children(spark, f"{path}/{whole}")):
+        if not any(children(spark, f"{path}/{whole}/{name}") for name in children(spark, f"{path}/{whole}") if "=" in name):
             delete(spark, f"{path}/{whole}")
     delete(spark, f"{path}/{VERSIONS}/{number - 2:012d}")
 
