@@ -5,7 +5,7 @@ number) gets a rolling hash, the exclusive or of the hashes of its turns with th
 Conversations whose whole hash is that of a shorter prefix of another are dropped by an anti-join. Of equal ones the
 smallest id stays. What is left is rendered.
 
-A null turn counts as turn -1, a null role or text as empty, a null conversation id as an id of its own. Repeated rows
+A text of any length is one row of a part. The exclusive or is free of order, so a turn's place is hashed with it. A null turn counts as turn -1, a null role or text as empty, a null conversation id as an id of its own. Repeated rows
 count once; several rows with one turn number all belong to that turn, in order of role and text. Empty tables give
 empty results. Turns are put together in blocks, so a conversation with very many is no single group, neither for the
 hashes nor for the rendered parts. Other columns take no part.

@@ -6,7 +6,8 @@ for. A phrase is looked up by its rarest term in the corpus; offset by offset th
 
 Null and empty texts have no words and no hits; items without words are never found. Texts of any length are one
 row. Documents are told apart by id and text hash (``twin``), so repeated rows each get the same result and a null id is
-allowed. An item that occurs twice in the benchmark counts once for each of its ids. Other columns take no part.
+allowed. An item that occurs twice in the benchmark counts once for each of its ids. Without items nothing is hit, and without
+documents there are no rows. Other columns take no part.
 """
 
 from __future__ import annotations

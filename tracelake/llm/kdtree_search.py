@@ -7,7 +7,7 @@ starts from a first search in one shard and rises with every leaf. What no shard
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows without an id; a query meets only
 vectors of its own length. Ties go to the smaller id; rows with the query's id are never its results; repeated rows count
-as one. Other columns take no part.
+as one. An empty table, or one without queries, gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations

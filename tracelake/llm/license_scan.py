@@ -6,8 +6,8 @@ IDF in the file then meet the postings of the template; those that agree on one
 mandatory phrase, word by word.
 
 Null and empty texts have no words, no label and the score 0. Texts of any length are one row. Repeated rows get the same
-result each; documents are told apart by id and text hash. Equal votes resolve to the same label set. Other
-columns take no part.
+result each; documents are told apart by id and text hash. Equal votes resolve to the same label set. An empty table
+gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ keeps, for each character it writes, the span of the source it came from. The sa
 
 Offsets are code points, ends exclusive. Null counts as the empty text and has no spans. Detectors are linear in the
 text, so a very long one is a longer row. Repeated rows get equal results. Plain spans of one kind never overlap; a
-span found without disguises may hold plain ones, and spans of two kinds may overlap. Other columns pass through or stay out, whatever their names.
+span found without disguises may hold plain ones, and spans of two kinds may overlap. An empty table gives no rows. Other
+columns pass through or stay out, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader updates.
 
 Null and empty texts hold no n-gram and get the score of the bias alone. Very long texts are hashed in pieces.
-Rows that repeat get the same score each time. A document with several labels counts by their mean.
+Rows that repeat get the same score each time. A document with several labels counts by their mean. A score of exactly 0.5 counts as 1.
+An empty table gives no rows, and without labels every score is 0.5.
 Columns of the input other than the named ones take no part and may have any name.
 """
 

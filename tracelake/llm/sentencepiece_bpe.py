@@ -5,7 +5,7 @@ distinct parts lie in one flat array of symbols. A round takes each part's pair
 occurrence of it from the left at once, and drops the parts that have no pair left. Symbols outside the vocabulary
 become bytes. Decoding gathers the bytes of the pieces.
 
-Null counts as the empty text, which has no ids. Very long texts are blocks of their own. A model must be BPE with identity
+Null counts as the empty text, which has no ids. Repeated rows get equal results, and an empty table gives no rows. Very long texts are blocks of their own. A model must be BPE with identity
 normalisation; its path is a parameter. Other columns pass through or stay out, whatever their names.
 """
 

@@ -6,7 +6,8 @@ them are kept, so their number is bounded by that share.
 
 A null URL, or one without ://, has an empty host and path; no rule fits it and its features are those of the empty
 text. Without labelled rows of both kinds the score is the share of blocked ones (0 without any). Repeated rows get equal
-results. Very long URLs are one row. Other columns pass through or stay out, whatever their names.
+results. Of equally long rules that fit the last by host and path wins; a score of exactly
+0.5 blocks. Very long URLs are one row. An empty table gives no rows. Other columns pass through or stay out, whatever their names.
 """
 
 from __future__ import annotations
