@@ -128,11 +128,11 @@ def row_blocks(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int,
         a = b
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks_of(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches cut into runs of rows of limited text, each with the bytes and offsets of its text column."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(column))
-        for a, b in row_blocks(offsets):
+        for a, b in row_blocks(offsets, most):
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 

@@ -10,7 +10,8 @@ link between different groups is lost, and links within a group need no proof.
 Null texts and texts without words have an empty set and stand alone; with fewer words than ``width`` the whole sequence is
 the one shingle. A row with a null id has the component of an equal set that has one, else null, and links nothing. Repeated
 rows are one class. Rows that share an id but
-not the text count as one document with several sets. Other columns take no part.
+not the text count as one document with several sets. Very long texts are taken whole; their set is one row. An empty table
+gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def frequencies(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]:
     bits, drop = ranges.bit_length() - 1, np.uint64(64 - COUNTED)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in common.blocks_of(batches, 0):
+        for batch, data, offsets in common.blocks_of(batches, 0, 2 << 20):
             sets = list(shingles(data, offsets, how.width))
             kept, counts = np.unique(np.concatenate(sets) >> drop, return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             cut = np.searchsorted(kept, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(COUNTED - bits))
@@ -137,7 +138,7 @@ def signatures(docs: DataFrame, known: Broadcast, how: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hot = known.value
-        for batch, data, offsets in common.blocks_of(batches, 1):
+        for batch, data, offsets in common.blocks_of(batches, 1, 1 << 20):
             n, f1, f2, tokens, places, members, parity = [], [], [], [], [], [], []
             for s in shingles(data, offsets, how.width):
                 n.append(len(s))
