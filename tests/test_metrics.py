@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import analytics, evals, listing, metrics, spans
+from tracelake.plans import registry
 from tracelake.plans.dashboard import dashboard
 from tracelake.schema import TRACE
 
@@ -315,3 +316,10 @@ def test_large_traces_are_aggregated_to_the_same_row(spark, monkeypatch):
     whole = shown(metrics.trace_rows(traces, flat))
     monkeypatch.setattr(metrics, "LARGE", 3)
     assert shown(metrics.trace_rows(traces, flat)) == whole
+
+
+def test_parse_iso_query_keeps_microseconds(spark, tmp_path):
+    rows = [(k, datetime(2024, 1, 2, 3, 4, 5, 678901)) for k in range(4)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r["at"] for r in registry.QUERIES["parse_iso"](spark, str(tmp_path)).collect()}
+    assert got == {0: "2024-01-02 03:04:05.678901", 1: "2024-01-02 03:04:05.678901", 2: "2024-01-02 03:04:05.678901", 3: None}
