@@ -272,3 +272,13 @@ def test_topology_terminals(spark):
     assert nodes == ["__start__", "classify", "fast", "END"]
     edges = spans.topology_edges(graphs).collect()
     assert [(r["conditional"], r["label"]) for r in edges] == [(True, "f"), (True, None)]
+
+
+def test_export_of_stored_traces_can_be_packed(spark, tmp_path):
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    docs = spark.createDataFrame([("a", "flow")], "id string, name string").withColumn("spans", F.expr("cast(array() as array<struct<id:string,trace_id:string,parent_id:string,name:string,span_type:string,status:string,start_time:timestamp,end_time:timestamp,duration_ms:double,inputs:string,outputs:string,state_diff:string,error:string,metadata:string>>)"))
+    docs = docs.withColumns({name: F.lit(None).cast("string") for name in ("input", "output", "error", "metadata")})
+    src.export_traces(docs, None, plain)
+    src.export_traces(docs, None, packed, "gzip")
+    assert {p.suffix for p in (tmp_path / "packed").glob("part-*")} == {".gz"}
+    assert spark.read.text(packed).collect() == spark.read.text(plain).collect()
