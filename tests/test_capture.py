@@ -285,3 +285,20 @@ def test_live_figures_do_not_depend_on_batches(spark, tmp_path):
         assert series.series_models(spark, out, **span).collect() == calls.collect()
     assert results[0] == results[1] and sum(r[1] for r in results[0]) == 60
     assert len(list((tmp_path / "out-many" / "figures").iterdir())) == 2 and len(list((tmp_path / "out-many" / "figures" / "level=0").iterdir())) <= 2 * versions.FAN
+
+
+def _reads(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum("LogicalRDD" in line and "traceback" in line for line in plan.splitlines())
+
+
+def test_events_are_read_once_when_spans_are_placed(spark):
+    log = invoice_run(spark).localCheckpoint()
+    assert _reads(capture.assemble_spans(log)) == 1
+    assert capture.assemble_spans(log).select("trace_id", "id", "pos").distinct().count() == capture.assemble_spans(log).count()
+
+
+def test_rows_read_stored_spans(spark):
+    log = invoice_run(spark).localCheckpoint()
+    told = log.selectExpr("trace_id", "seq", "ts", "phase", "name", "outputs as status", "outputs as output", "outputs as error").filter("seq = 0").localCheckpoint()
+    assert _reads(capture.rows_of_events(told, log)) == 1  # for the state updates
