@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import analytics, evals, listing, metrics, spans
 from tracelake.plans import registry
 from tracelake.plans.dashboard import dashboard
-from tracelake.schema import TRACE
+from tracelake.schema import TRACE, USAGE
 
 START = datetime(2026, 1, 1, 12)
 
@@ -323,3 +323,9 @@ def test_parse_iso_query_keeps_microseconds(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: r["at"] for r in registry.QUERIES["parse_iso"](spark, str(tmp_path)).collect()}
     assert got == {0: "2024-01-02 03:04:05.678901", 1: "2024-01-02 03:04:05.678901", 2: "2024-01-02 03:04:05.678901", 3: None}
+
+
+def test_lean_rows_carry_only_what_the_row_takes_of_a_call(spark):
+    span = "'t' as trace_id, 0 as pos, 's' as id, 'llm' as span_type, 'LLM: gpt-4o' as name, 'completed' as status, 1d as duration_ms, '' as inputs, "
+    lean = metrics._lean(spark.range(1).selectExpr(*(span + f"cast(null as {USAGE}) as usage").split(", ", 8)[:8], f"cast(null as {USAGE}) as usage", "'' as model", "cast(null as string) as eval"), None)
+    assert lean.select("call.*").columns == ["model", "total_tokens", "total_cost"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.models import normal_name
 from tracelake.operators import pricing
 from tracelake.operators.pricing import RateCard
+from tracelake.schema import USAGE
 from tracelake.sources.traces import load_rate_card
 
 
@@ -112,3 +113,14 @@ def test_overlay(spark):
     assert (row["source"], row["prompt_rate"], row["cached_rate"]) == ("custom", 9, Decimal("1.25"))
     assert merged.count() == merged.select("model").distinct().count()
     assert merged.filter(F.col("prompt_rate").isNull()).count() == 0
+
+
+def test_fields_that_nobody_reads_are_not_made(spark):
+    calls = "array(named_struct('span_type', 'llm', 'name', 'LLM: gpt-4o', 'model', '', 'usage', cast(named_struct('model', null, 'prompt_tokens', 1000L, "
+    calls += "'completion_tokens', 0L, 'total_tokens', 0L, 'cached_tokens', 0L, 'prompt_tokens_details', null, 'prompt_cost', null, 'completion_cost', null, 'total_cost', null) as " + USAGE + ")))"
+    fields = ["span_type", "name", "model", "usage"]
+    whole, _ = pricing.add_fields(calls, fields, pricing.usage_steps())
+    some, left = pricing.add_fields(calls, fields, pricing.usage_steps(), ["model", "total_cost"])
+    assert sorted(left) == ["model", "total_cost"] and "is_estimated" not in some
+    row = spark.range(1).selectExpr(f"({whole})[0] as a", f"({some})[0] as b").first()
+    assert (row.b.model, row.b.total_cost) == (row.a.model, row.a.total_cost) == ("gpt-4o", row.a.total_cost)
