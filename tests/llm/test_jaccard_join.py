@@ -116,3 +116,29 @@ def test_large_group_of_near_copies_opens_few_pairs(make_docs, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(make_docs(texts), Join(filter_bits=12, hot_from=4)).collect()}
     assert got == expected(texts)
     assert sum(seen) < 12 * len(texts)
+
+
+def test_near_copies_without_a_middle_meet_few_blocks(make_docs, monkeypatch):
+    """600 copies with three or four words of their own: many are linked to each other and few to any one, so the blocks of
+    different groups would meet in squares before what links them is known."""
+    pick = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(600):
+        words = list(base)
+        for k in pick.sample(range(150), pick.choice((2, 3, 3, 4))):
+            words[k] = f"x{i}y{k}"
+        texts[i] = " ".join(words)
+    met = []
+    real = jaccard_join.stored
+
+    def counted(df, label):
+        out = real(df, label)
+        if label == "block-pairs":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(make_docs(texts), Join(filter_bits=12, hot_from=4)).collect()}
+    assert got == expected(texts)
+    assert sum(met) < 10 * len(texts)

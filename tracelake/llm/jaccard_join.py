@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ COUNTED = 40
 PARITY = 8
 #: Shingles before one in a set's index that tell whether two sets have met in an earlier list.
 EARLIER = 8
+#: Pairs of blocks for each block of the lists, up to which all are met at once.
+OPEN = 4
 
 
 @dataclass(frozen=True)
@@ -250,6 +253,65 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.where("_a <> _b").drop("_a", "_b")
 
 
+def _meetings(block: DataFrame, lower: int, upper: int | None, how: Join) -> DataFrame:
+    """Pairs of blocks of one list and two groups that neither sizes, positions, parity bits nor an earlier list rule out: those
+    of each list whose turns are from ``lower`` and below ``upper`` with all of later turns."""
+    x, y = block.alias("x"), block.alias("y")
+    if lower:
+        x = x.where(F.col("turn") >= lower)
+    if upper is not None:
+        x = x.where(F.col("turn") < upper)
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.turn") < F.col("y.turn")) & (F.col("x.grp") != F.col("y.grp")))
+    if upper is None:
+        both = both.where(~F.coalesce(F.arrays_overlap("x.earlier", "y.earlier"), F.lit(False)))
+    lo1, lo2 = F.col("x.lo"), F.col("y.lo")
+    apart = sum((F.bit_count(F.get("x.parity", F.lit(k)).bitwiseXOR(F.get("y.parity", F.lit(k)))) for k in range(PARITY)), F.lit(0))
+    # twice the most that the centres share, and with what their members have beside them
+    most = F.col("x.nc") + F.col("y.nc") - apart + 2 * (F.col("x.off") + F.col("y.off"))
+    both = both.where((F.col("x.hi") * 100 >= lo2 * how.percent) & (F.col("y.hi") * 100 >= lo1 * how.percent) & _could(lo1, lo2, F.least("x.rest", "y.rest"), how) & _could(2 * lo1, 2 * lo2, most, how))
+    first = F.col("x.c") < F.col("y.c")
+
+    def ordered(name: str, one: str, two: str) -> list[Column]:
+        u, v = F.col(f"x.{name}"), F.col(f"y.{name}")
+        return [F.when(first, u).otherwise(v).alias(one), F.when(first, v).otherwise(u).alias(two)]
+
+    sides = [*ordered("c", "a", "b"), *ordered("lo", "l1", "l2"), *ordered("off", "off1", "off2")]
+    return both.select(F.col("x.token").alias("token"), *sides, (F.col("x.wide") | F.col("y.wide")).alias("wide"))
+
+
+def _merged(block: DataFrame, sets: DataFrame, checked: DataFrame, how: Join) -> tuple[DataFrame, list[tuple[DataFrame, int]], DataFrame]:
+    """The blocks with the groups they have after rounds, the rounds' meetings with the turn each ends before, and all pairs checked.
+
+    While lists hold many pairs of groups, sixteen blocks a list, then four times as many, meet all the others before the
+    rest does, and groups whose centres are linked become one. So copies that no centre links, but others do, need a few
+    comparisons each instead of one with every other copy.
+    """
+    turn = Window.partitionBy("token").orderBy(F.xxhash64("token", "c"), "c")
+    block = stored(block.withColumn("turn", F.row_number().over(turn) - 1), "block-lists")
+    met: list[tuple[DataFrame, int]] = []
+    lower, width = 0, 16
+    while True:
+        held = block.groupBy("token", "grp").agg(F.count("*").alias("k"), F.max("turn").alias("turn"))
+        held = held.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.expr("double(k) * k")).alias("same"), F.max("turn").alias("turn"))
+        entries, pairs, last = held.agg(F.sum("k"), F.sum(F.expr("(double(k) * k - same) / 2")), F.max("turn")).first()
+        if not entries or last < lower + width or pairs <= OPEN * entries:
+            return block, met, checked
+        now = stored(_meetings(block, lower, lower + width, how), "block-pairs")
+        met.append((now, lower + width))
+        new = now.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
+        found = stored(verified(new, sets), "answers")
+        checked = checked.unionByName(found)
+        if not _linked(found, how).isEmpty():
+            groups = _components(checked, how)
+            joined = block.join(groups.withColumnRenamed("node", "c"), "c", "left")
+            block = stored(joined.withColumn("grp", F.coalesce("component", "grp")).drop("component"), "block-lists")
+        # the rest at once, if it is few even should it go on like this round
+        few = now.count() * (last + 1 - lower - width) <= OPEN * entries * width
+        lower, width = lower + width, 4 * width
+        if few:
+            return block, met, checked
+
+
 def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how: Join) -> DataFrame:
     """Components by all links, those between the groups that neither block nor centre rules out included.
 
@@ -274,22 +336,17 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how:
         F.when(F.count("*") == 1, F.max("earlier")).alias("earlier"),
     )
     centre = sets.select(F.col("node").alias("c"), F.col("n").alias("nc"), "parity")
-    block = stored(block.join(centre, "c"), "block-lists")
-    x, y = block.alias("x"), block.alias("y")
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.grp") != F.col("y.grp")) & ~F.coalesce(F.arrays_overlap("x.earlier", "y.earlier"), F.lit(False)))
-    lo1, lo2 = F.col("x.lo"), F.col("y.lo")
-    apart = sum((F.bit_count(F.get("x.parity", F.lit(k)).bitwiseXOR(F.get("y.parity", F.lit(k)))) for k in range(PARITY)), F.lit(0))
-    # twice the most that the centres share, and with what their members have beside them
-    most = F.col("x.nc") + F.col("y.nc") - apart + 2 * (F.col("x.off") + F.col("y.off"))
-    both = both.where((F.col("x.hi") * 100 >= lo2 * how.percent) & (F.col("y.hi") * 100 >= lo1 * how.percent) & _could(lo1, lo2, F.least("x.rest", "y.rest"), how) & _could(2 * lo1, 2 * lo2, most, how))
-    met = both.select(F.col("x.token").alias("token"), F.col("x.c").alias("a"), F.col("y.c").alias("b"), lo1.alias("l1"), lo2.alias("l2"), F.col("x.off").alias("off1"), F.col("y.off").alias("off2"), (F.col("x.wide") | F.col("y.wide")).alias("wide"))
-    met = stored(met, "block-pairs")
+    block = block.join(centre, "c")
+    block, met, checked = _merged(block, sets, checked, how)
+    lower = met[-1][1] if met else 0
+    met = reduce(DataFrame.unionByName, [one for one, _ in met] + [stored(_meetings(block, lower, None, how), "block-pairs")])
     both = met.groupBy("a", "b").agg(F.min("l1").alias("l1"), F.min("l2").alias("l2"), (F.max("off1") + F.max("off2")).alias("off"), F.max("wide").alias("wide"))
-    answers = stored(verified(both.select("a", "b"), sets), "answers")
+    fresh = stored(verified(both.select("a", "b").join(checked, ["a", "b"], "left_anti"), sets), "answers")
+    answers = fresh.unionByName(checked.join(both.select("a", "b"), ["a", "b"], "left_semi"))
     # a member that lacks nothing of its centre, a shorter copy, may still be linked where its centre is not
     opened = both.where("wide").join(answers, ["a", "b"]).where(_could(F.col("l1"), F.col("l2"), F.col("shared") + F.col("off"), how)).select("a", "b", "shared")
     opened = stored(opened, "opened")
-    checked = checked.unionByName(answers)
+    checked = checked.unionByName(fresh)
     groups = _components(checked, how)
     opened = stored(_apart(opened, groups), "opened")
     if opened.isEmpty():
