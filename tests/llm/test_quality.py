@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracelake.llm import quality
@@ -32,3 +34,15 @@ def test_odd_rows(spark, make_docs):
     none = quality.judge(make_docs(rows), labels.where("false"), None, ["doc_id"], SMALL).collect()
     assert {r.score for r in none} == {0.5}
     assert quality.judge(make_docs([]), labels, None, ["doc_id"], SMALL).count() == 0
+
+
+def test_long_shards_and_batches_are_hashed_in_blocks(spark, monkeypatch):
+    """N-grams take many times the memory of their text: those of a shard are never held all at once."""
+    texts = [" ".join(f"w{i % 97}x{k % 31}" for k in range(2000)) for i in range(200)]
+    seen, real = [], quality.features
+    monkeypatch.setattr(quality, "features", lambda data, offsets, bits: seen.append(len(data)) or real(data, offsets, bits))
+    labels = np.arange(len(texts)) % 2.0
+    blocks = quality.fit_shard(pa.array(texts).cast(pa.binary()), labels, quality.Training(epochs=1))
+    assert sum(seen) == sum(map(len, texts)) > 2 * quality.BLOCK and max(seen) <= quality.BLOCK
+    monkeypatch.setattr(quality, "BLOCK", 1 << 30)
+    assert np.array_equal(blocks, quality.fit_shard(pa.array(texts).cast(pa.binary()), labels, quality.Training(epochs=1)))

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from tracelake.llm import common
 
 
+#: Bytes of text whose n-grams are held at once: they take some forty times as much.
+BLOCK = 1 << 20
+
+
 @dataclass(frozen=True)
 class Training:
     """train_rows bounds the labelled documents read for training; the rest of the labels is left out by a hash of the id."""
@@ -69,11 +73,13 @@ def fit_shard(texts: pa.Array, labels: np.ndarray, how: Training) -> np.ndarray:
     """Weights (the last one is the bias) after some passes of FTRL-proximal updates, one document at a time."""
     size = 1 << how.bits
     z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    grams, at = features(*common.text_bytes(texts), how.bits)
+    data, offsets = common.text_bytes(texts)
     rows = []
-    for i in range(len(labels)):
-        own, count = np.unique(grams[at[i] : at[i + 1]], return_counts=True)
-        rows.append((np.append(own, size), np.append(count / max(1, at[i + 1] - at[i]) * 8, 1.0)))
+    for a, b in common.row_blocks(offsets, BLOCK):
+        grams, at = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], how.bits)
+        for i in range(b - a):
+            own, count = np.unique(grams[at[i] : at[i + 1]], return_counts=True)
+            rows.append((np.append(own, size), np.append(count / max(1, at[i + 1] - at[i]) * 8, 1.0)))
     order = np.random.default_rng(7)
     for _ in range(how.epochs):
         for i in order.permutation(len(rows)):
@@ -123,7 +129,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = Tra
         for batch in batches:
             data, offsets = common.text_bytes(batch.column(len(keep)))
             sums, sizes = np.zeros(len(batch)), np.zeros(len(batch))
-            for a, b in common.row_blocks(offsets):
+            for a, b in common.row_blocks(offsets, BLOCK):
                 grams, at = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
                 total = np.concatenate([[0.0], np.cumsum(w[grams])])
                 sums[a:b], sizes[a:b] = total[at[1:]] - total[at[:-1]], np.diff(at)

@@ -28,7 +28,7 @@ NONE = np.iinfo(np.int32).max
 #: Parts with more symbols are merged with a queue, as they may need a round for each merge.
 LONG = 400
 #: Bytes of text taken together: more find more equal parts, and need more memory.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _PARTS = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
