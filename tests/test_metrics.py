@@ -329,3 +329,17 @@ def test_lean_rows_carry_only_what_the_row_takes_of_a_call(spark):
     span = "'t' as trace_id, 0 as pos, 's' as id, 'llm' as span_type, 'LLM: gpt-4o' as name, 'completed' as status, 1d as duration_ms, '' as inputs, "
     lean = metrics._lean(spark.range(1).selectExpr(*(span + f"cast(null as {USAGE}) as usage").split(", ", 8)[:8], f"cast(null as {USAGE}) as usage", "'' as model", "cast(null as string) as eval"), None)
     assert lean.select("call.*").columns == ["model", "total_tokens", "total_cost"]
+
+
+def test_eval_rollup_groups_records_once(spark):
+    """Records on spans and in metadata meet by one grouping, not by a join of spans that are made twice."""
+    listed = '{"evals":[{"name":"q","passed":true},{"passed":true,"name":"q"},null]}'
+    docs = spark.createDataFrame([("a", listed), ("b", "{}"), ("c", "{}"), ("d", '{"evals":[null]}'), ("e", None)], "id string, metadata string")
+    held = [
+        ("a", "eval", '{"passed":true,"name":"q"}', "failed"), ("a", "eval", '{"name":"z","passed":false}', "completed"),
+        ("a", "eval", '{"passed":false,"name":"z"}', "completed"), ("a", "tool", '{"name":"y"}', "failed"),
+        ("b", "eval", None, "completed"), ("b", "eval", "", "failed"), ("c", "eval", None, None), (None, "eval", None, "failed"),
+    ]
+    got = evals.eval_rollup(docs, spark.createDataFrame(held, "trace_id string, span_type string, eval string, status string"))
+    assert sorted(map(tuple, got.collect())) == [("a", 4, "failed"), ("b", 2, "failed"), ("c", 1, None), ("d", 1, "passed"), ("e", 0, None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
