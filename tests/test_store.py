@@ -282,3 +282,19 @@ def test_export_of_stored_traces_can_be_packed(spark, tmp_path):
     src.export_traces(docs, None, packed, "gzip")
     assert {p.suffix for p in (tmp_path / "packed").glob("part-*")} == {".gz"}
     assert spark.read.text(packed).collect() == spark.read.text(plain).collect()
+
+
+def test_trees_of_many_traces_in_a_batch(spark):
+    """Against a walk by parents: several traces in a batch, ids that occur in each, and spans without a name."""
+    rows = [(f"t{t}", f"s{i}", f"s{(i * 7 + t) % i}" if i else None, None if i % 5 == 4 else f"n{t}-{i}") for t in range(40) for i in range(t % 9 + 1)]
+    held = {(t, i): (p, n) for t, i, p, n in rows}
+
+    def path(t, i):
+        parent, name = held[t, i]
+        return [*(path(t, parent) if parent else []), name]
+
+    got = {(r.trace_id, r.id): r for r in spans.span_tree(spark.createDataFrame(rows, "trace_id string, id string, parent_id string, name string").coalesce(1)).collect()}
+    assert got.keys() == held.keys()
+    for (t, i), r in got.items():
+        assert (r.path, r.depth, r.root_id) == (path(t, i), len(path(t, i)) - 1, "s0")
+        assert r.children == sum(x == t and p == i for (x, _), (p, _) in held.items()) and not r.is_orphan
