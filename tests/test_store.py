@@ -298,3 +298,15 @@ def test_trees_of_many_traces_in_a_batch(spark):
     for (t, i), r in got.items():
         assert (r.path, r.depth, r.root_id) == (path(t, i), len(path(t, i)) - 1, "s0")
         assert r.children == sum(x == t and p == i for (x, _), (p, _) in held.items()) and not r.is_orphan
+
+
+def test_json_null_and_empty_metadata_take_the_default(spark):
+    """Absent, null and empty metadata come back as '{}' after a round trip; other values and other fields stay as they are."""
+    texts = ["{}", "null", None, '{"a":null}', "[]", '""', "0", "not JSON"]
+    lines = ['{"id":"%d","name":"n","spans":[]%s}' % (k, "" if t is None else f',"metadata":{t},"input":{t}') for k, t in enumerate(texts[:-1])]
+    raw = src.parse_documents(spark.createDataFrame([(x,) for x in lines], "value string"), "value")
+    typed = src.apply_defaults(raw, START)
+    got = {int(r.id): (r.metadata, r.input) for r in typed.collect()}
+    assert got == {0: ("{}", "{}"), 1: ("{}", got[1][1]), 2: ("{}", None), 3: ('{"a":null}', '{"a":null}'), 4: ("[]", "[]"), 5: ('""', '""'), 6: ("0", "0")}
+    again = src.apply_defaults(src.parse_documents(src.export_documents(typed), "value"), START)
+    assert {int(r.id): r.metadata for r in again.collect()} == {k: m for k, (m, _) in got.items()}

@@ -81,8 +81,10 @@ def apply_defaults(df: DataFrame, now: datetime | Column | None = None, keep: Se
     moment = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now).cast("timestamp")
 
     def text(value: Column, default: str | None = None) -> Column:
-        parsed = F.to_json(value)
-        return parsed if default is None else F.coalesce(F.nullif(parsed, F.lit("null")), F.lit(default))
+        if default is None:
+            return F.to_json(value)
+        # asked of the value, not of its text, which would be written twice
+        return F.when(F.is_variant_null(value), default).otherwise(F.coalesce(F.to_json(value), F.lit(default)))
 
     def span(item: Column) -> Column:
         free = {name: text(item[name], "{}" if name == "metadata" else None) for name in FREE_SPAN_FIELDS}
@@ -142,7 +144,9 @@ def document_text(columns: Sequence[str]) -> Column:
     """The JSON text of typed documents with these columns."""
 
     def free(source: Column, names: list[str]) -> list[Column]:
-        return [F.try_parse_json(source[n]).alias(n) for n in names]
+        # the commonest text is parsed once for all
+        empty = F.parse_json(F.lit("{}"))
+        return [F.when(source[n] == "{}", empty).otherwise(F.try_parse_json(source[n])).alias(n) for n in names]
 
     plain_span = ["id", "trace_id", "parent_id", "name", "span_type", "status", "start_time", "end_time", "duration_ms"]
     spans = F.transform(
