@@ -142,3 +142,55 @@ def test_near_copies_without_a_middle_meet_few_blocks(make_docs, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(make_docs(texts), Join(filter_bits=12, hot_from=4)).collect()}
     assert got == expected(texts)
     assert sum(met) < 10 * len(texts)
+
+
+def joined(edges):
+    """The smallest node each is connected with, one edge after another."""
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in up}
+
+
+def test_components_go_on_from_known_ones(spark):
+    pick = random.Random(3)
+    some = [(pick.randrange(400), pick.randrange(400)) for _ in range(330)]
+    edges = [(a, b) for a, b in some if a != b] + [(500 + i, 501 + i) for i in range(60)] + [(700, 600 + i) for i in range(200)] + [(-5, 700)]
+    make = lambda e: spark.createDataFrame(e, "src long, dst long")
+    rows = lambda df: {r.node: r.component for r in df.collect()}
+    known = jaccard_join.stored(jaccard_join.common.components(make(edges[::2])), "known")
+    assert rows(known) == joined(edges[::2])
+    assert rows(jaccard_join.common.components(make(edges[1::2]), known)) == joined(edges)
+    assert jaccard_join.common.components(make([*edges[:20:2], (9, 9)]), known) is known
+    assert rows(jaccard_join.common.components(make([]))) == {}
+
+
+def test_links_of_a_large_group_are_walked_once(make_docs, monkeypatch):
+    """What the rounds that look for components write stays below the number of texts, however often groups are merged."""
+    pick = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(600):
+        words = list(base)
+        for k in pick.sample(range(150), pick.choice((2, 3, 3, 4))):
+            words[k] = f"x{i}y{k}"
+        texts[i] = " ".join(words)
+    walked = []
+    real = jaccard_join.common.stored
+
+    def counted(df, label):
+        out = real(df, label)
+        walked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.common, "stored", counted)
+    assert len(jaccard_join.groups(make_docs(texts), Join(filter_bits=12, hot_from=4)).collect()) == len(texts)
+    assert sum(walked) < 6 * len(texts)

@@ -187,18 +187,16 @@ def _linked(checked: DataFrame, how: Join) -> DataFrame:
     return checked.where(_could(F.col("na"), F.col("nb"), F.col("shared"), how))
 
 
-def _grouped(lists: DataFrame, edges: DataFrame, whole: bool) -> DataFrame:
-    """The lists with a group for each node; lists whose nodes are all of one group are skipped.
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """(node, component) with the smallest neighbour, or that one's smallest neighbour, for a component: connected nodes may
+    get two, which costs comparisons and no link."""
+    low = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+    above = low.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    return low.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("component"))
 
-    Nodes of one group are connected. Groups are the components if ``whole``; else their name is the smallest neighbour or
-    that one's smallest neighbour, and connected nodes may be in two groups, which costs comparisons and no link.
-    """
-    if whole:
-        groups = common.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    else:
-        low = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-        above = low.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        groups = low.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("component"))
+
+def _grouped(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists with a group for each node, whose nodes are connected; lists whose nodes are all of one group are skipped."""
     now = lists.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
     spread = now.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     return now.join(spread, "token")
@@ -214,9 +212,9 @@ def _star(lists: DataFrame, seed: int) -> DataFrame:
 def links(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
     """(sets, components): sets has doc_id, n and node (the smallest id with an equal set) for every row; components (node, component)
     has the smallest node that a chain of similar sets connects each with, for nodes that have any."""
-    known = docs.sparkSession.sparkContext.broadcast(frequencies(docs, how))
-    rows = stored(signatures(docs, known, how), "signatures")
-    known.destroy()
+    counted = docs.sparkSession.sparkContext.broadcast(frequencies(docs, how))
+    rows = stored(signatures(docs, counted, how), "signatures")
+    counted.destroy()
     nodes = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
     nodes = stored(nodes, "nodes")
     own = rows.where(F.size("tokens") > 0).dropDuplicates(["doc_id", "f1", "f2"])
@@ -235,14 +233,18 @@ def links(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = verified(pairs, sets)
         checked = stored(found if checked is None else found.unionByName(checked), "checked")
-        lists = stored(_grouped(lists.drop("grp"), _linked(checked, how), seed == how.stars - 1), "lists")
-    found = _between_blocks(lists, sets, checked, how)
+        near = _linked(checked, how)
+        known = _components(near) if seed == how.stars - 1 else _neighbours(near)
+        lists = stored(_grouped(lists.drop("grp"), known), "lists")
+    found = _between_blocks(lists, sets, checked, known, how)
     members = rows.select("doc_id", "n", "f1", "f2").join(nodes, ["f1", "f2", "n"], "left").select("doc_id", "n", "node")
     return members, found
 
 
-def _components(checked: DataFrame, how: Join) -> DataFrame:
-    return stored(common.components(_linked(checked, how).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+def _components(near: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Components by the linked pairs and those of ``known``, which is returned itself if they join nothing new."""
+    found = common.components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")), known)
+    return known if known is not None and found is known else stored(found, "components")
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -279,8 +281,8 @@ def _meetings(block: DataFrame, lower: int, upper: int | None, how: Join) -> Dat
     return both.select(F.col("x.token").alias("token"), *sides, (F.col("x.wide") | F.col("y.wide")).alias("wide"))
 
 
-def _merged(block: DataFrame, sets: DataFrame, checked: DataFrame, how: Join) -> tuple[DataFrame, list[tuple[DataFrame, int]], DataFrame]:
-    """The blocks with the groups they have after rounds, the rounds' meetings with the turn each ends before, and all pairs checked.
+def _merged(block: DataFrame, sets: DataFrame, checked: DataFrame, known: DataFrame, how: Join) -> tuple[list[tuple[DataFrame, int]], DataFrame, DataFrame, DataFrame]:
+    """The rounds' meetings with the turn each ends before, the blocks with the groups they have afterwards, all pairs checked, components.
 
     While lists hold many pairs of groups, sixteen blocks a list, then four times as many, meet all the others before the
     rest does, and groups whose centres are linked become one. So copies that no centre links, but others do, need a few
@@ -295,25 +297,27 @@ def _merged(block: DataFrame, sets: DataFrame, checked: DataFrame, how: Join) ->
         held = held.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.expr("double(k) * k")).alias("same"), F.max("turn").alias("turn"))
         entries, pairs, last = held.agg(F.sum("k"), F.sum(F.expr("(double(k) * k - same) / 2")), F.max("turn")).first()
         if not entries or last < lower + width or pairs <= OPEN * entries:
-            return block, met, checked
+            return met, block, checked, known
         now = stored(_meetings(block, lower, lower + width, how), "block-pairs")
         met.append((now, lower + width))
         new = now.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
         found = stored(verified(new, sets), "answers")
         checked = checked.unionByName(found)
-        if not _linked(found, how).isEmpty():
-            groups = _components(checked, how)
-            joined = block.join(groups.withColumnRenamed("node", "c"), "c", "left")
+        groups = _components(_linked(found, how), known)
+        if groups is not known:
+            known = groups
+            joined = block.join(known.withColumnRenamed("node", "c"), "c", "left")
             block = stored(joined.withColumn("grp", F.coalesce("component", "grp")).drop("component"), "block-lists")
         # the rest at once, if it is few even should it go on like this round
         few = now.count() * (last + 1 - lower - width) <= OPEN * entries * width
         lower, width = lower + width, 4 * width
         if few:
-            return block, met, checked
+            return met, block, checked, known
 
 
-def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how: Join) -> DataFrame:
-    """Components by all links, those between the groups that neither block nor centre rules out included.
+def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, known: DataFrame, how: Join) -> DataFrame:
+    """Components by all links, those between the groups that neither block nor centre rules out included. ``known`` has those by
+    the pairs checked.
 
     Centres answer first, and blocks that an answer joins need no more. The rest are opened in rounds: members of one block
     meet sixteen members of the other a list, then four times as many, and what a round joins is left out of the next.
@@ -337,7 +341,7 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how:
     )
     centre = sets.select(F.col("node").alias("c"), F.col("n").alias("nc"), "parity")
     block = block.join(centre, "c")
-    block, met, checked = _merged(block, sets, checked, how)
+    met, block, checked, known = _merged(block, sets, checked, known, how)
     lower = met[-1][1] if met else 0
     met = reduce(DataFrame.unionByName, [one for one, _ in met] + [stored(_meetings(block, lower, None, how), "block-pairs")])
     both = met.groupBy("a", "b").agg(F.min("l1").alias("l1"), F.min("l2").alias("l2"), (F.max("off1") + F.max("off2")).alias("off"), F.max("wide").alias("wide"))
@@ -347,7 +351,7 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how:
     opened = both.where("wide").join(answers, ["a", "b"]).where(_could(F.col("l1"), F.col("l2"), F.col("shared") + F.col("off"), how)).select("a", "b", "shared")
     opened = stored(opened, "opened")
     checked = checked.unionByName(fresh)
-    groups = _components(checked, how)
+    groups = _components(_linked(fresh, how), known)
     opened = stored(_apart(opened, groups), "opened")
     if opened.isEmpty():
         return groups
@@ -360,7 +364,6 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how:
     last, lower, width, joined = some.agg(F.max("turn")).first()[0], 0, 16, False
     while last is not None and lower <= last:
         if joined:
-            groups, joined = _components(checked, how), False
             opened = stored(_apart(opened, groups), "opened")
             if opened.isEmpty():
                 break
@@ -375,10 +378,9 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, checked: DataFrame, how:
         found = stored(verified(pairs, sets), "opened-pairs")
         checked = checked.unionByName(found)
         lower, width = lower + width, 4 * width
-        joined = not _linked(found, how).isEmpty()
-    if not joined:
-        return groups
-    return common.components(_linked(checked, how).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        now = _components(_linked(found, how), groups)
+        groups, joined = now, now is not groups
+    return groups
 
 
 def groups(docs: DataFrame, how: Join = Join()) -> DataFrame:
