@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_metrics import START, frame, span, trace
 from tracelake.operators import metrics, spans
 from tracelake.operators.ranking import row_numbers
+from tracelake.schema import ROW
 from tracelake.sources import store, versions
 from tracelake.sources import traces as src
 from tracelake.streaming import live
@@ -310,3 +311,26 @@ def test_json_null_and_empty_metadata_take_the_default(spark):
     assert got == {0: ("{}", "{}"), 1: ("{}", got[1][1]), 2: ("{}", None), 3: ('{"a":null}', '{"a":null}'), 4: ("[]", "[]"), 5: ('""', '""'), 6: ("0", "0")}
     again = src.apply_defaults(src.parse_documents(src.export_documents(typed), "value"), START)
     assert {int(r.id): r.metadata for r in again.collect()} == {k: m for k, (m, _) in got.items()}
+
+
+def test_tables_by_period_derive_their_rows_once(spark, monkeypatch):
+    from tracelake.plans import registry
+
+    made = []
+    monkeypatch.setattr(registry, "rows_of", lambda spark, sf: made.append(sf) or spark.createDataFrame([], ROW))
+    found = registry._over_periods(spark, "sample", lambda rows: rows.agg(F.count("*").alias("n")), "month", "year")
+    assert sorted((r.period, r.n) for r in found.collect()) == [("month", 0), ("year", 0)]
+    assert made == ["sample"]
+
+
+def test_node_figures_read_their_rows_once(spark, tmp_path, monkeypatch):
+    """Both passes go over the runs of nodes alone, not over what rows are derived from."""
+    from tracelake.operators import analytics
+
+    path, seen = str(tmp_path / "rows"), []
+    blank = [None] * len(spark.createDataFrame([], ROW).columns)
+    spark.createDataFrame([blank], ROW).write.parquet(path)
+    real = analytics.order_statistic_with
+    monkeypatch.setattr(analytics, "order_statistic_with", lambda facts, *rest: seen.extend(facts.inputFiles()) or real(facts, *rest))
+    assert analytics.node_analytics(spark.read.schema(ROW).parquet(path)).collect() == []
+    assert seen and not [name for name in seen if path in name]
