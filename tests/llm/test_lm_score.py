@@ -59,3 +59,42 @@ def test_nothing_to_learn_from(make_docs):
     got = lm_score.judge(make_docs([(1, "a b"), (2, None)]), F.lit(False), SMALL).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(3, 0, 0), (1, 0, 0)}
     assert lm_score.judge(make_docs([]), F.lit(True), SMALL).count() == 0
+
+
+def _walks(words, docs, pick):
+    """Texts in which each word is followed by one of two."""
+    follow = {w: [words[(k * 3 + d) % len(words)] for d in range(2)] for k, w in enumerate(words)}
+    texts = []
+    for i in range(docs):
+        said = [words[0]]
+        for _ in range(60):
+            said.append(pick.choice(follow[said[-1]]))
+        texts.append((i, " ".join(said)))
+    return texts
+
+
+def test_words_without_a_class_are_told_apart(make_docs):
+    texts = _walks([f"a{i}" for i in range(60)], 400, random.Random(7))
+    how = replace(SMALL, classes=8, width=12, noise=24, batch=64)
+    got = lm_score.judge(make_docs(texts), F.col("doc_id") % 5 != 0, how).where("doc_id % 5 = 0").collect()
+    assert sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 40])
+def test_all_words_of_a_vocabulary_share_one_probability(make_docs, head):
+    pick = random.Random(8)
+    texts = [(i, " ".join(f"w{int(1500 * pick.random() ** 3)}" for _ in range(40))) for i in range(150)]
+    docs, how = make_docs(texts), replace(SMALL, classes=8, head=head)
+    counted = lm_score.stored(lm_score.counts(docs), "counts")
+    vocab = lm_score.vocabulary(counted, how)
+    rows = counted.collect()
+    keys, n = np.array([r.token for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows])
+    classed = np.isin(keys, vocab.classed)
+    assert len(vocab.mass) < len(keys) and vocab.tail_mass == pytest.approx((n[~classed] + 0.5).sum() + 0.5)
+    p = lm_score.train(docs, vocab, how)
+    classes, cells = lm_score.classes_of(keys, vocab, 8), lm_score.cells_of(keys, vocab)
+    context = 8 + cells[classes == 6][0]
+    logs = lm_score.log10_classes(p, np.full(len(keys), context), np.full(len(keys), 7), classes, 8, cells)
+    inside = np.where((classes == 6) & (cells >= len(vocab.mass) // 2), np.log10(n + 0.5) - np.log10(vocab.mass[cells]), 0.0)
+    # what is missing is held by words never seen
+    assert 0.9 < (10 ** (logs + inside)).sum() < 1 + 1e-4
