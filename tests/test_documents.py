@@ -79,6 +79,20 @@ def test_deep_documents_hide_their_secrets(spark):
     assert got == '{"n":' * 6000 + '{"password":"[REDACTED]","mail":"[EMAIL_REDACTED]","x":1.50}' + "}" * 6000
 
 
+def test_text_without_escapes_is_not_masked_token_by_token(monkeypatch):
+    monkeypatch.setattr(docs, "_SAID", None)
+    one = docs._masking((), ())
+    rows = [
+        ('{"a":[{"password":[{"x":"p"},["q"]],"b":"a@b.co"},{"token" : -1.5e3 , "k":"sk"}]}', '{"a":[{"password":"[REDACTED]","b":"[EMAIL_REDACTED]"},{"token":"[REDACTED]","k":"sk"}]}'),
+        ('{"secret":"s","secret":{},"x":"secret","y":["token","a@b.co"],"session":null}', '{"secret":"[REDACTED]","secret":"[REDACTED]","x":"secret","y":["token","[EMAIL_REDACTED]"],"session":"[REDACTED]"}'),
+        (' [ "", "a  b" , {"a@b.co" : "c d@e.fr"} ] ', '["","a  b",{"a@b.co":"c [EMAIL_REDACTED]"}]'),
+    ]
+    for doc, clean in rows:
+        assert one(doc) == clean
+    deep = '{"n":' * 3000 + '{"password":{"inner":["p"]},"x":1.50}' + "}" * 3000
+    assert one(deep) == '{"n":' * 3000 + '{"password":"[REDACTED]","x":1.50}' + "}" * 3000
+
+
 def test_sensitive_keys(spark):
     names = {"password": True, " Secret ": True, "user_token": True, "tokens": False, "set-cookie": True, "api_key": True, "my_api_key": False, "session": True, "x": False}
     frame = spark.createDataFrame([(k,) for k in names], "k string").select("k", text.is_sensitive_key(F.col("k")).alias("s"))
