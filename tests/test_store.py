@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_metrics import START, frame, span, trace
 from tracelake.operators import metrics, spans
 from tracelake.operators.ranking import row_numbers
+from tracelake.plans import registry
 from tracelake.schema import ROW
 from tracelake.sources import store, versions
 from tracelake.sources import traces as src
@@ -334,3 +335,19 @@ def test_node_figures_read_their_rows_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(analytics, "order_statistic_with", lambda facts, *rest: seen.extend(facts.inputFiles()) or real(facts, *rest))
     assert analytics.node_analytics(spark.read.schema(ROW).parquet(path)).collect() == []
     assert seen and not [name for name in seen if path in name]
+
+
+def test_rows_dealt_by_id_are_stored_without_another_shuffle(spark, tmp_path):
+    rows = spark.range(400).selectExpr("cast(id as string) as id", "concat('{', id, '}') as value", "false as gone").repartition(4, "id")
+    path = str(tmp_path / "t")
+    for dealt, files in ((False, 1), (True, 4)):
+        segment = versions.write_segment(rows, path, "documents", {"number": 1, "buckets": 1}, dealt=dealt)
+        kept = versions.entries(spark, path, "documents", [segment], "id string, value string")
+        assert len(kept.inputFiles()) == files and kept.distinct().count() == 400
+
+
+def test_read_traces_reads_packed_files(spark, monkeypatch):
+    typed = src.apply_defaults(src.parse_documents(spark.createDataFrame([(json.dumps(doc()),)], "value string"), "value"))
+    monkeypatch.setattr(registry.src, "documents", lambda *_: typed)
+    read = registry.QUERIES["read_traces"](spark, "")
+    assert [r["id"] for r in read.collect()] == ["a"] and all(f.endswith(".gz") for f in read.inputFiles())
