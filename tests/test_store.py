@@ -351,3 +351,14 @@ def test_read_traces_reads_packed_files(spark, monkeypatch):
     monkeypatch.setattr(registry.src, "documents", lambda *_: typed)
     read = registry.QUERIES["read_traces"](spark, "")
     assert [r["id"] for r in read.collect()] == ["a"] and all(f.endswith(".gz") for f in read.inputFiles())
+
+
+def test_a_stored_waterfall_parses_its_documents_once(spark, tmp_path):
+    told = [{"id": f"s{k}", "trace_id": "a", "name": f"n{k}", "parent_id": f"s{k - 1}" if k else None, "start_time": f"2026-01-01T12:00:0{k}Z", "duration_ms": 5.0} for k in range(3)]
+    source = write_lines(tmp_path / "in", doc(spans=told), doc("b"), doc("c", spans=[told[0] | {"trace_id": "c"}]))
+    live.stream_ingest(live.trace_stream(spark, source), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+    found = store.get_stored_traces(spark, str(tmp_path / "t"))
+    got = store.stored_waterfall(spark, str(tmp_path / "t"))
+    assert "from_json" not in got._jdf.queryExecution().toString()
+    assert sorted(got.collect()) == sorted(spans.span_waterfall(found, spans.spans_of(found)).select(*got.columns).collect())
+    assert [(r.trace_id, r.id, r.offset_ms, r.depth) for r in sorted(got.collect())] == [("a", f"s{k}", 1000.0 * k, k) for k in range(3)] + [("c", "s0", 0.0, 0)]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.order_stats import order_statistic
-from tracelake.operators.spans import span_waterfall, spans_of
+from tracelake.operators.spans import nested_waterfall
 from tracelake.schema import ROW
 from tracelake.session import scratch_path
 from tracelake.sources import versions
@@ -255,8 +255,7 @@ def export_stored(spark: SparkSession, path: str, ids: Sequence[str] | DataFrame
 
 def stored_waterfall(spark: SparkSession, path: str, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """``span_waterfall`` of stored traces."""
-    found = get_stored_traces(spark, path, ids)
-    return span_waterfall(found, spans_of(found))
+    return nested_waterfall(get_stored_traces(spark, path, ids))
 
 
 def erase_traces(rows: DataFrame, ids: Sequence[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
